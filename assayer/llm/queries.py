@@ -7,12 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import decontaminate, packing, rans
+from assayer.llm import decontaminate, html, minhash, packing, quality, rans, suffix_dedup, toxicity, warc
 from assayer.llm.tokens import public_path
 from assayer.plans.store import Scratch
 from assayer.sources.tables import table
 
 
+def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
+    archive = Scratch(spark, "warc-archive").root
+    warc.write(table(spark, folder, "pages"), archive)
+    return warc.read(spark, archive).drop("url")
+
+
+def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.verdicts(quality.clean(table(spark, folder, "documents")))
+
+
+def op3_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, folder, "documents"), n_words=3, percent=85)
+
+
+def op4_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, folder, "documents")).drop("kept")
+
+
 def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), public_path("word_bpe_49k.json"), with_ids=False)
 
@@ -21,6 +39,11 @@ def op6_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
     return decontaminate.verdicts(decontaminate.scan(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
 
 
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return toxicity.verdicts(toxicity.score(documents, toxicity.fit(documents, table(spark, folder, "labels"))))
+
+
 def op8_token_rans(spark: SparkSession, folder: str) -> DataFrame:
     files = Scratch(spark, "token-files").root
     rans.write(table(spark, folder, "documents"), public_path("byte_bpe_50k.json"), files)
@@ -28,7 +51,22 @@ def op8_token_rans(spark: SparkSession, folder: str) -> DataFrame:
     return back.select("doc_id", "start", F.expr("cast(length(ids) div 4 as long)").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return html.main_text(table(spark, folder, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_best_fit_packing, op6_benchmark_decontamination, op8_token_rans)
+    f.__name__: f
+    for f in (
+        op1_warc,
+        op2_quality_rules,
+        op3_minhash_near_dedup,
+        op4_suffix_array_dedup,
+        op5_best_fit_packing,
+        op6_benchmark_decontamination,
+        op7_toxicity,
+        op8_token_rans,
+        op10_html_extraction,
+    )
 }
 SQL: dict[str, str] = {}
