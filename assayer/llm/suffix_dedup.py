@@ -301,7 +301,7 @@ def dedup(documents: DataFrame, length: int = LENGTH, carry: bool = False, group
             names = [f.name for f in kinds]
             yield pa.RecordBatch.from_arrays([*map(batch.column, names), *done.columns], names=[*names, *new.names])
 
-    schema = T.StructType(kinds).add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string").add("kept", "binary")
+    schema = T.StructType([*kinds]).add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string").add("kept", "binary")
     return joined.mapInArrow(cut, schema)
 
 
