@@ -1,8 +1,9 @@
 """Whole texts to token ids with the tokenizers library.
 
-A tokenizer file maps a stretch between two single spaces to the same ids wherever it stands, so a worker keeps the
-ids of stretches it has met (up to a bound) and gives only new ones to the library. Texts with other spacing are
-encoded whole.
+A tokenizer file maps a stretch between two single spaces to the same ids wherever it stands, and so it does each piece that
+its pre-tokenizer makes of the stretch. A worker keeps the ids of stretches it has met (up to a bound) and of their
+pieces, and gives only new pieces to the library, many in one call. Texts with other spacing, and stretches with
+characters for which the pieces are not known to be the library's, are encoded whole.
 """
 
 from __future__ import annotations
@@ -11,9 +12,18 @@ import os
 from itertools import chain
 
 import numpy as np
+import regex
 
-#: Stretches whose ids a worker keeps.
-KEPT_STRETCHES = 400_000
+#: Stretches and pieces whose ids a worker keeps.
+KEPT_STRETCHES = 700_000
+KEPT_PIECES = 700_000
+#: The pre-tokenizers' published patterns, and characters that normalisation leaves alone but for case.
+_PIECES = {
+    "words": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+    "bytes": r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
+}
+_MARKS = frozenset(",.;:!?")
+_PLAIN = regex.compile(r" ?[\n\x21-\x7E\xA1-\xAC\xAE-\xFF]*")
 
 
 class Encoder:
@@ -25,6 +35,14 @@ class Encoder:
         self.model.encode_special_tokens = True
         self.most = most
         self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        names = self.model.get_vocab()
+        # A piece ends with a token that says so, or with the line break put between pieces.
+        self.kind = "words" if "!</w>" in names else "bytes"
+        last = [i for t, i in names.items() if t.endswith("</w>")] if self.kind == "words" else [names["Ċ"]]
+        self.ends = np.zeros(max(names.values()) + 1, bool)
+        self.ends[last] = True
+        self.split = regex.compile(_PIECES[self.kind]).findall
 
     @staticmethod
     def stretches(text: str) -> list[str]:
@@ -38,13 +56,53 @@ class Encoder:
         parts = [self.stretches(t) for t in texts]
         if len(self.known) > self.most:
             self.known.clear()
-        new = [s for s in set(chain.from_iterable(parts)) if s not in self.known]
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for s, e in zip(some, self.model.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[s] = np.array(e.ids, "<u4").tobytes()
+        if len(self.pieces) > KEPT_PIECES:
+            self.pieces.clear()
+        if new := set(chain.from_iterable(parts)).difference(self.known):
+            self.learn(list(new))
         return [b"".join(map(self.known.__getitem__, p)) for p in parts]
 
+    def learn(self, new: list[str]) -> None:
+        plain, cut = [], []
+        for s in new:
+            if (c := self.cut(s)) is not None:
+                plain.append(s)
+                cut.append(c)
+        self.learn_pieces(list(set(chain.from_iterable(cut)).difference(self.pieces)))
+        for s, c in zip(plain, cut, strict=True):
+            self.known[s] = b"".join(map(self.pieces.__getitem__, c))
+        other = [s for s in new if s not in self.known]
+        for s, e in zip(other, self.model.encode_batch_fast(other, add_special_tokens=False), strict=True):
+            self.known[s] = np.array(e.ids, "<u4").tobytes()
+
+    def cut(self, s: str) -> list[str] | None:
+        """The pieces of a stretch; None if its characters are beyond those known. Words, with a mark behind, need no pattern."""
+        if not s.isascii() and not _PLAIN.fullmatch(s):
+            return None
+        low, bare = (s.lower(), s.lstrip(" ").lower()) if self.kind == "words" else (s, s.lstrip(" "))
+        if bare.isalpha():
+            return [bare if self.kind == "words" else low]
+        if bare[-1:] in _MARKS and bare[:-1].isalpha():
+            return [bare[:-1] if self.kind == "words" else low[:-1], bare[-1]]
+        return self.split(low) if _PLAIN.fullmatch(s) else None
+
+    def learn_pieces(self, new: list[str]) -> None:
+        broken = [p for p in new if "\n" in p]
+        whole = [p for p in new if "\n" not in p]
+        for p, e in zip(broken, self.model.encode_batch_fast(broken, add_special_tokens=False), strict=True):
+            self.pieces[p] = np.array(e.ids, "<u4").tobytes()
+        for at in range(0, len(whole), 5000):
+            some = whole[at : at + 5000]
+            (e,) = self.model.encode_batch_fast([("\n".join(some) + "\n")], add_special_tokens=False)
+            ids = np.array(e.ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids])
+            if len(stops) != len(some):
+                raise ValueError("pieces and tokens disagree")
+            data, begin, skip = ids.tobytes(), 0, int(self.kind == "bytes")
+            for p, stop in zip(some, (stops + 1).tolist(), strict=True):
+                self.pieces[p] = data[4 * begin : 4 * (stop - skip)]
+                begin = stop
+
 
 _ENCODERS: dict[str, Encoder] = {}
 
