@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import decontaminate, html, minhash, packing, quality, rans, suffix_dedup, toxicity, warc
+from assayer.llm import decontaminate, html, licenses, minhash, packing, quality, rans, suffix_dedup, toxicity, warc
 from assayer.llm.tokens import public_path
 from assayer.plans.store import Scratch
 from assayer.sources.tables import table
@@ -51,6 +51,10 @@ def op8_token_rans(spark: SparkSession, folder: str) -> DataFrame:
     return back.select("doc_id", "start", F.expr("cast(length(ids) div 4 as long)").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
+
+
 def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return html.main_text(table(spark, folder, "pages"))
 
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_benchmark_decontamination,
         op7_toxicity,
         op8_token_rans,
+        op9_license_scan,
         op10_html_extraction,
     )
 }
