@@ -1,0 +1,27 @@
+"""Nested documents and event tables in batch form."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from assayer.operators.registry import query
+from assayer.sources.tables import table
+
+
+def leaves(documents: DataFrame, key: str, json: str) -> DataFrame:
+    """(key, path, value): the scalar leaves of flat JSON objects."""
+    parsed = documents.select(key, F.explode(F.from_json(json, "map<string,string>")).alias("name", "value"))
+    return parsed.select(key, F.concat(F.lit("$."), "name").alias("path"), "value")
+
+
+@query("SELECT event_id, '$.k' AS path, props::JSON->>'k' AS value FROM events WHERE props IS NOT NULL")
+def jsn1_json_flatten(spark: SparkSession, folder: str) -> DataFrame:
+    return leaves(table(spark, folder, "events"), "event_id", "props")
+
+
+@query("SELECT DISTINCT user_id AS patient FROM events WHERE user_id IS NOT NULL")
+def prj20_patient_ids_collect(spark: SparkSession, folder: str) -> DataFrame:
+    """Every patient id anywhere in a document."""
+    docs = table(spark, folder, "events").select("event_id", F.to_json(F.struct(F.col("user_id").alias("patient_id"))).alias("doc"))
+    return leaves(docs, "event_id", "doc").where("path = '$.patient_id'").select(F.col("value").cast("long").alias("patient")).distinct()
