@@ -49,8 +49,8 @@ _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]
 _SPLIT = re.compile(r"[^a-z]+")
 
 WORD, LINKED, APART = 0, 1, 2  # kinds of words: plain, in a link, in an element that is never content
-DEFAULT = {"word": 1.0, "word in link": 0.1}
 DEFAULT_TAG = -0.4
+DEFAULT = {"word": 1.0, "word in link": 0.1} | dict.fromkeys("article b blockquote br code em h1 h2 h3 h4 h5 h6 header i li main ol p pre section span strong ul".split(), -0.05)
 
 
 def tokens(page: str) -> Iterator[tuple[str, object, int, bool]]:
@@ -96,7 +96,7 @@ def _never(name: str, attributes: str, in_article: bool) -> bool:
 def _scored(page: str, weights: dict[str, float]) -> tuple[list, np.ndarray]:
     """Tokens with their scores: a stretch of text counts its words."""
     kept, scores, link = [], [], 0
-    for kind, value, apart, _ in tokens(page):
+    for kind, value, apart, inside in tokens(page):
         if kind == "text":
             n = len(value.split())
             w = -weights["word"] if apart else weights["word in link"] if link else weights["word"]
@@ -105,7 +105,7 @@ def _scored(page: str, weights: dict[str, float]) -> tuple[list, np.ndarray]:
             if value == "a":
                 link = int(kind == "open")
             scores.append(weights.get(value, DEFAULT_TAG))
-        kept.append((kind, value, apart))
+        kept.append((kind, value, apart, inside))
     return kept, np.array(scores)
 
 
@@ -125,6 +125,11 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
         return ""
     kept, scores = _scored(page, weights)
     start, end = best_region(scores)
+    if any(inside and not apart for _, _, apart, inside in kept[start:end]):  # the region grows to the bounds of its article
+        while start and kept[start - 1][3]:
+            start -= 1
+        while end < len(kept) and kept[end][3]:
+            end += 1
     blocks, now = [], []
 
     def close() -> None:
@@ -132,7 +137,7 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
             blocks.append(text)
         now.clear()
 
-    for kind, value, apart in kept[start:end]:
+    for kind, value, apart, _ in kept[start:end]:
         if kind == "text":
             if not apart:
                 now.append(value)
