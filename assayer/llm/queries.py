@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.llm import decontaminate, html, licenses, minhash, packing, quality, rans, suffix_dedup, toxicity, warc
+from assayer.llm.sql import SQL as SQL
 from assayer.llm.tokens import public_path
 from assayer.plans.store import Scratch
 from assayer.sources.tables import table
@@ -74,4 +75,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_html_extraction,
     )
 }
-SQL: dict[str, str] = {}
