@@ -219,6 +219,15 @@ def gt24_add_submission(spark: SparkSession, folder: str) -> DataFrame:
     return ranked(o.select(F.col("o_custkey").alias("vendor"), F.col("o_orderkey").alias("entry"), F.col("o_totalprice").alias("v")), ["v"], ["entry"], ["vendor"]).drop("v")
 
 
+@query("WITH v AS (" + broken_sql("SELECT * FROM orders", "o_orderkey", METADATA) + "), m AS (SELECT DISTINCT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber = 1)) SELECT o_orderkey, count(rule) AS n_violations, CASE WHEN count(rule) > 0 THEN 'FAIL' WHEN bool_or(m.o_orderkey IS NOT NULL) THEN 'SKIPPED' ELSE 'PASS' END AS state FROM orders LEFT JOIN v USING (o_orderkey) LEFT JOIN m USING (o_orderkey) GROUP BY o_orderkey")
+def gt17_claim_stage(spark: SparkSession, folder: str) -> DataFrame:
+    """The gates of one submission composed; a missing artefact is skipped, not passed."""
+    o = passes(table(spark, folder, "orders"), "o_orderkey", METADATA)
+    there = table(spark, folder, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("o_orderkey"), F.lit(True).alias("there")).distinct()
+    state = F.when(F.col("n_violations") > 0, "FAIL").when(F.col("there").isNull(), "SKIPPED").otherwise("PASS")
+    return o.join(there, "o_orderkey", "left").select("o_orderkey", "n_violations", state.alias("state"))
+
+
 @query("SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' AND o_totalprice > 1000 THEN 'updated' ELSE o_orderstatus END AS status FROM orders")
 def gt26_status_update(spark: SparkSession, folder: str) -> DataFrame:
     """Sets the status of the rows in question that pass the rules, and of no other."""

@@ -64,6 +64,47 @@ def sobel(p: DataFrame, key: str) -> DataFrame:
     return g.where("n = 8").select(key, "y", "x", F.hypot("gx", "gy").alias("g"))
 
 
+def ssim(a: DataFrame, b: DataFrame, key: str, side: int, taps: list[tuple[int, float]], span: float = 1.0) -> DataFrame:
+    """Mean structural similarity over pixels whose window lies inside: five separable stencils in one pass.
+
+    The five moments travel together, so the pixels are shuffled once an axis and not once a moment.
+    """
+    m = a.withColumnRenamed("v", "p").join(b.withColumnRenamed("v", "t"), [key, "y", "x"])
+    names = ["p", "t", "pp", "tt", "pt"]
+    m = m.select(key, "y", "x", "p", "t", (F.col("p") * F.col("p")).alias("pp"), (F.col("t") * F.col("t")).alias("tt"), (F.col("p") * F.col("t")).alias("pt"))
+    reach = max(d for d, _ in taps)
+    for axis, other in (("y", "x"), ("x", "y")):
+        sent = m.select(key, other, axis, *names, F.explode(F.array(*(F.struct(F.lit(d).alias("d"), F.lit(w).alias("w")) for d, w in taps))).alias("k"))
+        sent = sent.select(key, other, (F.col(axis) + F.col("k.d")).alias(axis), *((F.col(n) * F.col("k.w")).alias(n) for n in names))
+        m = sent.where(F.col(axis).between(reach, side - 1 - reach)).groupBy(key, "y", "x").agg(*(F.sum(n).alias(n) for n in names))
+    c1, c2 = (0.01 * span) ** 2, (0.03 * span) ** 2
+    p, t = F.col("p"), F.col("t")
+    top = (2 * p * t + c1) * (2 * (F.col("pt") - p * t) + c2)
+    low = (p * p + t * t + c1) * (F.col("pp") - p * p + F.col("tt") - t * t + c2)
+    return m.groupBy(key).agg(F.avg(top / low).alias("ssim"))
+
+
+def best_patch(p: DataFrame, key: str, size: int, side: int) -> DataFrame:
+    """The patch (top, left) with the best score: mean value less a share of its spread; ties by place."""
+    starts = F.sequence(F.lit(0), F.lit(side - size))
+    grid = p.select(key, "y", "x", "v", F.explode(starts).alias("top")).where(F.col("y").between(F.col("top"), F.col("top") + size - 1))
+    grid = grid.select("*", F.explode(starts).alias("left")).where(F.col("x").between(F.col("left"), F.col("left") + size - 1))
+    scored = grid.groupBy(key, "top", "left").agg((F.avg("v") - 0.5 * F.stddev_pop("v")).alias("score"))
+    best = F.max_by(F.struct("top", "left", "score"), F.struct(F.round("score", 9), -F.col("top"), -F.col("left")))
+    return scored.groupBy(key).agg(best.alias("b")).select(key, "b.*")
+
+
+def matched_filter(p: DataFrame, key: str, side: int, sigma: float) -> DataFrame:
+    """Response to a fixed zero-mean template at the centre: linear, so one weighted sum a slice."""
+    from math import exp
+
+    c = (side - 1) / 2
+    raw = {(y, x): exp(-((y - c) ** 2 + (x - c) ** 2) / (2 * sigma**2)) for y in range(side) for x in range(side)}
+    mean = sum(raw.values()) / len(raw)
+    template = F.lit([raw[y, x] - mean for y in range(side) for x in range(side)])
+    return p.groupBy(key).agg(F.sum(F.col("v") * F.get(template, (F.col("y") * side + F.col("x")).cast("int"))).alias("score"))
+
+
 def correlation(a: Column, b: Column) -> Column:
     """Zero-mean correlation of two arrays; 0 if either is constant."""
     n = F.size(a)
@@ -95,6 +136,25 @@ def im1_psnr(spark: SparkSession, folder: str) -> DataFrame:
     return _pairs(spark, folder).select("vec_id", F.round(psnr(F.col("a"), F.col("b"), 1.0), 6).alias("psnr"))
 
 
+@query(
+    f"WITH {_PX}, k AS (SELECT unnest([-1, 0, 1]) AS d, unnest([0.25::DOUBLE, 0.5, 0.25]) AS w), m AS (SELECT a.vec_id, a.y, a.x, a.v AS p, b.v AS t FROM x a JOIN x b ON b.vec_id = a.vec_id + 1 AND a.y = b.y AND a.x = b.x), g AS (SELECT vec_id, y + j.d AS y, x + i.d AS x, sum(p * j.w * i.w) AS p, sum(t * j.w * i.w) AS t, sum(p * p * j.w * i.w) AS pp, sum(t * t * j.w * i.w) AS tt, sum(p * t * j.w * i.w) AS pt FROM m, k j, k i WHERE y + j.d BETWEEN 1 AND 6 AND x + i.d BETWEEN 1 AND 6 GROUP BY ALL) SELECT vec_id, round(avg((2 * p * t + 0.0001) * (2 * (pt - p * t) + 0.0009) / ((p * p + t * t + 0.0001) * (pp - p * p + tt - t * t + 0.0009))), 6) AS ssim FROM g GROUP BY vec_id"
+)
+def im2_ssim(spark: SparkSession, folder: str) -> DataFrame:
+    p = pixels(table(spark, folder, "embeddings"), "vec_id", "embedding", SIDE)
+    return rounded(ssim(p, p.withColumn("vec_id", F.col("vec_id") - 1), "vec_id", SIDE, TAPS), ["ssim"])
+
+
+@query(f"WITH {_PX}, s AS (SELECT vec_id, t.a AS top, l.a AS \"left\", avg(v) - 0.5 * stddev_pop(v) AS score FROM x, (SELECT unnest(range(6))::INT AS a) t, (SELECT unnest(range(6))::INT AS a) l WHERE y BETWEEN t.a AND t.a + 2 AND x BETWEEN l.a AND l.a + 2 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(score, 9) DESC, top, \"left\") AS k FROM s) SELECT vec_id, top, \"left\", round(score, 6) AS score FROM r WHERE k = 1")
+def im8_tissue_roi(spark: SparkSession, folder: str) -> DataFrame:
+    p = pixels(table(spark, folder, "embeddings"), "vec_id", "embedding", SIDE)
+    return rounded(best_patch(p, "vec_id", 3, SIDE), ["score"])
+
+
+@query(f"WITH {_PX}, e AS (SELECT vec_id, v, exp(-((y - 3.5) * (y - 3.5) + (x - 3.5) * (x - 3.5)) / 4.5) AS w FROM x), m AS (SELECT avg(w) AS m FROM e WHERE vec_id = 0) SELECT vec_id, round(sum(v * (w - m)), 6) AS score FROM e, m GROUP BY vec_id")
+def im13_npwe_score(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(matched_filter(pixels(table(spark, folder, "embeddings"), "vec_id", "embedding", SIDE), "vec_id", SIDE, 1.5), ["score"])
+
+
 @query(f"WITH {_PX}, {_SMOOTH} SELECT vec_id, y, x, round(v, 6) AS v FROM g")
 def im4_blur_control(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(smooth(pixels(table(spark, folder, "embeddings"), "vec_id", "embedding", SIDE), "vec_id", SIDE, TAPS), ["v"])
@@ -165,6 +225,32 @@ def im11_channel_response(spark: SparkSession, folder: str) -> DataFrame:
     return r.groupBy("vec_id", "channel").agg(F.round(F.sum(F.col("v") * F.col("w")), 6).alias("response"))
 
 
+@query()
+def im12_cho_auc(spark: SparkSession, folder: str) -> DataFrame:
+    """Area under the curve of a Hotelling template on channel responses: pooled covariance with a ridge, one small solve.
+
+    Sums and products of the channels are added up on the executors; the solve is over as many rows as there are channels.
+    """
+    import numpy as np
+
+    from assayer.operators.curves import rank_auc
+
+    n = len(_CHANNELS)
+    r = im11_channel_response(spark, folder).groupBy("vec_id").pivot("channel", list(range(n))).agg(F.first("response"))
+    e = table(spark, folder, "embeddings").select("vec_id", (F.col("label") % 2).alias("present"))
+    rows = r.join(e, "vec_id")
+    c = [F.col(str(i)) for i in range(n)]
+    stats = [F.avg(x).alias(f"m{i}") for i, x in enumerate(c)] + [F.covar_samp(c[i], c[j]).alias(f"c{i}{j}") for i in range(n) for j in range(n)]
+    by = {s["present"]: s for s in rows.groupBy("present").agg(F.count("*").alias("n"), *stats).collect()}  # two rows
+    if any(k not in by or by[k]["n"] < 2 for k in (0, 1)):
+        return spark.createDataFrame([(0, 0, 0.5)], "n_pos long, n_neg long, auc double")
+    cov = sum(np.array([[by[k][f"c{i}{j}"] for j in range(n)] for i in range(n)]) for k in (0, 1)) / 2
+    gap = np.array([by[1][f"m{i}"] - by[0][f"m{i}"] for i in range(n)])
+    w = np.linalg.solve(cov + 1e-4 * np.trace(cov) / n * np.eye(n), gap)
+    scored = rows.select(F.lit("all").alias("g"), "present", sum((x * float(v) for x, v in zip(c[1:], w[1:], strict=True)), c[0] * float(w[0])).alias("score"))
+    return rounded(rank_auc(scored, ["g"], "present", "score").drop("g"), ["auc"])
+
+
 @query(f"WITH {_PX} SELECT vec_id, y, x, round(least(greatest(v + 0.3 * exp(-((y - 3.5) * (y - 3.5) + (x - 3.5) * (x - 3.5)) / 4.5), -1), 1), 6) AS v FROM x")
 def im14_lesion_insert(spark: SparkSession, folder: str) -> DataFrame:
     d2 = (F.col("y") - 3.5) * (F.col("y") - 3.5) + (F.col("x") - 3.5) * (F.col("x") - 3.5)
