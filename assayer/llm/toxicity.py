@@ -18,11 +18,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assayer.llm.text import chunks, emit
+from assayer.plans.store import Scratch
 
 #: Labelled rows of each class that the fit uses at most.
 SAMPLE = 4000
@@ -43,9 +45,13 @@ def words(text: str | None) -> set[str]:
     return set(_WORD.findall(text.lower())) if text else set()
 
 
-def features(word: str) -> list[str]:
-    """The word and its beginnings; the mark keeps the two kinds apart."""
-    return [word, *(word[:n] + "~" for n in PREFIXES if len(word) > n)]
+def features(word: str) -> list[int]:
+    """64-bit codes of the word and of its beginnings; the mark keeps the two kinds apart."""
+    return [code(word), *(code(word[:n] + "~") for n in PREFIXES if len(word) > n)]
+
+
+def code(feature: str) -> int:
+    return int.from_bytes(xxhash.xxh3_64_digest(feature), "big", signed=True)
 
 
 def held_out() -> Column:
@@ -54,7 +60,7 @@ def held_out() -> Column:
 
 @dataclass
 class Model:
-    index: dict[str, int]
+    index: dict[int, int]
     weights: np.ndarray
     intercept: float
 
@@ -80,72 +86,69 @@ class Model:
 
 
 def sample(documents: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
-    """toxic, words (distinct): at most ``most`` labelled rows of each class, none held out."""
+    """toxic, codes (distinct features): at most ``most`` labelled rows of each class, none held out."""
     known = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     known = known.where(~held_out()).dropDuplicates(["doc_id"])
     some = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for c in (0, 1)]
     chosen = some[0].union(some[1])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("toxic", pa.int32()), ("words", pa.list_(pa.string()))])
+        schema = pa.schema([("toxic", pa.int32()), ("codes", pa.list_(pa.int64()))])
         for part in chunks(batches, 1):
-            yield emit([(t, sorted(words(x))) for t, x in part], schema)
+            yield emit([(t, sorted({f for w in words(x) for f in features(w)})) for t, x in part], schema)
 
     texts = documents.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id").select("toxic", "text").mapInArrow(cut, "toxic int, words array<string>")  # 2 * most rows
+    return texts.join(F.broadcast(chosen), "doc_id").select("toxic", "text").mapInArrow(cut, "toxic int, codes array<long>")  # 2 * most rows
 
 
 def fit(documents: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     totals = {r["toxic"]: r["n"] for r in labels.where("toxic in (0, 1)").where(~held_out()).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    rows = sample(documents, labels, most).collect()
-    y = np.array([r["toxic"] for r in rows], float)
-    if len(set(y.tolist())) < 2:
-        share = (y.mean() if len(y) else 0.0) * 0.998 + 0.001
+    rows = Scratch(documents.sparkSession, "toxicity").keep(sample(documents, labels, most), "sample")
+    size = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    n1, n0 = size.get(1, 0), size.get(0, 0)
+    if not n1 or not n0:
+        share = (n1 / (n1 + n0) if n1 + n0 else 0.0) * 0.998 + 0.001
         return Model({}, np.zeros(0), float(np.log(share / (1 - share))))
-    # Features by code; those whose presence tells the classes apart most are kept.
-    code: dict[str, int] = {}
-    at, of = [], []
-    for i, r in enumerate(rows):
-        held = {code.setdefault(f, len(code)) for w in r["words"] for f in features(w)}
-        of.append(np.fromiter(held, np.int32, len(held)))
-        at.append(np.full(len(held), i, np.int32))
-    of, at = np.concatenate(of), np.concatenate(at)
-    n1, n0 = y.sum(), len(y) - y.sum()
-    seen1 = np.bincount(of, weights=y[at], minlength=len(code))
-    seen0 = np.bincount(of, minlength=len(code)) - seen1
-    p, q = (seen1 + 0.5) / (n1 + 1), (seen0 + 0.5) / (n0 + 1)
-    spread = np.sqrt((p * (1 - p)) / n1 + (q * (1 - q)) / n0)
-    worth = np.where(seen1 + seen0 >= 3, np.abs(p - q) / spread, 0.0)
-    best = np.argsort(-worth, kind="stable")[:FEATURES]
-    best = best[worth[best] > 2.5]
-    place = np.full(len(code), -1, np.int64)
-    place[best] = np.arange(len(best))
-    names = np.array(list(code), object)[best]
-    index = {f: i for i, f in enumerate(names.tolist())}
-    some = place[of] >= 0
-    rows_, cols = at[some], place[of[some]]
+    # Features whose presence tells the classes apart most are kept; their counts are added up on the executors.
+    seen = rows.select("toxic", F.explode("codes").alias("f")).groupBy("f").agg(F.sum("toxic").alias("seen1"), F.count("*").alias("seen")).where("seen >= 3")
+    p, q = (F.col("seen1") + 0.5) / (n1 + 1), (F.col("seen") - F.col("seen1") + 0.5) / (n0 + 1)
+    worth = F.abs(p - q) / F.sqrt(p * (1 - p) / n1 + q * (1 - q) / n0)
+    best = seen.select("f", worth.alias("worth")).where("worth > 2.5").orderBy(F.desc("worth"), "f").limit(FEATURES).collect()
+    index = {r["f"]: i for i, r in enumerate(best)}
+    terms = {code(t): t for some in IDENTITY.values() for t in some}
+    present = {terms[r["f"]] for r in rows.select(F.explode(F.array_intersect("codes", F.lit(list(terms)))).alias("f")).distinct().collect()}
+    held = documents.sparkSession.sparkContext.broadcast(index)  # FEATURES entries
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("toxic", pa.int32()), ("at", pa.list_(pa.int32()))])
+        known = held.value
+        for part in chunks(batches, 1):
+            yield emit([(t, [known[c] for c in codes if c in known]) for t, codes in part], schema)
+
+    small = rows.mapInArrow(place, "toxic int, at array<int>").collect()  # 2 * most rows of chosen features
+    small.sort(key=lambda r: (r["toxic"], r["at"]))  # the sums below do not depend on which task came first
+    y = np.array([r["toxic"] for r in small], float)
+    rows_ = np.repeat(np.arange(len(small)), [len(r["at"]) for r in small])
+    cols = np.array([c for r in small for c in r["at"]], np.int64)
     # A swap changes a linear score by the difference of the two terms' weights, wherever the term stands.
-    swaps = _swaps(rows, index, len(best))
+    swaps = _swaps(present, index, len(best))
     share = totals.get(1, n1) / max(1, totals.get(1, n1) + totals.get(0, n0))
     weight = np.where(y == 1, share / n1, (1 - share) / n0) * len(y)
     w, b = _descend(rows_, cols, y, weight, swaps, len(best))
     return Model(index, w, b)
 
 
-def _swaps(rows, index: dict[str, int], width: int) -> np.ndarray:
+def _swaps(present: set[str], index: dict[int, int], width: int) -> np.ndarray:
     """One row of feature differences for every (term in a labelled text, other term of its language)."""
-    present = {w for r in rows for w in r["words"]}
     out = []
     for terms in IDENTITY.values():
         for a in terms:
             for b in terms if a in present else ():
                 d = np.zeros(width)
-                for f in features(a):
-                    if f in index:
-                        d[index[f]] -= 1
-                for f in features(b):
-                    if f in index:
-                        d[index[f]] += 1
+                for sign, term in ((-1, a), (1, b)):
+                    for f in features(term):
+                        if f in index:
+                            d[index[f]] += sign
                 if d.any():
                     out.append(d)
     return np.array(out).reshape(-1, width)
