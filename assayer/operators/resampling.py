@@ -112,14 +112,16 @@ def permutation_kruskal(rows: DataFrame, unit: str, group: str, value: str, repl
     same bounded number of replicates, whose windows run side by side.
     """
     r = rows.where(F.col(value).isNotNull()).select(unit, group, mid_rank([], value).alias("r"))
-    seen = kruskal(r, [], group, "r").select(F.col("h").alias("h_seen"))
+    seen = kruskal(r, [], group, "r").select(F.lit(0).cast("long").alias("b"), "h")
     b = r.withColumn("b", F.explode(_numbers(1, replicates + 1)))
     key = uniform(F.col("b"), F.col(unit))
     left = b.select("b", "r", F.row_number().over(Window.partitionBy("b").orderBy(key, unit)).alias("i"))
     right = b.select("b", group, F.row_number().over(Window.partitionBy("b").orderBy(unit)).alias("i"))
-    h = kruskal(left.join(right, ["b", "i"]), ["b"], group, "r")
-    ge = F.count(F.when(F.col("h") >= F.col("h_seen") - 1e-9, 1))
-    return h.crossJoin(F.broadcast(seen)).agg(F.first("h_seen").alias("h"), ge.alias("ge"), F.count("*").alias("n")).select("h", "ge", ((F.col("ge") + 1) / (F.col("n") + 1)).alias("p"))  # one row
+    h = seen.union(kruskal(left.join(right, ["b", "i"]), ["b"], group, "r").select("b", "h"))
+    # One value a replicate, so the list is as long as there are replicates.
+    both = h.agg(F.max(F.when(F.col("b") == 0, F.col("h"))).alias("h"), F.collect_list(F.when(F.col("b") > 0, F.col("h"))).alias("all"))
+    ge = F.size(F.filter("all", lambda x: x >= F.col("h") - 1e-9)).cast("long")
+    return both.select("h", ge.alias("ge"), ((ge + 1) / (F.size("all") + 1)).alias("p"))
 
 
 _DELTAS = f"WITH {SLICES}, u AS (SELECT vendor, series, sum(score_a - score_b) AS t, count(*) AS c FROM s GROUP BY ALL), b AS (SELECT vendor, r.b, {M_SQL.format(u='series', b='r.b')} AS m, t, c FROM u, (SELECT unnest(range({REPLICATES})) AS b) r), m AS (SELECT vendor, b, sum(m * t) / sum(m * c) AS mean FROM b WHERE m > 0 GROUP BY ALL), ci AS (SELECT vendor, quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high FROM m GROUP BY vendor)"
@@ -199,13 +201,13 @@ def friedman_exact(ranks: DataFrame, subject: str, condition: str, rank: str, n_
 
     spark, f = ranks.sparkSession, factorial(k)
     q = lambda s2: 12 / (n_subjects * k * (k + 1)) * s2 - 3 * n_subjects * (k + 1)
-    seen = ranks.groupBy(condition).agg(F.sum(rank).alias("s")).agg(q(F.sum(F.col("s") * F.col("s"))).alias("q"))
+    seen = ranks.groupBy(condition).agg(F.sum(rank).alias("s")).agg(q(F.sum(F.col("s") * F.col("s"))).alias("q")).first()["q"]  # a scalar
     perms = F.lit([list(p) for p in permutations(range(1, k + 1))])
     ids = spark.range(f**n_subjects)
     digit = lambda i: F.get(perms, (F.floor(F.col("id") / f**i) % f).cast("int"))
     sums = [sum((F.get(digit(i), c) for i in range(1, n_subjects)), F.get(digit(0), c)) for c in range(k)]
     all_ = ids.select(q(sum((s * s for s in sums[1:]), sums[0] * sums[0])).alias("x"))
-    return all_.crossJoin(F.broadcast(seen)).agg(F.first("q").alias("q"), F.avg((F.col("x") >= F.col("q") - 1e-9).cast("int")).alias("p"))  # one row
+    return all_.agg(F.lit(seen).alias("q"), F.avg((F.col("x") >= seen - 1e-9).cast("int")).alias("p"))
 
 
 @query(f"WITH {SLICES}, m AS (SELECT vendor, dose, avg(cnr) AS v FROM s WHERE vendor IN ('NATION_1', 'NATION_2', 'NATION_3', 'NATION_4') GROUP BY ALL), r AS (SELECT vendor, dose, rank() OVER (PARTITION BY vendor ORDER BY v) AS r FROM m), t AS (SELECT dose, sum(r) AS s FROM r GROUP BY dose), q AS (SELECT 12.0::DOUBLE / 48 * sum(s * s) - 48 AS q FROM t), p AS (SELECT * FROM (VALUES (0, [1, 2, 3]), (1, [1, 3, 2]), (2, [2, 1, 3]), (3, [2, 3, 1]), (4, [3, 1, 2]), (5, [3, 2, 1])) x(d, p)), a AS (SELECT a.p[1] + b.p[1] + c.p[1] + d.p[1] AS x, a.p[2] + b.p[2] + c.p[2] + d.p[2] AS y, a.p[3] + b.p[3] + c.p[3] + d.p[3] AS z FROM p a, p b, p c, p d) SELECT round(q, 6) AS q, round(avg((12.0::DOUBLE / 48 * (x * x + y * y + z * z) - 48 >= q - 1e-9)::INT), 6) AS p FROM a, q GROUP BY q")
