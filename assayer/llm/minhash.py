@@ -3,9 +3,9 @@
 Plan. One pass over the texts writes, per row, a digest of its word sequence, the number of distinct shingles, a bit
 sketch of the signature and the band hashes. Rows of one word sequence collapse to their least doc_id. A bucket (one
 band's equal hashes) of n sequences yields n - 1 links to its least member, never all pairs; links that the sizes and the
-sketch allow are confirmed on the full sets. After star components, a bucket that still holds several components compares
-just the members outside its pivot's component with the others, so no link between different texts is lost, and a
-bucket of copies costs nothing more. Rows and bands follow from the threshold: a pair at it shares no bucket with
+sketch allow are confirmed on the full sets. After star components, buckets whose members still lie in several components
+are searched for links across them in blocks (see ``_across``), so no link between different texts is lost, no pair
+leaves a task unless it is a link, and a bucket of copies costs nothing more. Rows and bands follow from the threshold: a pair at it shares no bucket with
 a probability of at most MISS.
 
 Defined results: null or wordless texts have 0 shingles and are linked with nothing; fewer words than a shingle takes make
@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ from assayer.plans.store import Scratch
 WORDS, PERCENT = 5, 80
 MISS = 1e-7
 SKETCH = 192  # minima that give one bit each
+#: Rows of a bucket, and texts of a family, that one task holds at a time.
+BUCKET_BLOCK, FAMILY_BLOCK = 2048, 1000
 _SIGNED = "doc_id long, n long, key binary, s0 long, s1 long, s2 long, bands array<long>"
 _HASHES = WordHash()
 
@@ -153,26 +156,19 @@ def near_duplicates(documents: DataFrame, n_words: int = WORDS, percent: int = P
     members = scratch.keep(nodes.join(buckets, "bucket"), "members")
     scratch.drop("nodes")
 
+    # A pivot and its members.
     star = members.where(F.col("m.id") != F.col("pivot.id")).where(_alike(percent, "m", "pivot"))
     star = scratch.keep(star.select(F.col("pivot.id").alias("src"), F.col("m.id").alias("dst")).distinct(), "star")
     texts = _texts(documents, members.select(F.col("m.id").alias("id")).distinct(), scratch)
     edges = scratch.keep(confirmed(star, texts, n_words, percent), "edges")
     found = components(edges, scratch, "first")
 
-    # Buckets that hold several components: members outside the pivot's component meet the others.
     labels = scratch.keep(found.select(F.col("node").alias("id"), "component"), "labels")
-    placed = members.select("bucket", "m", F.col("pivot.id").alias("pivot"), F.col("m.id").alias("id")).join(labels, "id", "left")
-    placed = placed.withColumn("component", F.coalesce("component", "id")).join(labels.select(F.col("id").alias("pivot"), F.col("component").alias("home")), "pivot", "left")
-    placed = scratch.keep(placed.select("bucket", "m", "component", (F.col("component") != F.coalesce("home", "pivot")).alias("away")), "placed")
-    away = placed.where("away").select("bucket", F.col("m").alias("o"), F.col("component").alias("oc"))
-    open_ = scratch.keep(away.select("bucket").distinct(), "open")
-    rest = placed.join(open_, "bucket", "left_semi").join(away, "bucket")
-    rest = rest.where((F.col("component") != F.col("oc")) & _alike(percent, "m", "o"))
-    pairs = rest.select(F.least("m.id", "o.id").alias("src"), F.greatest("m.id", "o.id").alias("dst")).distinct().join(star, ["src", "dst"], "left_anti")
-    more = scratch.keep(confirmed(scratch.keep(pairs, "pairs"), texts, n_words, percent), "more")
-    if not more.isEmpty():
-        found = components(edges.union(more), scratch, "second")
-    found = scratch.keep(found, "components")
+    more = scratch.keep(_across(members, labels, texts, n_words, percent, scratch), "more")
+    found = labels.withColumnRenamed("id", "node")
+    if not more.isEmpty():  # the components found so far are stars already
+        joined = components(labels.select(F.col("id").alias("src"), F.col("component").alias("dst")).union(more), scratch, "second")
+        found = scratch.keep(joined, "components")
 
     out = rows_.select("doc_id", "n", "key").join(firsts, "key", "left").join(found.withColumnRenamed("node", "first"), "first", "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "first"))
@@ -180,6 +176,111 @@ def near_duplicates(documents: DataFrame, n_words: int = WORDS, percent: int = P
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def _across(members: DataFrame, labels: DataFrame, texts: DataFrame, n_words: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Links (src, dst) between members of one bucket that lie in different components; none is missed.
+
+    The pivot has met every member already, so a bucket matters if its other members lie in two components or more.
+    Their sketches are compared in blocks inside tasks; what comes out is not the pairs but the families they make up. In
+    a family, the texts outside its largest component are the queries: each meets blocks of the family's sets through an
+    inverted index, and one link per component found comes out.
+    """
+    others = members.where(F.col("m.id") != F.col("pivot.id")).select("bucket", "m.*").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    others = scratch.keep(others, "others")
+    open_ = others.groupBy("bucket").agg(F.count("*").alias("many"), (F.min("component") != F.max("component")).alias("open")).where("open")
+    open_ = scratch.keep(open_.select("bucket", F.ceil(F.col("many") / BUCKET_BLOCK).cast("int").alias("blocks")), "open")
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    dealt = others.join(open_, "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "component", "n", "s0", "s1", "s2")
+    dealt = dealt.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "id")
+    differ = most_bits(percent)
+
+    def kin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
+        for _, group in groupby(rows(batches), key=lambda r: r[:3]):
+            if out := _kin(list(group), percent, differ):
+                yield emit(out, schema)
+
+    kinship = scratch.keep(dealt.mapInArrow(kin, "src long, dst long").distinct(), "kinship")
+    families = scratch.keep(components(kinship, scratch, "kin"), "families").select(F.col("node").alias("id"), F.col("component").alias("family"))
+    placed = families.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    sizes = placed.groupBy("family", "component").agg(F.count("*").alias("many"))
+    largest = sizes.groupBy("family").agg(F.max_by("component", F.struct("many", "component")).alias("home"), F.ceil(F.sum("many") / FAMILY_BLOCK).cast("int").alias("blocks"))
+    placed = placed.join(scratch.keep(largest, "largest"), "family").join(texts, "id")
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    held = placed.select("family", block.alias("block"), F.lit(0).alias("query"), "id", "component", "text")
+    asked = placed.where(F.col("component") != F.col("home"))
+    asked = asked.select("family", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("query"), "id", "component", "text")
+    met = held.union(asked).repartition("family", "block").sortWithinPartitions("family", "block", "query", "id")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
+        for _, group in groupby(rows(batches), key=lambda r: r[:2]):
+            index, sets = None, []
+            for _, _, query, id_, component, text in group:
+                x = shingles(space_words(text), n_words)
+                if not query:
+                    sets.append((id_, component, x))
+                    continue
+                if sets and index is None:
+                    index = _Index(sets)
+                if index is not None and (out := index.links(id_, component, x, percent)):
+                    yield emit(out, schema)
+
+    return met.mapInArrow(meet, "src long, dst long")
+
+
+def _kin(group: list[tuple], percent: int, differ: int) -> list[tuple[int, int]]:
+    """(member, family) of the rows of one block pair that resemble one of another component, by size and sketch."""
+    low, high = group[0][1:3]
+    ids, comps, n = (np.array([r[i] for r in group], np.int64) for i in (4, 5, 6))
+    sketch = np.array([r[7:10] for r in group], np.int64).view(np.uint64)
+    own = np.array([r[3] for r in group])
+    left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
+    parent = list(range(len(group)))
+
+    def find(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for at in range(0, len(left), 256):
+        a = left[at : at + 256]
+        bits = np.bitwise_count(sketch[a][:, None, :] ^ sketch[right][None, :, :]).sum(axis=2, dtype=np.int32)
+        sizes = 100 * np.minimum(n[a][:, None], n[right][None, :]) >= percent * np.maximum(n[a][:, None], n[right][None, :])
+        hit = (bits <= differ) & sizes & (comps[a][:, None] != comps[right][None, :])
+        for i in np.flatnonzero(hit.any(axis=1)).tolist():
+            root = find(int(a[i]))
+            for j in right[np.flatnonzero(hit[i])].tolist():
+                if (other := find(j)) != root:
+                    parent[other] = root
+    roots: dict[int, list[int]] = {}
+    for i in range(len(group)):
+        roots.setdefault(find(i), []).append(i)
+    return [(int(ids[i]), int(ids[same].min())) for same in roots.values() if len(same) > 1 for i in same]
+
+
+class _Index:
+    """Inverted index over the shingle sets of a block."""
+
+    def __init__(self, sets: list[tuple[int, int, np.ndarray]]):
+        self.ids, self.components = (np.array([s[i] for s in sets], np.int64) for i in (0, 1))
+        self.sizes = np.array([len(s[2]) for s in sets])
+        every, owner = np.concatenate([s[2] for s in sets]), np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(every, kind="stable")
+        self.every, self.owner = every[order], owner[order]
+
+    def links(self, id_: int, component: int, x: np.ndarray, percent: int) -> list[tuple[int, int]]:
+        """One link to every other component that holds a set similar to x."""
+        first, last = np.searchsorted(self.every, x, "left"), np.searchsorted(self.every, x, "right")
+        many = last - first
+        at = np.repeat(first - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
+        both = np.bincount(self.owner[at], minlength=len(self.ids))
+        hit = np.flatnonzero((100 * both >= percent * (len(x) + self.sizes - both)) & (self.components != component))
+        _, one = np.unique(self.components[hit], return_index=True)
+        return [(id_, int(self.ids[i])) for i in hit[one]]
+
+
 def _texts(documents: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
     """id, text of the documents that any bucket holds with others."""
     wanted = scratch.keep(ids, "wanted")
