@@ -234,7 +234,8 @@ def repeats(documents: DataFrame, length: int = LENGTH, group: int = GROUP) -> D
     runs = scratch.keep(occurrences(documents, length), "runs")
     several = runs.groupBy("h").agg(F.count("*").alias("n"), (F.min("d") != F.max("d")).alias("open")).where("n > 1").select("h", "open")
     several = scratch.keep(several, "several")
-    held = runs.join(several, "h").groupBy(*runs.columns, "open").agg(F.count("*").alias("times"))
+    # Dealt anew by the whole key: a common passage's anchor would else keep its rows in one task.
+    held = runs.join(several, "h").repartition("key", "h", "d", "a").groupBy(*runs.columns, "open").agg(F.count("*").alias("times"))
     held = scratch.keep(held, "held")
     scratch.drop("runs")
     slices = held.groupBy("h", "d").agg(F.sum("times").alias("times"), F.min(F.struct("key", "a", "p", "q")).alias("at"), F.max("open").alias("open"))
