@@ -166,7 +166,8 @@ def token_counts(pages: DataFrame, most: int = SAMPLE) -> DataFrame:
                     seen[value, inside] += 1
         yield emit([(t, i, n) for (t, i), n in seen.items()], pa.schema([("token", pa.string()), ("inside", pa.bool_()), ("n", pa.int64())]))
 
-    some = labelled.orderBy(F.xxhash64("page_id"), "page_id").limit(most).select("html")
+    ids = labelled.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(most)
+    some = labelled.join(F.broadcast(ids), "page_id", "left_semi").select("html")  # ``most`` ids
     return some.mapInArrow(count, "token string, inside boolean, n long").groupBy("token", "inside").agg(F.sum("n").alias("n"))
 
 
