@@ -27,9 +27,11 @@ from assayer.plans.store import Scratch
 
 END_ID = 0
 SCALE = 20  # frequencies add up to 2**SCALE
-LANES = 1024
+LANES = 2048
 CHECK = 64  # steps between checkpoints
-BLOCK_IDS = 131_072
+BLOCK_IDS = 262_144
+#: before: ids of the part ahead of the block. ends: where each document ends in the block.
+BLOCKS = "part int, block int, before long, n_ids long, docs array<long>, ends array<long>, coded binary"
 _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(32)
 _MAGIC = b"RANS"
@@ -138,10 +140,7 @@ def _counts(tokens: DataFrame, vocabulary: int) -> np.ndarray:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            for ids in batch.column("ids").to_pylist():
-                total += np.bincount(np.frombuffer(ids, kind), minlength=vocabulary) if len(ids) > vocabulary else 0
-                if len(ids) <= vocabulary:
-                    np.add.at(total, np.frombuffer(ids, kind), 1)
+            total += np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), kind), minlength=vocabulary)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["id", "n"])
 
@@ -165,13 +164,13 @@ def write(documents: DataFrame, tokenizer: str, folder: str, end_id: int = END_I
     shared = spark.sparkContext.broadcast(freq)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("n_ids", pa.int64()), ("docs", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("coded", pa.binary())])
-        coder, block, docs, held, n = Coder(shared.value), 0, [], [], 0
+        schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("n_ids", pa.int64()), ("docs", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("coded", pa.binary())])
+        coder, block, before, docs, held, n = Coder(shared.value), 0, 0, [], [], 0
         part = None
 
         def out() -> pa.RecordBatch:
             ends = np.cumsum([len(x) for x in held])
-            return emit([(part, block, n, docs, ends.tolist(), coder.encode(np.concatenate(held)))], schema)
+            return emit([(part, block, before, n, docs, ends.tolist(), coder.encode(np.concatenate(held)))], schema)
 
         for part, doc_id, ids in rows(batches):
             docs.append(doc_id)
@@ -179,41 +178,37 @@ def write(documents: DataFrame, tokenizer: str, folder: str, end_id: int = END_I
             n += len(held[-1])
             if n >= BLOCK_IDS:
                 yield out()
-                block, docs, held, n = block + 1, [], [], 0
+                block, before, docs, held, n = block + 1, before + n, [], [], 0
         if docs:
             yield out()
 
     ordered = tokens.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.crc32("ids"))
     ordered = ordered.select(F.spark_partition_id().alias("part"), "doc_id", "ids")
-    blocks = ordered.mapInArrow(code, "part int, block int, n_ids long, docs array<long>, ends array<long>, coded binary")
+    blocks = ordered.mapInArrow(code, BLOCKS)
     blocks.write.option("compression", "none").parquet(f"{folder}/blocks")
     scratch.drop("tokens")
 
 
-BLOCKS = "part int, block int, n_ids long, docs array<long>, ends array<long>, coded binary"
-
-
-def read(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it) and ids (little-endian unsigned 32 bits) from the files."""
+def read(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and ids (little-endian unsigned 32 bits) from the files."""
     freq = np.frombuffer(bytes(spark.read.parquet(f"{folder}/table").first()["frequencies"]), "<u4")
     shared = spark.sparkContext.broadcast(freq)
     blocks = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks")
-    sizes = blocks.groupBy("part", "block").agg(F.sum("n_ids").alias("n"))
-    inside = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    across = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a written partition
-    totals = sizes.groupBy("part").agg(F.sum("n").alias("n")).select("part", F.coalesce(F.sum("n").over(across), F.lit(0)).alias("before"))
-    bases = sizes.select("part", "block", F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("base")).join(totals, "part")
-    located = blocks.join(bases.select("part", "block", (F.col("before") + F.col("base")).alias("base")), ["part", "block"])
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
+    located = blocks.join(F.broadcast(parts), "part")  # one row a written partition, however much it holds
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), *[("ids", pa.binary())] * with_ids])
         coder = Coder(shared.value)
         for base, docs, ends, coded in rows(batches):
-            ids, start = coder.decode(coded).astype("<u4"), 0
+            ids, start = coder.decode(coded).astype("<u4").tobytes(), 0
             out = []
             for doc_id, end in zip(docs, ends, strict=True):
-                out.append((doc_id, base + start, ids[start:end].tobytes()))
+                some = ids[4 * start : 4 * end]
+                out.append((doc_id, base + start, end - start, zlib.crc32(some), *[some] * with_ids))
                 start = end
             yield emit(out, schema)
 
-    return located.select("base", "docs", "ends", "coded").mapInArrow(decode, "doc_id long, start long, ids binary")
+    named = located.select((F.col("base") + F.col("before")).alias("base"), "docs", "ends", "coded")
+    return named.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
