@@ -104,6 +104,7 @@ def signed(documents: DataFrame, n_words: int, percent: int) -> DataFrame:
                 bits, bands = signer.sign(x)
                 out.append((doc_id, len(x), hashlib.blake2b(b" ".join(words), digest_size=16).digest(), *bits, bands))
             yield emit(out, schema)
+        _HASHES.clear()  # the worker lives on, and may serve other operators
 
     source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return source.mapInArrow(sign, _SIGNED)

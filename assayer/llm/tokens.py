@@ -14,9 +14,8 @@ from itertools import chain
 import numpy as np
 import regex
 
-#: Stretches and pieces whose ids a worker keeps.
-KEPT_STRETCHES = 700_000
-KEPT_PIECES = 700_000
+#: Stretches, and as many pieces, whose ids a worker keeps.
+KEPT = 700_000
 #: The pre-tokenizers' published patterns, and characters that normalisation leaves alone but for case.
 _PIECES = {
     "words": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
@@ -27,7 +26,7 @@ _PLAIN = regex.compile(r" ?[\n\x21-\x7E\xA1-\xAC\xAE-\xFF]*")
 
 
 class Encoder:
-    def __init__(self, path: str, most: int = KEPT_STRETCHES):
+    def __init__(self, path: str, most: int = KEPT):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -56,7 +55,7 @@ class Encoder:
         parts = [self.stretches(t) for t in texts]
         if len(self.known) > self.most:
             self.known.clear()
-        if len(self.pieces) > KEPT_PIECES:
+        if len(self.pieces) > self.most:
             self.pieces.clear()
         if new := set(chain.from_iterable(parts)).difference(self.known):
             self.learn(list(new))
@@ -107,11 +106,11 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, most: int = KEPT) -> Encoder:
     """One per tokenizer file and worker process; Spark reuses its workers."""
-    if path not in _ENCODERS:
+    if path not in _ENCODERS or _ENCODERS[path].most != most:
         _ENCODERS.clear()
-        _ENCODERS[path] = Encoder(path)
+        _ENCODERS[path] = Encoder(path, most)
     return _ENCODERS[path]
 
 
