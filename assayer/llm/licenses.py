@@ -3,8 +3,9 @@
 DataFrame functions and Spark's own feature and regression classes only. A paragraph is a line. Word n-grams (one and two
 words) of the training texts feed a sparse multinomial logistic regression over licence families and ``none``. A
 paragraph without a feature of non-zero weight scores as the intercepts say, which is ``none``, and is skipped exactly. The
-probability that a paragraph must reach to count as a licence is calibrated on paragraphs of the corpus (at most
-SAMPLE documents, by a hash of doc_id); one that reaches it but whose family's templates don't confirm it is ``unknown``.
+probability that a paragraph must reach to count as a licence is calibrated on all paragraphs of the corpus but those that
+hold a notice's own words; one that reaches it but whose family's templates don't confirm it is ``unknown``. Only the fit
+itself takes a sample of rows of ``none`` (from at most SAMPLE documents, by a hash of doc_id).
 
 Defined results: null or empty text has no paragraphs; repeated rows of one doc_id and text come out as one row; a
 null doc_id is a value like others; an empty table gives an empty result; extra columns are not read.
@@ -22,6 +23,10 @@ from pyspark.sql import functions as F
 
 SAMPLE = 300
 CONFIRM = 0.5
+#: Share of paragraphs without a notice that stay at or below the least probability, and the steps it is counted in.
+BELOW, STEPS = 0.999, 100_000
+#: Word triples that a part of a notice has at least; shorter ones are held against as many.
+PART = 5
 #: Public licence notices by family.
 TEMPLATES = {
     "apache-2.0": [
@@ -119,13 +124,59 @@ def paragraphs(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(_lines()).alias("line"))
 
 
+def _holds_notice(templates: list[tuple[str, list[str]]], w: Column, triples: Column) -> Column:
+    """Whether a paragraph of these words and triples holds half of a template, is half made of one, or is a phrase of one."""
+    least = F.greatest(F.size(F.array_distinct(triples)), F.lit(PART))
+    shares = [F.size(F.array_intersect(F.lit(t), triples)) / F.least(F.lit(len(set(t))), least) >= CONFIRM for _, t in templates]
+    whole = F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
+    phrase = [F.contains(F.lit(f" {said} "), whole) for said, _ in templates]
+    return F.exists(F.array(*shares, *phrase), lambda x: x)
+
+
+def _notices(spark: SparkSession) -> list[tuple[str, list[str]]]:
+    """Each notice's words in one string, and its word triples; a few dozen rows."""
+    w = words(F.col("t"))
+    rows = spark.createDataFrame([(t,) for some in TEMPLATES.values() for t in some], "t string")
+    return [(r["said"], r["triples"]) for r in rows.select(F.array_join(w, " ").alias("said"), _grams(w, 3).alias("triples")).collect()]
+
+
+def _scored(documents: DataFrame, model: Model) -> DataFrame:
+    """doc_id, text_hash, line, words, p: paragraphs that hold a key, with the probabilities of ``none`` and the families."""
+    held = paragraphs(documents).withColumn("words", words(F.col("line"))).where(F.arrays_overlap("words", F.lit(model.keys())))
+    counts = CountVectorizerModel.from_vocabulary(model.vocabulary, "grams", "features").setBinary(True)
+    scored = model.regression.transform(counts.transform(_with_grams(held)))
+    return scored.select("doc_id", "text_hash", "line", "words", vector_to_array("probability").alias("p"))
+
+
+def calibrated(documents: DataFrame, model: Model) -> float:
+    """The least probability, over every paragraph of ``documents`` without a notice.
+
+    The others count by step of their probability, STEPS at most, before anything is shuffled. Below a half no step is needed,
+    and paragraphs without a key are below it, so those are only counted.
+    """
+    total = documents.agg(F.sum(F.greatest(F.size(_lines()), F.lit(0)).cast("long")).alias("n")).first()["n"] or 0
+    high = _scored(documents, model).withColumn("probability", 1 - F.get("p", 0)).where("probability >= 0.5")
+    high = NGram(n=3, inputCol="words", outputCol="threes").transform(high)
+    notice = _holds_notice(_notices(documents.sparkSession), F.col("words"), F.col("threes"))
+    step = F.when(~notice, F.ceil(F.col("probability") * STEPS)).alias("step")
+    seen = {r["step"]: r["n"] for r in high.select(step).groupBy("step").agg(F.count("*").alias("n")).collect()}  # STEPS / 2 rows at most
+    total -= seen.pop(None, 0)
+    above = 0
+    for k in sorted(seen, reverse=True):
+        above += seen[k]
+        if above > (1 - BELOW) * total:
+            return max(0.5, k / STEPS)
+    return 0.5
+
+
 def fit(documents: DataFrame, sample: int = SAMPLE) -> Model:
     spark = documents.sparkSession
     known = _with_grams(_training(spark).select("family", words(F.col("text")).alias("words"))).select("family", "grams")
     ids = documents.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     some = documents.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "text")  # ``sample`` ids
-    line = paragraphs(some).where("not line rlike '(?i)licen[cs]|copyright|rights reserved|permission|public domain'").select("line")
-    corpus = line.orderBy(F.xxhash64("line")).limit(10 * sample).select(words(F.col("line")).alias("words"))
+    line = paragraphs(some).select("line", words(F.col("line")).alias("words"))
+    line = NGram(n=3, inputCol="words", outputCol="threes").transform(line).where(~_holds_notice(_notices(spark), F.col("words"), F.col("threes")))
+    corpus = line.orderBy(F.xxhash64("line")).limit(10 * sample).select("words")
     corpus = _with_grams(corpus).select(F.lit("none").alias("family"), "grams")
     vocabulary = sorted({g for r in known.collect() for g in r["grams"] if not set(g.split(" ")) <= set(_STOP)})  # of the fixed training texts
     families = ["none", *TEMPLATES]
@@ -134,11 +185,11 @@ def fit(documents: DataFrame, sample: int = SAMPLE) -> Model:
     ready = counts.transform(rows).select("family", "label", "features").cache()
     try:
         regression = LogisticRegression(family="multinomial", regParam=2e-3, elasticNetParam=0.5, maxIter=60, standardization=False).fit(ready)
-        none = F.get(vector_to_array("probability"), 0)
-        high = regression.transform(ready.where("family = 'none'")).agg(F.percentile(1 - none, F.lit(0.999)).alias("p")).first()["p"]
     finally:
         ready.unpersist()
-    return Model(vocabulary, families, regression, max(0.5, high or 0.0))
+    model = Model(vocabulary, families, regression, 0.5)
+    model.least = calibrated(documents, model)
+    return model
 
 
 def _similarity(spark: SparkSession) -> DataFrame:
@@ -151,11 +202,7 @@ def _similarity(spark: SparkSession) -> DataFrame:
 def classified(documents: DataFrame, model: Model) -> DataFrame:
     """Every paragraph that counts as a licence: doc_id, text_hash, line, family, probability, similarity, confirmed."""
     w = F.col("words")
-    held = paragraphs(documents).withColumn("words", words(F.col("line"))).where(F.arrays_overlap(w, F.lit(model.keys())))
-    counts = CountVectorizerModel.from_vocabulary(model.vocabulary, "grams", "features").setBinary(True)
-    scored = model.regression.transform(counts.transform(_with_grams(held)))
-    p = vector_to_array("probability")
-    scored = scored.select("doc_id", "text_hash", "line", "words", p.alias("p")).withColumn("probability", 1 - F.get("p", 0)).where(F.col("probability") >= model.least)
+    scored = _scored(documents, model).withColumn("probability", 1 - F.get("p", 0)).where(F.col("probability") >= model.least)
     best = F.array_max(F.slice("p", 2, len(model.families)))
     scored = scored.withColumn("family", F.get(F.lit(model.families), (F.array_position(F.slice("p", 2, len(model.families)), best)).cast("int")))
     joined = scored.join(F.broadcast(_similarity(documents.sparkSession)), "family")  # a dozen rows

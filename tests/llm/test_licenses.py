@@ -50,3 +50,22 @@ def test_odd_rows(spark, model):
     assert rows[9].n_paragraphs == 900
     assert licenses.scan(documents(spark, []), model).count() == 0
     assert licenses.fit(documents(spark, [])).least >= 0.5
+
+
+def test_notices_of_a_hot_source_do_not_set_the_threshold(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+    own = "Proprietary and confidential, unauthorized copying is prohibited"
+    docs = documents(spark, [(i, f"{PROSE}\n{' '.join(PROSE.split()[i % 9 :])}\n{bsd if i % 2 else own}") for i in range(400)])
+    model = licenses.fit(docs)
+    assert model.least < 0.6
+    rows = licenses.scan(docs, model).collect()
+    assert all((r.family, r.n_licenses) == ("bsd-3-clause" if r.doc_id % 2 else "proprietary", 1) for r in rows)
+
+
+def test_threshold_covers_every_paragraph(spark):
+    odd = "The mozilla public garden is licensed under the creative commons of the GNU and Apache people"
+    texts = [(i, PROSE) for i in range(300)] + [(1000 + i, odd) for i in range(30)]
+    model = licenses.fit(documents(spark, texts), sample=0)
+    (high,) = licenses._scored(documents(spark, [(1, odd)]), model).collect()
+    assert 1 - high.p[0] > 0.52
+    assert 0 <= model.least - (1 - high.p[0]) <= 1e-5
