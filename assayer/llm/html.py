@@ -1,7 +1,9 @@
 """Main text of web pages: the best-scoring contiguous region of words and tags.
 
 Words score positive and tags negative, with weights learned from labelled pages; one linear scan (best sum of a
-contiguous stretch) finds the content region, and inside it the elements that are never content are left out. Pages
+contiguous stretch) finds the content region, and inside it the elements that are never content are left out. An element
+that only its class, id, role or kind (a form, say) tells apart is content after all if no article stands outside of such elements and
+its own words outweigh the best region of the rest by far: then it wraps the page. Pages
 whose markup names its article label themselves, so the weights are log-ratios of how often a kind of token stands
 inside and outside of articles, over at most SAMPLE pages; with too few of them the default weights hold.
 
@@ -29,8 +31,10 @@ _BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
-_RAW = ("script", "style", "noscript", "template", "textarea", "svg", "iframe", "object", "math")
-_NEVER = frozenset("head title nav aside footer form button select dialog menu canvas video audio map".split())
+_RAW = ("script", "style", "noscript", "template", "textarea", "iframe", "object")
+_NEVER = frozenset("head title nav aside footer form button select dialog menu canvas video audio map annotation annotation-xml".split())
+#: Of those, the ones that may turn out to wrap the page, as may any element told apart by its attributes.
+_MAY_WRAP = frozenset("aside footer form dialog header".split())
 _NEVER_OUTSIDE = frozenset(["header"])
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _UNWANTED = frozenset(
@@ -41,6 +45,7 @@ _UNWANTED = frozenset(
 _UNWANTED_OUTSIDE = frozenset("header masthead topbar toolbar search".split())
 _TAG = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<![^>]*>|<\?[^>]*>"
+    r"|<(?P<svg>svg)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?:(?<=/)>|>(?:.*?</svg\s*>|.*\Z))"
     + "".join(rf"|<(?P<{x}>{x})\b[^>]*>(?:.*?</{x}\s*>|.*\Z)" for x in _RAW)
     + r"|<(?P<end>/?)(?P<name>[a-z][a-z0-9:-]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>",
     re.I | re.S,
@@ -50,53 +55,111 @@ _SPLIT = re.compile(r"[^a-z]+")
 
 WORD, LINKED, APART = 0, 1, 2  # kinds of words: plain, in a link, in an element that is never content
 DEFAULT_TAG = -0.4
+#: An element told apart wraps the page if its own words score more than so many times the best region of the rest, and so much besides.
+APART_TIMES, APART_COST = 4, 20
 DEFAULT = {"word": 1.0, "word in link": 0.1} | dict.fromkeys("article b blockquote br code em h1 h2 h3 h4 h5 h6 header i li main ol p pre section span strong ul".split(), -0.05)
 
 
-def tokens(page: str) -> Iterator[tuple[str, object, int, bool]]:
-    """(kind, value, apart depth, inside an article) in page order; kind is 'text', 'open' or 'close'."""
-    at, apart, article, inside = 0, [], 0, 0
+def _parse(page: str) -> tuple[list[tuple[str, object, int, bool]], list[tuple[int, bool]]]:
+    """(kind, value, innermost element told apart, inside an article) in page order, and of each such element its parent and whether it may wrap.
+
+    kind is 'text', 'open' or 'close'; elements told apart count from 1, 0 is none.
+    """
+    found, elements = [], [(0, True)]
+    at, article = 0, 0
+    apart: list[list] = []  # name, open tags of that name, article depth outside, number
+    named: dict[str, list[int]] = {}  # places in ``apart`` by name
+
+    def leave(n: int) -> None:
+        while len(apart) > n:
+            named[apart.pop()[0]].pop()
+
     for m in _TAG.finditer(page):
+        inner = apart[-1][3] if apart else 0
         if m.start() > at:
-            yield "text", page[at : m.start()], len(apart), article > 0
+            found.append(("text", page[at : m.start()], inner, article > 0))
         at = m.end()
         name = m["name"]
         if name is None:
             continue
         name, closing = name.lower(), bool(m["end"])
         if name in ("article", "main"):
-            apart.clear()
             article = max(0, article + (-1 if closing else 1))
-        elif apart:
-            if name == apart[-1][0]:
-                apart[-1][1] += -1 if closing else 1
-                if not apart[-1][1]:
-                    apart.pop()
-            elif name == "body":
-                apart.clear()
-        elif not closing and name not in _VOID and _never(name, m["rest"], article > 0):
-            apart.append([name, 1])
-        yield "close" if closing else "open", name, len(apart), article > 0
+            while closing and apart and apart[-1][2] > article:  # left open inside the article
+                leave(len(apart) - 1)
+        elif name == "body":
+            leave(0)
+        elif closing:
+            if places := named.get(name):
+                held = apart[places[-1]]
+                held[1] -= 1
+                if not held[1]:
+                    article = min(article, held[2])
+                    leave(places[-1])
+        elif name not in _VOID and (told := _apart(name, m["rest"], article > 0)):
+            elements.append((inner, told == "wrap" and elements[inner][1]))
+            named.setdefault(name, []).append(len(apart))
+            apart.append([name, 1, article, len(elements) - 1])
+        elif places := named.get(name):
+            apart[places[-1]][1] += 1
+        found.append(("close" if closing else "open", name, apart[-1][3] if apart else 0, article > 0))
     if at < len(page):
-        yield "text", page[at:], len(apart), article > 0
+        found.append(("text", page[at:], apart[-1][3] if apart else 0, article > 0))
+    return found, elements
 
 
-def _never(name: str, attributes: str, in_article: bool) -> bool:
+def _apart(name: str, attributes: str, in_article: bool) -> str:
+    """'never' for kinds that are no content, 'wrap' for what may be a wrapper in spite of its kind or names, else ''."""
     if name in _NEVER or (name in _NEVER_OUTSIDE and not in_article):
-        return True
+        return "wrap" if name in _MAY_WRAP else "never"
     if name in ("html", "body") or not attributes.strip():
-        return False
+        return ""
     for m in _NAMED.finditer(attributes):
         said = set(_SPLIT.split((m[1] or m[2] or m[3] or "").lower()))
         if said & _UNWANTED or (not in_article and said & _UNWANTED_OUTSIDE):
-            return True
-    return False
+            return "wrap"
+    return ""
+
+
+def _wrappers(found: list, elements: list, weights: dict[str, float]) -> set[int]:
+    """The element whose own words outweigh all else by far, with those around it; none where an article stands outside."""
+    if len(elements) == 1 or any(inside and not e for _, _, e, inside in found):
+        return set()
+    own, holds, link = [0.0] * len(elements), set(), False
+    for kind, value, e, inside in found:
+        if kind == "text":
+            own[e] += len(value.split()) * weights["word in link" if link else "word"]
+        elif value == "a":
+            link = kind == "open"
+        if inside:
+            holds.add(e)
+    able = [e for e in range(1, len(elements)) if elements[e][1]]
+    if not able:
+        return set()
+    scores = _scores([(k, v, e > 0, i) for k, v, e, i in found], weights)
+    start, end = best_region(scores)
+    rest = max(0.0, scores[start:end].sum())
+    best = max(able, key=lambda e: own[e] - (0 if e in holds else APART_COST))
+    if own[best] <= APART_TIMES * rest + (0 if best in holds else APART_COST):
+        return set()
+    lifted = set()
+    while best:
+        lifted.add(best)
+        best = elements[best][0]
+    return lifted
+
+
+def tokens(page: str, weights: dict[str, float] | None = None) -> list[tuple[str, object, bool, bool]]:
+    """(kind, value, apart, inside an article) in page order; kind is 'text', 'open' or 'close'."""
+    found, elements = _parse(page)
+    lifted = _wrappers(found, elements, weights or DEFAULT) | {0}
+    return [(kind, value, e not in lifted, inside) for kind, value, e, inside in found]
 
 
-def _scored(page: str, weights: dict[str, float]) -> tuple[list, np.ndarray]:
-    """Tokens with their scores: a stretch of text counts its words."""
-    kept, scores, link = [], [], 0
-    for kind, value, apart, inside in tokens(page):
+def _scores(kept: list, weights: dict[str, float]) -> np.ndarray:
+    """Scores of tokens: a stretch of text counts its words."""
+    scores, link = [], 0
+    for kind, value, apart, _ in kept:
         if kind == "text":
             n = len(value.split())
             w = -weights["word"] if apart else weights["word in link"] if link else weights["word"]
@@ -105,8 +168,7 @@ def _scored(page: str, weights: dict[str, float]) -> tuple[list, np.ndarray]:
             if value == "a":
                 link = int(kind == "open")
             scores.append(weights.get(value, DEFAULT_TAG))
-        kept.append((kind, value, apart, inside))
-    return kept, np.array(scores)
+    return np.array(scores)
 
 
 def best_region(scores: np.ndarray) -> tuple[int, int]:
@@ -123,7 +185,8 @@ def best_region(scores: np.ndarray) -> tuple[int, int]:
 def extract(page: str | None, weights: dict[str, float]) -> str:
     if not page:
         return ""
-    kept, scores = _scored(page, weights)
+    kept = tokens(page, weights)
+    scores = _scores(kept, weights)
     start, end = best_region(scores)
     if any(inside and not apart for _, _, apart, inside in kept[start:end]):  # the region grows to the bounds of its article
         while start and kept[start - 1][3]:

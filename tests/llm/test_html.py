@@ -69,3 +69,25 @@ def test_odd_rows(spark):
     got = html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars double")).collect()
     assert sorted(r.n_chars for r in got)[:2] == [0, 0] and len(got) == 3
     assert html.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+SOME = " ".join(f"more{i}" for i in range(30))
+WRAPPED = [
+    ('<p>one</p><svg class="i"/><p>two</p><p>three</p>', "one\n\ntwo\n\nthree"),
+    ("<p>one</p><svg class='i' /><p>two</p><svg><text>no</text></svg><p>three</p>", "one\n\ntwo\n\nthree"),
+    ("<p>one</p><svg viewBox='0 0'><text>no</text></svg><p>two</p>", "one\n\ntwo"),
+    (f"<article><p>{WORDS} <math><mi>x</mi><mo>=</mo><mn>2</mn></math> end</p><math/><p>{SOME}</p></article>", f"{WORDS} x=2 end\n\n{SOME}"),
+    (f"<body><div class='content has-sidebar'><p>{WORDS}</p><div class=sidebar>five words stand apart here</div><p>{SOME}</p></div></body>", f"{WORDS}\n\n{SOME}"),
+    (f"<body><nav>{SOME}</nav><form action=x><div><p>{WORDS}</p><p>{SOME}</p></div></form></body>", f"{WORDS}\n\n{SOME}"),
+    (f"<form><div class=has-menu><article><p>{WORDS}</p></article><div class=ad>{SOME}</div></div></form>", WORDS),
+    (f"<div><p>{WORDS}</p><p>{SOME}</p></div><div id=comments><article><p>{SOME} {WORDS}</p></article></div>", f"{WORDS}\n\n{SOME}"),
+    (f"<article><p>{WORDS}</p></article><div class=comments><article><p>{SOME}</p></article></div>", WORDS),
+    (f"<article><p>{WORDS}</p><aside>open<p>{SOME}</article><p>{SOME}</p>", WORDS),
+    (f"<nav>{WORDS} {WORDS}</nav>", ""),
+    ("<div class=cookie-banner>We use cookies</div>", ""),
+]
+
+
+@pytest.mark.parametrize(("page", "want"), WRAPPED)
+def test_wrappers_and_embedded_elements(page, want):
+    assert html.extract(page, html.DEFAULT) == want
