@@ -32,7 +32,7 @@ END_ID = 1
 RANK_BLOCK = 65_536
 
 
-def pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = True, kept: int = KEPT) -> DataFrame:
+def pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = True, kept: int = KEPT, added: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, if asked for, the ids (little-endian unsigned 32 bits)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -40,7 +40,7 @@ def pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_i
         end, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
         for part in chunks(batches, 1, 1 << 20):
             out = []
-            for (doc_id, _), ids in zip(part, encoder(tokenizer, kept).encode([t or "" for _, t in part]), strict=True):
+            for (doc_id, _), ids in zip(part, encoder(tokenizer, kept, added).encode([t or "" for _, t in part]), strict=True):
                 ids += end
                 for k, at in enumerate(range(0, len(ids), step)):
                     some = ids[at : at + step]
@@ -175,9 +175,9 @@ def assign(cut: DataFrame, capacity: int = CAPACITY, block: int = RANK_BLOCK) ->
     return ranked.join(runs, held).select(*cut.columns, sequence, F.col("at").alias("offset"))
 
 
-def pack(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = True, kept: int = KEPT) -> DataFrame:
+def pack(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = True, kept: int = KEPT, added: bool = False) -> DataFrame:
     """Every piece of every document with its place: doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset."""
-    written = Scratch(documents.sparkSession, "packing").keep(pieces(documents, tokenizer, capacity, end_id, with_ids, kept), "pieces")
+    written = Scratch(documents.sparkSession, "packing").keep(pieces(documents, tokenizer, capacity, end_id, with_ids, kept, added), "pieces")
     return assign(written, capacity)
 
 

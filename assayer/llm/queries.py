@@ -32,7 +32,7 @@ def op4_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack(table(spark, folder, "documents"), public_path("word_bpe_49k.json"), with_ids=False)
+    return packing.pack(table(spark, folder, "documents"), public_path("word_bpe_49k.json"), with_ids=False, added=True)
 
 
 def op6_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
@@ -46,7 +46,7 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 def op8_token_rans(spark: SparkSession, folder: str) -> DataFrame:
     files = Scratch(spark, "token-files").root
-    rans.write(table(spark, folder, "documents"), public_path("byte_bpe_50k.json"), files)
+    rans.write(table(spark, folder, "documents"), public_path("byte_bpe_50k.json"), files, added=True)
     return rans.read(spark, files, with_ids=False)
 
 

@@ -114,12 +114,12 @@ class Coder:
         return ids
 
 
-def tokenize(documents: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
+def tokenize(documents: DataFrame, tokenizer: str, end_id: int = END_ID, added: bool = False) -> DataFrame:
     """doc_id, ids: little-endian unsigned 16-bit ids where the vocabulary allows it, so that half as much is moved."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
-        known = encoder(tokenizer)
+        known = encoder(tokenizer, added=added)
         kind, end = _id_type(known.model.get_vocab_size()), np.array([end_id], "<u4").tobytes()
         for part in chunks(batches, 1):
             coded = known.encode([t or "" for _, t in part])
@@ -150,7 +150,7 @@ def _counts(tokens: DataFrame, vocabulary: int) -> np.ndarray:
     return out
 
 
-def write(documents: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID) -> None:
+def write(documents: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID, added: bool = False) -> None:
     """Writes ``table`` and ``blocks`` below ``folder``."""
     from tokenizers import Tokenizer
 
@@ -158,7 +158,7 @@ def write(documents: DataFrame, tokenizer: str, folder: str, end_id: int = END_I
     vocabulary = Tokenizer.from_file(tokenizer).get_vocab_size()
     kind = _id_type(vocabulary)
     scratch = Scratch(spark, "rans")
-    tokens = scratch.keep(tokenize(documents, tokenizer, end_id), "tokens")
+    tokens = scratch.keep(tokenize(documents, tokenizer, end_id, added), "tokens")
     freq = scaled(_counts(tokens, vocabulary))
     spark.createDataFrame([(SCALE, freq.astype("<u4").tobytes())], "scale int, frequencies binary").coalesce(1).write.parquet(f"{folder}/table")
     shared = spark.sparkContext.broadcast(freq)

@@ -4,6 +4,9 @@ A tokenizer file maps a stretch between two single spaces to the same ids wherev
 its pre-tokenizer makes of the stretch. A worker keeps the ids of stretches it has met (up to a bound) and of their
 pieces, and gives only new pieces to the library, many in one call. Texts with other spacing, and stretches with
 characters for which the pieces are not known to be the library's, are encoded whole.
+
+With ``added``, ids are those of the library's default call: a text that holds the content of an added token ('<|endoftext|>', say)
+gets that token's id there and is encoded whole, so as the queries do. Without it such a content is text like other.
 """
 
 from __future__ import annotations
@@ -26,11 +29,15 @@ _PLAIN = regex.compile(r" ?[\n\x21-\x7E\xA1-\xAC\xAE-\xFF]*")
 
 
 class Encoder:
-    def __init__(self, path: str, most: int = KEPT):
+    def __init__(self, path: str, most: int = KEPT, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
+        tokens = self.model.get_added_tokens_decoder().values() if added else ()
+        if any(t.normalized for t in tokens):
+            raise ValueError("added tokens are looked for in normalized text")
+        self.added = regex.compile("|".join(regex.escape(t.content) for t in tokens)).search if tokens else None
         self.model.encode_special_tokens = True
         self.most = most
         self.known: dict[str, bytes] = {}
@@ -52,6 +59,17 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
+        whole = [i for i, t in enumerate(texts) if self.added(t)] if self.added else []
+        if whole:
+            self.model.encode_special_tokens = False
+            held = dict(zip(whole, self.model.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True))
+            self.model.encode_special_tokens = True
+            rest = iter(self.literal([t for i, t in enumerate(texts) if i not in held]))
+            return [np.array(held[i].ids, "<u4").tobytes() if i in held else next(rest) for i in range(len(texts))]
+        return self.literal(texts)
+
+    def literal(self, texts: list[str]) -> list[bytes]:
+        """The same, with no heed to added tokens."""
         parts = [self.stretches(t) for t in texts]
         if len(self.known) > self.most:
             self.known.clear()
@@ -106,11 +124,11 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str, most: int = KEPT) -> Encoder:
+def encoder(path: str, most: int = KEPT, added: bool = False) -> Encoder:
     """One per tokenizer file and worker process; Spark reuses its workers."""
-    if path not in _ENCODERS or _ENCODERS[path].most != most:
+    if path not in _ENCODERS or _ENCODERS[path].most != most or (_ENCODERS[path].added is not None) != added:
         _ENCODERS.clear()
-        _ENCODERS[path] = Encoder(path, most)
+        _ENCODERS[path] = Encoder(path, most, added)
     return _ENCODERS[path]
 
 

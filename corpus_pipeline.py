@@ -39,7 +39,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of every document with its place in a training sequence."""
     ship(spark)
     # Workers that served the stages before keep some of their memory, so fewer ids are kept here.
-    return packing.pack(docs, public_path("word_bpe_49k.json"), with_ids=False, kept=150_000)
+    return packing.pack(docs, public_path("word_bpe_49k.json"), with_ids=False, kept=150_000, added=True)
 
 
 STAGES = [

@@ -121,3 +121,41 @@ def test_files_of_odd_rows(spark, monkeypatch):
         for r in rows:
             assert r.start == at
             at += len(r.ids) // 4
+
+
+#: With the contents of added tokens, held against the library's default call.
+ADDED = [
+    (1, "a <|endoftext|> b"),
+    (2, "plain words stand here"),
+    (3, "<|endoftext|>"),
+    (4, "x<|startoftext|>y <|endoftext|><|endoftext|> z"),
+    (5, "<|ENDOFTEXT|> <|endoftext |>"),
+    (6, ""),
+    (7, "last plain words"),
+]
+
+
+def library(path, text):
+    return Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_added_tokens_are_the_librarys(path):
+    got = Encoder(path, most=50, added=True).encode([t for _, t in ADDED])
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [library(path, t) for _, t in ADDED]
+
+
+def test_queries_and_pipeline_follow_the_library(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = documents(spark, ADDED)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    start, want = 0, []
+    for d, t in ADDED:
+        ids = [*library(BYTE, t), 0]
+        want.append((d, start, len(ids), crc(ids)))
+        start += len(ids)
+    assert sorted(map(tuple, op8_token_rans(spark, str(tmp_path)).collect())) == want
+    want = [(d, len(ids), crc(ids)) for d, t in ADDED for ids in [[*library(WORD, t), 1]]]
+    for rows in (op5_best_fit_packing(spark, str(tmp_path)).collect(), corpus_pipeline.pack(spark, docs, str(tmp_path)).collect()):
+        assert sorted((r.doc_id, r.length, r.ids_crc32) for r in rows) == want
