@@ -1,10 +1,11 @@
 """Best-fit packing by exact-complement hashing.
 
 Only the number of pieces of each length decides the packing, and there are at most ``capacity`` lengths, so the plan
-is made on the driver from that histogram; it does not grow with the corpus. Sums of one, two and three lengths are
-indexed by a hash table; the open length is completed by a combination that fills the gap exactly, as often as
-the counts allow; what no exact combination takes is placed best-fit. The plan is a table of allotments
-(length, first rank, count, sequence base, offset), and pieces find their places by a join on (length, block).
+is made on the driver from that histogram; it does not grow with the corpus. ``Sums`` indexes the sums of one, two and
+three lengths: by a sum it finds the combinations that make it. The gap that the longest open length leaves is looked up
+there, the combination goes out as often as the counts of its members allow, and what no exact combination takes is placed
+best-fit. The plan is a table of allotments (length, first rank, count, sequence base, offset), and pieces find
+their places by a join on (length, block).
 
 Defined results: null text is empty and still has the end id; equal documents are packed each for itself; null
 doc_ids rank first among pieces of one length.
@@ -16,6 +17,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assayer.llm.text import chunks, emit
-from assayer.llm.tokens import KEPT, encoder
+from assayer.llm.tokens import encoder, release
 from assayer.plans.store import Scratch
 
 CAPACITY = 4096
@@ -32,30 +34,65 @@ END_ID = 1
 RANK_BLOCK = 65_536
 
 
-def pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = True, kept: int = KEPT, added: bool = False) -> DataFrame:
+def pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, if asked for, the ids (little-endian unsigned 32 bits)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), *[("ids", pa.binary())] * with_ids])
         end, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
-        for part in chunks(batches, 1, 1 << 20):
+        for part in chunks(batches, 1):
             out = []
-            for (doc_id, _), ids in zip(part, encoder(tokenizer, kept, added).encode([t or "" for _, t in part]), strict=True):
+            for (doc_id, _), ids in zip(part, encoder(tokenizer).encode([t or "" for _, t in part]), strict=True):
                 ids += end
                 for k, at in enumerate(range(0, len(ids), step)):
                     some = ids[at : at + step]
                     out.append((doc_id, k, at // 4, len(some) // 4, zlib.crc32(some), *[some] * with_ids))
             yield emit(out, schema)
+        release()
 
     source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return source.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
+class Sums:
+    """By a sum, the combinations of one, two and three of the lengths that make it; built once, asked under the counts of the day."""
+
+    def __init__(self, lengths: list[int], capacity: int):
+        single = np.zeros(capacity + 1, bool)
+        single[lengths] = True
+        self.single = single
+        #: pair[s]: the larger members of pairs of sum s; triple[s]: the largest members of triples of sum s.
+        self.pair = [self._larger(single, single, s, 2) for s in range(capacity + 1)]
+        paired = np.array([len(p) > 0 for p in self.pair])
+        self.triple = [self._larger(single, paired, s, 3) for s in range(capacity + 1)]
+
+    @staticmethod
+    def _larger(first: np.ndarray, rest: np.ndarray, total: int, members: int) -> np.ndarray:
+        a = np.arange(-(-total // members), total)
+        return a[first[a] & rest[total - a]]
+
+    def pairs(self, total: int, have: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+        """Pairs of that sum whose members are there and not over ``most``, the most plentiful first: fewer steps, and scarce lengths stay."""
+        a = self.pair[total]
+        a = a[a <= most]
+        times = np.minimum(have[a], have[total - a])
+        a = a[np.argsort(-times, kind="stable")[: np.count_nonzero(times)]]
+        yield from zip(a.tolist(), (total - a).tolist(), strict=True)
+
+    def triples(self, total: int, have: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        for a in self.triple[total][::-1].tolist():
+            if have[a]:
+                for b, c in self.pairs(total - a, have, a):
+                    yield a, b, c
+
+
 class Plan:
     """Allotments for a histogram of lengths: every length's pieces, in runs of equal sequences."""
 
     def __init__(self, counts: dict[int, int], capacity: int):
         self.capacity, self.left, self.used = capacity, dict(counts), defaultdict(int)
+        self.have = np.zeros(capacity + 1, np.int64)
+        self.have[list(counts)] = list(counts.values())
         self.sequences, self.runs = 0, []
         self.exact(), self.best_fit()
 
@@ -66,6 +103,7 @@ class Plan:
             self.runs.append((n, self.used[n], times, self.sequences, at))
             self.used[n] += times
             self.left[n] -= times
+            self.have[n] -= times
             at += n
             if not self.left[n]:
                 del self.left[n]
@@ -78,35 +116,17 @@ class Plan:
         """Longest first: the gap a length leaves is looked up among single, pair and triple sums."""
         while self.left.get(self.capacity):
             self.take((self.capacity,), self.left[self.capacity])
+        sums = Sums(list(self.left), self.capacity)
         for longest in sorted(self.left, reverse=True):
-            while self.left.get(longest):
-                if not (found := self.complement(longest)):
-                    break
+            while self.left.get(longest) and (found := self.complement(sums, longest)):
                 self.take(found, self.most(found))
 
-    def complement(self, longest: int) -> tuple[int, ...] | None:
-        gap, here = self.capacity - longest, self.left
-        if gap in here and self.most((longest, gap)):
-            return longest, gap
-        below = sorted((n for n in here if n <= gap), reverse=True)
-        # The most plentiful combination with that sum: the fewer steps, and scarce lengths stay for later gaps.
-        best, most = None, 0
-        for a in below:
-            if 2 * a < gap:
-                break
-            if gap - a in here and (k := self.most(c := (longest, a, gap - a))) > most:
-                best, most = c, k
-        if best:
-            return best
-        for a in below:
-            if 3 * a < gap:
-                break
-            for b in below[bisect_left(below, -a, key=lambda n: -n) :]:
-                if a + 2 * b < gap:
-                    break
-                c = gap - a - b
-                if c in here and c <= b and self.most(found := (longest, a, b, c)):
-                    return found
+    def complement(self, sums: Sums, longest: int) -> tuple[int, ...] | None:
+        gap = self.capacity - longest
+        one = [(gap,)] if sums.single[gap] else []
+        for rest in chain(one, sums.pairs(gap, self.have, gap), sums.triples(gap, self.have)):
+            if self.most((longest, *rest)):
+                return longest, *rest
         return None
 
     def best_fit(self) -> None:
@@ -175,9 +195,9 @@ def assign(cut: DataFrame, capacity: int = CAPACITY, block: int = RANK_BLOCK) ->
     return ranked.join(runs, held).select(*cut.columns, sequence, F.col("at").alias("offset"))
 
 
-def pack(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = True, kept: int = KEPT, added: bool = False) -> DataFrame:
+def pack(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
     """Every piece of every document with its place: doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset."""
-    written = Scratch(documents.sparkSession, "packing").keep(pieces(documents, tokenizer, capacity, end_id, with_ids, kept, added), "pieces")
+    written = Scratch(documents.sparkSession, "packing").keep(pieces(documents, tokenizer, capacity, end_id, with_ids), "pieces")
     return assign(written, capacity)
 
 

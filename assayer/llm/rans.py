@@ -1,13 +1,14 @@
 """Token ids as binary files: a static range asymmetric numeral system over independent interleaved blocks.
 
-A folder holds two Parquet tables that carry the binary format, so Spark's committers make the writes atomic:
-``table`` (one row: the shared frequency table) and ``blocks`` (one row a block, in ascending doc_id order by
-``part, block``). A block decodes on its own: up to LANES interleaved states, the renormalisation words of all lanes in
+Texts are put in order first and tokenized block by block; the pass that makes the ids adds up how often each occurs, so
+the shared table costs no pass of its own. A folder holds two Parquet tables that carry the binary format, so Spark's
+committers make the writes atomic: ``table`` (one row: the shared frequency table) and ``blocks`` (one row a block, in
+ascending doc_id order by ``part, block``). A block decodes on its own: up to LANES interleaved states, the renormalisation words of all lanes in
 the order a decoder reads them, checkpoints (states and word position every CHECK steps) from which decoding can start
 inside a block, a CRC-32 of the coded bytes and one of the ids.
 
 Defined results: null text is empty and has the end id alone; null doc_ids come first; equal doc_ids stay beside each
-other in an order fixed by their ids' CRC; an empty table writes an empty ``blocks`` table.
+other in an order fixed by their texts; an empty table writes an empty ``blocks`` table.
 """
 
 from __future__ import annotations
@@ -21,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from assayer.llm.text import chunks, emit, rows
-from assayer.llm.tokens import encoder
+from assayer.llm.text import chunks, emit
+from assayer.llm.tokens import encoder, release
 from assayer.plans.store import Scratch
 
 END_ID = 0
-SCALE = 20  # frequencies add up to 2**SCALE
-LANES = 2048
-CHECK = 64  # steps between checkpoints
+SCALE = 18  # frequencies add up to 2**SCALE
+LANES = 4096
+CHECK = 32  # steps between checkpoints
 BLOCK_IDS = 262_144
 #: before: ids of the part ahead of the block. ends: where each document ends in the block.
 BLOCKS = "part int, block int, before long, n_ids long, docs array<long>, ends array<long>, coded binary"
@@ -83,7 +84,7 @@ class Coder:
         body += stream.tobytes()
         return _HEAD.pack(_MAGIC, n, lanes, len(marks), len(stream), zlib.crc32(body), zlib.crc32(ids.astype("<u4").tobytes())) + body
 
-    def decode(self, block: bytes, first_mark: int = 0, marks: int | None = None) -> np.ndarray:
+    def decode(self, block: bytes | pa.Buffer, first_mark: int = 0, marks: int | None = None) -> np.ndarray:
         """The ids of a block, or of ``marks`` checkpoints' stretches from ``first_mark`` on."""
         magic, n, lanes, held, n_words, crc, ids_crc = _HEAD.unpack_from(block)
         body = memoryview(block)[_HEAD.size :]
@@ -114,43 +115,60 @@ class Coder:
         return ids
 
 
-def tokenize(documents: DataFrame, tokenizer: str, end_id: int = END_ID, added: bool = False) -> DataFrame:
-    """doc_id, ids: little-endian unsigned 16-bit ids where the vocabulary allows it, so that half as much is moved."""
+def _id_type(vocabulary: int) -> str:
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
-        known = encoder(tokenizer, added=added)
-        kind, end = _id_type(known.model.get_vocab_size()), np.array([end_id], "<u4").tobytes()
-        for part in chunks(batches, 1):
-            coded = known.encode([t or "" for _, t in part])
-            yield emit([(d, np.frombuffer(c + end, "<u4").astype(kind).tobytes()) for (d, _), c in zip(part, coded, strict=True)], schema)
 
-    source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(cut, "doc_id long, ids binary")
+_TOKENS = "part int, block int, before long, n_ids long, docs array<long>, ends array<long>, ids binary, kinds array<int>, times array<long>"
+_TOKENS_ARROW = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("n_ids", pa.int64()), ("docs", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("ids", pa.binary()), ("kinds", pa.list_(pa.int32())), ("times", pa.list_(pa.int64()))])
 
 
-def _id_type(vocabulary: int) -> str:
-    return "<u2" if vocabulary <= 1 << 16 else "<u4"
-
+def tokenized(documents: DataFrame, tokenizer: str, vocabulary: int, end_id: int = END_ID) -> DataFrame:
+    """Blocks of whole documents in ascending doc_id order, and a row a task (no block) with how often it met each id.
 
-def _counts(tokens: DataFrame, vocabulary: int) -> np.ndarray:
-    """How often each id occurs; what reaches the driver is bounded by the vocabulary."""
+    ids are little-endian unsigned 16-bit integers where the vocabulary allows it, so that half as much is moved.
+    """
     kind = _id_type(vocabulary)
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(vocabulary, np.int64)
-        for batch in batches:
-            total += np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), kind), minlength=vocabulary)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["id", "n"])
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        end, total = np.array([end_id], kind).tobytes(), np.zeros(vocabulary, np.int64)
+        part, block, before, docs, held, n = None, 0, 0, [], [], 0
 
+        def out() -> pa.RecordBatch:
+            ids = np.frombuffer(b"".join(held), kind)
+            total[:] += np.bincount(ids, minlength=vocabulary)
+            ends = np.cumsum([len(x) // ids.itemsize for x in held])
+            return emit([(part, block, before, n, docs, ends.tolist(), ids.tobytes(), None, None)], _TOKENS_ARROW)
+
+        for some in chunks(batches, 2):
+            for (part, doc_id, _), ids in zip(some, encoder(tokenizer, code=kind).encode([r[2] for r in some]), strict=True):
+                docs.append(doc_id)
+                held.append(ids + end)
+                n += len(held[-1]) // len(end)
+                if n >= BLOCK_IDS:
+                    yield out()
+                    block, before, docs, held, n = block + 1, before + n, [], [], 0
+        if docs:
+            yield out()
+        met = np.flatnonzero(total)
+        yield emit([(part, None, None, None, None, None, None, met.tolist(), total[met].tolist())], _TOKENS_ARROW)
+        release()
+
+    source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    ordered = source.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    return ordered.select(F.spark_partition_id().alias("part"), "doc_id", "text").mapInArrow(cut, _TOKENS)
+
+
+def _counts(tokens: DataFrame, vocabulary: int) -> np.ndarray:
+    """How often each id occurs; what reaches the driver is bounded by the vocabulary."""
+    pairs = tokens.where("block is null").select(F.explode(F.arrays_zip("kinds", "times")).alias("x"))
     out = np.zeros(vocabulary, np.int64)
-    for r in tokens.select("ids").mapInArrow(add, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for r in pairs.groupBy(F.col("x.kinds").alias("id")).agg(F.sum("x.times").alias("n")).collect():
         out[r["id"]] = r["n"]
     return out
 
 
-def write(documents: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID, added: bool = False) -> None:
+def write(documents: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID) -> None:
     """Writes ``table`` and ``blocks`` below ``folder``."""
     from tokenizers import Tokenizer
 
@@ -158,33 +176,21 @@ def write(documents: DataFrame, tokenizer: str, folder: str, end_id: int = END_I
     vocabulary = Tokenizer.from_file(tokenizer).get_vocab_size()
     kind = _id_type(vocabulary)
     scratch = Scratch(spark, "rans")
-    tokens = scratch.keep(tokenize(documents, tokenizer, end_id, added), "tokens")
+    tokens = scratch.keep(tokenized(documents, tokenizer, vocabulary, end_id), "tokens", codec="lz4")
     freq = scaled(_counts(tokens, vocabulary))
     spark.createDataFrame([(SCALE, freq.astype("<u4").tobytes())], "scale int, frequencies binary").coalesce(1).write.parquet(f"{folder}/table")
     shared = spark.sparkContext.broadcast(freq)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("n_ids", pa.int64()), ("docs", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("coded", pa.binary())])
-        coder, block, before, docs, held, n = Coder(shared.value), 0, 0, [], [], 0
-        part = None
-
-        def out() -> pa.RecordBatch:
-            ends = np.cumsum([len(x) for x in held])
-            return emit([(part, block, before, n, docs, ends.tolist(), coder.encode(np.concatenate(held)))], schema)
-
-        for part, doc_id, ids in rows(batches):
-            docs.append(doc_id)
-            held.append(np.frombuffer(ids, kind).astype(np.uint32))
-            n += len(held[-1])
-            if n >= BLOCK_IDS:
-                yield out()
-                block, before, docs, held, n = block + 1, before + n, [], [], 0
-        if docs:
-            yield out()
+        coder = Coder(shared.value)
+        for batch in batches:
+            for at in range(len(batch)):
+                one = batch.slice(at, 1)
+                coded = coder.encode(np.frombuffer(one.column("ids")[0].as_buffer(), kind))
+                kept = [c for c in one.schema.names if c != "ids"]
+                yield pa.RecordBatch.from_arrays([*map(one.column, kept), pa.array([coded], pa.binary())], names=[*kept, "coded"])
 
-    ordered = tokens.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.crc32("ids"))
-    ordered = ordered.select(F.spark_partition_id().alias("part"), "doc_id", "ids")
-    blocks = ordered.mapInArrow(code, BLOCKS)
+    blocks = tokens.where("block is not null").select("part", "block", "before", "n_ids", "docs", "ends", "ids").mapInArrow(code, BLOCKS)
     blocks.write.option("compression", "none").parquet(f"{folder}/blocks")
     scratch.drop("tokens")
 
@@ -199,16 +205,17 @@ def read(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
     located = blocks.join(F.broadcast(parts), "part")  # one row a written partition, however much it holds
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), *[("ids", pa.binary())] * with_ids])
         coder = Coder(shared.value)
-        for base, docs, ends, coded in rows(batches):
-            ids, start = coder.decode(coded).astype("<u4").tobytes(), 0
-            out = []
-            for doc_id, end in zip(docs, ends, strict=True):
-                some = ids[4 * start : 4 * end]
-                out.append((doc_id, base + start, end - start, zlib.crc32(some), *[some] * with_ids))
-                start = end
-            yield emit(out, schema)
+        for batch in batches:
+            for at in range(len(batch)):
+                base, docs, ends, coded = (batch.column(c)[at] for c in ("base", "docs", "ends", "coded"))
+                ids = coder.decode(coded.as_buffer()).astype("<u4").tobytes()
+                stops = ends.values.to_numpy()
+                starts = np.concatenate(([0], stops[:-1]))
+                some = [ids[4 * s : 4 * e] for s, e in zip(starts.tolist(), stops.tolist(), strict=True)]
+                out = [docs.values, pa.array(base.as_py() + starts), pa.array(stops - starts), pa.array([zlib.crc32(x) for x in some], pa.int64())]
+                names = ["doc_id", "start", "n_tokens", "ids_crc32"]
+                yield pa.RecordBatch.from_arrays([*out, *[pa.array(some, pa.binary())] * with_ids], names=[*names, *["ids"] * with_ids])
 
     named = located.select((F.col("base") + F.col("before")).alias("base"), "docs", "ends", "coded")
     return named.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)

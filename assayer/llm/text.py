@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: ASCII white space, as ``bytes.split()`` takes it: x20, x09-x0D.
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -26,23 +27,42 @@ def alnum_words(text: str | None) -> list[bytes]:
     return text.encode().translate(_ALNUM).split() if text else []
 
 
+#: Bytes of texts that a task turns into Python objects at a time, unless it says otherwise.
+MOST = 4 << 20
+
+
+def parts(batches: Iterator[pa.RecordBatch], text_at: int | str, most: int = MOST) -> Iterator[pa.RecordBatch]:
+    """Slices of Arrow batches whose column ``text_at`` holds about ``most`` bytes, one row at least: Python objects are made a slice at a time."""
+    for batch in batches:
+        column = batch.column(text_at)
+        if pa.types.is_list(column.type):
+            sizes = pc.multiply(pc.list_value_length(column), 8)
+        else:
+            sizes = pc.binary_length(column)
+        ends = np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(batch):
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """The rows of Arrow batches as tuples, in column order."""
+    """The rows of Arrow batches as tuples, in column order, made a few at a time."""
     for batch in batches:
-        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
-
-
-def chunks(batches: Iterator[pa.RecordBatch], text_at: int, most: int = 4 << 20) -> Iterator[list[tuple]]:
-    """Rows in lists whose texts hold about ``most`` characters, so that memory follows this bound and not the batch."""
-    part, held = [], 0
-    for row in rows(batches):
-        part.append(row)
-        held += len(row[text_at] or "")
-        if held >= most:
-            yield part
-            part, held = [], 0
-    if part:
-        yield part
+        for at in range(0, len(batch), 256):
+            yield from zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True)
+
+
+def chunks(batches: Iterator[pa.RecordBatch], text_at: int, most: int = MOST) -> Iterator[list[tuple]]:
+    """Rows in lists whose texts hold about ``most`` bytes, so that memory follows this bound and not the batch."""
+    for part in parts(batches, text_at, most):
+        yield list(zip(*(c.to_pylist() for c in part.columns), strict=True))
+
+
+def beside(part: pa.RecordBatch, new: pa.RecordBatch) -> pa.RecordBatch:
+    """The columns of both; names may repeat, Spark goes by place."""
+    return pa.RecordBatch.from_arrays([*part.columns, *new.columns], names=[*part.schema.names, *new.schema.names])
 
 
 def emit(rows_: list[tuple], schema: pa.Schema) -> pa.RecordBatch:

@@ -1,135 +1,149 @@
 """Whole texts to token ids with the tokenizers library.
 
-A tokenizer file maps a stretch between two single spaces to the same ids wherever it stands, and so it does each piece that
-its pre-tokenizer makes of the stretch. A worker keeps the ids of stretches it has met (up to a bound) and of their
-pieces, and gives only new pieces to the library, many in one call. Texts with other spacing, and stretches with
-characters for which the pieces are not known to be the library's, are encoded whole.
-
-With ``added``, ids are those of the library's default call: a text that holds the content of an added token ('<|endoftext|>', say)
-gets that token's id there and is encoded whole, so as the queries do. Without it such a content is text like other.
+A tokenizer file cuts a text into pieces by a published pattern and maps each piece to the same ids wherever it stands. A
+worker cuts texts by that pattern, keeps the ids of pieces it has met (up to a bound) and gives only new pieces to the
+library, many in one call and already cut, so that the library's model does nothing but merge. A text is encoded whole
+by the library's plain call if it holds a character for which the two patterns are not known to agree, or the content of
+an added token ('<|endoftext|>', say), or if its tokenizer file has other steps than the two known kinds.
 """
 
 from __future__ import annotations
 
+import gc
+import json
 import os
-from itertools import chain
+import re
 
 import numpy as np
-import regex
 
-#: Stretches, and as many pieces, whose ids a worker keeps.
-KEPT = 700_000
-#: The pre-tokenizers' published patterns, and characters that normalisation leaves alone but for case.
+#: Pieces whose ids a worker keeps.
+KEPT = 400_000
+#: The pre-tokenizers' published pattern, and how it reads over the characters below.
+_PUBLISHED = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_SPACES, _NUMBERS = r"\t\n\x0b\x0c\r ", "0-9\xb2\xb3\xb9\xbc\xbd\xbe"
+_LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xffŒœ"
+_SHORT = "'(?:[stmd]|re|ve|ll)"
+#: Letters and numbers are tried first, which a short form, beginning with its mark, can't be taken for.
 _PIECES = {
-    "words": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
-    "bytes": r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
+    "words": rf"[{_LETTERS}]+|[{_NUMBERS}]|{_SHORT}|[^{_SPACES}{_LETTERS}{_NUMBERS}]+",
+    "bytes": rf" ?[{_LETTERS}]+| ?[{_NUMBERS}]+|{_SHORT}| ?[^{_SPACES}{_LETTERS}{_NUMBERS}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+",
 }
-_MARKS = frozenset(",.;:!?")
-_PLAIN = regex.compile(r" ?[\n\x21-\x7E\xA1-\xAC\xAE-\xFF]*")
+#: White space, printable characters up to U+00FF, the two ligatures, and general punctuation.
+_PLAIN = re.compile("[\t\n\x0b\x0c\r\x20-\x7e\xa1-\xac\xae-\xffŒœ‐-‧‰-›€]*")
+_BETWEEN = "\0"
+
+
+def _byte_table() -> dict[int, str]:
+    """The character by which byte-level vocabularies write each byte: itself where it is printable, else the next from U+0100."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(own)]
+    table = {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+    table[0] = _BETWEEN  # no piece holds it
+    return table
+
+
+def _kind(steps: dict) -> str | None:
+    """Which of the known pre-tokenizers a tokenizer file names; None for any other."""
+    pre, normal = steps.get("pre_tokenizer") or {}, steps.get("normalizer")
+    if any(t["normalized"] for t in steps.get("added_tokens", ())) or steps.get("post_processor") or steps.get("truncation") or steps.get("padding"):
+        return None
+    if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not normal:
+        return "bytes"
+    inner = pre.get("pretokenizers", [])
+    if [p.get("type") for p in inner] != ["Split", "ByteLevel"] or inner[1].get("use_regex") or inner[1].get("add_prefix_space"):
+        return None
+    split, lowers = inner[0], [n.get("type") for n in (normal or {}).get("normalizers", ())] == ["NFC", "Replace", "Lowercase"]
+    cut_out = split.get("invert") and split.get("behavior") == "Removed" and split.get("pattern") == {"Regex": _PUBLISHED}
+    return "words" if lowers and cut_out else None
 
 
 class Encoder:
-    def __init__(self, path: str, most: int = KEPT, added: bool = False):
+    """``encode`` gives the ids of the library's ``encode(text, add_special_tokens=False)`` as little-endian integers of type ``code``."""
+
+    def __init__(self, path: str, most: int = KEPT, code: str = "<u4"):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.normalizers import Sequence
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
+        self.path, self.most, self.code = path, most, np.dtype(code)
+        self.library = None  # for whole texts; loaded when the first comes
         self.model = Tokenizer.from_file(path)
-        tokens = self.model.get_added_tokens_decoder().values() if added else ()
-        if any(t.normalized for t in tokens):
-            raise ValueError("added tokens are looked for in normalized text")
-        self.added = regex.compile("|".join(regex.escape(t.content) for t in tokens)).search if tokens else None
-        self.model.encode_special_tokens = True
-        self.most = most
+        steps = json.loads(self.model.to_str())
+        suffix = steps.pop("model").get("end_of_word_suffix") or ""
+        self.kind = _kind(steps)
+        self.added = [t["content"] for t in steps.get("added_tokens", ())]
+        if self.kind:
+            self.model.normalizer = Sequence([])
+            self.model.pre_tokenizer = CharDelimiterSplit(_BETWEEN)
+            self.split = re.compile(_PIECES[self.kind]).findall
+            self.table = _byte_table()
+            names = self.model.get_vocab(with_added_tokens=False)
+            self.spelt = np.zeros(max(names.values()) + 1, np.int64)  # characters of a piece that an id stands for
+            self.spelt[list(names.values())] = [len(n.removesuffix(suffix) if suffix else n) for n in names]
         self.known: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        names = self.model.get_vocab()
-        # A piece ends with a token that says so, or with the line break put between pieces.
-        self.kind = "words" if "!</w>" in names else "bytes"
-        last = [i for t, i in names.items() if t.endswith("</w>")] if self.kind == "words" else [names["Ċ"]]
-        self.ends = np.zeros(max(names.values()) + 1, bool)
-        self.ends[last] = True
-        self.split = regex.compile(_PIECES[self.kind]).findall
-
-    @staticmethod
-    def stretches(text: str) -> list[str]:
-        if "  " in text or text[:1] == " " or text[-1:] == " " or not text:
-            return [text]
-        first, *rest = text.split(" ")
-        return [first, *[" " + s for s in rest]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        whole = [i for i, t in enumerate(texts) if self.added(t)] if self.added else []
-        if whole:
-            self.model.encode_special_tokens = False
-            held = dict(zip(whole, self.model.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True))
-            self.model.encode_special_tokens = True
-            rest = iter(self.literal([t for i, t in enumerate(texts) if i not in held]))
-            return [np.array(held[i].ids, "<u4").tobytes() if i in held else next(rest) for i in range(len(texts))]
-        return self.literal(texts)
-
-    def literal(self, texts: list[str]) -> list[bytes]:
-        """The same, with no heed to added tokens."""
-        parts = [self.stretches(t) for t in texts]
-        if len(self.known) > self.most:
-            self.known.clear()
-        if len(self.pieces) > self.most:
-            self.pieces.clear()
-        if new := set(chain.from_iterable(parts)).difference(self.known):
-            self.learn(list(new))
-        return [b"".join(map(self.known.__getitem__, p)) for p in parts]
-
-    def learn(self, new: list[str]) -> None:
-        plain, cut = [], []
-        for s in new:
-            if (c := self.cut(s)) is not None:
-                plain.append(s)
-                cut.append(c)
-        self.learn_pieces(list(set(chain.from_iterable(cut)).difference(self.pieces)))
-        for s, c in zip(plain, cut, strict=True):
-            self.known[s] = b"".join(map(self.pieces.__getitem__, c))
-        other = [s for s in new if s not in self.known]
-        for s, e in zip(other, self.model.encode_batch_fast(other, add_special_tokens=False), strict=True):
-            self.known[s] = np.array(e.ids, "<u4").tobytes()
-
-    def cut(self, s: str) -> list[str] | None:
-        """The pieces of a stretch; None if its characters are beyond those known. Words, with a mark behind, need no pattern."""
-        if not s.isascii() and not _PLAIN.fullmatch(s):
+        collects = gc.isenabled()
+        gc.disable()  # lists of millions of strings make no cycles
+        try:
+            parts = [self._cut(t) for t in texts]
+            if len(self.known) > self.most:
+                self.known.clear()
+            if new := set().union(*(p for p in parts if p is not None)).difference(self.known):
+                self._learn(list(new))
+            known = self.known.__getitem__
+            return [self._whole(t) if p is None else b"".join(map(known, p)) for t, p in zip(texts, parts, strict=True)]
+        finally:
+            if collects:
+                gc.enable()
+
+    def _cut(self, text: str) -> list[str] | None:
+        if not self.kind or any(a in text for a in self.added) or not _PLAIN.fullmatch(text):
             return None
-        low, bare = (s.lower(), s.lstrip(" ").lower()) if self.kind == "words" else (s, s.lstrip(" "))
-        if bare.isalpha():
-            return [bare if self.kind == "words" else low]
-        if bare[-1:] in _MARKS and bare[:-1].isalpha():
-            return [bare[:-1] if self.kind == "words" else low[:-1], bare[-1]]
-        return self.split(low) if _PLAIN.fullmatch(s) else None
-
-    def learn_pieces(self, new: list[str]) -> None:
-        broken = [p for p in new if "\n" in p]
-        whole = [p for p in new if "\n" not in p]
-        for p, e in zip(broken, self.model.encode_batch_fast(broken, add_special_tokens=False), strict=True):
-            self.pieces[p] = np.array(e.ids, "<u4").tobytes()
-        for at in range(0, len(whole), 5000):
-            some = whole[at : at + 5000]
-            (e,) = self.model.encode_batch_fast([("\n".join(some) + "\n")], add_special_tokens=False)
-            ids = np.array(e.ids, "<u4")
-            stops = np.flatnonzero(self.ends[ids])
-            if len(stops) != len(some):
-                raise ValueError("pieces and tokens disagree")
-            data, begin, skip = ids.tobytes(), 0, int(self.kind == "bytes")
-            for p, stop in zip(some, (stops + 1).tolist(), strict=True):
-                self.pieces[p] = data[4 * begin : 4 * (stop - skip)]
-                begin = stop
-
-
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def encoder(path: str, most: int = KEPT, added: bool = False) -> Encoder:
-    """One per tokenizer file and worker process; Spark reuses its workers."""
-    if path not in _ENCODERS or _ENCODERS[path].most != most or (_ENCODERS[path].added is not None) != added:
+        return self.split(text.lower() if self.kind == "words" else text)
+
+    def _whole(self, text: str) -> bytes:
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+        (e,) = self.library.encode_batch_fast([text], add_special_tokens=False)
+        return np.array(e.ids, self.code).tobytes()
+
+    def _learn(self, new: list[str]) -> None:
+        wide = self.code.itemsize
+        for at in range(0, len(new), 20_000):
+            some = new[at : at + 20_000]
+            spelt = _BETWEEN.join(some).encode().decode("latin-1").translate(self.table)
+            (e,) = self.model.encode_batch_fast([spelt], add_special_tokens=False)
+            ids = np.array(e.ids, self.code)
+            # Where a piece's characters are used up its ids end.
+            reached = np.concatenate(([0], np.cumsum(self.spelt[ids])))
+            wanted = np.cumsum([len(p) for p in spelt.split(_BETWEEN)])
+            ends = np.searchsorted(reached, wanted)
+            if ends[-1] != len(ids) or not np.array_equal(reached[ends], wanted):  # ids that do not spell the pieces
+                self.known.update((p, self._whole(p)) for p in some)
+                continue
+            data, edges = ids.tobytes(), [0, *(wide * ends).tolist()]
+            self.known.update((p, data[a:b]) for p, a, b in zip(some, edges, edges[1:], strict=False))
+
+
+_ENCODERS: dict[tuple[str, int, str], Encoder] = {}
+
+
+def encoder(path: str, most: int = KEPT, code: str = "<u4") -> Encoder:
+    """One at a time in a worker process; Spark reuses its workers."""
+    if (path, most, code) not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[path] = Encoder(path, most, added)
-    return _ENCODERS[path]
+        _ENCODERS[path, most, code] = Encoder(path, most, code)
+    return _ENCODERS[path, most, code]
+
+
+def release() -> None:
+    """Gives a task's pieces back; the worker lives on, and may serve other operators."""
+    for held in _ENCODERS.values():
+        held.known.clear()
 
 
 def public_path(name: str) -> str:

@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -13,12 +14,11 @@ from assayer.plans.store import Scratch
 from tests.llm.cases import ODD, documents
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
+LIBRARY = {path: Tokenizer.from_file(path) for path in (WORD, BYTE)}
 
 
 def ids_of(path, text):
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids
+    return LIBRARY[path].encode(text or "", add_special_tokens=False).ids
 
 
 def crc(ids):
@@ -33,6 +33,23 @@ def test_stretches_equal_whole_texts(spark, sf, path):
         assert np.frombuffer(got, "<u4").tolist() == ids_of(path, text), text[:80]
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_made_up_texts_equal_the_library(path):
+    rng = random.Random(5)
+    signs = [*"abcXYZé\n\t\r'.,!?09½ßœ’—…²ºª\x0b\x85\u2028İ日́\x00", " ", " ", "  ", "'s", "'ll", " '", "<|endoftext|>", "<|startoftext|>", "<|", "|>"]
+    texts = ["".join(rng.choices(signs, k=rng.randint(0, 30))) for _ in range(6000)]
+    for code in ("<u2", "<u4"):
+        for text, got in zip(texts, Encoder(path, code=code).encode(texts), strict=True):
+            assert np.frombuffer(got, code).tolist() == ids_of(path, text), text
+
+
+def test_odd_pieces_fall_back_to_whole_texts():
+    known = Encoder(WORD)
+    known.spelt[:] = 1  # as if ids did not spell their pieces
+    (got,) = known.encode(["some words, and more"])
+    assert np.frombuffer(got, "<u4").tolist() == ids_of(WORD, "some words, and more")
+
+
 def check_packing(rows, texts):
     expected = {}
     for d, t in texts:
@@ -72,6 +89,16 @@ def test_ranks_are_whole_over_salted_parts(spark):
     assert len({(r.sequence_id, r.offset) for r in got}) == 3000
 
 
+def test_sums_find_every_exact_combination():
+    lengths, capacity = [3, 5, 6, 11, 14, 20], 30
+    sums, have = packing.Sums(lengths, capacity), np.ones(capacity + 1, np.int64)
+    for total in range(1, capacity + 1):
+        assert sorted(sums.pairs(total, have, total)) == sorted((a, b) for a in lengths for b in lengths if b <= a and a + b == total)
+        assert sorted(sums.triples(total, have)) == sorted((a, b, c) for a in lengths for b in lengths for c in lengths if c <= b <= a and a + b + c == total)
+    plan = packing.Plan({20: 1, 5: 1, 3: 1, 2: 1, 16: 1, 14: 1}, 30)
+    assert plan.sequences == 2  # 20 + 5 + 3 + 2, 16 + 14
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plan_is_close_to_the_least(seed):
     rng = np.random.default_rng(seed)
@@ -135,14 +162,10 @@ ADDED = [
 ]
 
 
-def library(path, text):
-    return Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
-
-
 @pytest.mark.parametrize("path", [WORD, BYTE])
 def test_added_tokens_are_the_librarys(path):
-    got = Encoder(path, most=50, added=True).encode([t for _, t in ADDED])
-    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [library(path, t) for _, t in ADDED]
+    got = Encoder(path, most=50).encode([t for _, t in ADDED])
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [ids_of(path, t) for _, t in ADDED]
 
 
 def test_queries_and_pipeline_follow_the_library(spark, tmp_path):
@@ -152,10 +175,10 @@ def test_queries_and_pipeline_follow_the_library(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     start, want = 0, []
     for d, t in ADDED:
-        ids = [*library(BYTE, t), 0]
+        ids = [*ids_of(BYTE, t), 0]
         want.append((d, start, len(ids), crc(ids)))
         start += len(ids)
     assert sorted(map(tuple, op8_token_rans(spark, str(tmp_path)).collect())) == want
-    want = [(d, len(ids), crc(ids)) for d, t in ADDED for ids in [[*library(WORD, t), 1]]]
+    want = [(d, len(ids), crc(ids)) for d, t in ADDED for ids in [[*ids_of(WORD, t), 1]]]
     for rows in (op5_best_fit_packing(spark, str(tmp_path)).collect(), corpus_pipeline.pack(spark, docs, str(tmp_path)).collect()):
         assert sorted((r.doc_id, r.length, r.ids_crc32) for r in rows) == want
