@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: ASCII white space, as ``bytes.split()`` takes it: x20, x09-x0D.
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -96,3 +98,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(27))
     x = x * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+def carried(documents: DataFrame) -> tuple[DataFrame, int, list[Column]]:
+    """(the rows under names that clash with nothing, the place of ``text``, the columns that bring the names back).
+
+    An operator that keeps or drops whole rows sends each text through its task once, as one of the row's own columns.
+    """
+    names = documents.columns
+    return documents.toDF(*(f"_{i}" for i in range(len(names)))), names.index("text"), [F.col(f"_{i}").alias(n) for i, n in enumerate(names)]
