@@ -12,8 +12,17 @@ from pyspark.sql import SparkSession
 _SHIPPED: set[str] = set()
 
 
+#: Spark's own bound for the Arrow batches that go to Python workers, and the one set here: several workers share an executor.
+_DEFAULT, _BATCH = str(64 << 20), str(8 << 20)
+
+
 def ship(spark: SparkSession) -> None:
-    """Adds the package's source to the application once; a no-op where the workers' path already has it."""
+    """Makes workers ready: bounds Arrow batches by bytes where the user has not, and adds the package's source to the
+    application once; the latter is a no-op where the workers' path already has it.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name).rstrip("b") == _DEFAULT:
+        spark.conf.set(name, _BATCH)
     context, home = spark.sparkContext, Path(__file__).resolve().parents[2]
     listed = [os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
     if context.applicationId in _SHIPPED or str(home) in listed:
