@@ -70,14 +70,24 @@ def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndar
     return interleave, common
 
 
-def longest_repeats(shards: list[tuple[np.ndarray, np.ndarray]], depth: int) -> list[np.ndarray]:
-    """For every position of every shard: symbols (``depth`` at most) that its suffix shares with some other suffix."""
+def ranked(shards: list[tuple[np.ndarray, np.ndarray]], depth: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """(for every position of every shard its suffix's row in the merge, the common prefix of every row with the row before)."""
     orders, transforms = zip(*(shard_transform(s, e) for s, e in shards), strict=True)
     interleave, common = merge(list(transforms), depth)
-    best = np.maximum(common, np.concatenate((common[1:], [0])))
-    out = []
+    ranks = []
     for s, order in enumerate(orders):
-        of = np.empty(len(order), np.int32)
-        of[order] = best[interleave == s]
-        out.append(of)
-    return out
+        of = np.empty(len(order), np.int64)
+        of[order] = np.flatnonzero(interleave == s)
+        ranks.append(of)
+    return ranks, common
+
+
+def intervals(common: np.ndarray, rows: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first row, number of rows) of the interval around each of ``rows`` whose suffixes share its first ``shared`` symbols (1 at least)."""
+    first, many = np.empty(len(rows), np.int64), np.empty(len(rows), np.int64)
+    for k in np.unique(shared):
+        edges = np.append(np.flatnonzero(common < k), len(common))
+        own = shared == k
+        at = np.searchsorted(edges, rows[own], side="right") - 1
+        first[own], many[own] = edges[at], edges[at + 1] - edges[at]
+    return first, many

@@ -1,8 +1,9 @@
 """Benchmark decontamination: normalised word windows of the benchmark against all training tokens.
 
-The windows (13 words; a shorter item is one window) form a hash set that is broadcast while their number stays
-within ``max_broadcast_windows``; beyond it the same windows are joined by digest through a shuffle. Every hash hit is
-verified on the words themselves.
+The windows (13 words; a shorter item is one window) form a hash set that is broadcast while the benchmark's texts hold at
+most MOST_BYTES: the set keeps the items' words once, as numbers, and 16 bytes a window, so a worker holds a small
+multiple of that bound. For a larger benchmark the same windows meet through a shuffle. Either way a hash hit is verified
+on the words themselves, and the result is the same.
 
 Defined results: null or empty text has no words, no hits and is clean; benchmark rows with a null item_id or no
 words are ignored; repeated item ids count as one item with all their windows; repeated documents get equal rows;
@@ -20,53 +21,75 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assayer.llm.text import alnum_words, emit, rows
+from assayer.llm.text import alnum_words, beside, carried, emit, parts, rows
 from assayer.plans.store import Scratch
 
 N = 13
-MAX_BROADCAST_WINDOWS = 1_000_000
+#: Bytes of benchmark texts up to which the windows are broadcast.
+MOST_BYTES = 16 << 20
 FOUND = "n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
 _SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 _FOUND = [("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(_SPAN))]
-_BITS = 22
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 class WindowSet:
-    """The benchmark's windows by length, with a bit table ahead of the exact dictionary."""
-
-    def __init__(self, windows: dict[tuple[bytes, ...], list[str]]):
-        self.windows = windows
-        self.code = {w: 2 * i + 1 for i, w in enumerate(sorted({w for k in windows for w in k}))}
-        self.bits: dict[int, np.ndarray] = {}
-        for k in windows:
-            t = self.bits.setdefault(len(k), np.zeros(1 << _BITS, bool))
-            t[self._keys(np.array([self.code[w] for w in k], np.uint64), len(k))] = True
+    """The benchmark's windows: a bit table by length ahead of sorted hashes, and the items' words to verify a hit on."""
+
+    def __init__(self, items: list[tuple[str, str]], n: int):
+        self.code: dict[bytes, int] = {}
+        self.items = sorted({item for item, _ in items})
+        number = {item: i for i, item in enumerate(self.items)}
+        held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        texts, at = [], 0
+        for item, text in items:
+            words = alnum_words(text)
+            codes = np.array([self.code.setdefault(w, len(self.code) + 1) for w in words], np.int32)
+            if k := min(n, len(codes)):
+                keys = self._keys(codes, k)
+                held.setdefault(k, []).append((keys, at + np.arange(len(keys)), np.full(len(keys), number[item])))
+            texts.append(codes)
+            at += len(codes)
+        self.words = np.concatenate(texts) if texts else np.empty(0, np.int32)
+        self.by_length = {}
+        for k, some in held.items():
+            keys, places, of = (np.concatenate(x) for x in zip(*some, strict=True))
+            order = np.argsort(keys, kind="stable")
+            shift = np.uint64(64 - max(12, min(24, (8 * len(keys)).bit_length())))
+            bits = np.zeros(1 << (64 - int(shift)), bool)
+            bits[(keys >> shift).astype(np.int64)] = True
+            self.by_length[k] = keys[order], places[order].astype(np.int32), of[order].astype(np.int32), bits, shift
 
     @staticmethod
     def _keys(codes: np.ndarray, n: int) -> np.ndarray:
-        h = np.zeros(len(codes) - n + 1, np.uint64)
+        h, codes = np.zeros(len(codes) - n + 1, np.uint64), codes.astype(np.uint64)
         for j in range(n):
             h = (h + codes[j : len(codes) - n + 1 + j]) * _STEP
-        return (h >> np.uint64(64 - _BITS)).astype(np.int64)
+        return h
 
     def find(self, words: list[bytes]) -> tuple[int, list[str], list[tuple[int, int]]]:
+        """(words hit, items with a window there, spans hit)."""
         get = self.code.get
-        codes = np.array([get(w, 0) for w in words], np.uint64)
-        edge, items = None, set()
-        for n, bits in self.bits.items():
+        codes = np.array([get(w, 0) for w in words], np.int32)
+        edge, found = None, set()
+        for n, (keys, places, of, bits, shift) in self.by_length.items():
             if len(words) < n:
                 continue
-            for p in np.flatnonzero(bits[self._keys(codes, n)]).tolist():
-                if (hit := self.windows.get(tuple(words[p : p + n]))) is not None:
+            own = self._keys(codes, n)
+            for p in np.flatnonzero(bits[(own >> shift).astype(np.int64)]).tolist():
+                first, last = np.searchsorted(keys, own[p], "left"), np.searchsorted(keys, own[p], "right")
+                at = places[first:last]
+                same = (self.words[at[:, None] + np.arange(n)] == codes[p : p + n]).all(axis=1)
+                if same.any():
                     if edge is None:
                         edge = np.zeros(len(words) + 1, np.int32)
                     edge[p] += 1
                     edge[p + n] -= 1
-                    items.update(hit)
+                    found.update(of[first:last][same].tolist())
         if edge is None:
             return 0, [], []
-        return *_covered(edge), sorted(items)
+        n_hit, spans = _covered(edge)
+        return n_hit, [self.items[i] for i in sorted(found)], spans
 
 
 def _covered(edge: np.ndarray) -> tuple[int, list[tuple[int, int]]]:
@@ -90,30 +113,28 @@ def item_windows(benchmark: DataFrame, n: int = N) -> DataFrame:
     return source.mapInArrow(cut, "item string, window array<binary>")
 
 
-def scan(
-    documents: DataFrame, benchmark: DataFrame, n: int = N, max_broadcast_windows: int = MAX_BROADCAST_WINDOWS, carry: bool = False
-) -> DataFrame:
-    """``doc_id, text`` with n_words, n_hit, items and the word spans hit; carry: the whole row too, as ``row``."""
-    spark = documents.sparkSession
-    windows = Scratch(spark, "decontaminate").keep(item_windows(benchmark, n), "windows")
-    docs = documents.select("doc_id", F.col("text").cast("string").alias("text"), *[F.struct("*").alias("row")] * carry)
-    if windows.limit(max_broadcast_windows + 1).count() > max_broadcast_windows:
-        return _scan_by_shuffle(docs, windows)
-    by_window: dict[tuple[bytes, ...], list[str]] = {}
-    for r in windows.toLocalIterator():
-        by_window.setdefault(tuple(bytes(w) for w in r.window), []).append(r.item)
-    held = spark.sparkContext.broadcast(by_window)
+def scan(documents: DataFrame, benchmark: DataFrame, n: int = N, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """``doc_id, text`` with n_words, n_hit, items and the word spans hit."""
+    docs = documents.select("doc_id", F.col("text").cast("string").alias("text"))
+    return _scanned(docs, 1, benchmark, n, most_bytes)
+
+
+def _scanned(docs: DataFrame, text_at: int, benchmark: DataFrame, n: int, most_bytes: int) -> DataFrame:
+    """Adds n_words, n_hit, items and spans to rows whose text is column ``text_at``."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("item is not null and text <> ''")
+    if (items.agg(F.sum(F.octet_length("text") + F.octet_length("item"))).first()[0] or 0) > most_bytes:
+        return _scan_by_shuffle(docs, text_at, Scratch(docs.sparkSession, "decontaminate").keep(item_windows(benchmark, n), "windows"))
+    held = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in items.collect()])  # ``most_bytes`` of text
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WindowSet(held.value)
-        for batch in batches:
+        known = WindowSet(held.value, n)
+        for part in parts(batches, text_at):
             out = []
-            for text in batch.column("text").to_pylist():
-                words = alnum_words(text)
-                n_hit, spans, items = (0, [], []) if not (f := known.find(words))[0] else f
-                out.append((len(words), n_hit, items, [{"start": a, "end": b} for a, b in spans]))
-            found = emit(out, pa.schema(_FOUND))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *found.columns], names=[*batch.schema.names, *found.schema.names])
+            for text in part.column(text_at):
+                words = alnum_words(text.as_py())
+                n_hit, found, spans = known.find(words)
+                out.append((len(words), n_hit, found, [{"start": a, "end": b} for a, b in spans]))
+            yield beside(part, emit(out, pa.schema(_FOUND)))
 
     return docs.mapInArrow(look, _with_found(docs))
 
@@ -122,45 +143,42 @@ def _with_found(docs: DataFrame) -> T.StructType:
     return T.StructType([*docs.schema.fields, *T.StructType.fromDDL(FOUND).fields])
 
 
-def _digest(words: list[bytes] | tuple[bytes, ...]) -> bytes:
-    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
-
-
-def _scan_by_shuffle(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """For a benchmark too large to broadcast: windows of distinct texts and of items meet by digest.
-
-    Words hold no space, so equal joined windows are equal windows; 128-bit digests stand for them.
-    """
+def _scan_by_shuffle(docs: DataFrame, text_at: int, windows: DataFrame) -> DataFrame:
+    """For a benchmark too large to broadcast: windows of distinct texts and of items meet by digest, and bring their words along."""
     lengths = sorted(r[0] for r in windows.select(F.size("window")).distinct().collect())  # at most n of them
-    grams = windows.select(F.to_binary(F.expr("md5(cast(array_join(transform(window, w -> hex(w)), ' ') as binary))"), F.lit("hex")).alias("key"), "item").distinct()
-    texts = docs.select("text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha")).dropDuplicates(["sha"])
+    grams = windows.select(F.to_binary(F.expr("md5(cast(array_join(transform(window, w -> hex(w)), ' ') as binary))"), F.lit("hex")).alias("key"), "item", "window").distinct()
+    text = F.coalesce(F.col(docs.columns[text_at]).cast("string"), F.lit(""))
+    texts = docs.select(text.alias("text"), F.sha2(text, 256).alias("sha")).dropDuplicates(["sha"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("sha", pa.string()), ("at", pa.int32()), ("n", pa.int32()), ("key", pa.binary())])
         for text, sha in rows(batches):
             words = [w.hex().upper().encode() for w in alnum_words(text)]
             for n in lengths:
-                out = [(sha, i, n, hashlib.md5(b" ".join(words[i : i + n])).digest()) for i in range(len(words) - n + 1)]
-                if out:
-                    yield emit(out, schema)
+                for base in range(0, len(words) - n + 1, 20_000):
+                    some = range(base, min(base + 20_000, len(words) - n + 1))
+                    yield emit([(sha, i, n, hashlib.md5(b" ".join(words[i : i + n])).digest()) for i in some], schema)
 
     hits = texts.mapInArrow(cut, "sha string, at int, n int, key binary").join(grams, "key")
-    hits = hits.groupBy("sha").agg(F.collect_set(F.struct("at", "n")).alias("hits"), F.array_sort(F.collect_set("item")).alias("items"))
-    joined = docs.withColumn("sha", F.sha2(F.coalesce("text", F.lit("")), 256)).join(hits, "sha", "left").drop("sha")
+    hits = hits.groupBy("sha").agg(F.collect_set(F.struct("at", "window", "item")).alias("_hits"))
+    joined = docs.withColumn("_sha", F.sha2(text, 256)).join(hits, F.col("_sha") == F.col("sha"), "left").drop("sha", "_sha")
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in parts(batches, text_at):
             out = []
-            for text, found, items in zip(*(batch.column(c).to_pylist() for c in ("text", "hits", "items")), strict=True):
-                edge = np.zeros((n_words := len(alnum_words(text))) + 1, np.int32)
-                for h in found or ():
-                    edge[h["at"]] += 1
-                    edge[h["at"] + h["n"]] -= 1
+            for text, found in zip(part.column(text_at), part.column("_hits"), strict=True):
+                words, items = alnum_words(text.as_py()), set()
+                edge = np.zeros(len(words) + 1, np.int32)
+                for h in found.as_py() or ():
+                    at, window = h["at"], h["window"]
+                    if words[at : at + len(window)] == window:
+                        edge[at] += 1
+                        edge[at + len(window)] -= 1
+                        items.add(h["item"])
                 n_hit, spans = _covered(edge)
-                out.append((n_words, n_hit, items or [], [{"start": a, "end": b} for a, b in spans]))
-            new = emit(out, pa.schema(_FOUND))
-            kept = [c for c in batch.schema.names if c not in ("hits", "items")]
-            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), *new.columns], names=[*kept, *new.schema.names])
+                out.append((len(words), n_hit, sorted(items), [{"start": a, "end": b} for a, b in spans]))
+            kept = pa.RecordBatch.from_arrays(part.columns[:-1], names=part.schema.names[:-1])
+            yield beside(kept, emit(out, pa.schema(_FOUND)))
 
     return joined.mapInArrow(add_up, _with_found(docs))
 
@@ -179,15 +197,16 @@ def verdicts(found: DataFrame) -> DataFrame:
 
 def without_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents, with all their columns, whose verdict is clean."""
-    found = scan(documents, benchmark, carry=True)
-    return found.where((F.col("n_hit") == 0) | (20 * F.col("n_hit") < F.col("n_words"))).select("row.*")
+    coded, text_at, back = carried(documents)
+    found = _scanned(coded, text_at, benchmark, N, MOST_BYTES)
+    return found.where((F.col("n_hit") == 0) | (20 * F.col("n_hit") < F.col("n_words"))).select(back)
 
 
 def remove_spans(found: DataFrame) -> DataFrame:
     """doc_id and the normalised words left once every hit span is cut out, joined by spaces."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, "text"):
             left = []
             for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 words = alnum_words(text)

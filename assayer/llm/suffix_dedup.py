@@ -2,11 +2,15 @@
 
 Every window of ``length`` bytes has one anchor, the KGRAM bytes in it with the least hash (the last of equal ones);
 equal windows have equal anchors at the same place, so windows meet by anchor hash, and an anchor that occurs once clears
-all its windows without their bytes being moved. An anchor's windows of one text are one slice. Slices equal as a whole are
-repeats as they stand. Different slices of one anchor go through the suffix structure: they are parsed into
+all its windows without their bytes being moved. An anchor's windows of one text are one slice; equal slices count as one
+that occurs so often. Different slices of one anchor go through the suffix structure: they are parsed into
 content-cut phrases, each shard's Burrows-Wheeler transform is built, the shards are merged by interleave refinement, and
-the common prefixes of the merge leave the repeated intervals, whose windows an exact comparison by two hashes confirms.
-Anchors with more than GROUP different slices skip the suffix structure: their windows meet by digest in a shuffle.
+from the common prefixes of the merge come the repeated intervals. Two windows are equal if their whole phrases are one
+interval and the bytes ahead of and behind them, less than a phrase each, agree.
+
+A group of more than GROUP different slices is split: its windows are dealt by where the anchor stands in them (WIDTH
+places together) and by the bytes that all windows of such places hold, and what is still larger by the window itself.
+Each step only puts windows apart that differ.
 
 Defined results: null text is empty; texts shorter than ``length`` keep all; a repeated row is a repeat of the other;
 rows of equal text get equal results whatever their doc_id; extra columns are not read.
@@ -23,16 +27,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assayer.llm.bwt import longest_repeats
-from assayer.llm.text import chunks, emit, mix, rows
+from assayer.llm.bwt import intervals, ranked
+from assayer.llm.text import carried, chunks, emit, mix, parts, rows
 from assayer.plans.store import Scratch
 
 LENGTH = 400
 KGRAM = 64
 SHARDS = 4
-#: Different slices of one anchor that one task takes.
-GROUP = 20_000
-#: Bytes of slices that go through one merge; anchors are not split.
+#: Different slices that meet in one merge at most, and places of the anchor that stay together when a group is split.
+GROUP, WIDTH = 500, 43
+#: Bytes of slices, of whole groups, that go through one merge.
 CHUNK = 1 << 20
 _STRETCH = 1 << 20
 _PLACE = np.uint64(21)
@@ -135,16 +139,16 @@ def _phrases(data: np.ndarray) -> np.ndarray:
 
 def repeated_windows(slices: list[tuple[bytes, int]], length: int) -> list[np.ndarray]:
     """For each (bytes, shard): which of its windows also stand in another slice (slices are all different)."""
-    cuts = [_phrases(np.frombuffer(b, np.uint8)) for b, _ in slices]
+    data = [np.frombuffer(b, np.uint8) for b, _ in slices]
+    cuts = [_phrases(x) for x in data]
+    one, two = [_FIRST.sums(x) for x in data], [_SECOND.sums(x) for x in data]
     # Phrase names: 64-bit hashes of the stretches between cuts, numbered over the chunk.
-    names, counts, lengths = [], [], []
-    for (b, _), c in zip(slices, cuts, strict=True):
-        edges = np.concatenate((c, [len(b)]))
-        sums = _FIRST.sums(np.frombuffer(b, np.uint8))
-        size = np.diff(edges)
-        names.append(mix((sums[edges[1:]] - sums[edges[:-1]]) * _FIRST.down[edges[:-1]] + size.astype(np.uint64)) if len(c) else np.empty(0, np.uint64))
-        counts.append(len(c))
-        lengths.append(size)
+    names = []
+    for x, c, sums in zip(data, cuts, one, strict=True):
+        edges = np.concatenate((c, [len(x)]))
+        size = np.diff(edges).astype(np.uint64)
+        names.append(mix((sums[edges[1:]] - sums[edges[:-1]]) * _FIRST.down[edges[:-1]] + size) if len(c) else np.empty(0, np.uint64))
+    counts = [len(c) for c in cuts]
     _, numbered = np.unique(np.concatenate(names), return_inverse=True)
     per_slice = np.split(numbered + 1, np.cumsum(counts)[:-1])
     shards, members = [], []
@@ -154,30 +158,50 @@ def repeated_windows(slices: list[tuple[bytes, int]], length: int) -> list[np.nd
         symbols = np.concatenate([np.concatenate((per_slice[i], [0])) for i in own])
         shards.append((symbols, np.cumsum([counts[i] + 1 for i in own]) - 1))
     depth = 1 + max(int((np.searchsorted(c, c + length) - np.arange(len(c))).max()) if len(c) else 0 for c in cuts)
-    shared: list[np.ndarray] = [np.empty(0)] * len(slices)
-    for own, found in zip(members, longest_repeats(shards, depth), strict=True):
+    ranks, common = ranked(shards, depth)
+    row: list[np.ndarray] = [np.empty(0)] * len(slices)
+    for own, found in zip(members, ranks, strict=True):
         at = 0
         for i in own:
-            shared[i] = found[at : at + counts[i]]
+            row[i] = found[at : at + counts[i]]
             at += counts[i] + 1
-    # A window is a candidate if the suffix at its first own cut shares every whole phrase of the window with another.
-    spots, first, second = [], [], []
-    for i, (b, _) in enumerate(slices):
-        data, c = np.frombuffer(b, np.uint8), cuts[i]
-        p = np.arange(len(b) - length + 1)
-        b0 = np.searchsorted(c, p + 4)
-        whole = np.searchsorted(c, p + length, side="right") - 1 - b0
-        padded = np.concatenate((shared[i], [0])).astype(np.int64)
-        p = p[(b0 >= len(c)) | (whole <= 0) | (padded[np.minimum(b0, len(c))] >= whole)]
+
+    # Of each window: the cut that its whole phrases begin at, how many there are, and the bytes on both sides.
+    spots, begin, whole, heads, tails, heads2, tails2, sizes = [], [], [], [], [], [], [], []
+    for i, x in enumerate(data):
+        c, p = np.append(cuts[i], len(x)), np.arange(len(x) - length + 1)
+        first = np.searchsorted(cuts[i], p + 4)
+        k = np.searchsorted(cuts[i], p + length, side="right") - 1 - first
+        none = k <= 0  # no whole phrase inside: all of the window is its head
+        k = np.where(none, 0, k)
+        near, far = np.where(none, p + length, c[first]), np.where(none, p + length, c[first + k])
         spots.append(p)
-        first.append(_FIRST.windows(_FIRST.sums(data), length)[p])
-        second.append(_SECOND.windows(_SECOND.sums(data), length)[p])
-    one, two = np.concatenate(first), np.concatenate(second)
-    order = np.lexsort((two, one))
-    same = (one[order[1:]] == one[order[:-1]]) & (two[order[1:]] == two[order[:-1]])
-    twice = np.zeros(len(one), bool)
-    twice[order[1:]] |= same
-    twice[order[:-1]] |= same
+        begin.append(np.where(none, -1, np.append(row[i], 0)[np.minimum(first, counts[i])]))
+        whole.append(k)
+        sizes.append(near - p)
+        for sums, powers, ahead, behind in ((one[i], _FIRST, heads, tails), (two[i], _SECOND, heads2, tails2)):
+            ahead.append((sums[near] - sums[p]) * powers.down[p])
+            behind.append((sums[p + length] - sums[far]) * powers.down[far])
+    begin, whole, sizes = np.concatenate(begin), np.concatenate(whole), np.concatenate(sizes)
+    phrased = np.flatnonzero(whole)
+    pairs, back = np.unique(begin[phrased] * (depth + 1) + whole[phrased], return_inverse=True)
+    group, many = np.full(len(begin), -1, np.int64), np.full(len(begin), 2, np.int64)
+    start, held = intervals(common, pairs // (depth + 1), pairs % (depth + 1))
+    group[phrased], many[phrased] = (start * (depth + 1) + pairs % (depth + 1))[back], held[back]
+
+    # Windows of an interval that no other suffix shares are out; the others meet by interval and sides.
+    able = np.flatnonzero(many > 1)
+    told = lambda h, t: mix(mix(np.concatenate(h)[able]) * np.uint64(_B1) + np.concatenate(t)[able])
+    inner = mix((group[able] * 4096 + sizes[able]).astype(np.uint64))
+    key, check = mix(told(heads, tails) + inner), told(heads2, tails2) ^ inner
+    order = np.argsort(key, kind="stable")
+    equal = key[order[1:]] == key[order[:-1]]
+    if (equal & (check[order[1:]] != check[order[:-1]])).any():  # sides of equal first and different second hashes
+        order = np.lexsort((check, key))
+        equal = (key[order[1:]] == key[order[:-1]]) & (check[order[1:]] == check[order[:-1]])
+    twice = np.zeros(len(begin), bool)
+    twice[able[order[1:]]] |= equal
+    twice[able[order[:-1]]] |= equal
     return [p[t] for p, t in zip(spots, np.split(twice, np.cumsum([len(p) for p in spots])[:-1]), strict=True)]
 
 
@@ -190,14 +214,14 @@ def _runs(places: np.ndarray) -> tuple[list[int], list[int]]:
 
 
 def _merged(slices: DataFrame, length: int) -> DataFrame:
-    """(h, d, runs of repeated windows) for slices (h, d, shard, bytes), anchor by anchor in chunks of whole anchors."""
+    """(g, e, runs of repeated windows) for different slices (g, e, shard, bytes) of groups g, in chunks of whole groups."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("h", pa.int64()), ("d", pa.int64()), ("first", pa.list_(pa.int32())), ("last", pa.list_(pa.int32()))])
+        schema = pa.schema([("g", pa.binary()), ("e", pa.int64()), ("first", pa.list_(pa.int32())), ("last", pa.list_(pa.int32()))])
 
         def done(part: list[tuple]) -> pa.RecordBatch:
             found = repeated_windows([(b, s) for _, _, s, b in part], length)
-            return emit([(h, d, *_runs(p)) for (h, d, _, _), p in zip(part, found, strict=True) if len(p)], schema)
+            return emit([(g, e, *_runs(p)) for (g, e, _, _), p in zip(part, found, strict=True) if len(p)], schema)
 
         part, held = [], 0
         for row in rows(batches):
@@ -209,23 +233,60 @@ def _merged(slices: DataFrame, length: int) -> DataFrame:
         if part:
             yield done(part)
 
-    dealt = slices.repartition("h").sortWithinPartitions("h", "d").select("h", "d", "shard", "bytes")
-    return dealt.mapInArrow(work, "h long, d long, first array<int>, last array<int>")
+    dealt = slices.repartition("g").sortWithinPartitions("g", "e").select("g", "e", "shard", "bytes")
+    return dealt.mapInArrow(work, "g binary, e long, first array<int>, last array<int>")
 
 
-def _by_digest(slices: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with any number of slices: one row a window, counted by digest."""
+_SLICE = "h long, d long, at int, off int, n int, shard int, g binary, e long, bytes binary"
+_SLICE_ARROW = pa.schema([("h", pa.int64()), ("d", pa.int64()), ("at", pa.int32()), ("off", pa.int32()), ("n", pa.int32()), ("shard", pa.int32()), ("g", pa.binary()), ("e", pa.int64()), ("bytes", pa.binary())])
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("h", pa.int64()), ("d", pa.int64()), ("at", pa.int32()), ("w", pa.binary())])
-        for h, d, b in rows(batches):
-            yield emit([(h, d, i, hashlib.blake2b(b[i : i + length], digest_size=16).digest()) for i in range(len(b) - length + 1)], schema)
 
-    windows = slices.select("h", "d", "bytes").mapInArrow(cut, "h long, d long, at int, w binary")
-    twice = windows.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w")
-    found = windows.join(twice, "w", "left_semi")
-    one = F.transform(F.array_sort(F.collect_list("at")), lambda x: x)
-    return found.groupBy("h", "d").agg(one.alias("first")).select("h", "d", "first", F.col("first").alias("last"))
+def _split(slices: DataFrame, length: int, width: int) -> DataFrame:
+    """Slices of windows of ``width`` neighbouring anchor places, grouped by these and by the bytes that all such windows hold.
+
+    A slice (h, d, at: place of its anchor, off: its first window in the slice of (h, d)) becomes several; n: its windows.
+    With a width of 1 a group is a window, and its bytes are not moved.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts(batches, "bytes"):
+            for h, d, at, off, shard, raw in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                low, high, out = at - (len(raw) - length), at, []  # the anchor's places in the windows
+                for b in range(low // width, high // width + 1):
+                    near, far = b * width, min((b + 1) * width - 1, length - KGRAM)
+                    first, last = at - min(far, high), at - max(near, low)
+                    same = hashlib.blake2b(raw[at - near : at - far + length], digest_size=16, salt=h.to_bytes(8, "little", signed=True), person=b.to_bytes(2, "little")).digest()
+                    own = raw[first : last + length]
+                    e = hashlib.blake2b(own, digest_size=8, salt=(at - first).to_bytes(8, "little")).digest()
+                    out.append((h, d, at - first, off + first, last - first + 1, shard, same, int.from_bytes(e, "little", signed=True), own if width > 1 else b""))
+                yield emit(out, _SLICE_ARROW)
+
+    return slices.select("h", "d", "at", "off", "shard", "bytes").mapInArrow(cut, _SLICE)
+
+
+def _shifted(slices: DataFrame, whole: DataFrame, found: DataFrame) -> DataFrame:
+    """(h, d, first, last) in places of the slice (h, d), of its parts that are whole repeats or hold found runs."""
+    joined = slices.drop("bytes").join(whole.select("g", "e", F.lit(True).alias("whole")), ["g", "e"], "left").join(found, ["g", "e"], "left").where("whole or first is not null")
+    move = lambda c: F.transform(c, lambda x: x + F.col("off"))
+    all_of = lambda end: F.array(end)
+    first = F.when(F.col("whole"), all_of(F.col("off"))).otherwise(move("first"))
+    last = F.when(F.col("whole"), all_of(F.col("off") + F.col("n") - 1)).otherwise(move("last"))
+    return joined.select("h", "d", first.alias("first"), last.alias("last"))
+
+
+def _hot(slices: DataFrame, length: int, group: int, scratch: Scratch) -> DataFrame:
+    """(h, d, runs of repeated windows) of groups with more than ``group`` different slices."""
+    some = scratch.keep(_split(slices, length, WIDTH), "parts")
+    kinds = scratch.keep(some.groupBy("g", "e").agg(F.count("*").alias("times")), "kinds")
+    sizes = scratch.keep(kinds.groupBy("g").agg(F.count("*").alias("many")).where("many > 1"), "sizes")
+    meet = some.join(sizes.where(F.col("many") <= group).select("g"), "g", "left_semi").dropDuplicates(["g", "e"])
+    found = scratch.keep(_merged(meet, length), "found-parts")
+    once = _shifted(some, kinds.where("times > 1"), found)
+    single = scratch.keep(_split(some.join(sizes.where(F.col("many") > group).select("g"), "g", "left_semi"), length, 1), "windows")
+    twice = scratch.keep(single.groupBy("g").agg(F.count("*").alias("times")).where("times > 1"), "twice")
+    each = single.join(twice, "g").select("h", "d", F.array("off").alias("first"), F.array("off").alias("last"))
+    # A slice holds at most as many windows as an anchor has places.
+    return once.union(each).groupBy("h", "d").agg(F.flatten(F.collect_list("first")).alias("first"), F.flatten(F.collect_list("last")).alias("last"))
 
 
 def repeats(documents: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
@@ -243,20 +304,24 @@ def repeats(documents: DataFrame, length: int = LENGTH, group: int = GROUP) -> D
     open_ = slices.where("open").select("h", "d", "at.*")
     large = scratch.keep(open_.groupBy("h").agg(F.count("*").alias("many")).where(F.col("many") > group).select("h"), "large")
 
-    wanted = open_.groupBy("key").agg(F.collect_list(F.struct("h", "d", "p", "q")).alias("wanted"))
+    wanted = open_.groupBy("key").agg(F.collect_list(F.struct("h", "d", "a", "p", "q")).alias("wanted"))
     texts = _texts(documents).dropDuplicates(["key"]).join(wanted, "key").select("key", "text", "wanted")
 
     def slice_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("h", pa.int64()), ("d", pa.int64()), ("shard", pa.int32()), ("bytes", pa.binary())])
         for part in chunks(batches, 1):
             out = []
             for key, text, some in part:
                 raw = text.encode()
-                out += [(w["h"], w["d"], key[0] % SHARDS, raw[w["p"] : w["q"] + length]) for w in some]
-            yield emit(out, schema)
-
-    bytes_ = scratch.keep(texts.mapInArrow(slice_up, "h long, d long, shard int, bytes binary"), "bytes")
-    found = _merged(bytes_.join(large, "h", "left_anti"), length).union(_by_digest(bytes_.join(large, "h", "left_semi"), length))
+                for w in some:
+                    h, p, q = w["h"], w["p"], w["q"]
+                    out.append((h, w["d"], w["a"] - p, 0, q - p + 1, key[0] % SHARDS, h.to_bytes(8, "little", signed=True), w["d"], raw[p : q + length]))
+            yield emit(out, _SLICE_ARROW)
+
+    bytes_ = scratch.keep(texts.mapInArrow(slice_up, _SLICE), "bytes")
+    found = _merged(bytes_.join(large, "h", "left_anti"), length)
+    found = found.join(bytes_.select("g", "e", "h", "d"), ["g", "e"]).select("h", "d", "first", "last")
+    if not large.isEmpty():
+        found = found.union(_hot(bytes_.join(large, "h", "left_semi"), length, group, scratch))
     found = scratch.keep(found, "found")
     scratch.drop("bytes")
 
@@ -265,8 +330,8 @@ def repeats(documents: DataFrame, length: int = LENGTH, group: int = GROUP) -> D
     marked = held.select("key", "h", "d", "p", "q").join(verdict, ["h", "d"])
     stretch = lambda f, e: F.struct(f.alias("start"), (e + length).alias("end"))
     own = F.arrays_zip(F.transform("first", lambda x: x + F.col("p")).alias("f"), F.transform("last", lambda x: x + F.col("p")).alias("l"))
-    parts = F.when(F.col("whole"), F.array(stretch(F.col("p"), F.col("q")))).otherwise(F.transform(own, lambda x: stretch(x["f"], x["l"])))
-    spans = marked.select("key", parts.alias("parts")).groupBy("key").agg(F.flatten(F.collect_list("parts")).alias("spans"))
+    spots = F.when(F.col("whole"), F.array(stretch(F.col("p"), F.col("q")))).otherwise(F.transform(own, lambda x: stretch(x["f"], x["l"])))
+    spans = marked.select("key", spots.alias("spots")).groupBy("key").agg(F.flatten(F.collect_list("spots")).alias("spans"))
     return scratch.keep(spans, "spans")
 
 
@@ -280,46 +345,61 @@ def _cover(spans: list[dict] | None) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def dedup(documents: DataFrame, length: int = LENGTH, carry: bool = False, group: int = GROUP) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary: the remaining bytes); carry: the row too, as ``row``."""
-    more = [F.col("doc_id"), *[F.struct("*").alias("row")] * carry]
-    joined = _texts(documents, *more).join(repeats(documents, length, group), "key", "left")
-    kinds = [f for f in joined.schema.fields if f.name in ("doc_id", "row")]
+def _left(text: bytes, spans: list[dict] | None) -> tuple[bytes, int]:
+    """(the bytes outside of the spans, how many stretches went)."""
+    held, at, left = _cover(spans), 0, []
+    for s, e in held:
+        left.append(text[at:s])
+        at = e
+    return b"".join([*left, text[at:]]), len(held)
+
+
+def _with_spans(docs: DataFrame, text: str, documents: DataFrame, length: int, group: int) -> DataFrame:
+    """Adds ``spans``, null where nothing goes, as the last column."""
+    found = repeats(documents, length, group).withColumnRenamed("key", "_key")
+    key = _key(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    return docs.withColumn("_own", key).join(found, F.col("_own") == F.col("_key"), "left").select(*docs.columns, "spans")
+
+
+def dedup(documents: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary: the remaining bytes)."""
+    docs = documents.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    joined = _with_spans(docs, "text", documents, length, group)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = pa.schema([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
-        for batch in batches:
+        for part in parts(batches, 1):
             out = []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                raw, held, at = text.encode(), _cover(spans), 0
-                left = []
-                for s, e in held:
-                    left.append(raw[at:s])
-                    at = e
-                kept = b"".join([*left, raw[at:]])
-                out.append((len(raw), len(raw) - len(kept), len(held), hashlib.sha256(kept).hexdigest(), kept))
+            for text, spans in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                kept, n = _left(raw := text.encode(), spans)
+                out.append((len(raw), len(raw) - len(kept), n, hashlib.sha256(kept).hexdigest(), kept))
             done = emit(out, new)
-            names = [f.name for f in kinds]
-            yield pa.RecordBatch.from_arrays([*map(batch.column, names), *done.columns], names=[*names, *new.names])
+            yield pa.RecordBatch.from_arrays([part.column(0), *done.columns], names=["doc_id", *new.names])
 
-    schema = T.StructType([*kinds]).add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string").add("kept", "binary")
+    schema = T.StructType([joined.schema["doc_id"]]).add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string").add("kept", "binary")
     return joined.mapInArrow(cut, schema)
 
 
-def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        left = pa.array([b.decode(errors="ignore") for b in batch.column("kept").to_pylist()], pa.string())
-        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("n_removed"), left], names=["row", "n_removed", "left"])
-
-
-def without_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The documents with their repeats cut out of ``text`` and ``n_chars`` (if there) counted anew.
+def without_repeats(documents: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
+    """The documents with their repeats cut out of ``text`` and ``n_chars`` (if there) counted anew where something went.
 
     A cut may fall inside a character; the bytes left of it are dropped, so that the text stays valid.
     """
-    found = dedup(documents, length, carry=True)
-    readable = found.mapInArrow(_decoded, T.StructType([found.schema["row"]]).add("n_removed", "long").add("left", "string"))
-    left = F.when(F.col("n_removed") > 0, F.col("left")).otherwise(F.col("row.text"))
-    out = readable.select("row.*", left.alias("_left"), (F.col("n_removed") > 0).alias("_cut"))
-    columns = [F.col("_left").alias("text") if c == "text" else F.when(F.col("_cut"), F.length("_left")).otherwise(F.col(c)).cast(documents.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in documents.columns]
-    return out.select(columns)
+    coded, text_at, back = carried(documents)
+    joined = _with_spans(coded, coded.columns[text_at], documents, length, group)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts(batches, text_at):
+            *columns, spans = part.columns
+            gone = [bool(s) for s in spans.to_pylist()]
+            if any(gone):
+                texts = zip(columns[text_at].to_pylist(), spans.to_pylist(), strict=True)
+                columns[text_at] = pa.array([_left(t.encode(), s)[0].decode(errors="ignore") if s else t for t, s in texts], columns[text_at].type)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(gone)], names=[*part.schema.names[:-1], "gone"])
+
+    out = joined.mapInArrow(cut, T.StructType([*coded.schema.fields, T.StructField("gone", T.BooleanType())]))
+    if "n_chars" in documents.columns:
+        at = documents.columns.index("n_chars")
+        counted = F.when(F.col("gone"), F.length(coded.columns[text_at])).otherwise(F.col(coded.columns[at]))
+        back[at] = counted.cast(documents.schema["n_chars"].dataType).alias("n_chars")
+    return out.select(back)

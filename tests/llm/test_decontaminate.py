@@ -45,7 +45,7 @@ def test_odd_rows_by_broadcast_and_by_shuffle(spark):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     for texts in (ODD, []):
         for most in (1000, 0):
-            found = decontaminate.scan(documents(spark, texts), bench, max_broadcast_windows=most)
+            found = decontaminate.scan(documents(spark, texts), bench, most_bytes=most)
             assert sorted(map(tuple, decontaminate.verdicts(found).collect()), key=str) == brute(texts, ITEMS)
     none = decontaminate.scan(documents(spark, ODD), bench.limit(0))
     assert sum(r.n_hit for r in none.collect()) == 0

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from assayer.llm import suffix_dedup
-from assayer.llm.bwt import longest_repeats
+from assayer.llm import bwt
 from assayer.llm.queries import op4_suffix_array_dedup
 from tests.llm.cases import ODD, PROSE, documents
 
@@ -63,7 +63,7 @@ def planted(seed, n):
     return docs
 
 
-@pytest.mark.parametrize("group", [20_000, 3, 0])
+@pytest.mark.parametrize("group", [suffix_dedup.GROUP, 3, 0])
 def test_planted_passages(spark, group):
     docs = planted(group, 120)
     assert rows(suffix_dedup.dedup(documents(spark, docs), group=group)) == brute(docs, 400)
@@ -79,6 +79,52 @@ def test_odd_rows(spark):
     assert left.columns == docs.columns and left.count() == 4
 
 
+def slices_of(seed, length=40):
+    """Different slices, as one anchor would hold, with shared stretches around the length."""
+    rng = np.random.default_rng(seed)
+    parts = [bytes(rng.choice(list(b"abcd "), n).tolist()) for n in (38, 39, 40, 41, 60)]
+    draw = lambda: bytes(rng.choice(list(b"abcdefgh "), rng.integers(0, 30)).tolist())
+    out = {b"".join([draw(), parts[rng.integers(5)], draw(), parts[rng.integers(5)], draw()]) for _ in range(30)}
+    return [(b, int(rng.integers(3))) for b in sorted(out) if len(b) >= length]
+
+
+def by_count(slices, length):
+    where = defaultdict(set)
+    for i, (b, _) in enumerate(slices):
+        for p in range(len(b) - length + 1):
+            where[b[p : p + length]].add(i)
+    return [[p for p in range(len(b) - length + 1) if len(where[b[p : p + length]]) > 1] for b, _ in slices]
+
+
+def test_repeats_come_out_of_the_merge(monkeypatch):
+    def found(slices):
+        # A slice here may repeat a window inside itself, which slices of one anchor cannot: such windows are left out.
+        inner = [Counter(b[p : p + 40] for p in range(len(b) - 39)) for b, _ in slices]
+        got, want = suffix_dedup.repeated_windows(slices, 40), by_count(slices, 40)
+        keep = lambda i, ps: [int(p) for p in ps if inner[i][slices[i][0][p : p + 40]] == 1]
+        return [keep(i, g) for i, g in enumerate(got)], [keep(i, w) for i, w in enumerate(want)]
+
+    cases = [slices_of(seed) for seed in range(25)]
+    for slices in cases:
+        got, want = found(slices)
+        assert got == want
+    real = bwt.merge
+    for constant in (lambda n, depth: np.zeros(n, np.int32), lambda n, depth: np.full(n, depth, np.int32) * (np.arange(n) > 0)):
+
+        def off(transforms, depth, constant=constant):
+            interleave, common = real(transforms, depth)
+            return interleave, constant(len(common), depth)
+
+        monkeypatch.setattr(bwt, "merge", off)
+        assert any(got != want for got, want in map(found, cases))
+
+
+def test_intervals():
+    common = np.array([0, 3, 1, 2, 2, 0])
+    first, many = bwt.intervals(common, np.array([1, 3, 4, 5]), np.array([1, 2, 3, 1]))
+    assert first.tolist() == [0, 2, 4, 5] and many.tolist() == [5, 3, 1, 1]
+
+
 def common(a, b):
     k = 0
     while k < min(len(a), len(b)) and a[k] == b[k]:
@@ -95,7 +141,9 @@ def test_merged_transforms_against_all_pairs():
             shards.append((np.concatenate([np.append(q, 0) for q in sequences]), np.cumsum([len(q) + 1 for q in sequences]) - 1))
             suffixes[s] = [q[i:].tolist() for q in sequences for i in range(len(q) + 1)]
         every = [(s, p, x) for s, own in suffixes.items() for p, x in enumerate(own)]
-        got = longest_repeats(shards, 6)
+        ranks, shared = bwt.ranked(shards, 6)
+        best = np.maximum(shared, np.append(shared[1:], 0))
+        got = [best[r] for r in ranks]
         for s, p, x in every:
             if x:
                 assert got[s][p] == min(6, max((common(x, y) for t, q, y in every if (t, q) != (s, p)), default=0))
