@@ -33,7 +33,7 @@ WORDS, PERCENT = 5, 80
 MISS = 1e-7
 SKETCH = 192  # minima that give one bit each
 #: Rows of a bucket, and texts of a family, that one task holds at a time.
-BUCKET_BLOCK, FAMILY_BLOCK = 2048, 1000
+BUCKET_BLOCK, FAMILY_BLOCK = 512, 1000
 _SIGNED = "doc_id long, n long, key binary, s0 long, s1 long, s2 long, bands array<long>"
 _HASHES = WordHash()
 
@@ -63,26 +63,26 @@ def shingles(words: list[bytes], n: int) -> np.ndarray:
 
 
 class Signer:
-    """Universal hash minima h(x) = a x + b mod 2**32 over 32 bits of each shingle's hash."""
+    """Minima of the universal family h(x) = (a x + b mod 2**64) / 2**32 over 32 bits of each shingle's hash."""
 
     def __init__(self, percent: int):
         self.rows, self.bands = banding(percent)
         rng = np.random.default_rng(20240229)
         k = self.rows * self.bands
-        self.a = (rng.integers(0, 1 << 31, k, np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
-        self.b = rng.integers(0, 1 << 32, k, np.uint32)[:, None]
+        self.a = rng.integers(0, 1 << 64, k, np.uint64)[:, None]
+        self.b = rng.integers(0, 1 << 64, k, np.uint64)[:, None]
 
     def minima(self, x: np.ndarray) -> np.ndarray:
-        low = np.full(len(self.a), 0xFFFFFFFF, np.uint32)
-        x32 = (x >> np.uint64(32)).astype(np.uint32)
-        for at in range(0, len(x32), 1024):
-            h = self.a * x32[None, at : at + 1024]
+        low = np.full(len(self.a), np.iinfo(np.uint64).max, np.uint64)
+        x32 = x >> np.uint64(32)
+        for at in range(0, len(x32), 512):
+            h = self.a * x32[None, at : at + 512]
             h += self.b
             np.minimum(low, h.min(axis=1), out=low)
-        return low
+        return low >> np.uint64(32)  # the least of the shifted values is the least one shifted
 
     def sign(self, x: np.ndarray) -> tuple[list[int], list[int]]:
-        low = self.minima(x).astype(np.uint64)
+        low = self.minima(x)
         bits = np.packbits((mix(low[:SKETCH]) & np.uint64(1)).astype(np.uint8)).view("<i8")
         h = np.arange(self.bands, dtype=np.uint64)
         for column in low.reshape(self.bands, self.rows).T:
@@ -180,19 +180,27 @@ def near_duplicates(documents: DataFrame, n_words: int = WORDS, percent: int = P
 def _across(members: DataFrame, labels: DataFrame, texts: DataFrame, n_words: int, percent: int, scratch: Scratch) -> DataFrame:
     """Links (src, dst) between members of one bucket that lie in different components; none is missed.
 
-    The pivot has met every member already, so a bucket matters if its other members lie in two components or more.
-    Their sketches are compared in blocks inside tasks; what comes out is not the pairs but the families they make up. In
+    The pivot has met every member already, so a bucket matters if its other members lie in two components or more; then
+    those outside of its largest component are the queries, so members of one component never meet each other for being many.
+    Sketches are compared in blocks inside tasks; what comes out is not the pairs but the families they make up. In
     a family, the texts outside its largest component are the queries: each meets blocks of the family's sets through an
     inverted index, and one link per component found comes out.
     """
     others = members.where(F.col("m.id") != F.col("pivot.id")).select("bucket", "m.*").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     others = scratch.keep(others, "others")
-    open_ = others.groupBy("bucket").agg(F.count("*").alias("many"), (F.min("component") != F.max("component")).alias("open")).where("open")
-    open_ = scratch.keep(open_.select("bucket", F.ceil(F.col("many") / BUCKET_BLOCK).cast("int").alias("blocks")), "open")
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = others.join(open_, "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "component", "n", "s0", "s1", "s2")
-    dealt = dealt.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "id")
+    sizes = others.groupBy("bucket", "component").agg(F.count("*").alias("many"))
+    largest = F.max_by("component", F.struct("many", "component")).alias("home")
+    open_ = sizes.groupBy("bucket").agg(largest, F.sum("many").alias("all"), F.max("many").alias("most"), F.count("*").alias("kinds")).where("kinds > 1")
+    blocks = lambda n: F.ceil(n / BUCKET_BLOCK).cast("int")
+    open_ = scratch.keep(open_.select("bucket", "home", blocks(F.col("all")).alias("held_blocks"), blocks(F.col("all") - F.col("most")).alias("query_blocks")), "open")
+    joined = others.join(open_, "bucket")
+    row = ["id", "component", "n", "s0", "s1", "s2"]
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    held = joined.select("bucket", own("held_blocks").alias("held"), each("query_blocks").alias("asked"), F.lit(0).alias("query"), *row)
+    asked = joined.where(F.col("component") != F.col("home"))
+    asked = asked.select("bucket", each("held_blocks").alias("held"), own("query_blocks").alias("asked"), F.lit(1).alias("query"), *row)
+    dealt = held.union(asked).repartition("bucket", "held", "asked").sortWithinPartitions("bucket", "held", "asked", "query", "id")
     differ = most_bits(percent)
 
     def kin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,33 +240,24 @@ def _across(members: DataFrame, labels: DataFrame, texts: DataFrame, n_words: in
 
 def _kin(group: list[tuple], percent: int, differ: int) -> list[tuple[int, int]]:
     """(member, family) of the rows of one block pair that resemble one of another component, by size and sketch."""
-    low, high = group[0][1:3]
     ids, comps, n = (np.array([r[i] for r in group], np.int64) for i in (4, 5, 6))
     sketch = np.array([r[7:10] for r in group], np.int64).view(np.uint64)
-    own = np.array([r[3] for r in group])
-    left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
-    parent = list(range(len(group)))
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
+    query = np.array([r[3] for r in group]) == 1
+    left, right = np.flatnonzero(query), np.flatnonzero(~query)
+    family = np.arange(len(group))
     for at in range(0, len(left), 256):
         a = left[at : at + 256]
         bits = np.bitwise_count(sketch[a][:, None, :] ^ sketch[right][None, :, :]).sum(axis=2, dtype=np.int32)
         sizes = 100 * np.minimum(n[a][:, None], n[right][None, :]) >= percent * np.maximum(n[a][:, None], n[right][None, :])
         hit = (bits <= differ) & sizes & (comps[a][:, None] != comps[right][None, :])
         for i in np.flatnonzero(hit.any(axis=1)).tolist():
-            root = find(int(a[i]))
-            for j in right[np.flatnonzero(hit[i])].tolist():
-                if (other := find(j)) != root:
-                    parent[other] = root
-    roots: dict[int, list[int]] = {}
-    for i in range(len(group)):
-        roots.setdefault(find(i), []).append(i)
-    return [(int(ids[i]), int(ids[same].min())) for same in roots.values() if len(same) > 1 for i in same]
+            met = np.unique(family[np.append(right[hit[i]], a[i])])
+            if len(met) > 1:
+                family[np.isin(family, met)] = met[0]
+    least = np.full(len(group), np.iinfo(np.int64).max)
+    np.minimum.at(least, family, ids)
+    several = np.bincount(family, minlength=len(group))[family] > 1
+    return list(zip(ids[several].tolist(), least[family[several]].tolist(), strict=True))
 
 
 class _Index:
