@@ -55,7 +55,7 @@ class WindowSet:
         for k, some in held.items():
             keys, places, of = (np.concatenate(x) for x in zip(*some, strict=True))
             order = np.argsort(keys, kind="stable")
-            shift = np.uint64(64 - max(12, min(24, (8 * len(keys)).bit_length())))
+            shift = np.uint64(64 - max(12, min(24, (64 * len(keys)).bit_length())))
             bits = np.zeros(1 << (64 - int(shift)), bool)
             bits[(keys >> shift).astype(np.int64)] = True
             self.by_length[k] = keys[order], places[order].astype(np.int32), of[order].astype(np.int32), bits, shift
@@ -76,8 +76,12 @@ class WindowSet:
             if len(words) < n:
                 continue
             own = self._keys(codes, n)
-            for p in np.flatnonzero(bits[(own >> shift).astype(np.int64)]).tolist():
-                first, last = np.searchsorted(keys, own[p], "left"), np.searchsorted(keys, own[p], "right")
+            near = np.flatnonzero(bits[(own >> shift).astype(np.int64)])
+            if not len(near):
+                continue
+            begin, end = np.searchsorted(keys, own[near], "left"), np.searchsorted(keys, own[near], "right")
+            held = np.flatnonzero(begin < end)
+            for p, first, last in zip(near[held].tolist(), begin[held].tolist(), end[held].tolist(), strict=True):
                 at = places[first:last]
                 same = (self.words[at[:, None] + np.arange(n)] == codes[p : p + n]).all(axis=1)
                 if same.any():

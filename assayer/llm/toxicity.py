@@ -16,6 +16,7 @@ equal scores.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -83,7 +84,7 @@ class Model:
     weights: np.ndarray
     intercept: float
 
-    def scorer(self, most: int = 200_000):
+    def scorer(self, most: int = 400_000):
         index, weights = self.index, self.weights
 
         class Known(dict):
@@ -116,6 +117,7 @@ def swaps(text: str | None) -> list[tuple[list[int], list[int]]]:
     if not held:
         return []
     pick = xxhash.xxh3_64_intdigest(text)
+    times = Counter(f for w in held for f in features(w))
     named = sorted(held & _LANGUAGES.keys())
     sentences = [s for s in map(words, _SENTENCE.split(text)) if s]
     out = []
@@ -130,8 +132,9 @@ def swaps(text: str | None) -> list[tuple[list[int], list[int]]]:
             terms = list(IDENTITY.values())[(turn >> 5) % len(IDENTITY)]
             one = terms[(turn >> 7) % len(terms)]
         other = terms[(turn >> 9) % len(terms)]
-        rest = {f for w in held - {gone} for f in features(w)}
-        before, after = set(features(one)) - rest, set(features(other)) - rest
+        once = set(features(gone))
+        alone = lambda term: {f for f in features(term) if times[f] == (f in once)}  # noqa: B023, E731  that no word of the rest has
+        before, after = alone(one), alone(other)
         out.append((sorted(before - after), sorted(after - before)))
     return out
 

@@ -1,8 +1,9 @@
 """Content-addressed WARC archive.
 
 ``payloads`` holds every distinct payload once, under its SHA-256; ``headers`` holds the exact header bytes (WARC block
-and HTTP block) of every record and the address of its payload. A reader recomputes the digests of the stored bytes,
-joins, and fails on any difference. Records of equal payloads of at least ``least`` bytes are one response (the largest
+and HTTP block) of every record and the address of its payload. A reader recomputes the address of the stored bytes,
+joins them to their headers, puts every record together again as a WARC file holds it, and fails if a rebuilt record's
+lengths or digest differ from what its own header declares. Records of equal payloads of at least ``least`` bytes are one response (the largest
 page_id) and revisits that refer to it.
 
 Defined results: null html is an empty payload; a null url writes no target line; line breaks in a url are
@@ -69,12 +70,12 @@ def write(pages: DataFrame, folder: str, least: int = LEAST) -> None:
     told.select(_header().alias("header"), "payload_sha256").write.option("compression", "zstd").parquet(f"{folder}/headers")
 
 
-def _verified(spark: SparkSession, folder: str, with_payload: bool) -> DataFrame:
-    """The stored payloads, their address and digests recomputed from the bytes."""
+def _verified(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored payloads by an address recomputed from their bytes."""
     stored = spark.read.schema(PAYLOADS).parquet(f"{folder}/payloads")
     address = F.sha2("payload", 256)
     checked = F.when(address == F.col("sha256"), address).otherwise(F.raise_error(F.lit("payload differs from its address")))
-    return stored.select(checked.alias("payload_sha256"), F.sha1("payload").alias("sha1"), F.length("payload").cast("long").alias("payload_bytes"), *["payload"] * with_payload)
+    return stored.select(checked.alias("payload_sha256"), "payload")
 
 
 def _field(name: str) -> Column:
@@ -85,23 +86,31 @@ def _field(name: str) -> Column:
 def read(spark: SparkSession, folder: str, with_payload: bool = False) -> DataFrame:
     """One row per record: page_id, url, payload_bytes, payload_digest, record_type, refers_to[, payload, record].
 
-    ``record`` is the exact record as a WARC file holds it: header, block, two line ends.
+    ``record`` is the exact record as a WARC file holds it: header, block, two line ends. A revisit's block has no payload;
+    its payload is that of the record it refers to. All is told from rebuilt records, whether they are returned or not.
     """
     headers = spark.read.schema(HEADERS).parquet(f"{folder}/headers")
-    joined = headers.join(_verified(spark, folder, with_payload), "payload_sha256", "left")
-    digest = F.when(F.concat(F.lit("sha1:"), "sha1") == _field("WARC-Payload-Digest"), F.col("sha1"))
+    joined = headers.join(_verified(spark, folder), "payload_sha256", "left")
+    text = F.decode("header", "UTF-8")
+    # The header is the WARC block up to an empty line and the HTTP block up to the next.
+    named = joined.withColumn("type", _field("WARC-Type")).withColumn("http", F.octet_length(F.substring_index(text, _END + _END, -2)))
+    lengths = F.regexp_extract_all(text, F.lit(r"\r\nContent-Length: (\d+)\r\n"), 1)
+    named = named.withColumn("declared", F.get(lengths, F.lit(0)).cast("long")).withColumn("payload_bytes", F.get(lengths, F.lit(1)).cast("long"))
+    block = F.when(F.col("type") == "response", F.col("payload")).otherwise(F.lit(b""))
+    rebuilt = named.withColumn("record", F.concat("header", block, F.lit((_END + _END).encode())))
+    # Where the record says its payload stands: behind the header, as many bytes as the HTTP block declares.
+    own = F.when(F.col("type") == "response", F.substring("record", F.octet_length("header") + 1, F.col("payload_bytes").cast("int"))).otherwise(F.col("payload"))
+    length = F.octet_length("record") - F.octet_length("header") + F.col("http") - 4
+    rebuilt = rebuilt.withColumn("sha1", F.sha1(own)).withColumn("whole", (length == F.col("declared")) & (F.octet_length("payload") == F.col("payload_bytes")))
+    digest = F.when(F.col("whole") & (F.concat(F.lit("sha1:"), "sha1") == _field("WARC-Payload-Digest")), F.col("sha1"))
     page = F.regexp_extract(_field("WARC-Record-ID"), r"<urn:page:(-?\d*)>", 1)
     refers = F.regexp_extract(_field("WARC-Refers-To"), r"<urn:page:(-?\d+)>", 1)
-    out = joined.select(
+    return rebuilt.select(
         F.when(page != "", page).cast("long").alias("page_id"),
         F.when(_field("WARC-Target-URI") != "", _field("WARC-Target-URI")).alias("url"),
         "payload_bytes",
-        F.coalesce(digest, F.raise_error(F.lit("payload is missing or differs from its record's digest"))).alias("payload_digest"),
-        _field("WARC-Type").alias("record_type"),
+        F.coalesce(digest, F.raise_error(F.lit("rebuilt record differs from its header"))).alias("payload_digest"),
+        F.col("type").alias("record_type"),
         F.when(refers != "", refers).cast("long").alias("refers_to"),
-        *["payload", "header"] * with_payload,
+        *["payload", "record"] * with_payload,
     )
-    if with_payload:
-        block = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
-        out = out.withColumn("record", F.concat("header", block, F.lit((_END + _END).encode()))).drop("header")
-    return out
