@@ -1,13 +1,14 @@
 """Licence scan: a trained paragraph classifier with a calibrated unknown class and template confirmation.
 
 DataFrame functions and Spark's own feature and regression classes only. A paragraph is a line. Word n-grams (one and two
-words) of the training texts feed a sparse multinomial logistic regression over licence families and ``none``. A
+words) of the training texts feed a sparse multinomial logistic regression over licence families, ``other`` (notices of
+families without a template) and ``none``. A
 paragraph without a feature of non-zero weight scores as the intercepts say, which is ``none``, and is skipped exactly. The
 probability that a paragraph must reach to count as a licence is calibrated on all paragraphs of the corpus but those that
-hold a notice's own words; one that reaches it but whose family's templates don't confirm it is ``unknown``. Only the fit
+hold a notice's own words; one that reaches it and is ``other``, or whose family's templates don't confirm it, is unknown. Only the fit
 itself takes a sample of rows of ``none`` (from at most SAMPLE documents, by a hash of doc_id).
 
-Defined results: null or empty text has no paragraphs; repeated rows of one doc_id and text come out as one row; a
+Defined results: null or empty text has no paragraphs; repeated rows of one doc_id and text get equal rows, one each; a
 null doc_id is a value like others; an empty table gives an empty result; extra columns are not read.
 """
 
@@ -58,6 +59,28 @@ TEMPLATES = {
     "cc0-1.0": ["dedicated to the public domain under CC0 1.0 Universal", "waived all copyright and related rights, CC0 1.0"],
     "proprietary": ["All rights reserved. No part of this publication may be reproduced without written permission", "Proprietary and confidential, unauthorized copying is prohibited"],
 }
+#: Names of public licences that have no template here.
+OTHER = (
+    "ISC License",
+    "Boost Software License, Version 1.0",
+    "European Union Public Licence, EUPL version 1.2",
+    "EUPL version 1.2",
+    "CDDL version 1.0",
+    "zlib License",
+    "Eclipse Public License, version 2.0",
+    "Common Development and Distribution License, version 1.0",
+    "Artistic License 2.0",
+    "SIL Open Font License, Version 1.1",
+    "Python Software Foundation License, version 2",
+    "PostgreSQL Licence",
+    "Microsoft Public License",
+    "Academic Free License, version 3.0",
+    "Open Database License",
+    "W3C Software Notice and License",
+    "University of Illinois Open Source License",
+    "IBM Public License, version 1.0",
+)
+_TERMS = ("Provided under the terms of the {}", "Licensed under the {}", "Released under the {}", "distributed under the terms of the {}", "made available under the {}", "subject to the {}", "The {} applies to this text")
 _FRAMES = ("{}", "{}.", "This work is {}.", "This text is {}.", "The content of this page is {}.", "{} (see LICENSE for details)", "Copyright 2020 the authors. {}.", "# {}", "All files here are {}, unless noted otherwise.")
 #: Sentences that use the words of notices without being one.
 _OTHERS = (
@@ -73,6 +96,8 @@ _OTHERS = (
     "Use the source file and the binary forms for the exercise",
     "The license plate of the car was reported to the police",
     "General terms and conditions are met by most people here",
+    "The version of the story is subject to the taste of the reader",
+    "The terms of the treaty were made available to the press",
 )
 _STOP = "a all an and any are as at be been but by can for free from had has have he her his i if in is it its may most no not of on one or our part people see she so that the their them then there these they this those to under up use was we were what when which who will with work would you your".split()
 _TOKEN = r"[\p{L}\p{N}]+(?:\.\p{N}+)*"
@@ -111,6 +136,8 @@ class Model:
 
 def _training(spark: SparkSession) -> DataFrame:
     rows = [(family, frame.format(t)) for family, some in TEMPLATES.items() for t in some for frame in _FRAMES]
+    spelt = sorted({*OTHER, *(t.replace("License", "Licence") for t in OTHER)})
+    rows += [("other", said.format(t) + end) for t in spelt for said in _TERMS for end in ("", ".")]
     rows += [("none", frame.format(t)) for t in _OTHERS for frame in _FRAMES if "LICENSE" not in frame]
     return spark.createDataFrame(rows, "family string, text string")
 
@@ -136,7 +163,8 @@ def _holds_notice(templates: list[tuple[str, list[str]]], w: Column, triples: Co
 def _notices(spark: SparkSession) -> list[tuple[str, list[str]]]:
     """Each notice's words in one string, and its word triples; a few dozen rows."""
     w = words(F.col("t"))
-    rows = spark.createDataFrame([(t,) for some in TEMPLATES.values() for t in some], "t string")
+    texts = [*(t for some in TEMPLATES.values() for t in some), *(_TERMS[1].format(t) for t in OTHER)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
     return [(r["said"], r["triples"]) for r in rows.select(F.array_join(w, " ").alias("said"), _grams(w, 3).alias("triples")).collect()]
 
 
@@ -179,7 +207,7 @@ def fit(documents: DataFrame, sample: int = SAMPLE) -> Model:
     corpus = line.orderBy(F.xxhash64("line")).limit(10 * sample).select("words")
     corpus = _with_grams(corpus).select(F.lit("none").alias("family"), "grams")
     vocabulary = sorted({g for r in known.collect() for g in r["grams"] if not set(g.split(" ")) <= set(_STOP)})  # of the fixed training texts
-    families = ["none", *TEMPLATES]
+    families = ["none", "other", *TEMPLATES]
     rows = known.union(corpus).withColumn("label", F.array_position(F.lit(families), F.col("family")).cast("double") - 1).coalesce(1)
     counts = CountVectorizerModel.from_vocabulary(vocabulary, "grams", "features").setBinary(True)
     ready = counts.transform(rows).select("family", "label", "features").cache()
@@ -205,11 +233,11 @@ def classified(documents: DataFrame, model: Model) -> DataFrame:
     scored = _scored(documents, model).withColumn("probability", 1 - F.get("p", 0)).where(F.col("probability") >= model.least)
     best = F.array_max(F.slice("p", 2, len(model.families)))
     scored = scored.withColumn("family", F.get(F.lit(model.families), (F.array_position(F.slice("p", 2, len(model.families)), best)).cast("int")))
-    joined = scored.join(F.broadcast(_similarity(documents.sparkSession)), "family")  # a dozen rows
+    joined = scored.join(F.broadcast(_similarity(documents.sparkSession)), "family", "left")  # a dozen rows; ``other`` has none
     joined = NGram(n=3, inputCol="words", outputCol="threes").transform(joined)
     triples = F.concat("threes", F.array(F.array_join(w, " ")))
     alike = F.array_max(F.transform("templates", lambda t: F.size(F.array_intersect(t, triples)) / F.size(F.array_distinct(t))))
-    joined = joined.withColumn("similarity", alike)
+    joined = joined.withColumn("similarity", F.coalesce(alike, F.lit(0.0)))
     return joined.select("doc_id", "text_hash", "line", "family", "probability", "similarity", (F.col("similarity") >= CONFIRM).alias("confirmed"))
 
 
@@ -217,8 +245,13 @@ def scan(documents: DataFrame, model: Model | None = None) -> DataFrame:
     """One row per document: doc_id, n_paragraphs, n_licenses, n_unknown, family (of the most probable confirmed one), probability, similarity."""
     model = fit(documents) if model is None else model
     none = F.lit(None).cast("struct<p:double,s:double,family:string>")
-    lines = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), F.greatest(F.size(_lines()), F.lit(0)).cast("long").alias("n"), none.alias("hit"), F.lit(0).alias("unknown"))
+    lines = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), F.greatest(F.size(_lines()), F.lit(0)).cast("long").alias("n"), none.alias("hit"), F.lit(0).alias("unknown"), F.lit(1).alias("copies"))
     hit = F.when(F.col("confirmed"), F.struct(F.col("probability").alias("p"), F.col("similarity").alias("s"), "family"))
-    found = classified(documents, model).select("doc_id", "text_hash", F.lit(0).cast("long"), hit, (~F.col("confirmed")).cast("int"))
-    out = lines.union(found).groupBy("doc_id", "text_hash").agg(F.max("n").alias("n_paragraphs"), F.count("hit").alias("n_licenses"), F.sum("unknown").alias("n_unknown"), F.max("hit").alias("hit"))
-    return out.select("doc_id", "n_paragraphs", "n_licenses", "n_unknown", F.col("hit.family").alias("family"), F.round("hit.p", 6).alias("probability"), F.round("hit.s", 6).alias("similarity"))
+    found = classified(documents, model).select("doc_id", "text_hash", F.lit(0).cast("long"), hit, (~F.col("confirmed")).cast("int"), F.lit(0))
+    # Rows of one doc_id and text add up the same paragraphs each; they are told apart again by their number.
+    out = lines.union(found).groupBy("doc_id", "text_hash").agg(
+        F.max("n").alias("n_paragraphs"), F.count("hit").alias("licenses"), F.sum("unknown").alias("unknown"), F.max("hit").alias("hit"), F.sum("copies").alias("copies")
+    )
+    share = lambda c: F.expr(f"{c} div copies")
+    out = out.select("*", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    return out.select("doc_id", "n_paragraphs", share("licenses").alias("n_licenses"), share("unknown").alias("n_unknown"), F.col("hit.family").alias("family"), F.round("hit.p", 6).alias("probability"), F.round("hit.s", 6).alias("similarity"))

@@ -43,8 +43,31 @@ def test_families_and_others(spark, model):
     assert got[0].n_paragraphs == 3 and got[0].n_licenses == 1
 
 
+#: None of these names is in the training texts.
+UNSEEN = ["Provided under the terms of the Zope Public License, version 2.1.", "Licensed under the Sleepycat License.", "Released under the Ruby Licence"]
+
+
+def test_unknown_licences(spark, model):
+    seen = ["Provided under the terms of the ISC licence.", "Boost Software License, Version 1.0", "Licensed under the EUPL version 1.2"]
+    docs = documents(spark, [(i, f"{PROSE}\n{t}\n{PROSE}") for i, t in enumerate(seen + UNSEEN)])
+    for r in licenses.scan(docs, model).collect():
+        assert (r.n_paragraphs, r.n_licenses, r.n_unknown, r.family) == (3, 0, 1, None), r
+
+
+def test_counts_against_single_documents(spark, model):
+    """Every document alone gives the row that it has in the table, however often rows are repeated."""
+    text = PROSE + "\n" + "\n".join(NOTICES) + "\n" + UNSEEN[0]
+    texts = [(1, text), (1, text), (1, PROSE), (2, text), (None, text), (None, text), (3, "Released under the MIT License.")]
+    got = sorted(map(tuple, licenses.scan(documents(spark, texts), model).collect()), key=str)
+    alone = [tuple(licenses.scan(documents(spark, [t]), model).first()) for t in texts]
+    assert got == sorted(alone, key=str)
+    assert [r[2:4] for r in alone[:2]] == [(4, 1), (4, 1)]
+
+
 def test_odd_rows(spark, model):
-    rows = {r.doc_id: r for r in licenses.scan(documents(spark, ODD), model).collect()}
+    every = licenses.scan(documents(spark, ODD), model).collect()
+    assert len(every) == len(ODD)
+    rows = {r.doc_id: r for r in every}
     assert set(rows) == {d for d, _ in ODD}
     assert rows[3].n_paragraphs == rows[4].n_paragraphs == rows[5].n_paragraphs == 0
     assert rows[9].n_paragraphs == 900
