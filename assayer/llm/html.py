@@ -39,17 +39,14 @@ _NEVER_OUTSIDE = frozenset(["header"])
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _UNWANTED = frozenset(
     "ad ads advert advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert sidebar menu nav "
-    "navbar navigation breadcrumb breadcrumbs footer comment comments commentlist reply replies disqus share sharing social related recommended newsletter "
+    "navbar navigation breadcrumb breadcrumbs footer share sharing social related recommended newsletter "
     "subscribe signup login popup modal widget pagination pager skip".split()
 )
+_COMMENTS = frozenset("comment comments commentlist reply replies disqus".split())
 _UNWANTED_OUTSIDE = frozenset("header masthead topbar toolbar search".split())
-_TAG = re.compile(
-    r"<!--(?:.*?-->|.*\Z)|<![^>]*>|<\?[^>]*>"
-    r"|<(?P<svg>svg)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?:(?<=/)>|>(?:.*?</svg\s*>|.*\Z))"
-    + "".join(rf"|<(?P<{x}>{x})\b[^>]*>(?:.*?</{x}\s*>|.*\Z)" for x in _RAW)
-    + r"|<(?P<end>/?)(?P<name>[a-z][a-z0-9:-]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>",
-    re.I | re.S,
-)
+_NAME = re.compile(r"<(/?)([a-z][a-z0-9:-]*)", re.I)
+_CLOSE = {x: re.compile(rf"</{x}\s*>", re.I) for x in (*_RAW, "svg")}
+_STOP = re.compile(r">|=\s*([\"'])")
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
 
@@ -57,15 +54,56 @@ WORD, LINKED, APART = 0, 1, 2  # kinds of words: plain, in a link, in an element
 DEFAULT_TAG = -0.4
 #: An element told apart wraps the page if its own words score more than so many times the best region of the rest, and so much besides.
 APART_TIMES, APART_COST = 4, 20
+#: The same for elements named as readers' comments, which may well be longer than the story.
+COMMENT_TIMES = 100
 DEFAULT = {"word": 1.0, "word in link": 0.1} | dict.fromkeys("article b blockquote br code em h1 h2 h3 h4 h5 h6 header i li main ol p pre section span strong ul".split(), -0.05)
 
 
-def _parse(page: str) -> tuple[list[tuple[str, object, int, bool]], list[tuple[int, bool]]]:
-    """(kind, value, innermost element told apart, inside an article) in page order, and of each such element its parent and whether it may wrap.
+def _marks(page: str) -> Iterator[tuple[int, int, bool, str | None, str]]:
+    """(start, end, closing, name, attributes) of tags; comments, declarations and raw elements have no name. One scan, whatever is unclosed."""
+    at, size, last = 0, len(page), {q: page.rfind(q) for q in "\"'"}
+    while (start := page.find("<", at)) >= 0:
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = size if end < 0 else end + 3
+            yield start, at, False, None, ""
+        elif page[start + 1 : start + 2] in ("!", "?"):
+            if (end := page.find(">", start)) < 0:
+                return
+            at = end + 1
+            yield start, at, False, None, ""
+        elif m := _NAME.match(page, start):
+            if (end := _tag_end(page, m.end(), last)) < 0:
+                return
+            name, attributes, at = m[2].lower(), page[m.end() : end], end + 1
+            if not m[1] and name in _CLOSE and not (name == "svg" and attributes.endswith("/")):
+                close = _CLOSE[name].search(page, at)
+                at = close.end() if close else size
+                yield start, at, False, None, ""
+            else:
+                yield start, at, bool(m[1]), name, attributes
+        else:
+            at = start + 1
+
+
+def _tag_end(page: str, at: int, last: dict[str, int]) -> int:
+    """Place of the sign that closes a tag, -1 if there is none; a value's quote that nothing closes is an ordinary sign."""
+    while m := _STOP.search(page, at):
+        if not m[1]:
+            return m.start()
+        at = m.end()
+        if m.end() <= last[m[1]]:
+            at = page.find(m[1], m.end()) + 1
+    return -1
+
+
+def _parse(page: str) -> tuple[list[tuple[str, object, int, bool]], list[tuple[int, int]]]:
+    """(kind, value, innermost element told apart, inside an article) in page order, and of each such element its parent and
+    how many times the best region of the rest it must outweigh to wrap the page (0: it can't).
 
     kind is 'text', 'open' or 'close'; elements told apart count from 1, 0 is none.
     """
-    found, elements = [], [(0, True)]
+    found, elements = [], [(0, APART_TIMES)]
     at, article = 0, 0
     apart: list[list] = []  # name, open tags of that name, article depth outside, number
     named: dict[str, list[int]] = {}  # places in ``apart`` by name
@@ -74,16 +112,15 @@ def _parse(page: str) -> tuple[list[tuple[str, object, int, bool]], list[tuple[i
         while len(apart) > n:
             named[apart.pop()[0]].pop()
 
-    for m in _TAG.finditer(page):
+    for start, end, closing, name, attributes in _marks(page):
         inner = apart[-1][3] if apart else 0
-        if m.start() > at:
-            found.append(("text", page[at : m.start()], inner, article > 0))
-        at = m.end()
-        name = m["name"]
+        if start > at:
+            found.append(("text", page[at:start], inner, article > 0))
+        at = end
         if name is None:
             continue
-        name, closing = name.lower(), bool(m["end"])
-        if name in ("article", "main"):
+        times = 0 if closing or name in _VOID else _apart(name, attributes, article > 0)
+        if name in ("article", "main") and times != COMMENT_TIMES and not named.get(name):
             article = max(0, article + (-1 if closing else 1))
             while closing and apart and apart[-1][2] > article:  # left open inside the article
                 leave(len(apart) - 1)
@@ -96,8 +133,9 @@ def _parse(page: str) -> tuple[list[tuple[str, object, int, bool]], list[tuple[i
                 if not held[1]:
                     article = min(article, held[2])
                     leave(places[-1])
-        elif name not in _VOID and (told := _apart(name, m["rest"], article > 0)):
-            elements.append((inner, told == "wrap" and elements[inner][1]))
+        elif times:
+            around = elements[inner][1]
+            elements.append((inner, max(times, around) if times > 0 and around > 0 else 0))
             named.setdefault(name, []).append(len(apart))
             apart.append([name, 1, article, len(elements) - 1])
         elif places := named.get(name):
@@ -108,20 +146,23 @@ def _parse(page: str) -> tuple[list[tuple[str, object, int, bool]], list[tuple[i
     return found, elements
 
 
-def _apart(name: str, attributes: str, in_article: bool) -> str:
-    """'never' for kinds that are no content, 'wrap' for what may be a wrapper in spite of its kind or names, else ''."""
+def _apart(name: str, attributes: str, in_article: bool) -> int:
+    """-1 for kinds that are no content, 0 for content; for what may be a wrapper in spite of its kind or names, what it must outweigh."""
     if name in _NEVER or (name in _NEVER_OUTSIDE and not in_article):
-        return "wrap" if name in _MAY_WRAP else "never"
+        return APART_TIMES if name in _MAY_WRAP else -1
     if name in ("html", "body") or not attributes.strip():
-        return ""
+        return 0
+    times = 0
     for m in _NAMED.finditer(attributes):
         said = set(_SPLIT.split((m[1] or m[2] or m[3] or "").lower()))
+        if said & _COMMENTS:
+            return COMMENT_TIMES
         if said & _UNWANTED or (not in_article and said & _UNWANTED_OUTSIDE):
-            return "wrap"
-    return ""
+            times = APART_TIMES
+    return times
 
 
-def _wrappers(found: list, elements: list, weights: dict[str, float]) -> set[int]:
+def _wrappers(found: list, elements: list[tuple[int, int]], weights: dict[str, float]) -> set[int]:
     """The element whose own words outweigh all else by far, with those around it; none where an article stands outside."""
     if len(elements) == 1 or any(inside and not e for _, _, e, inside in found):
         return set()
@@ -140,7 +181,7 @@ def _wrappers(found: list, elements: list, weights: dict[str, float]) -> set[int
     start, end = best_region(scores)
     rest = max(0.0, scores[start:end].sum())
     best = max(able, key=lambda e: own[e] - (0 if e in holds else APART_COST))
-    if own[best] <= APART_TIMES * rest + (0 if best in holds else APART_COST):
+    if own[best] <= elements[best][1] * rest + (0 if best in holds else APART_COST):
         return set()
     lifted = set()
     while best:

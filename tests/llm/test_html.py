@@ -83,6 +83,10 @@ WRAPPED = [
     (f"<div><p>{WORDS}</p><p>{SOME}</p></div><div id=comments><article><p>{SOME} {WORDS}</p></article></div>", f"{WORDS}\n\n{SOME}"),
     (f"<article><p>{WORDS}</p></article><div class=comments><article><p>{SOME}</p></article></div>", WORDS),
     (f"<article><p>{WORDS}</p><aside>open<p>{SOME}</article><p>{SOME}</p>", WORDS),
+    (f"<article><p>{WORDS}</p><article id='div-comment-1' class='comment-body'><p>{SOME}</p><article>in it</article></article><p>{SOME}</p></article>", f"{WORDS}\n\n{SOME}"),
+    (f"<article><p>{WORDS}</p></article><article class='comment'><p>{SOME} {SOME} {SOME}</p></article>", WORDS),
+    (f"<div><p>{SOME}</p></div><div class=comments>{'<article class=comment><p>' + WORDS + '</p></article>'}</div>" * 1, SOME),
+    (f"<article><p>{WORDS}</p></article><aside><article><p>{SOME}</p></article></aside>", WORDS),
     (f"<nav>{WORDS} {WORDS}</nav>", ""),
     ("<div class=cookie-banner>We use cookies</div>", ""),
 ]
@@ -91,3 +95,36 @@ WRAPPED = [
 @pytest.mark.parametrize(("page", "want"), WRAPPED)
 def test_wrappers_and_embedded_elements(page, want):
     assert html.extract(page, html.DEFAULT) == want
+
+
+PLAIN = [
+    (f"<body><ul><li><a href=/a>home</a><li><a href=/b>news</a></ul><h1>Head</h1><p>{WORDS}</p><p>{SOME}</p><ul><li><a href=/c>next</a><li><a href=/d>last</a></ul></body>", f"Head\n\n{WORDS}\n\n{SOME}"),
+    (f"<table><tr><td><a href=/>a</a></td><td><a href=/>b</a></td></tr></table><div>{WORDS}</div><div><b>{SOME}</b></div>", f"{WORDS}\n\n{SOME}"),
+    (f"<div><a href=/>x</a><a href=/>y</a></div><blockquote>{WORDS}<pre>{SOME}</pre></blockquote><div><img src=x><input></div>", f"{WORDS}\n\n{SOME}"),
+]
+
+
+@pytest.mark.parametrize(("page", "want"), PLAIN)
+def test_pages_without_article_markup(page, want):
+    weights = html.DEFAULT | {"li": -3.0, "ul": -2.0, "td": -2.0, "tr": -2.0, "a": -2.0}
+    assert html.extract(page, weights) == want
+    start, end = html.best_region(html._scores(kept := html.tokens(page, weights), weights))
+    assert 0 < start or end < len(kept)  # the region is a part of the page
+
+
+@pytest.mark.parametrize("piece", ["<b ", "<b \"", "<b x='", "<!x", "<!--", "<script>", "</", "<svg ", "<b x=\"'", "=' ", "<?"])
+def test_one_scan_over_broken_pages(piece):
+    import time
+
+    def took(n):
+        began = time.process_time()
+        html.extract(f"<p>{WORDS}</p>" + piece * n + ">", html.DEFAULT)
+        html.extract(f"<p>{WORDS}</p>" + piece * n, html.DEFAULT)
+        return time.process_time() - began
+
+    assert took(200_000) < 10  # a scan anew from every sign would take hours
+
+
+def test_quotes_that_nothing_closes():
+    assert html.extract(f"<p title=it's>{WORDS}</p><p class=\"x>{SOME}</p>", html.DEFAULT) == f"{WORDS}\n\n{SOME}"
+    assert html.extract(f"<p title='a > b'>{WORDS}</p>", html.DEFAULT) == WORDS
