@@ -79,7 +79,8 @@ def delong(rows: DataFrame, by: list[str], label: str, a: str, b: str, z: float
     p = placements(placements(rows, by, label, a, "va"), by, label, b, "vb").withColumn("d", F.col("va") - F.col("vb"))
     pos = F.when(F.col(label) == 1, F.col("d"))
     neg = F.when(F.col(label) == 0, F.col("d"))
-    g = p.groupBy(*by).agg(F.count(pos).alias("n_pos"), F.count(neg).alias("n_neg"), F.avg(pos).alias("diff"), F.sqrt(F.try_divide(F.var_samp(pos), F.count(pos)) + F.try_divide(F.var_samp(neg), F.count(neg))).alias("se"))
+    count = lambda k: F.count(F.when(F.col(label) == k, 1))
+    g = p.groupBy(*by).agg(count(1).alias("n_pos"), count(0).alias("n_neg"), F.avg(pos).alias("diff"), F.sqrt(F.try_divide(F.var_samp(pos), F.count(pos)) + F.try_divide(F.var_samp(neg), F.count(neg))).alias("se"))
     return g.select(*by, "n_pos", "n_neg", "diff", (F.col("diff") - z * F.col("se")).alias("low"), (F.col("diff") + z * F.col("se")).alias("high"))
 
 
@@ -126,10 +127,10 @@ def win5_rank_auc(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _pairs_sql(s: str) -> str:
-    return f"CASE WHEN label = 1 THEN (coalesce(sum(1 - label) OVER (PARTITION BY lang ORDER BY {s} RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + sum(1 - label) OVER (PARTITION BY lang ORDER BY {s} RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) / 2 / sum(1 - label) OVER (PARTITION BY lang) ELSE 1 - (coalesce(sum(label) OVER (PARTITION BY lang ORDER BY {s} RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + sum(label) OVER (PARTITION BY lang ORDER BY {s} RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) / 2 / sum(label) OVER (PARTITION BY lang) END"
+    return f"CASE WHEN label = 1 THEN (coalesce(sum(1 - label) OVER (PARTITION BY lang ORDER BY {s} RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + sum(1 - label) OVER (PARTITION BY lang ORDER BY {s} RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) / 2 / nullif(sum(1 - label) OVER (PARTITION BY lang), 0) ELSE 1 - (coalesce(sum(label) OVER (PARTITION BY lang ORDER BY {s} RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + sum(label) OVER (PARTITION BY lang ORDER BY {s} RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) / 2 / nullif(sum(label) OVER (PARTITION BY lang), 0) END"
 
 
-@query(f"WITH {_SCORES}, p AS (SELECT lang, label, {_pairs_sql('a')} - {_pairs_sql('b')} AS d FROM d), g AS (SELECT lang, count(*) FILTER (label = 1) AS n_pos, count(*) FILTER (label = 0) AS n_neg, avg(d) FILTER (label = 1) AS diff, sqrt(var_samp(d) FILTER (label = 1) / count(*) FILTER (label = 1) + var_samp(d) FILTER (label = 0) / count(*) FILTER (label = 0)) AS se FROM p GROUP BY lang) SELECT lang, n_pos, n_neg, round(diff, 6) AS diff, round(diff - 1.959963984540054 * se, 6) AS low, round(diff + 1.959963984540054 * se, 6) AS high FROM g")
+@query(f"WITH {_SCORES}, p AS (SELECT lang, label, {_pairs_sql('a')} - {_pairs_sql('b')} AS d FROM d), g AS (SELECT lang, count(*) FILTER (label = 1) AS n_pos, count(*) FILTER (label = 0) AS n_neg, avg(d) FILTER (label = 1) AS diff, sqrt(var_samp(d) FILTER (label = 1) / nullif(count(*) FILTER (label = 1), 0) + var_samp(d) FILTER (label = 0) / nullif(count(*) FILTER (label = 0), 0)) AS se FROM p GROUP BY lang) SELECT lang, n_pos, n_neg, round(diff, 6) AS diff, round(diff - 1.959963984540054 * se, 6) AS low, round(diff + 1.959963984540054 * se, 6) AS high FROM g")
 def bs3_delong_ci(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(delong(_scores(spark, folder), ["lang"], "label", "a", "b"), ["diff", "low", "high"])
 

@@ -46,21 +46,41 @@ def pair_by_position(full: DataFrame, low: DataFrame, by: str, position: str, ke
     return full.select(*cols).groupBy(by).cogroup(low.select(*cols).groupBy(by)).applyInPandas(pair, schema)
 
 
+#: Side of the grid cells by which boxes meet.
+CELL = 16
+
+
+def overlapping(a: DataFrame, b: DataFrame, by: list[str], box: list[str], more: list[str] | None = None, cell: int = CELL) -> DataFrame:
+    """(by, a, b, overlap, and ``more`` of both sides) for boxes that share some area.
+
+    Boxes meet by the grid cells that they touch, and a pair comes out of the cell that its intersection begins in.
+    """
+    extra = more or []
+
+    def celled(x: DataFrame, side: str) -> DataFrame:
+        at = lambda c: F.floor(F.col(c) / cell)
+        out = x.select(*by, F.col("id").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in box + extra))
+        out = out.withColumn("cx", F.explode(F.sequence(at(f"{side}_{box[0]}"), at(f"{side}_{box[2]}"))))
+        return out.withColumn("cy", F.explode(F.sequence(at(f"{side}_{box[1]}"), at(f"{side}_{box[3]}"))))
+
+    o = iou([F.col(f"a_{c}") for c in box], [F.col(f"b_{c}") for c in box])
+    begins = [F.floor(F.greatest(f"a_{c}", f"b_{c}") / cell) for c in box[:2]]
+    met = celled(a, "a").join(celled(b, "b"), [*by, "cx", "cy"]).where((F.col("cx") == begins[0]) & (F.col("cy") == begins[1]))
+    return met.select(*by, "a", "b", o.alias("overlap"), *(f"{s}_{c}" for s in "ab" for c in extra)).where("overlap > 0")
+
+
 def match_boxes(a: DataFrame, b: DataFrame, by: list[str], box: list[str], least: float) -> DataFrame:
     """Greedy one-to-one pairs of boxes of two readers on one slice, best overlap above ``least`` first, ties by id."""
-    x = a.select(*by, F.col("id").alias("a"), *(F.col(c).alias(f"a_{c}") for c in box))
-    y = b.select(*by, F.col("id").alias("b"), *(F.col(c).alias(f"b_{c}") for c in box))
-    o = iou([F.col(f"a_{c}") for c in box], [F.col(f"b_{c}") for c in box])
-    candidates = x.join(y, by).select(*by, "a", "b", o.alias("overlap")).where(F.col("overlap") > least)
+    candidates = overlapping(a, b, by, box).where(F.col("overlap") > least)
 
     def greedy(rows: pd.DataFrame) -> pd.DataFrame:
-        used_a, used_b, keep = set(), set(), []
-        for i, r in rows.sort_values(["overlap", "a", "b"], ascending=[False, True, True]).iterrows():
-            if r["a"] not in used_a and r["b"] not in used_b:
-                used_a.add(r["a"])
-                used_b.add(r["b"])
+        rows, used_a, used_b, keep = rows.sort_values(["overlap", "a", "b"], ascending=[False, True, True]), set(), set(), []
+        for i, (p, q) in enumerate(zip(rows["a"].tolist(), rows["b"].tolist(), strict=True)):
+            if p not in used_a and q not in used_b:
+                used_a.add(p)
+                used_b.add(q)
                 keep.append(i)
-        return rows.loc[keep]
+        return rows.iloc[keep]
 
     return candidates.groupBy(*by).applyInPandas(greedy, candidates.schema)
 
@@ -105,11 +125,11 @@ _BOXES = "b AS (SELECT user_id AS slice, event_id AS id, event_type AS reader, f
 _BOX = ["x0", "y0", "x1", "y1"]
 
 
-@query(f"WITH {_BOXES}, p AS (SELECT a.slice, a.id AS a, b.id AS b, greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) AS i, (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) AS s FROM b a JOIN b ON a.slice = b.slice AND a.reader = 'click' AND b.reader = 'view') SELECT slice, a, b, round(i / (s - i)::DOUBLE, 6) AS overlap FROM p")
+@query(f"WITH {_BOXES}, p AS (SELECT a.slice, a.id AS a, b.id AS b, greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) AS i, (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) AS s FROM b a JOIN b ON a.slice = b.slice AND a.reader = 'click' AND b.reader = 'view') SELECT slice, a, b, round(i / (s - i)::DOUBLE, 6) AS overlap FROM p WHERE i > 0")
 def prj23_box_iou(spark: SparkSession, folder: str) -> DataFrame:
-    a, b = _boxes(spark, folder, "click").alias("a"), _boxes(spark, folder, "view").alias("b")
-    o = iou([F.col(f"a.{c}") for c in _BOX], [F.col(f"b.{c}") for c in _BOX])
-    return a.join(b, F.col("a.slice") == F.col("b.slice")).select("a.slice", F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.round(o, 6).alias("overlap"))
+    """Boxes that share some area; all others have none."""
+    met = overlapping(_boxes(spark, folder, "click"), _boxes(spark, folder, "view"), ["slice"], _BOX)
+    return met.select("slice", "a", "b", F.round("overlap", 6).alias("overlap"))
 
 
 @query()

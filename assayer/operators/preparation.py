@@ -245,10 +245,10 @@ def prj32_safe_number(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").select("event_id", safe_number(F.get_json_object("props", "$.k")).alias("k"))
 
 
-@query("SELECT conv_id, turn, CASE WHEN regexp_matches(text, '[0-9]{6,}|@') THEN role ELSE left(text, 40) END AS description FROM conversations")
+@query("SELECT conv_id, turn, CASE WHEN regexp_matches(text, '[0-9]{6,}|@') THEN role ELSE text END AS description FROM conversations")
 def prj33_free_text_scrub(spark: SparkSession, folder: str) -> DataFrame:
     """Free text that matches the deny pattern shrinks to its role."""
-    d = F.when(F.col("text").rlike("[0-9]{6,}|@"), F.col("role")).otherwise(F.substring("text", 1, 40))
+    d = F.when(F.col("text").rlike("[0-9]{6,}|@"), F.col("role")).otherwise(F.col("text"))
     return table(spark, folder, "conversations").select("conv_id", "turn", d.alias("description"))
 
 

@@ -20,7 +20,10 @@ from assayer.operators.summaries import rounded
 from assayer.plans.measures import CONTROL, SLICES, slices
 from assayer.sources.tables import table
 
-REPLICATES = 40
+#: Draws of the registered intervals; 25 lie beyond each bound of a 95 % interval. Callers choose their own.
+REPLICATES = 1000
+#: Shufflings of the registered permutation test.
+SHUFFLINGS = 199
 #: Distribution function of the Poisson law with mean 1 at 0, 1, 2 and so on.
 POISSON = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676)
 
@@ -186,35 +189,49 @@ def bs9_representative(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _H = "(n - 1) * (bt - n * pow((n + 1) / 2, 2)) / (r2 - n * pow((n + 1) / 2, 2))"
-_KW = f"r AS (SELECT c_custkey AS u, c_mktsegment AS g, rank() OVER (ORDER BY c_acctbal) + (count(*) OVER (PARTITION BY c_acctbal) - 1) / 2 AS r FROM customer), b AS (SELECT r.*, x.b FROM r, (SELECT unnest(range(1, 21)) AS b) x), l AS (SELECT b, r, row_number() OVER (PARTITION BY b ORDER BY {U_SQL.format(u='u', b='b')}, u) AS i FROM b), q AS (SELECT b, g, row_number() OVER (PARTITION BY b ORDER BY u) AS i FROM b)"
+_KW = f"r AS (SELECT c_custkey AS u, c_mktsegment AS g, rank() OVER (ORDER BY c_acctbal) + (count(*) OVER (PARTITION BY c_acctbal) - 1) / 2 AS r FROM customer), b AS (SELECT r.*, x.b FROM r, (SELECT unnest(range(1, {SHUFFLINGS + 1})) AS b) x), l AS (SELECT b, r, row_number() OVER (PARTITION BY b ORDER BY {U_SQL.format(u='u', b='b')}, u) AS i FROM b), q AS (SELECT b, g, row_number() OVER (PARTITION BY b ORDER BY u) AS i FROM b)"
 
 
-@query(f"WITH {_KW}, s AS (SELECT 0 AS b, g, r FROM r UNION ALL SELECT b, g, r FROM l JOIN q USING (b, i)), e AS (SELECT b, g, sum(r) AS s, count(*) AS n, sum(r * r) AS r2 FROM s GROUP BY ALL), t AS (SELECT b, sum(s * s / n) AS bt, sum(n)::DOUBLE AS n, sum(r2) AS r2 FROM e GROUP BY b), h AS (SELECT b, {_H} AS h FROM t) SELECT round(h.h, 6) AS h, (SELECT count(*) FROM h x WHERE b > 0 AND x.h >= h.h - 1e-9) AS ge, round(((SELECT count(*) FROM h x WHERE b > 0 AND x.h >= h.h - 1e-9) + 1) / 21, 6) AS p FROM h WHERE b = 0")
+@query(f"WITH {_KW}, s AS (SELECT 0 AS b, g, r FROM r UNION ALL SELECT b, g, r FROM l JOIN q USING (b, i)), e AS (SELECT b, g, sum(r) AS s, count(*) AS n, sum(r * r) AS r2 FROM s GROUP BY ALL), t AS (SELECT b, sum(s * s / n) AS bt, sum(n)::DOUBLE AS n, sum(r2) AS r2 FROM e GROUP BY b), h AS (SELECT b, {_H} AS h FROM t) SELECT round(h.h, 6) AS h, (SELECT count(*) FROM h x WHERE b > 0 AND x.h >= h.h - 1e-9) AS ge, round(((SELECT count(*) FROM h x WHERE b > 0 AND x.h >= h.h - 1e-9) + 1) / {SHUFFLINGS + 1}, 6) AS p FROM h WHERE b = 0")
 def bs10_permutation_kruskal(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(permutation_kruskal(table(spark, folder, "customer"), "c_custkey", "c_mktsegment", "c_acctbal", 20), ["h", "p"])
+    return rounded(permutation_kruskal(table(spark, folder, "customer"), "c_custkey", "c_mktsegment", "c_acctbal", SHUFFLINGS), ["h", "p"])
 
 
-def friedman_exact(ranks: DataFrame, subject: str, condition: str, rank: str, n_subjects: int, k: int) -> DataFrame:
-    """Q and its exact p over all (k!)**n within-subject permutations, numbered in mixed radix; for few subjects."""
+def friedman_exact(ranks: DataFrame, subject: str, condition: str, rank: str, k: int) -> DataFrame:
+    """Q and its exact p over all (k!)**n within-subject orders.
+
+    The orders are not listed: the states after each subject are the sorted rank sums and the share of orders that reach
+    them, and the next subject adds each of its k! orders to every state. There are at most as many states as ways to write
+    n k (k + 1) / 2 as k sums, which is polynomial in n.
+    """
     from itertools import permutations
     from math import factorial
 
-    spark, f = ranks.sparkSession, factorial(k)
-    q = lambda s2: 12 / (n_subjects * k * (k + 1)) * s2 - 3 * n_subjects * (k + 1)
+    n = ranks.select(subject).distinct().count()
+    q = lambda s2: 12 / (n * k * (k + 1)) * s2 - 3 * n * (k + 1)
     seen = ranks.groupBy(condition).agg(F.sum(rank).alias("s")).agg(q(F.sum(F.col("s") * F.col("s"))).alias("q")).first()["q"]  # a scalar
-    perms = F.lit([list(p) for p in permutations(range(1, k + 1))])
-    ids = spark.range(f**n_subjects)
-    digit = lambda i: F.get(perms, (F.floor(F.col("id") / f**i) % f).cast("int"))
-    sums = [sum((F.get(digit(i), c) for i in range(1, n_subjects)), F.get(digit(0), c)) for c in range(k)]
-    all_ = ids.select(q(sum((s * s for s in sums[1:]), sums[0] * sums[0])).alias("x"))
-    return all_.agg(F.lit(seen).alias("q"), F.avg((F.col("x") >= seen - 1e-9).cast("int")).alias("p"))
+    orders = [tuple(o) for o in permutations(range(1, k + 1))]
+    states = {(0,) * k: 1.0}
+    for _ in range(n):
+        after: dict[tuple[int, ...], float] = {}
+        for sums, share in states.items():
+            for o in orders:
+                new = tuple(sorted(map(sum, zip(sums, o, strict=True))))
+                after[new] = after.get(new, 0.0) + share / factorial(k)
+        states = after
+    p = sum(share for sums, share in states.items() if q(sum(s * s for s in sums)) >= seen - 1e-9)
+    return ranks.sparkSession.createDataFrame([(float(seen), float(p))], "q double, p double")
+
+
+#: By one subject at a time: every state of rank sums takes each of the six orders of three conditions.
+_FRIEDMAN = f"WITH RECURSIVE {SLICES}, m AS (SELECT vendor, dose, avg(cnr) AS v FROM s GROUP BY ALL), r AS (SELECT vendor, dose, rank() OVER (PARTITION BY vendor ORDER BY v) AS r FROM m), t AS (SELECT dose, sum(r) AS s FROM r GROUP BY dose), n AS (SELECT count(DISTINCT vendor) AS n FROM r), q AS (SELECT 12.0::DOUBLE / (n * 12) * sum(s * s) - 12 * n AS q FROM t, n GROUP BY n), o AS (SELECT * FROM (VALUES (1, 2, 3), (1, 3, 2), (2, 1, 3), (2, 3, 1), (3, 1, 2), (3, 2, 1)) o(a, b, c)), f(i, w) AS (SELECT 0, [{{{{'x': 0, 'y': 0, 'z': 0, 'p': 1.0::DOUBLE}}}}] UNION ALL SELECT i + 1, (SELECT list({{{{'x': x, 'y': y, 'z': z, 'p': p}}}}) FROM (SELECT u.s.x + a AS x, u.s.y + b AS y, u.s.z + c AS z, sum(u.s.p / 6) AS p FROM (SELECT unnest(w) AS s) u, o GROUP BY ALL)) FROM f, n WHERE i < n), e AS (SELECT unnest(w) AS s FROM f, n WHERE i = n) SELECT round(q, 6) AS q, round(sum(CASE WHEN 12.0::DOUBLE / (n * 12) * (s.x * s.x + s.y * s.y + s.z * s.z) - 12 * n >= q - 1e-9 THEN s.p ELSE 0 END), 6) AS p FROM e, q, n GROUP BY q"
 
 
-@query(f"WITH {SLICES}, m AS (SELECT vendor, dose, avg(cnr) AS v FROM s WHERE vendor IN ('NATION_1', 'NATION_2', 'NATION_3', 'NATION_4') GROUP BY ALL), r AS (SELECT vendor, dose, rank() OVER (PARTITION BY vendor ORDER BY v) AS r FROM m), t AS (SELECT dose, sum(r) AS s FROM r GROUP BY dose), q AS (SELECT 12.0::DOUBLE / 48 * sum(s * s) - 48 AS q FROM t), p AS (SELECT * FROM (VALUES (0, [1, 2, 3]), (1, [1, 3, 2]), (2, [2, 1, 3]), (3, [2, 3, 1]), (4, [3, 1, 2]), (5, [3, 2, 1])) x(d, p)), a AS (SELECT a.p[1] + b.p[1] + c.p[1] + d.p[1] AS x, a.p[2] + b.p[2] + c.p[2] + d.p[2] AS y, a.p[3] + b.p[3] + c.p[3] + d.p[3] AS z FROM p a, p b, p c, p d) SELECT round(q, 6) AS q, round(avg((12.0::DOUBLE / 48 * (x * x + y * y + z * z) - 48 >= q - 1e-9)::INT), 6) AS p FROM a, q GROUP BY q")
+@query(_FRIEDMAN.replace("{{", "{").replace("}}", "}"))
 def bs11_friedman_exact(spark: SparkSession, folder: str) -> DataFrame:
-    s = slices(spark, folder).where(F.col("vendor").isin("NATION_1", "NATION_2", "NATION_3", "NATION_4"))
-    m = s.groupBy("vendor", "dose").agg(F.avg("cnr").alias("v"))
-    return rounded(friedman_exact(m.select("vendor", "dose", mid_rank(["vendor"], "v").alias("r")), "vendor", "dose", "r", 4, 3), ["q", "p"])
+    """Over all vendors as subjects."""
+    m = slices(spark, folder).groupBy("vendor", "dose").agg(F.avg("cnr").alias("v"))
+    return rounded(friedman_exact(m.select("vendor", "dose", mid_rank(["vendor"], "v").alias("r")), "vendor", "dose", "r", 3), ["q", "p"])
 
 
 @query(f"WITH {SLICES}, m AS (SELECT vendor, method, avg(score_a) AS a, avg(score_b) AS b FROM s GROUP BY ALL), g AS (SELECT vendor, count(*) FILTER (a <> b) AS n, count(*) FILTER (a < b) AS k FROM m GROUP BY vendor) SELECT vendor, n, k, round(least(1.0, 2 * list_sum(list_transform(range(0, least(k, n - k) + 1), lambda j: exp(coalesce(list_sum(list_transform(range(1, j + 1), lambda i: ln((n - i + 1) / i))), 0) - n * ln(2))))), 6) AS p FROM g")
@@ -240,7 +257,7 @@ def bs4_bootstrap_auc_diff(spark: SparkSession, folder: str) -> DataFrame:
     from assayer.operators.curves import _scores
 
     s = _scores(spark, folder).withColumn("unit", F.col("a") * 1009 + F.col("b"))
-    s = s.withColumn("rep", F.explode(_numbers(0, 20))).withColumn("m", weight(F.col("rep"), F.col("unit"))).where("m > 0")
+    s = s.withColumn("rep", F.explode(_numbers(0, REPLICATES))).withColumn("m", weight(F.col("rep"), F.col("unit"))).where("m > 0")
 
     def weighted(score: str) -> DataFrame:
         rows = s.groupBy("lang", "rep", score).agg(F.sum(F.col("m") * F.col("label")).alias("p"), F.sum(F.col("m") * (1 - F.col("label"))).alias("q"))

@@ -170,3 +170,73 @@ def test_drift_stream_pauses_a_reader(spark, tmp_path):
     run_stream(flows.drift_stream(stream, "reader", "ok").writeStream.format("memory").queryName("drift").outputMode("append").start())
     got = {(r.reader, r.window): r.paused for r in spark.table("drift").collect()}
     assert got == {("a", 0): False, ("a", 1): False, ("b", 0): True}
+
+
+def test_consolidated_readers_against_a_plain_pass(spark):
+    import random
+    import statistics
+
+    from assayer.operators.records import consolidate_readers
+
+    rng = random.Random(2)
+    marks = []
+    for i in range(240):
+        x, y, w = rng.randint(0, 12), rng.randint(0, 12), rng.randint(6, 10)
+        marks.append((i % 3, i % 4, rng.choice("abc"), i, x, y, x + w, y + w, float(w), rng.randint(1, 5)))
+
+    def iou(p, q):
+        both = max(0, min(p[2], q[2]) - max(p[0], q[0])) * max(0, min(p[3], q[3]) - max(p[1], q[1]))
+        return both / ((p[2] - p[0]) * (p[3] - p[1]) + (q[2] - q[0]) * (q[3] - q[1]) - both)
+
+    want = []
+    for case, z in sorted({m[:2] for m in marks}):
+        own = sorted((m for m in marks if m[:2] == (case, z)), key=lambda m: (m[2], m[3]))
+        readers = len({m[2] for m in marks if m[0] == case})
+        while own:
+            lead, group = own[0], [m for m in own if iou(own[0][4:8], m[4:8]) >= 0.3]
+            own = [m for m in own if m not in group]
+            n = len({m[2] for m in group})
+            assert lead in group
+            if n > 0.5 * readers:
+                want.append((case, z, *(float(statistics.median(c)) for c in zip(*(m[4:8] for m in group))), float(statistics.median(m[8] for m in group)), int(statistics.median(m[9] for m in group)), n))
+    names = "slice long, z long, reader string, id long, x0 long, y0 long, x1 long, y1 long, diameter double, texture long"
+    got = consolidate_readers(spark.createDataFrame(marks, names), ["slice", "z"]).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_boxes_meet_in_cells_as_in_all_pairs(spark):
+    import random
+
+    from assayer.operators.matching import overlapping
+
+    rng = random.Random(1)
+    box = lambda i: (i % 2, i, x := rng.randint(-40, 40), y := rng.randint(-40, 40), x + rng.randint(0, 40), y + rng.randint(0, 40))
+    a, b = [box(i) for i in range(60)], [box(i) for i in range(60)]
+    names = "s long, id long, x0 long, y0 long, x1 long, y1 long"
+    got = overlapping(spark.createDataFrame(a, names), spark.createDataFrame(b, names), ["s"], ["x0", "y0", "x1", "y1"]).collect()
+    area = lambda p, q: max(0, min(p[4], q[4]) - max(p[2], q[2])) * max(0, min(p[5], q[5]) - max(p[3], q[3]))
+    assert sorted((r.a, r.b) for r in got) == sorted((p[1], q[1]) for p in a for q in b if p[0] == q[0] and area(p, q) > 0)
+
+
+def test_friedman_against_listed_orders(spark):
+    from itertools import permutations, product
+
+    from assayer.operators.resampling import friedman_exact
+
+    ranks = [(s, c, float(r)) for s, own in enumerate([(1, 2, 3), (1, 3, 2), (1, 2, 3), (2, 1, 3)]) for c, r in enumerate(own)]
+    got = friedman_exact(spark.createDataFrame(ranks, "s long, c long, r double"), "s", "c", "r", 3).first()
+    q = lambda sums: 12 / (4 * 3 * 4) * sum(x * x for x in sums) - 3 * 4 * 4
+    seen = q([sum(r for _, c, r in ranks if c == k) for k in range(3)])
+    every = [q([sum(c) for c in zip(*some)]) for some in product(permutations((1, 2, 3)), repeat=4)]
+    assert abs(got.q - seen) < 1e-9 and abs(got.p - sum(x >= seen - 1e-9 for x in every) / len(every)) < 1e-9
+
+
+def test_degenerate_orientation_is_an_error(spark):
+    import pytest
+    from pyspark.sql import functions as F
+
+    from assayer.operators.records import along_axis
+
+    one = [F.lit(1.0), F.lit(0.0), F.lit(0.0)]
+    with pytest.raises(Exception, match="orientation"):
+        spark.range(1).select(along_axis(one, one, one)).collect()
