@@ -141,7 +141,7 @@ def encoder(path: str, most: int = KEPT, code: str = "<u4") -> Encoder:
 
 
 def release() -> None:
-    """Gives a task's pieces back; the worker lives on, and may serve other operators."""
+    """Gives a task's pieces back where a worker lives on to serve other operators; else the next task finds them, KEPT at most."""
     for held in _ENCODERS.values():
         held.known.clear()
 
