@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from assayer.llm import decontaminate, html, licenses, minhash, packing, quality, rans, suffix_dedup, toxicity, warc
 from assayer.llm.sql import SQL as SQL
@@ -28,7 +29,9 @@ def op3_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return suffix_dedup.dedup(table(spark, folder, "documents")).drop("kept")
+    """Beside the counts the text that is left; a character that a cut runs through is marked as broken."""
+    found = suffix_dedup.dedup(table(spark, folder, "documents"))
+    return found.withColumn("text", F.make_valid_utf8(F.col("kept").cast("string"))).drop("kept")
 
 
 def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
