@@ -31,7 +31,7 @@ from assayer.plans.store import Scratch
 CAPACITY = 4096
 END_ID = 1
 #: Rows of one length that one task ranks.
-RANK_BLOCK = 65_536
+RANK_BLOCK = 512
 
 
 def pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
