@@ -1,7 +1,10 @@
-"""Image arrays as data: per-slice arrays, and a stencil over exploded pixels."""
+"""Image arrays as data: an image is an array in its row, and stencils run inside the row, so no pixel is shuffled."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from math import exp
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +15,8 @@ from assayer.sources.tables import table
 SIDE = 8
 #: A separable smoothing kernel over three neighbours.
 TAPS = [(-1, 0.25), (0, 0.5), (1, 0.25)]
+#: Width and reach of the Gaussian below the high band, in pixels.
+BAND = (1.0, 4)
 
 
 def total(a: Column) -> Column:
@@ -34,8 +39,42 @@ def normalize(a: Column, low: float, width: float) -> Column:
 
 def pixels(images: DataFrame, key: str, px: str, side: int) -> DataFrame:
     """key, y, x, v: one row a pixel."""
-    p = images.select(key, F.posexplode(px).alias("i", "v"))
-    return p.select(key, F.floor(F.col("i") / side).cast("int").alias("y"), (F.col("i") % side).alias("x"), F.col("v").cast("double").alias("v"))
+    return placed(images.select(key, F.col(px).alias("v")), key, side)
+
+
+def placed(images: DataFrame, key: str, width: int) -> DataFrame:
+    """key, y, x, v of an array column ``v`` of rows of ``width``; no shuffle."""
+    p = images.select(key, F.posexplode("v").alias("i", "v"))
+    return p.select(key, F.floor(F.col("i") / width).cast("int").alias("y"), (F.col("i") % width).alias("x"), F.col("v").cast("double").alias("v"))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, also where a lambda inside uses it for every element; null of null."""
+    return F.get(F.transform(F.array(value), lambda v: F.when(v.isNotNull(), body(v))), F.lit(0))
+
+
+def doubles(a: Column) -> Column:
+    return F.transform(a, lambda v: v.cast("double"))
+
+
+def image(height: int, width: int, f: Callable[[Column, Column], Column]) -> Column:
+    """The array of f(y, x), row by row."""
+    return F.transform(F.sequence(F.lit(0), F.lit(height * width - 1)), lambda i: f(F.floor(i / width).cast("int"), i % width))
+
+
+def mean(a: Column) -> Column:
+    return total(a) / F.size(a)
+
+
+def spread(a: Column) -> Column:
+    """Population standard deviation."""
+    return let(mean(a), lambda m: F.sqrt(total(F.transform(a, lambda v: (v - m) * (v - m))) / F.size(a)))
+
+
+def gaussian(sigma: float, reach: int) -> list[tuple[int, float]]:
+    """Taps of a Gaussian cut at ``reach``, of sum 1."""
+    raw = [exp(-0.5 * (d / sigma) ** 2) for d in range(-reach, reach + 1)]
+    return [(d, w / sum(raw)) for d, w in zip(range(-reach, reach + 1), raw, strict=True)]
 
 
 def reflect(c: Column, side: int) -> Column:
@@ -43,66 +82,118 @@ def reflect(c: Column, side: int) -> Column:
     return F.when(c < 0, -1 - c).when(c >= side, 2 * side - 1 - c).otherwise(c)
 
 
-def smooth(p: DataFrame, key: str, side: int, taps: list[tuple[int, float]]) -> DataFrame:
-    """Separable stencil, one axis a pass: every pixel goes to its neighbours and weighted values add up there.
+def smooth(a: Column, side: int, taps: list[tuple[int, float]]) -> Column:
+    """Separable stencil inside the row, one axis a pass; edges are mirrored, and taps reach no further than the side.
 
-    On a mirrored edge a symmetric kernel is its own transpose, so sending and collecting agree.
+    A missing pixel makes those missing that it reaches; an array of another length is missing beyond its end.
     """
-    kernel = F.lit([d for d, _ in taps]), F.lit([w for _, w in taps])
-    for axis, other in (("y", "x"), ("x", "y")):
-        sent = p.select(key, other, axis, "v", F.posexplode(kernel[0]).alias("k", "d"))
-        sent = sent.select(key, other, reflect(F.col(axis) + F.col("d"), side).alias(axis), (F.col("v") * F.get(kernel[1], F.col("k"))).alias("v"))
-        p = sent.groupBy(key, "y", "x").agg(F.sum("v").alias("v"))
-    return p
+    weighted = lambda at: sum((at(d) * w for d, w in taps[1:]), at(taps[0][0]) * taps[0][1])
+    down = let(doubles(a), lambda px: image(side, side, lambda y, x: weighted(lambda d: F.get(px, reflect(y + d, side) * side + x))))
+    return let(down, lambda px: image(side, side, lambda y, x: weighted(lambda d: F.get(px, y * side + reflect(x + d, side)))))
 
 
-def sobel(p: DataFrame, key: str) -> DataFrame:
-    """Gradient magnitude at inner pixels from weighted neighbours, one aggregation."""
-    offsets = [(dy, dx, dx * (2 - abs(dy)), dy * (2 - abs(dx))) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dy, dx) != (0, 0)]
-    sent = p.select(key, "y", "x", "v", F.explode(F.array(*(F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx"), F.lit(float(c)).alias("gx"), F.lit(float(d)).alias("gy")) for a, b, c, d in offsets))).alias("o"))
-    g = sent.groupBy(key, (F.col("y") - F.col("o.dy")).alias("y"), (F.col("x") - F.col("o.dx")).alias("x")).agg(F.sum(F.col("v") * F.col("o.gx")).alias("gx"), F.sum(F.col("v") * F.col("o.gy")).alias("gy"), F.count("*").alias("n"))
-    return g.where("n = 8").select(key, "y", "x", F.hypot("gx", "gy").alias("g"))
+def highpass(a: Column, side: int, taps: list[tuple[int, float]]) -> Column:
+    return F.zip_with(doubles(a), smooth(a, side, taps), lambda v, g: v - g)
 
 
-def ssim(a: DataFrame, b: DataFrame, key: str, side: int, taps: list[tuple[int, float]], span: float = 1.0) -> DataFrame:
-    """Mean structural similarity over pixels whose window lies inside: five separable stencils in one pass.
-
-    The five moments travel together, so the pixels are shuffled once an axis and not once a moment.
-    """
-    m = a.withColumnRenamed("v", "p").join(b.withColumnRenamed("v", "t"), [key, "y", "x"])
-    names = ["p", "t", "pp", "tt", "pt"]
-    m = m.select(key, "y", "x", "p", "t", (F.col("p") * F.col("p")).alias("pp"), (F.col("t") * F.col("t")).alias("tt"), (F.col("p") * F.col("t")).alias("pt"))
+def windowed(a: Column, side: int, taps: list[tuple[int, float]]) -> Column:
+    """Separable stencil at pixels whose window lies inside."""
     reach = max(d for d, _ in taps)
-    for axis, other in (("y", "x"), ("x", "y")):
-        sent = m.select(key, other, axis, *names, F.explode(F.array(*(F.struct(F.lit(d).alias("d"), F.lit(w).alias("w")) for d, w in taps))).alias("k"))
-        sent = sent.select(key, other, (F.col(axis) + F.col("k.d")).alias(axis), *((F.col(n) * F.col("k.w")).alias(n) for n in names))
-        m = sent.where(F.col(axis).between(reach, side - 1 - reach)).groupBy(key, "y", "x").agg(*(F.sum(n).alias(n) for n in names))
+    inner = side - 2 * reach
+    weighted = lambda at: sum((at(d) * w for d, w in taps[1:]), at(taps[0][0]) * taps[0][1])
+    down = let(a, lambda px: image(inner, side, lambda y, x: weighted(lambda d: F.get(px, (y + reach + d) * side + x))))
+    return let(down, lambda px: image(inner, inner, lambda y, x: weighted(lambda d: F.get(px, y * side + x + reach + d))))
+
+
+def sobel(a: Column, side: int) -> Column:
+    """Gradient magnitude; missing at the edge, where no neighbour is on one side."""
+    offsets = [(dy, dx, dx * (2 - abs(dy)), dy * (2 - abs(dx))) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
+
+    def at(px: Column, y: Column, x: Column) -> Column:
+        slope = lambda k: sum((F.get(px, (y + o[0]) * side + x + o[1]) * float(o[k]) for o in offsets if o[k]), F.lit(0.0))
+        return F.when(y.between(1, side - 2) & x.between(1, side - 2), F.hypot(slope(2), slope(3)))
+
+    return let(doubles(a), lambda px: image(side, side, lambda y, x: at(px, y, x)))
+
+
+def ssim(a: Column, b: Column, side: int, taps: list[tuple[int, float]], span: float = 1.0) -> Column:
+    """Mean structural similarity over pixels whose window lies inside: five windowed moments of one row."""
     c1, c2 = (0.01 * span) ** 2, (0.03 * span) ** 2
-    p, t = F.col("p"), F.col("t")
-    top = (2 * p * t + c1) * (2 * (F.col("pt") - p * t) + c2)
-    low = (p * p + t * t + c1) * (F.col("pp") - p * p + F.col("tt") - t * t + c2)
-    return m.groupBy(key).agg(F.avg(top / low).alias("ssim"))
+    by = lambda x, y: F.zip_with(x, y, lambda p, q: p * q)
 
+    def similarity(m: Column, i: Column) -> Column:
+        p, t, pp, tt, pt = (F.get(m[n], i) for n in ("p", "t", "pp", "tt", "pt"))
+        return (2 * p * t + c1) * (2 * (pt - p * t) + c2) / ((p * p + t * t + c1) * (pp - p * p + tt - t * t + c2))
 
-def best_patch(p: DataFrame, key: str, size: int, side: int) -> DataFrame:
-    """The patch (top, left) with the best score: mean value less a share of its spread; ties by place."""
-    starts = F.sequence(F.lit(0), F.lit(side - size))
-    grid = p.select(key, "y", "x", "v", F.explode(starts).alias("top")).where(F.col("y").between(F.col("top"), F.col("top") + size - 1))
-    grid = grid.select("*", F.explode(starts).alias("left")).where(F.col("x").between(F.col("left"), F.col("left") + size - 1))
-    scored = grid.groupBy(key, "top", "left").agg((F.avg("v") - 0.5 * F.stddev_pop("v")).alias("score"))
-    best = F.max_by(F.struct("top", "left", "score"), F.struct(F.round("score", 9), -F.col("top"), -F.col("left")))
-    return scored.groupBy(key).agg(best.alias("b")).select(key, "b.*")
+    def moments(x: Column) -> Column:
+        given = {"p": x["a"], "t": x["b"], "pp": by(x["a"], x["a"]), "tt": by(x["b"], x["b"]), "pt": by(x["a"], x["b"])}
+        return F.struct(*(windowed(v, side, taps).alias(n) for n, v in given.items()))
 
+    both = F.struct(doubles(a).alias("a"), doubles(b).alias("b"))
+    return let(both, lambda x: let(moments(x), lambda m: mean(F.transform(F.sequence(F.lit(0), F.size(m["p"]) - 1), lambda i: similarity(m, i)))))
 
-def matched_filter(p: DataFrame, key: str, side: int, sigma: float) -> DataFrame:
-    """Response to a fixed zero-mean template at the centre: linear, so one weighted sum a slice."""
-    from math import exp
 
+def best_patch(a: Column, size: int, side: int) -> Column:
+    """The patch (top, left, score) with the best score: mean value less a share of its spread; ties by place."""
+    starts = side - size + 1
+
+    def scored(px: Column, top: Column, left: Column) -> Column:
+        patch = image(size, size, lambda y, x: F.get(px, (top + y) * side + left + x))
+        return let(patch, lambda v: let(mean(v) - 0.5 * spread(v), lambda s: F.struct(F.round(s, 9).alias("r"), (-top).alias("t"), (-left).alias("l"), s.alias("score"))))
+
+    best = let(doubles(a), lambda px: F.array_max(image(starts, starts, lambda top, left: scored(px, top, left))))
+    return let(best, lambda b: F.struct((-b["t"]).alias("top"), (-b["l"]).alias("left"), b["score"].alias("score")))
+
+
+def weighed(a: Column, weights: list[float]) -> Column:
+    return total(F.zip_with(doubles(a), F.lit(weights), lambda v, w: v * w))
+
+
+def centred(side: int, sigma: float) -> list[float]:
+    """A Gaussian about the middle of the grid, row by row."""
     c = (side - 1) / 2
-    raw = {(y, x): exp(-((y - c) ** 2 + (x - c) ** 2) / (2 * sigma**2)) for y in range(side) for x in range(side)}
-    mean = sum(raw.values()) / len(raw)
-    template = F.lit([raw[y, x] - mean for y in range(side) for x in range(side)])
-    return p.groupBy(key).agg(F.sum(F.col("v") * F.get(template, (F.col("y") * side + F.col("x")).cast("int"))).alias("score"))
+    return [exp(-((y - c) ** 2 + (x - c) ** 2) / (2 * sigma**2)) for y in range(side) for x in range(side)]
+
+
+def matched_filter(a: Column, side: int, sigma: float) -> Column:
+    """Response to a fixed zero-mean template at the centre: linear, so one weighted sum a slice."""
+    raw = centred(side, sigma)
+    return weighed(a, [v - sum(raw) / len(raw) for v in raw])
+
+
+def channel_responses(a: Column, side: int, channels: list[tuple[float, float]]) -> Column:
+    """Responses to difference-of-Gaussian channels at the centre."""
+    return F.array(*(weighed(a, [u - v for u, v in zip(centred(side, s), centred(side, t), strict=True)]) for s, t in channels))
+
+
+def peak(a: Column, side: int, reach: int = 1, margin: int = 1) -> Column:
+    """(y, x, v) of the strongest pixel off the margin that none within ``reach`` exceeds; ties by place, null if there is none."""
+    near = [(dy, dx) for dy in range(-reach, reach + 1) for dx in range(-reach, reach + 1)]
+
+    def at(px: Column, y: Column, x: Column) -> Column:
+        v = F.get(px, y * side + x)
+        inside = lambda dy, dx: (y + dy).between(0, side - 1) & (x + dx).between(0, side - 1)
+        top = F.greatest(*(F.when(inside(dy, dx), F.get(px, (y + dy) * side + x + dx)) for dy, dx in near))
+        here = y.between(margin, side - 1 - margin) & x.between(margin, side - 1 - margin) & (v == top)
+        return F.when(here, F.struct(v.alias("v"), (-y).alias("y"), (-x).alias("x")))
+
+    best = let(doubles(a), lambda px: F.array_max(image(side, side, lambda y, x: at(px, y, x))))
+    return let(best, lambda b: F.when(b.isNotNull(), F.struct((-b["y"]).alias("y"), (-b["x"]).alias("x"), b["v"].alias("v"))))
+
+
+def part(a: Column, side: int, inside: Callable[[Column, Column], Column]) -> Column:
+    """The pixels at places for which ``inside(y, x)`` holds."""
+    return F.filter(doubles(a), lambda v, i: inside(F.floor(i / side), i % side))
+
+
+def level(a: Column, q: float) -> Column:
+    """Quantile of an array by linear interpolation; equal neighbours give their own value."""
+    def between(s: Column) -> Column:
+        at = (F.size(s) - 1) * q
+        low = F.floor(at).cast("int")
+        return F.get(s, low) + F.coalesce((F.get(s, low + 1) - F.get(s, low)) * (at - low), F.lit(0.0))
+
+    return let(F.array_sort(a), between)
 
 
 def correlation(a: Column, b: Column) -> Column:
@@ -140,43 +231,42 @@ def im1_psnr(spark: SparkSession, folder: str) -> DataFrame:
     f"WITH {_PX}, k AS (SELECT unnest([-1, 0, 1]) AS d, unnest([0.25::DOUBLE, 0.5, 0.25]) AS w), m AS (SELECT a.vec_id, a.y, a.x, a.v AS p, b.v AS t FROM x a JOIN x b ON b.vec_id = a.vec_id + 1 AND a.y = b.y AND a.x = b.x), g AS (SELECT vec_id, y + j.d AS y, x + i.d AS x, sum(p * j.w * i.w) AS p, sum(t * j.w * i.w) AS t, sum(p * p * j.w * i.w) AS pp, sum(t * t * j.w * i.w) AS tt, sum(p * t * j.w * i.w) AS pt FROM m, k j, k i WHERE y + j.d BETWEEN 1 AND 6 AND x + i.d BETWEEN 1 AND 6 GROUP BY ALL) SELECT vec_id, round(avg((2 * p * t + 0.0001) * (2 * (pt - p * t) + 0.0009) / ((p * p + t * t + 0.0001) * (pp - p * p + tt - t * t + 0.0009))), 6) AS ssim FROM g GROUP BY vec_id"
 )
 def im2_ssim(spark: SparkSession, folder: str) -> DataFrame:
-    p = pixels(table(spark, folder, "embeddings"), "vec_id", "embedding", SIDE)
-    return rounded(ssim(p, p.withColumn("vec_id", F.col("vec_id") - 1), "vec_id", SIDE, TAPS), ["ssim"])
+    return _pairs(spark, folder).select("vec_id", F.round(ssim(F.col("a"), F.col("b"), SIDE, TAPS), 6).alias("ssim"))
 
 
 @query(f"WITH {_PX}, s AS (SELECT vec_id, t.a AS top, l.a AS \"left\", avg(v) - 0.5 * stddev_pop(v) AS score FROM x, (SELECT unnest(range(6))::INT AS a) t, (SELECT unnest(range(6))::INT AS a) l WHERE y BETWEEN t.a AND t.a + 2 AND x BETWEEN l.a AND l.a + 2 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(score, 9) DESC, top, \"left\") AS k FROM s) SELECT vec_id, top, \"left\", round(score, 6) AS score FROM r WHERE k = 1")
 def im8_tissue_roi(spark: SparkSession, folder: str) -> DataFrame:
-    p = pixels(table(spark, folder, "embeddings"), "vec_id", "embedding", SIDE)
-    return rounded(best_patch(p, "vec_id", 3, SIDE), ["score"])
+    best = table(spark, folder, "embeddings").select("vec_id", best_patch(F.col("embedding"), 3, SIDE).alias("b"))
+    return rounded(best.select("vec_id", "b.*"), ["score"])
 
 
 @query(f"WITH {_PX}, e AS (SELECT vec_id, v, exp(-((y - 3.5) * (y - 3.5) + (x - 3.5) * (x - 3.5)) / 4.5) AS w FROM x), m AS (SELECT avg(w) AS m FROM e WHERE vec_id = 0) SELECT vec_id, round(sum(v * (w - m)), 6) AS score FROM e, m GROUP BY vec_id")
 def im13_npwe_score(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(matched_filter(pixels(table(spark, folder, "embeddings"), "vec_id", "embedding", SIDE), "vec_id", SIDE, 1.5), ["score"])
+    return table(spark, folder, "embeddings").select("vec_id", F.round(matched_filter(F.col("embedding"), SIDE, 1.5), 6).alias("score"))
 
 
 @query(f"WITH {_PX}, {_SMOOTH} SELECT vec_id, y, x, round(v, 6) AS v FROM g")
 def im4_blur_control(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(smooth(pixels(table(spark, folder, "embeddings"), "vec_id", "embedding", SIDE), "vec_id", SIDE, TAPS), ["v"])
+    return rounded(placed(table(spark, folder, "embeddings").select("vec_id", smooth(F.col("embedding"), SIDE, TAPS).alias("v")), "vec_id", SIDE), ["v"])
 
 
-@query(f"WITH {_PX}, {_SMOOTH} SELECT vec_id, y, x, round(x.v - g.v, 6) AS v FROM x JOIN g USING (vec_id, y, x)")
-def im3_gaussian_highpass(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(highpass(pixels(table(spark, folder, "embeddings"), "vec_id", "embedding", SIDE), "vec_id"), ["v"])
+_REFLECT = "CASE WHEN {c} + d < 0 THEN -1 - {c} - d WHEN {c} + d > 7 THEN 15 - {c} - d ELSE {c} + d END"
+_HIGH = f"r AS (SELECT d, exp(-0.5 * d * d / {BAND[0] ** 2}) AS e FROM (SELECT unnest(range(-{BAND[1]}, {BAND[1] + 1})) AS d)), k AS (SELECT d, e / (SELECT sum(e) FROM r) AS w FROM r), a AS MATERIALIZED (SELECT vec_id, x, {_REFLECT.format(c='y')} AS y, sum(v * w) AS v FROM x, k GROUP BY ALL), g AS MATERIALIZED (SELECT vec_id, y, {_REFLECT.format(c='x')} AS x, sum(v * w) AS v FROM a, k GROUP BY ALL), h AS MATERIALIZED (SELECT x.vec_id, x.y, x.x, x.v - g.v AS v FROM x JOIN g USING (vec_id, y, x))"
 
 
-def highpass(p: DataFrame, key: str) -> DataFrame:
-    g = smooth(p, key, SIDE, TAPS).withColumnRenamed("v", "g")
-    return p.join(g, [key, "y", "x"]).select(key, "y", "x", (F.col("v") - F.col("g")).alias("v"))
+@query(f"WITH {_PX}, {_HIGH} SELECT vec_id, y, x, round(v, 6) AS v FROM h")
+def im3_gaussian_highpass(spark: SparkSession, folder: str) -> DataFrame:
+    """An image less its Gaussian: the band of about a pixel."""
+    return rounded(placed(table(spark, folder, "embeddings").select("vec_id", highpass(F.col("embedding"), SIDE, gaussian(*BAND)).alias("v")), "vec_id", SIDE), ["v"])
 
 
-@query(f"WITH {_PX}, {_SMOOTH}, h AS (SELECT vec_id, y, x, x.v - g.v AS v FROM x JOIN g USING (vec_id, y, x)), e AS (SELECT vec_id, sum(v * v) AS whole, sum(v * v) FILTER (y BETWEEN 2 AND 5 AND x BETWEEN 2 AND 5) AS roi FROM h GROUP BY vec_id) SELECT a.vec_id, round(a.whole / b.whole, 6) AS full_ratio, round(a.roi / greatest(b.roi, 1e-4 * b.whole), 6) AS roi_ratio FROM e a JOIN e b ON b.vec_id = a.vec_id + 1")
+@query(f"WITH {_PX}, {_HIGH}, e AS (SELECT vec_id, sum(v * v) AS whole, sum(v * v) FILTER (y BETWEEN 2 AND 5 AND x BETWEEN 2 AND 5) AS roi FROM h GROUP BY vec_id) SELECT a.vec_id, round(a.whole / b.whole, 6) AS full_ratio, round(a.roi / greatest(b.roi, 1e-4 * b.whole), 6) AS roi_ratio FROM e a JOIN e b ON b.vec_id = a.vec_id + 1")
 def im5_band_energy_ratio(spark: SparkSession, folder: str) -> DataFrame:
     """High-frequency energy of an image over its reference's, whole and in the centre; the denominator has a floor."""
-    h = highpass(pixels(table(spark, folder, "embeddings"), "vec_id", "embedding", SIDE), "vec_id")
-    roi = F.col("y").between(2, 5) & F.col("x").between(2, 5)
-    sq = F.col("v") * F.col("v")
-    e = h.groupBy("vec_id").agg(F.sum(sq).alias("whole"), F.sum(F.when(roi, sq)).alias("roi"))
+    h = table(spark, folder, "embeddings").select("vec_id", highpass(F.col("embedding"), SIDE, gaussian(*BAND)).alias("h"))
+    sq = lambda a: total(F.transform(a, lambda v: v * v))
+    roi = part(F.col("h"), SIDE, lambda y, x: y.between(2, 5) & x.between(2, 5))
+    e = h.select("vec_id", sq(F.col("h")).alias("whole"), sq(roi).alias("roi"))
     b = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("whole").alias("w"), F.col("roi").alias("r"))
     return rounded(e.join(b, "vec_id").select("vec_id", (F.col("whole") / F.col("w")).alias("full_ratio"), (F.col("roi") / F.greatest("r", 1e-4 * F.col("w"))).alias("roi_ratio")), ["full_ratio", "roi_ratio"])
 
@@ -189,26 +279,21 @@ def im6_template_corr(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"WITH {_PX}, m AS (SELECT a.vec_id, a.y, a.x, a.v, max(b.v) AS top FROM x a JOIN x b ON a.vec_id = b.vec_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 WHERE a.y BETWEEN 1 AND 6 AND a.x BETWEEN 1 AND 6 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, y, x) AS k FROM m WHERE v = top) SELECT vec_id, y, x, round(v, 6) AS v FROM r WHERE k = 1")
 def im7_micro_peak(spark: SparkSession, folder: str) -> DataFrame:
     """The strongest local maximum off the margin."""
-    p = pixels(table(spark, folder, "embeddings"), "vec_id", "embedding", SIDE)
-    near = F.array(*(F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a in (-1, 0, 1) for b in (-1, 0, 1)))
-    sent = p.select("vec_id", "y", "x", "v", F.explode(near).alias("o"))
-    top = sent.groupBy("vec_id", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x")).agg(F.max("v").alias("top"), F.max(F.when((F.col("o.dy") == 0) & (F.col("o.dx") == 0), F.col("v"))).alias("v"))
-    at = top.where((F.col("v") == F.col("top")) & F.col("y").between(1, 6) & F.col("x").between(1, 6))
-    best = F.max_by(F.struct("y", "x", "v"), F.struct("v", -F.col("y"), -F.col("x")))
-    return rounded(at.groupBy("vec_id").agg(best.alias("b")).select("vec_id", "b.*"), ["v"])
+    best = table(spark, folder, "embeddings").select("vec_id", peak(F.col("embedding"), SIDE).alias("b")).where("b is not null")
+    return rounded(best.select("vec_id", "b.*"), ["v"])
 
 
 @query(f"WITH {_PX}, k AS (SELECT * FROM (VALUES (-1, -1, -1, -1), (-1, 0, 0, -2), (-1, 1, 1, -1), (0, -1, -2, 0), (0, 1, 2, 0), (1, -1, -1, 1), (1, 0, 0, 2), (1, 1, 1, 1)) t(dy, dx, gx, gy)), s AS (SELECT vec_id, y - dy AS y, x - dx AS x, sum(v * gx) AS gx, sum(v * gy) AS gy, count(*) AS n FROM x, k GROUP BY ALL) SELECT vec_id, y, x, round(sqrt(gx * gx + gy * gy), 6) AS g FROM s WHERE n = 8")
 def im9_sobel_gradient(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(sobel(pixels(table(spark, folder, "embeddings"), "vec_id", "embedding", SIDE), "vec_id"), ["g"])
+    g = placed(table(spark, folder, "embeddings").select("vec_id", sobel(F.col("embedding"), SIDE).alias("v")), "vec_id", SIDE)
+    return g.where("v is not null").select("vec_id", "y", "x", F.round("v", 6).alias("g"))
 
 
 @query(f"WITH {_PX}, s AS (SELECT vec_id, avg(v) FILTER (y BETWEEN 3 AND 4 AND x BETWEEN 3 AND 4) AS m1, avg(v) FILTER (y < 2) AS m0, stddev_pop(v) FILTER (y < 2) AS sd FROM x GROUP BY vec_id) SELECT vec_id, round(CASE WHEN sd > 0 THEN (m1 - m0) / sd ELSE 'inf'::DOUBLE END, 6) AS cnr FROM s")
 def im10_roi_cnr(spark: SparkSession, folder: str) -> DataFrame:
-    p = pixels(table(spark, folder, "embeddings"), "vec_id", "embedding", SIDE)
-    inside = F.when(F.col("y").between(3, 4) & F.col("x").between(3, 4), F.col("v"))
-    outside = F.when(F.col("y") < 2, F.col("v"))
-    s = p.groupBy("vec_id").agg(F.avg(inside).alias("m1"), F.avg(outside).alias("m0"), F.stddev_pop(outside).alias("sd"))
+    px = F.col("embedding")
+    inside, outside = part(px, SIDE, lambda y, x: y.between(3, 4) & x.between(3, 4)), part(px, SIDE, lambda y, x: y < 2)
+    s = table(spark, folder, "embeddings").select("vec_id", mean(inside).alias("m1"), mean(outside).alias("m0"), spread(outside).alias("sd"))
     return s.select("vec_id", F.round(F.when(F.col("sd") > 0, (F.col("m1") - F.col("m0")) / F.col("sd")).otherwise(float("inf")), 6).alias("cnr"))
 
 
@@ -218,11 +303,8 @@ _CHANNELS = [(0.5, 1.0), (1.0, 2.0), (2.0, 4.0), (4.0, 8.0)]
 @query(f"WITH {_PX}, c AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {a}::DOUBLE, {b}::DOUBLE)" for i, (a, b) in enumerate(_CHANNELS)) + ") t(channel, a, b)) SELECT vec_id, channel, round(sum(v * (exp(-((y - 3.5) * (y - 3.5) + (x - 3.5) * (x - 3.5)) / (2 * a * a)) - exp(-((y - 3.5) * (y - 3.5) + (x - 3.5) * (x - 3.5)) / (2 * b * b)))), 6) AS response FROM x, c GROUP BY ALL")
 def im11_channel_response(spark: SparkSession, folder: str) -> DataFrame:
     """Responses to difference-of-Gaussian channels at the centre."""
-    p = pixels(table(spark, folder, "embeddings"), "vec_id", "embedding", SIDE)
-    d2 = (F.col("y") - 3.5) * (F.col("y") - 3.5) + (F.col("x") - 3.5) * (F.col("x") - 3.5)
-    weights = F.array(*(F.exp(-d2 / (2 * a * a)) - F.exp(-d2 / (2 * b * b)) for a, b in _CHANNELS))
-    r = p.select("vec_id", "v", F.posexplode(weights).alias("channel", "w"))
-    return r.groupBy("vec_id", "channel").agg(F.round(F.sum(F.col("v") * F.col("w")), 6).alias("response"))
+    r = table(spark, folder, "embeddings").select("vec_id", F.posexplode(channel_responses(F.col("embedding"), SIDE, _CHANNELS)).alias("channel", "response"))
+    return rounded(r, ["response"])
 
 
 @query()
@@ -236,9 +318,8 @@ def im12_cho_auc(spark: SparkSession, folder: str) -> DataFrame:
     from assayer.operators.curves import rank_auc
 
     n = len(_CHANNELS)
-    r = im11_channel_response(spark, folder).groupBy("vec_id").pivot("channel", list(range(n))).agg(F.first("response"))
-    e = table(spark, folder, "embeddings").select("vec_id", (F.col("label") % 2).alias("present"))
-    rows = r.join(e, "vec_id")
+    e = table(spark, folder, "embeddings").select((F.col("label") % 2).alias("present"), channel_responses(F.col("embedding"), SIDE, _CHANNELS).alias("r"))
+    rows = e.select("present", *(F.get("r", F.lit(i)).alias(str(i)) for i in range(n)))
     c = [F.col(str(i)) for i in range(n)]
     stats = [F.avg(x).alias(f"m{i}") for i, x in enumerate(c)] + [F.covar_samp(c[i], c[j]).alias(f"c{i}{j}") for i in range(n) for j in range(n)]
     by = {s["present"]: s for s in rows.groupBy("present").agg(F.count("*").alias("n"), *stats).collect()}  # two rows
@@ -261,8 +342,9 @@ def im14_lesion_insert(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"WITH {_PX} SELECT vec_id, (y // 2)::INT AS y, (x // 2)::INT AS x, round(sum(v * 0.25), 6) AS v FROM x GROUP BY ALL")
 def im15_grid_resample(spark: SparkSession, folder: str) -> DataFrame:
     """Bilinear resampling to twice the spacing: targets lie midway between four pixels of equal weight."""
-    p = pixels(table(spark, folder, "embeddings"), "vec_id", "embedding", SIDE)
-    return p.groupBy("vec_id", F.floor(F.col("y") / 2).cast("int").alias("y"), F.floor(F.col("x") / 2).cast("int").alias("x")).agg(F.round(F.sum(F.col("v") * 0.25), 6).alias("v"))
+    half = SIDE // 2
+    four = lambda px: image(half, half, lambda y, x: sum((F.get(px, (2 * y + j) * SIDE + 2 * x + i) for j, i in ((0, 1), (1, 0), (1, 1))), F.get(px, 2 * y * SIDE + 2 * x)) * 0.25)
+    return rounded(placed(table(spark, folder, "embeddings").select("vec_id", let(doubles(F.col("embedding")), four).alias("v")), "vec_id", half), ["v"])
 
 
 @query(f"WITH {_P}, d AS (SELECT vec_id, unnest(list_transform(list_zip(a, b), lambda z: abs(z[1] - z[2]))) AS d FROM p) SELECT vec_id, round(max(d), 6) AS worst, round(sqrt(avg(d * d)), 6) AS rmse, round(avg((d <= 0.1)::INT), 6) AS within FROM d GROUP BY vec_id")
@@ -276,11 +358,11 @@ def im16_image_agreement(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"WITH {_PX}, t AS (SELECT vec_id, quantile_cont(abs(v), 0.9) AS t FROM x GROUP BY vec_id), f AS (SELECT x.vec_id, abs(v) > t AS flag, y BETWEEN 3 AND 4 AND x BETWEEN 3 AND 4 AS lesion FROM x JOIN t USING (vec_id)) SELECT vec_id, round(avg(flag::INT), 6) AS flagged_share, count(*) FILTER (flag AND lesion) AS flagged, count(*) FILTER (lesion AND NOT flag) AS missed, round(count(*) FILTER (flag AND lesion) / count(*) FILTER (lesion)::DOUBLE, 6) AS recall FROM f GROUP BY vec_id")
 def im17_uq_association(spark: SparkSession, folder: str) -> DataFrame:
     """Pixels above the 90th percentile of uncertainty against the lesion's pixels; recall in its bounded form."""
-    p = pixels(table(spark, folder, "embeddings"), "vec_id", "embedding", SIDE).withColumn("u", F.abs("v"))
-    f = p.join(p.groupBy("vec_id").agg(F.percentile("u", 0.9).alias("t")), "vec_id")
-    flag, lesion = F.col("u") > F.col("t"), F.col("y").between(3, 4) & F.col("x").between(3, 4)
-    n = lambda c: F.count(F.when(c, 1))
-    return rounded(f.groupBy("vec_id").agg(F.avg(flag.cast("int")).alias("flagged_share"), n(flag & lesion).alias("flagged"), n(lesion & ~flag).alias("missed"), (n(flag & lesion) / n(lesion)).alias("recall")), ["flagged_share", "recall"])
+    u = table(spark, folder, "embeddings").select("vec_id", F.transform(doubles(F.col("embedding")), F.abs).alias("u")).withColumn("t", level(F.col("u"), 0.9))
+    lesion = part(F.col("u"), SIDE, lambda y, x: y.between(3, 4) & x.between(3, 4))
+    above = lambda a: F.size(F.filter(a, lambda v: v > F.col("t"))).cast("long")
+    n = u.select("vec_id", (above(F.col("u")) / F.size("u")).alias("flagged_share"), above(lesion).alias("flagged"), F.size(lesion).cast("long").alias("n"))
+    return rounded(n.select("vec_id", "flagged_share", "flagged", (F.col("n") - F.col("flagged")).alias("missed"), (F.col("flagged") / F.col("n")).alias("recall")), ["flagged_share", "recall"])
 
 
 @query("WITH r AS (SELECT l_suppkey AS series, l_orderkey AS slice, l_linenumber AS line, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS i, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem), k AS (SELECT *, i // greatest(n // 48, 1) AS k FROM r WHERE i % greatest(n // 48, 1) = 0) SELECT series, slice, line, k FROM k WHERE k < 48")

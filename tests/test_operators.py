@@ -4,14 +4,18 @@ import hashlib
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from assayer.operators import agreement, board, curves, gates, matching, preparation, resampling
+from assayer.operators import agreement, board, curves, gates, grids, matching, preparation, registry, resampling
 from assayer.sources import readers, writers
 from assayer.streaming import flows
 
 
+registry.load()
+
+
 def rows(df):
     return sorted(map(tuple, df.collect()), key=repr)
 
@@ -240,3 +244,30 @@ def test_degenerate_orientation_is_an_error(spark):
     one = [F.lit(1.0), F.lit(0.0), F.lit(0.0)]
     with pytest.raises(Exception, match="orientation"):
         spark.range(1).select(along_axis(one, one, one)).collect()
+
+
+def test_image_stencils_in_the_row(spark):
+    rng = np.random.default_rng(4)
+    a = rng.random((8, 8))
+    taps = grids.gaussian(1.0, 4)
+    padded = np.pad(a, 4, mode="symmetric")
+    down = sum(w * padded[4 + d : 12 + d] for d, w in taps)
+    want = sum(w * down[:, 4 + d : 12 + d] for d, w in taps)
+    df = spark.createDataFrame([(1, a.ravel().tolist()), (2, None), (3, [1.0] * 64), (4, [])], "k long, px array<double>")
+    px = F.col("px")
+    got = {r["k"]: r for r in df.select("k", grids.smooth(px, 8, taps).alias("s"), grids.peak(px, 8).alias("p"), grids.best_patch(px, 3, 8).alias("b"), grids.level(px, 0.9).alias("q"), grids.ssim(px, px, 8, grids.TAPS).alias("i")).collect()}
+    assert np.allclose(np.array(got[1]["s"]).reshape(8, 8), want)
+    assert np.isclose(got[1]["q"], np.quantile(a, 0.9))
+    assert np.isclose(got[1]["i"], 1.0)
+    assert got[2]["s"] is None and got[2]["b"] is None and got[2]["q"] is None
+    assert tuple(got[3]["p"]) == (1, 1, 1.0) and tuple(got[3]["b"])[:2] == (0, 0)
+    assert got[4]["q"] is None and got[4]["p"] is None
+    top = {(y, x): a[y, x] for y in range(1, 7) for x in range(1, 7) if a[y, x] == a[y - 1 : y + 2, x - 1 : x + 2].max()}
+    best = max(top, key=lambda k: top[k]) if top else None
+    assert tuple(got[1]["p"])[:2] == best
+
+
+def test_image_stencils_do_not_shuffle(spark, sf):
+    for name in ("im3_gaussian_highpass", "im4_blur_control", "im7_micro_peak", "im8_tissue_roi", "im9_sobel_gradient", "im10_roi_cnr", "im11_channel_response", "im13_npwe_score", "im15_grid_resample", "im17_uq_association"):
+        plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan, name
