@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assayer.operators.board import finite
+from assayer.operators.ranks import below, mid_ranks, same
 from assayer.operators.registry import query
 from assayer.operators.summaries import rounded
 from assayer.plans.measures import SLICES, slices
@@ -46,7 +47,7 @@ def max_gain(curve: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
 
 
 def mid_rank(by: list[str], value: str) -> Column:
-    """Mean rank of tied values, smallest first."""
+    """Mean rank of tied values, smallest first, for small groups; ``ranks.mid_ranks`` is for groups of any size."""
     w = Window.partitionBy(*by)
     return F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2
 
@@ -54,28 +55,33 @@ def mid_rank(by: list[str], value: str) -> Column:
 def rank_auc(rows: DataFrame, by: list[str], label: str, score: str) -> DataFrame:
     """Mann-Whitney area under the curve, ties counted half: n log n, never all pairs.
 
-    Scores are counted per distinct value first, so the window runs over distinct scores.
+    Scores are counted per distinct value first and ranked range by range.
     """
-    c = rows.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*by, score).agg(F.sum(label).alias("p"), F.sum(1 - F.col(label)).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    c = c.withColumn("won", F.col("p") * (below + F.col("q") / 2))
+    c = _by_score(rows, by, label, score).withColumn("won", F.col("p") * (F.col("q_below") + F.col("q") / 2))
     out = c.groupBy(*by).agg(F.sum("p").cast("long").alias("n_pos"), F.sum("q").cast("long").alias("n_neg"), F.sum("won").alias("won"))
     return out.select(*by, "n_pos", "n_neg", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("won") / (F.col("n_pos") * F.col("n_neg"))).alias("auc"))
 
 
+def _by_score(rows: DataFrame, by: list[str], label: str, score: str) -> DataFrame:
+    """Positives p and negatives q per distinct score, with those of smaller scores; a row without a score or label is left out."""
+    c = rows.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*by, score).agg(F.sum(label).alias("p"), F.sum(1 - F.col(label)).alias("q"))
+    return below(c, by, score, ["p", "q"])
+
+
 def placements(rows: DataFrame, by: list[str], label: str, score: str, name: str) -> DataFrame:
-    """Adds each row's placement among the other class: the share of it below, ties half."""
-    w = Window.partitionBy(*by).orderBy(score)
-    lower, upto = w.rangeBetween(Window.unboundedPreceding, -1), w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    all_ = Window.partitionBy(*by)
-    neg, pos = 1 - F.col(label), F.col(label)
-    below = lambda x: (F.coalesce(F.sum(x).over(lower), F.lit(0)) + F.sum(x).over(upto)) / 2
-    v = F.when(F.col(label) == 1, F.try_divide(below(neg), F.sum(neg).over(all_))).otherwise(1 - F.try_divide(below(pos), F.sum(pos).over(all_)))
-    return rows.withColumn(name, v)
+    """Adds each row's placement among the other class: the share of it below, ties half.
+
+    Worked out per distinct score and joined back; a row without a score or label is left out.
+    """
+    c = _by_score(rows, by, label, score)
+    share = lambda x: F.try_divide(F.col(f"{x}_below") + F.col(x) / 2, F.col(f"{x}_all"))
+    v = same(rows.where(F.col(label).isNotNull()), c.select(*by, score, share("q").alias("_q"), (1 - share("p")).alias("_p")), [*by, score])
+    return v.withColumn(name, F.when(F.col(label) == 1, F.col("_q")).otherwise(F.col("_p"))).drop("_q", "_p")
 
 
 def delong(rows: DataFrame, by: list[str], label: str, a: str, b: str, z: float = 1.959963984540054) -> DataFrame:
-    """Difference of two paired areas with its interval from the variance of placements."""
+    """Difference of two paired areas with its interval from the variance of placements; rows need both scores."""
+    rows = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     p = placements(placements(rows, by, label, a, "va"), by, label, b, "vb").withColumn("d", F.col("va") - F.col("vb"))
     pos = F.when(F.col(label) == 1, F.col("d"))
     neg = F.when(F.col(label) == 0, F.col("d"))
@@ -137,5 +143,5 @@ def bs3_delong_ci(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"WITH {_SCORES}, r AS (SELECT lang, rank() OVER (PARTITION BY lang ORDER BY a) + (count(*) OVER (PARTITION BY lang, a) - 1) / 2 AS ra, rank() OVER (PARTITION BY lang ORDER BY b) + (count(*) OVER (PARTITION BY lang, b) - 1) / 2 AS rb FROM d) SELECT lang, count(*) AS n, round(corr(ra, rb), 6) AS rho FROM r GROUP BY lang")
 def im18_spearman(spark: SparkSession, folder: str) -> DataFrame:
-    r = _scores(spark, folder).select("lang", mid_rank(["lang"], "a").alias("ra"), mid_rank(["lang"], "b").alias("rb"))
+    r = mid_ranks(mid_ranks(_scores(spark, folder), ["lang"], "a", "ra"), ["lang"], "b", "rb")
     return r.groupBy("lang").agg(F.count("*").alias("n"), F.round(F.corr("ra", "rb"), 6).alias("rho"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.operators.preparation import split_bucket, split_name
+from assayer.operators.ranks import positions, ranges
 from assayer.operators.registry import query
 from assayer.plans.store import Scratch
 from assayer.sources import readers, writers
@@ -73,13 +74,11 @@ def src9_audit_jsonl_scan(spark: SparkSession, folder: str) -> DataFrame:
 def src10_result_docs_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Nested result documents, seed -> dose -> aligned vectors, as rows again."""
     line, part = table(spark, folder, "lineitem"), table(spark, folder, "part")
-    order = F.array_sort(F.collect_list(F.struct("l_orderkey", "l_partkey", "l_extendedprice", "l_linenumber", "l_quantity", F.col("l_suppkey").cast("string").alias("p"))))
-    g = line.join(part, line.l_partkey == part.p_partkey).groupBy(F.col("p_brand").alias("model"), (F.col("l_linenumber") % 2).cast("string").alias("seed"), "l_returnflag").agg(order.alias("v"))
-    vectors = F.struct(F.transform("v", lambda x: x["l_quantity"]).alias("cnr"), F.transform("v", lambda x: x["p"]).alias("patient_id"))
-    d = g.groupBy("model", "seed").agg(F.map_from_entries(F.collect_list(F.struct("l_returnflag", vectors))).alias("per_dose"))
-    docs = d.groupBy("model").agg(F.map_from_entries(F.collect_list(F.struct("seed", F.struct("per_dose")))).alias("per_seed"))
-    docs.write.json(path := _new(spark))
-    return readers.result_vectors(spark, path).withColumn("pos", F.col("pos").cast("long"))
+    order = ["l_orderkey", "l_partkey", "l_extendedprice", "l_linenumber", "l_quantity"]
+    rows = line.join(part, line.l_partkey == part.p_partkey).select(F.col("p_brand").alias("model"), (F.col("l_linenumber") % 2).cast("string").alias("seed"), F.col("l_returnflag").alias("dose"), *order, F.col("l_suppkey").cast("string").alias("patient_id"), F.col("l_quantity").alias("cnr"))
+    placed = positions(rows, ["model", "seed", "dose"], order, ranges(line, "l_orderkey"), "pos")
+    writers.write_results(placed, path := _new(spark))
+    return readers.result_vectors(spark, path)
 
 
 @query("SELECT url, CASE WHEN regexp_matches(lower(url), 'full|fd') THEN 'full' WHEN regexp_matches(lower(url), 'quarter|low|ld') THEN 'low' ELSE 'unknown' END AS role, page_id FROM pages")

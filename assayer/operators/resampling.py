@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from assayer.operators.board import finite
 from assayer.operators.curves import mid_rank
 from assayer.operators.preparation import equivalence_verdict
+from assayer.operators.ranks import RANGES, mid_ranks, positions, ranges
 from assayer.operators.registry import query
 from assayer.operators.summaries import rounded
 from assayer.plans.measures import CONTROL, SLICES, slices
@@ -111,16 +112,15 @@ def kruskal(ranks: DataFrame, by: list[str], group: str, rank: str) -> DataFrame
 def permutation_kruskal(rows: DataFrame, unit: str, group: str, value: str, replicates: int) -> DataFrame:
     """H of the labels as they are and the share of label shufflings with as large an H.
 
-    A shuffling pairs the i-th row by a random key with the i-th label by another order; both ranks come from the
-    same bounded number of replicates, whose windows run side by side.
+    A shuffling pairs the i-th row by a random key with the i-th label by unit. Both places are counted range by range: a key
+    is uniform, so its ranges are even, and the labels' places are worked out once for all shufflings.
     """
-    r = rows.where(F.col(value).isNotNull()).select(unit, group, mid_rank([], value).alias("r"))
+    r = mid_ranks(rows, [], value, "r").select(unit, group, "r")
     seen = kruskal(r, [], group, "r").select(F.lit(0).cast("long").alias("b"), "h")
-    b = r.withColumn("b", F.explode(_numbers(1, replicates + 1)))
-    key = uniform(F.col("b"), F.col(unit))
-    left = b.select("b", "r", F.row_number().over(Window.partitionBy("b").orderBy(key, unit)).alias("i"))
-    right = b.select("b", group, F.row_number().over(Window.partitionBy("b").orderBy(unit)).alias("i"))
-    h = seen.union(kruskal(left.join(right, ["b", "i"]), ["b"], group, "r").select("b", "h"))
+    b = r.select(unit, "r", F.explode(_numbers(1, replicates + 1)).alias("b")).withColumn("key", uniform(F.col("b"), F.col(unit)))
+    left = positions(b, ["b"], ["key", unit], F.floor(F.col("key") * RANGES), "i").select("b", "r", "i")
+    right = positions(r.select(unit, group), [], [unit], ranges(r, unit), "i").select(group, "i")
+    h = seen.union(kruskal(left.join(right, "i"), ["b"], group, "r").select("b", "h"))
     # One value a replicate, so the list is as long as there are replicates.
     both = h.agg(F.max(F.when(F.col("b") == 0, F.col("h"))).alias("h"), F.collect_list(F.when(F.col("b") > 0, F.col("h"))).alias("all"))
     ge = F.size(F.filter("all", lambda x: x >= F.col("h") - 1e-9)).cast("long")
@@ -174,12 +174,25 @@ def bs7_paired_separation(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(percentile_ci(r.select("method", "dose", (F.col("k") / F.col("mean")).alias("mean")), ["method", "dose"]), ["low", "high"])
 
 
+#: Values of a vector that are hashed in one row.
+BLOCK = 4096
+
+
+def pool_replicates(rows: DataFrame, model: str, seed: str, pos: str, value: str) -> DataFrame:
+    """Per model: seeds, distinct vectors, and whether some repeat. A vector's digest is that of its blocks' digests."""
+    block = F.transform(F.array_sort(F.collect_list(F.struct(pos, F.coalesce(F.col(value).cast("string"), F.lit("null")).alias("v")))), lambda x: x["v"])
+    b = rows.groupBy(model, seed, F.floor(F.col(pos) / BLOCK).alias("k")).agg(F.sha2(F.array_join(block, ","), 256).alias("h"))
+    whole = F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda x: x["h"])
+    v = b.groupBy(model, seed).agg(F.sha2(F.array_join(whole, ","), 256).alias("h"))
+    return v.groupBy(model).agg(F.count("*").alias("n_seeds"), F.countDistinct("h").alias("n_distinct"), (F.count("*") > F.countDistinct("h")).alias("degenerate"))
+
+
 @query("WITH v AS (SELECT l_suppkey AS model, l_linenumber % 3 AS seed, sha256(string_agg(l_quantity::INT::VARCHAR, ',' ORDER BY l_orderkey, l_partkey, l_extendedprice)) AS h FROM lineitem GROUP BY ALL) SELECT model, count(*) AS n_seeds, count(DISTINCT h) AS n_distinct, count(*) > count(DISTINCT h) AS degenerate FROM v GROUP BY model")
 def bs8_pool_replicates(spark: SparkSession, folder: str) -> DataFrame:
     """Replicates of a model whose vectors are identical count once."""
-    vector = F.transform(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_partkey", "l_extendedprice", F.col("l_quantity").cast("int").cast("string").alias("q")))), lambda x: x["q"])
-    v = table(spark, folder, "lineitem").groupBy(F.col("l_suppkey").alias("model"), (F.col("l_linenumber") % 3).alias("seed")).agg(F.sha2(F.array_join(vector, ","), 256).alias("h"))
-    return v.groupBy("model").agg(F.count("*").alias("n_seeds"), F.countDistinct("h").alias("n_distinct"), (F.count("*") > F.countDistinct("h")).alias("degenerate"))
+    line = table(spark, folder, "lineitem")
+    rows = line.select(F.col("l_suppkey").alias("model"), (F.col("l_linenumber") % 3).alias("seed"), "l_orderkey", "l_partkey", "l_extendedprice", F.col("l_quantity").cast("int").alias("v"))
+    return pool_replicates(positions(rows, ["model", "seed"], ["l_orderkey", "l_partkey", "l_extendedprice"], ranges(line, "l_orderkey"), "pos"), "model", "seed", "pos", "v")
 
 
 @query("SELECT event_type, round(avg(value) FILTER (isfinite(value)), 6) AS mean, round(quantile_cont(value, 0.5) FILTER (isfinite(value)), 6) AS median FROM events GROUP BY event_type")

@@ -10,7 +10,7 @@ SERIES = (
     "acquisition struct<manufacturer:string,model:string,kvp:double,slice_thickness_mm:double,pixel_spacing_mm:array<double>>, "
     "demographics struct<age_years:int,sex:string>, provenance struct<canonical_patient_key:string,n_slices:int>"
 )
-RESULTS = "model string, per_seed map<string,struct<per_dose:map<string,struct<cnr:array<double>,patient_id:array<string>>>>>"
+RESULTS = "model string, start long, per_seed map<string,struct<per_dose:map<string,struct<cnr:array<double>,patient_id:array<string>>>>>"
 #: Words that stand for a missing digest.
 PLACEHOLDERS = ("", "-", "TBD", "N/A", "NONE", "PENDING")
 
@@ -28,10 +28,10 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def result_vectors(spark: SparkSession, path: str) -> DataFrame:
     """model, seed, dose, pos, patient_id, cnr: the aligned vectors of nested result documents as rows."""
     docs = spark.read.schema(RESULTS).json(path)
-    seeds = docs.select("model", F.explode("per_seed").alias("seed", "s"))
-    doses = seeds.select("model", "seed", F.explode("s.per_dose").alias("dose", "d"))
-    rows = doses.select("model", "seed", "dose", F.posexplode(F.arrays_zip("d.cnr", "d.patient_id")).alias("pos", "v"))
-    return rows.select("model", "seed", "dose", "pos", F.col("v.patient_id").alias("patient_id"), F.col("v.cnr").alias("cnr"))
+    seeds = docs.select("model", F.coalesce("start", F.lit(0)).alias("start"), F.explode("per_seed").alias("seed", "s"))
+    doses = seeds.select("model", "start", "seed", F.explode("s.per_dose").alias("dose", "d"))
+    rows = doses.select("model", "start", "seed", "dose", F.posexplode(F.arrays_zip("d.cnr", "d.patient_id")).alias("pos", "v"))
+    return rows.select("model", "seed", "dose", (F.col("start") + F.col("pos")).alias("pos"), F.col("v.patient_id").alias("patient_id"), F.col("v.cnr").alias("cnr"))
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:

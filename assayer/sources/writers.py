@@ -18,8 +18,19 @@ def write_metadata(series: DataFrame, path: str, by: str) -> DataFrame:
 
 
 def write_slices(slices: DataFrame, path: str, by: list[str], order: list[str]) -> None:
-    """Parquet by split and source, rows in slice order, so that reads prune folders and row groups."""
-    slices.repartition(*by).sortWithinPartitions(*by, *order).write.partitionBy(*by).mode("overwrite").parquet(path)
+    """Parquet by split and source, rows in slice order, so that reads prune folders and row groups; a split is many files."""
+    slices.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).write.partitionBy(*by).mode("overwrite").parquet(path)
+
+
+def write_results(rows: DataFrame, path: str, block: int = 4096) -> None:
+    """Nested result documents of (model, seed, dose, pos, patient_id, cnr): one holds ``block`` positions of a model, from ``start``."""
+    at = (F.floor(F.col("pos") / block) * block).alias("start")
+    v = F.array_sort(F.collect_list(F.struct("pos", "cnr", "patient_id")))
+    g = rows.groupBy("model", at, "seed", "dose").agg(v.alias("v"))
+    vectors = F.struct(F.transform("v", lambda x: x["cnr"]).alias("cnr"), F.transform("v", lambda x: x["patient_id"]).alias("patient_id"))
+    d = g.groupBy("model", "start", "seed").agg(F.map_from_entries(F.collect_list(F.struct("dose", vectors))).alias("per_dose"))
+    docs = d.groupBy("model", "start").agg(F.map_from_entries(F.collect_list(F.struct("seed", F.struct("per_dose")))).alias("per_seed"))
+    docs.write.mode("overwrite").json(path)
 
 
 def append_audit(rows: DataFrame, path: str) -> None:
