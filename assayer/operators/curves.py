@@ -52,37 +52,37 @@ def mid_rank(by: list[str], value: str) -> Column:
     return F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2
 
 
-def rank_auc(rows: DataFrame, by: list[str], label: str, score: str) -> DataFrame:
+def rank_auc(rows: DataFrame, by: list[str], label: str, score: str, wide: bool = False) -> DataFrame:
     """Mann-Whitney area under the curve, ties counted half: n log n, never all pairs.
 
-    Scores are counted per distinct value first and ranked range by range.
+    Scores are counted per distinct value first; ``wide`` ranks a group of many distinct scores range by range.
     """
-    c = _by_score(rows, by, label, score).withColumn("won", F.col("p") * (F.col("q_below") + F.col("q") / 2))
+    c = _by_score(rows, by, label, score, wide).withColumn("won", F.col("p") * (F.col("q_below") + F.col("q") / 2))
     out = c.groupBy(*by).agg(F.sum("p").cast("long").alias("n_pos"), F.sum("q").cast("long").alias("n_neg"), F.sum("won").alias("won"))
     return out.select(*by, "n_pos", "n_neg", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("won") / (F.col("n_pos") * F.col("n_neg"))).alias("auc"))
 
 
-def _by_score(rows: DataFrame, by: list[str], label: str, score: str) -> DataFrame:
+def _by_score(rows: DataFrame, by: list[str], label: str, score: str, wide: bool) -> DataFrame:
     """Positives p and negatives q per distinct score, with those of smaller scores; a row without a score or label is left out."""
     c = rows.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*by, score).agg(F.sum(label).alias("p"), F.sum(1 - F.col(label)).alias("q"))
-    return below(c, by, score, ["p", "q"])
+    return below(c, by, score, ["p", "q"], wide)
 
 
-def placements(rows: DataFrame, by: list[str], label: str, score: str, name: str) -> DataFrame:
+def placements(rows: DataFrame, by: list[str], label: str, score: str, name: str, wide: bool = False) -> DataFrame:
     """Adds each row's placement among the other class: the share of it below, ties half.
 
     Worked out per distinct score and joined back; a row without a score or label is left out.
     """
-    c = _by_score(rows, by, label, score)
+    c = _by_score(rows, by, label, score, wide)
     share = lambda x: F.try_divide(F.col(f"{x}_below") + F.col(x) / 2, F.col(f"{x}_all"))
     v = same(rows.where(F.col(label).isNotNull()), c.select(*by, score, share("q").alias("_q"), (1 - share("p")).alias("_p")), [*by, score])
     return v.withColumn(name, F.when(F.col(label) == 1, F.col("_q")).otherwise(F.col("_p"))).drop("_q", "_p")
 
 
-def delong(rows: DataFrame, by: list[str], label: str, a: str, b: str, z: float = 1.959963984540054) -> DataFrame:
+def delong(rows: DataFrame, by: list[str], label: str, a: str, b: str, z: float = 1.959963984540054, wide: bool = False) -> DataFrame:
     """Difference of two paired areas with its interval from the variance of placements; rows need both scores."""
     rows = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    p = placements(placements(rows, by, label, a, "va"), by, label, b, "vb").withColumn("d", F.col("va") - F.col("vb"))
+    p = placements(placements(rows, by, label, a, "va", wide), by, label, b, "vb", wide).withColumn("d", F.col("va") - F.col("vb"))
     pos = F.when(F.col(label) == 1, F.col("d"))
     neg = F.when(F.col(label) == 0, F.col("d"))
     count = lambda k: F.count(F.when(F.col(label) == k, 1))

@@ -1,10 +1,16 @@
-"""Image arrays as data: an image is an array in its row, and stencils run inside the row, so no pixel is shuffled."""
+"""Image arrays as data: an image is an array in its row, so no pixel is shuffled.
+
+Sums over pixels are array expressions. Stencils need many pixels for each one and go through NumPy an image at a time, in Arrow
+batches; there an image is null or of ``side`` by ``side`` pixels, all else gives null, and a missing pixel makes NaN of what it reaches.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from math import exp
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -77,72 +83,98 @@ def gaussian(sigma: float, reach: int) -> list[tuple[int, float]]:
     return [(d, w / sum(raw)) for d, w in zip(range(-reach, reach + 1), raw, strict=True)]
 
 
-def reflect(c: Column, side: int) -> Column:
-    """Index beyond an edge, mirrored with the edge repeated."""
-    return F.when(c < 0, -1 - c).when(c >= side, 2 * side - 1 - c).otherwise(c)
+def smooth(a: Column, side: int, taps: list[tuple[int, float]]) -> Column:
+    """Separable stencil, one axis a pass; an edge is mirrored with the edge repeated."""
+    reach = max(abs(d) for d, _ in taps)
 
+    def stencil(v: np.ndarray) -> np.ndarray:
+        p = np.pad(v.reshape(side, side), reach, mode="symmetric")
+        down = sum(w * p[reach + d : reach + d + side] for d, w in taps)
+        return sum(w * down[:, reach + d : reach + d + side] for d, w in taps).ravel()
 
-def smooth(a: Column, side: int, taps: list[tuple[int, float]]) -> Column:
-    """Separable stencil inside the row, one axis a pass; edges are mirrored, and taps reach no further than the side.
+    @F.pandas_udf("array<double>")
+    def run(images: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None or len(v) != side * side else stencil(np.asarray(v, float)) for v in images], dtype=object)
 
-    A missing pixel makes those missing that it reaches; an array of another length is missing beyond its end.
-    """
-    weighted = lambda at: sum((at(d) * w for d, w in taps[1:]), at(taps[0][0]) * taps[0][1])
-    down = let(doubles(a), lambda px: image(side, side, lambda y, x: weighted(lambda d: F.get(px, reflect(y + d, side) * side + x))))
-    return let(down, lambda px: image(side, side, lambda y, x: weighted(lambda d: F.get(px, y * side + reflect(x + d, side)))))
+    return run(a)
 
 
 def highpass(a: Column, side: int, taps: list[tuple[int, float]]) -> Column:
     return F.zip_with(doubles(a), smooth(a, side, taps), lambda v, g: v - g)
 
 
-def windowed(a: Column, side: int, taps: list[tuple[int, float]]) -> Column:
-    """Separable stencil at pixels whose window lies inside."""
-    reach = max(d for d, _ in taps)
-    inner = side - 2 * reach
-    weighted = lambda at: sum((at(d) * w for d, w in taps[1:]), at(taps[0][0]) * taps[0][1])
-    down = let(a, lambda px: image(inner, side, lambda y, x: weighted(lambda d: F.get(px, (y + reach + d) * side + x))))
-    return let(down, lambda px: image(inner, inner, lambda y, x: weighted(lambda d: F.get(px, y * side + x + reach + d))))
-
-
 def sobel(a: Column, side: int) -> Column:
-    """Gradient magnitude; missing at the edge, where no neighbour is on one side."""
-    offsets = [(dy, dx, dx * (2 - abs(dy)), dy * (2 - abs(dx))) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
+    """Gradient magnitude of the inner pixels, an array of ``side - 2`` by ``side - 2``."""
+
+    def gradient(v: np.ndarray) -> np.ndarray:
+        p = v.reshape(side, side)
+        across, down = p[:, 2:] - p[:, :-2], p[2:] - p[:-2]
+        return np.hypot(across[:-2] + 2 * across[1:-1] + across[2:], down[:, :-2] + 2 * down[:, 1:-1] + down[:, 2:]).ravel()
 
-    def at(px: Column, y: Column, x: Column) -> Column:
-        slope = lambda k: sum((F.get(px, (y + o[0]) * side + x + o[1]) * float(o[k]) for o in offsets if o[k]), F.lit(0.0))
-        return F.when(y.between(1, side - 2) & x.between(1, side - 2), F.hypot(slope(2), slope(3)))
+    @F.pandas_udf("array<double>")
+    def run(images: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None or len(v) != side * side else gradient(np.asarray(v, float)) for v in images], dtype=object)
 
-    return let(doubles(a), lambda px: image(side, side, lambda y, x: at(px, y, x)))
+    return run(a)
 
 
 def ssim(a: Column, b: Column, side: int, taps: list[tuple[int, float]], span: float = 1.0) -> Column:
-    """Mean structural similarity over pixels whose window lies inside: five windowed moments of one row."""
+    """Mean structural similarity over pixels whose window lies inside, from five windowed moments."""
     c1, c2 = (0.01 * span) ** 2, (0.03 * span) ** 2
-    by = lambda x, y: F.zip_with(x, y, lambda p, q: p * q)
+    reach = max(abs(d) for d, _ in taps)
+    inner = side - 2 * reach
 
-    def similarity(m: Column, i: Column) -> Column:
-        p, t, pp, tt, pt = (F.get(m[n], i) for n in ("p", "t", "pp", "tt", "pt"))
-        return (2 * p * t + c1) * (2 * (pt - p * t) + c2) / ((p * p + t * t + c1) * (pp - p * p + tt - t * t + c2))
+    def similarity(x: np.ndarray, y: np.ndarray) -> float:
+        def moment(v: np.ndarray) -> np.ndarray:
+            down = sum(w * v[reach + d : reach + d + inner] for d, w in taps)
+            return sum(w * down[:, reach + d : reach + d + inner] for d, w in taps)
 
-    def moments(x: Column) -> Column:
-        given = {"p": x["a"], "t": x["b"], "pp": by(x["a"], x["a"]), "tt": by(x["b"], x["b"]), "pt": by(x["a"], x["b"])}
-        return F.struct(*(windowed(v, side, taps).alias(n) for n, v in given.items()))
+        x, y = x.reshape(side, side), y.reshape(side, side)
+        p, t, pp, tt, pt = (moment(v) for v in (x, y, x * x, y * y, x * y))
+        return float(np.mean((2 * p * t + c1) * (2 * (pt - p * t) + c2) / ((p * p + t * t + c1) * (pp - p * p + tt - t * t + c2))))
 
-    both = F.struct(doubles(a).alias("a"), doubles(b).alias("b"))
-    return let(both, lambda x: let(moments(x), lambda m: mean(F.transform(F.sequence(F.lit(0), F.size(m["p"]) - 1), lambda i: similarity(m, i)))))
+    @F.pandas_udf("double")
+    def run(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        whole = lambda v: v is not None and len(v) == side * side
+        return pd.Series([similarity(np.asarray(x, float), np.asarray(y, float)) if whole(x) and whole(y) else None for x, y in zip(xs, ys, strict=True)], dtype=float)
+
+    return run(a, b)
 
 
 def best_patch(a: Column, size: int, side: int) -> Column:
-    """The patch (top, left, score) with the best score: mean value less a share of its spread; ties by place."""
-    starts = side - size + 1
+    """(top, left, score) of the patch with the best score: mean value less a share of its spread; ties by place."""
+
+    def best(v: np.ndarray) -> tuple:
+        patches = np.lib.stride_tricks.sliding_window_view(v.reshape(side, side), (size, size))
+        score = patches.mean((2, 3)) - 0.5 * patches.std((2, 3))
+        top, left = divmod(int(np.argmax(np.round(score, 9))), score.shape[1])
+        return top, left, float(score[top, left])
 
-    def scored(px: Column, top: Column, left: Column) -> Column:
-        patch = image(size, size, lambda y, x: F.get(px, (top + y) * side + left + x))
-        return let(patch, lambda v: let(mean(v) - 0.5 * spread(v), lambda s: F.struct(F.round(s, 9).alias("r"), (-top).alias("t"), (-left).alias("l"), s.alias("score"))))
+    @F.pandas_udf("top int, left int, score double")
+    def run(images: pd.Series) -> pd.DataFrame:
+        found = [(None, None, None) if v is None or len(v) != side * side else best(np.asarray(v, float)) for v in images]
+        return pd.DataFrame(found, columns=["top", "left", "score"])
 
-    best = let(doubles(a), lambda px: F.array_max(image(starts, starts, lambda top, left: scored(px, top, left))))
-    return let(best, lambda b: F.struct((-b["t"]).alias("top"), (-b["l"]).alias("left"), b["score"].alias("score")))
+    return run(a)
+
+
+def peak(a: Column, side: int, reach: int = 1, margin: int = 1) -> Column:
+    """(y, x, v) of the strongest pixel off the margin that none within ``reach`` exceeds; ties by place, nulls if there is none."""
+
+    def strongest(v: np.ndarray) -> tuple:
+        p = v.reshape(side, side)
+        around = np.pad(p, reach, constant_values=-np.inf)
+        top = np.lib.stride_tricks.sliding_window_view(around, (2 * reach + 1, 2 * reach + 1)).max((2, 3))
+        at = np.where(p == top, p, -np.inf)[margin : side - margin, margin : side - margin]
+        y, x = divmod(int(np.argmax(at)), at.shape[1])
+        return (y + margin, x + margin, float(at[y, x])) if at[y, x] > -np.inf else (None, None, None)
+
+    @F.pandas_udf("y int, x int, v double")
+    def run(images: pd.Series) -> pd.DataFrame:
+        found = [(None, None, None) if v is None or len(v) != side * side else strongest(np.asarray(v, float)) for v in images]
+        return pd.DataFrame(found, columns=["y", "x", "v"])
+
+    return run(a)
 
 
 def weighed(a: Column, weights: list[float]) -> Column:
@@ -166,21 +198,6 @@ def channel_responses(a: Column, side: int, channels: list[tuple[float, float]])
     return F.array(*(weighed(a, [u - v for u, v in zip(centred(side, s), centred(side, t), strict=True)]) for s, t in channels))
 
 
-def peak(a: Column, side: int, reach: int = 1, margin: int = 1) -> Column:
-    """(y, x, v) of the strongest pixel off the margin that none within ``reach`` exceeds; ties by place, null if there is none."""
-    near = [(dy, dx) for dy in range(-reach, reach + 1) for dx in range(-reach, reach + 1)]
-
-    def at(px: Column, y: Column, x: Column) -> Column:
-        v = F.get(px, y * side + x)
-        inside = lambda dy, dx: (y + dy).between(0, side - 1) & (x + dx).between(0, side - 1)
-        top = F.greatest(*(F.when(inside(dy, dx), F.get(px, (y + dy) * side + x + dx)) for dy, dx in near))
-        here = y.between(margin, side - 1 - margin) & x.between(margin, side - 1 - margin) & (v == top)
-        return F.when(here, F.struct(v.alias("v"), (-y).alias("y"), (-x).alias("x")))
-
-    best = let(doubles(a), lambda px: F.array_max(image(side, side, lambda y, x: at(px, y, x))))
-    return let(best, lambda b: F.when(b.isNotNull(), F.struct((-b["y"]).alias("y"), (-b["x"]).alias("x"), b["v"].alias("v"))))
-
-
 def part(a: Column, side: int, inside: Callable[[Column, Column], Column]) -> Column:
     """The pixels at places for which ``inside(y, x)`` holds."""
     return F.filter(doubles(a), lambda v, i: inside(F.floor(i / side), i % side))
@@ -279,14 +296,14 @@ def im6_template_corr(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"WITH {_PX}, m AS (SELECT a.vec_id, a.y, a.x, a.v, max(b.v) AS top FROM x a JOIN x b ON a.vec_id = b.vec_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 WHERE a.y BETWEEN 1 AND 6 AND a.x BETWEEN 1 AND 6 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, y, x) AS k FROM m WHERE v = top) SELECT vec_id, y, x, round(v, 6) AS v FROM r WHERE k = 1")
 def im7_micro_peak(spark: SparkSession, folder: str) -> DataFrame:
     """The strongest local maximum off the margin."""
-    best = table(spark, folder, "embeddings").select("vec_id", peak(F.col("embedding"), SIDE).alias("b")).where("b is not null")
+    best = table(spark, folder, "embeddings").select("vec_id", peak(F.col("embedding"), SIDE).alias("b")).where("b.v is not null")
     return rounded(best.select("vec_id", "b.*"), ["v"])
 
 
 @query(f"WITH {_PX}, k AS (SELECT * FROM (VALUES (-1, -1, -1, -1), (-1, 0, 0, -2), (-1, 1, 1, -1), (0, -1, -2, 0), (0, 1, 2, 0), (1, -1, -1, 1), (1, 0, 0, 2), (1, 1, 1, 1)) t(dy, dx, gx, gy)), s AS (SELECT vec_id, y - dy AS y, x - dx AS x, sum(v * gx) AS gx, sum(v * gy) AS gy, count(*) AS n FROM x, k GROUP BY ALL) SELECT vec_id, y, x, round(sqrt(gx * gx + gy * gy), 6) AS g FROM s WHERE n = 8")
 def im9_sobel_gradient(spark: SparkSession, folder: str) -> DataFrame:
-    g = placed(table(spark, folder, "embeddings").select("vec_id", sobel(F.col("embedding"), SIDE).alias("v")), "vec_id", SIDE)
-    return g.where("v is not null").select("vec_id", "y", "x", F.round("v", 6).alias("g"))
+    g = placed(table(spark, folder, "embeddings").select("vec_id", sobel(F.col("embedding"), SIDE).alias("v")), "vec_id", SIDE - 2)
+    return g.select("vec_id", (F.col("y") + 1).alias("y"), (F.col("x") + 1).alias("x"), F.round("v", 6).alias("g"))
 
 
 @query(f"WITH {_PX}, s AS (SELECT vec_id, avg(v) FILTER (y BETWEEN 3 AND 4 AND x BETWEEN 3 AND 4) AS m1, avg(v) FILTER (y < 2) AS m0, stddev_pop(v) FILTER (y < 2) AS sd FROM x GROUP BY vec_id) SELECT vec_id, round(CASE WHEN sd > 0 THEN (m1 - m0) / sd ELSE 'inf'::DOUBLE END, 6) AS cnr FROM s")
@@ -329,7 +346,7 @@ def im12_cho_auc(spark: SparkSession, folder: str) -> DataFrame:
     gap = np.array([by[1][f"m{i}"] - by[0][f"m{i}"] for i in range(n)])
     w = np.linalg.solve(cov + 1e-4 * np.trace(cov) / n * np.eye(n), gap)
     scored = rows.select(F.lit("all").alias("g"), "present", sum((x * float(v) for x, v in zip(c[1:], w[1:], strict=True)), c[0] * float(w[0])).alias("score"))
-    return rounded(rank_auc(scored, ["g"], "present", "score").drop("g"), ["auc"])
+    return rounded(rank_auc(scored, ["g"], "present", "score", wide=True).drop("g"), ["auc"])
 
 
 @query(f"WITH {_PX} SELECT vec_id, y, x, round(least(greatest(v + 0.3 * exp(-((y - 3.5) * (y - 3.5) + (x - 3.5) * (x - 3.5)) / 4.5), -1), 1), 6) AS v FROM x")

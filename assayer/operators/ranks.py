@@ -34,12 +34,18 @@ def _ahead(totals: DataFrame, by: list[str], sums: list[str]) -> DataFrame:
     return totals.select(*by, "_range", *before, *(F.sum(s).over(Window.partitionBy(*group)).alias(f"_a_{s}") for s in sums))
 
 
-def below(counts: DataFrame, by: list[str], at: str, sums: list[str], cut: Column | None = None) -> DataFrame:
-    """Adds to rows of distinct ``at``, for each of ``sums``, ``<name>_below`` over smaller ones and ``<name>_all`` over the group."""
-    c = counts.withColumn("_range", ranges(counts, at) if cut is None else cut)
+def below(counts: DataFrame, by: list[str], at: str, sums: list[str], wide: bool = False) -> DataFrame:
+    """Adds to rows of distinct ``at``, for each of ``sums``, ``<name>_below`` over smaller ones and ``<name>_all`` over the group.
+
+    ``wide`` is for groups with many distinct values: they are dealt to ranges. Else a group's distinct values are one window.
+    """
+    before = lambda w: w.orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    if not wide:
+        group = Window.partitionBy(*(by or [F.lit(0)]))
+        return counts.withColumns({f"{s}_below": F.coalesce(F.sum(s).over(before(group)), F.lit(0)) for s in sums} | {f"{s}_all": F.sum(s).over(group) for s in sums})
+    c = counts.withColumn("_range", ranges(counts, at))
     ahead = _ahead(c.groupBy(*by, "_range").agg(*(F.sum(s).alias(s) for s in sums)), by, sums)
-    w = Window.partitionBy(*by, "_range").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
-    inside = c.withColumns({f"_i_{s}": F.coalesce(F.sum(s).over(w), F.lit(0)) for s in sums})
+    inside = c.withColumns({f"_i_{s}": F.coalesce(F.sum(s).over(before(Window.partitionBy(*by, "_range"))), F.lit(0)) for s in sums})
     out = same(inside, ahead, [*by, "_range"])
     out = out.withColumns({f"{s}_below": F.col(f"_i_{s}") + F.col(f"_b_{s}") for s in sums} | {f"{s}_all": F.col(f"_a_{s}") for s in sums})
     return out.drop("_range", *(f"_{k}_{s}" for k in "iba" for s in sums))
@@ -54,8 +60,8 @@ def positions(rows: DataFrame, by: list[str], order: list[str], cut: Column, nam
     return out.withColumn(name, F.col("_i") + F.col("_b_n")).drop("_range", "_i", "_b_n", "_a_n")
 
 
-def mid_ranks(rows: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+def mid_ranks(rows: DataFrame, by: list[str], value: str, name: str, wide: bool = False) -> DataFrame:
     """Adds the mean rank of tied values, smallest first, from 1. Values are counted first; rows without a value are left out."""
     r = rows.where(F.col(value).isNotNull())
-    c = below(r.groupBy(*by, value).agg(F.count("*").alias("_n")), by, value, ["_n"])
+    c = below(r.groupBy(*by, value).agg(F.count("*").alias("_n")), by, value, ["_n"], wide)
     return same(r, c.select(*by, value, (F.col("_n_below") + (F.col("_n") + 1) / 2).alias(name)), [*by, value])

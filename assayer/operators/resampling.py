@@ -115,7 +115,7 @@ def permutation_kruskal(rows: DataFrame, unit: str, group: str, value: str, repl
     A shuffling pairs the i-th row by a random key with the i-th label by unit. Both places are counted range by range: a key
     is uniform, so its ranges are even, and the labels' places are worked out once for all shufflings.
     """
-    r = mid_ranks(rows, [], value, "r").select(unit, group, "r")
+    r = mid_ranks(rows, [], value, "r", wide=True).select(unit, group, "r")
     seen = kruskal(r, [], group, "r").select(F.lit(0).cast("long").alias("b"), "h")
     b = r.select(unit, "r", F.explode(_numbers(1, replicates + 1)).alias("b")).withColumn("key", uniform(F.col("b"), F.col(unit)))
     left = positions(b, ["b"], ["key", unit], F.floor(F.col("key") * RANGES), "i").select("b", "r", "i")

@@ -259,9 +259,9 @@ def test_image_stencils_in_the_row(spark):
     assert np.allclose(np.array(got[1]["s"]).reshape(8, 8), want)
     assert np.isclose(got[1]["q"], np.quantile(a, 0.9))
     assert np.isclose(got[1]["i"], 1.0)
-    assert got[2]["s"] is None and got[2]["b"] is None and got[2]["q"] is None
+    assert got[2]["s"] is None and got[2]["b"]["score"] is None and got[2]["q"] is None
     assert tuple(got[3]["p"]) == (1, 1, 1.0) and tuple(got[3]["b"])[:2] == (0, 0)
-    assert got[4]["q"] is None and got[4]["p"] is None
+    assert got[4]["q"] is None and got[4]["p"]["v"] is None
     top = {(y, x): a[y, x] for y in range(1, 7) for x in range(1, 7) if a[y, x] == a[y - 1 : y + 2, x - 1 : x + 2].max()}
     best = max(top, key=lambda k: top[k]) if top else None
     assert tuple(got[1]["p"])[:2] == best
