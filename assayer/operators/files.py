@@ -96,25 +96,12 @@ def src13_volume_slice_scan(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema("series long, slice int, v double, split string").parquet(path)
 
 
-@query("SELECT l_orderkey AS series, count(*) FILTER (l_returnflag = 'A') AS n_full, count(*) FILTER (l_returnflag = 'R') AS n_low, count(*) FILTER (l_returnflag = 'A') > 0 AND count(*) FILTER (l_returnflag = 'R') > 0 AS paired FROM lineitem GROUP BY l_orderkey")
-def src14_npy_pair_scan(spark: SparkSession, folder: str) -> DataFrame:
-    n = lambda f: F.count(F.when(F.col("l_returnflag") == f, 1))
-    return table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("series")).agg(n("A").alias("n_full"), n("R").alias("n_low"), ((n("A") > 0) & (n("R") > 0)).alias("paired"))
-
-
 @query("SELECT source AS kind, count(*) AS n, sum(n_chars)::BIGINT AS bytes FROM documents GROUP BY source")
 def src15_corpus_record_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Records by type with count and size."""
     return table(spark, folder, "documents").groupBy(F.col("source").alias("kind")).agg(F.count("*").alias("n"), F.sum("n_chars").alias("bytes"))
 
 
-@query("SELECT c_custkey AS patient, coalesce(n, 0) AS n_records FROM customer LEFT JOIN (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) ON user_id = c_custkey")
-def src16_reader_tree_scan(spark: SparkSession, folder: str) -> DataFrame:
-    """Records a patient; a missing file is an empty one."""
-    e = table(spark, folder, "events").groupBy("user_id").agg(F.count("*").alias("n"))
-    return table(spark, folder, "customer").join(e, F.col("user_id") == F.col("c_custkey"), "left").select(F.col("c_custkey").alias("patient"), F.coalesce("n", F.lit(0)).alias("n_records"))
-
-
 @query("SELECT p_partkey, sha256('{\"p_brand\":\"' || p_brand || '\",\"p_name\":\"' || p_name || '\",\"p_partkey\":' || p_partkey || '}') AS sha256 FROM part")
 def snk1_metadata_sink(spark: SparkSession, folder: str) -> DataFrame:
     p = table(spark, folder, "part").select("p_partkey", "p_name", "p_brand", "p_type")
@@ -137,17 +124,3 @@ def snk8_board_sink(spark: SparkSession, folder: str) -> DataFrame:
     o, path = table(spark, folder, "orders"), _new(spark)
     kind = writers.write_board(o, violations(o, "o_orderkey", {"price": "o_totalprice > 20000"}), path)
     return spark.read.parquet(f"{path}/{kind}").agg(F.lit(kind).alias("written"), F.count("*").alias("n"))
-
-
-@query("SELECT d.source AS kind, count(*) AS n, count(DISTINCT lang) AS n_detectors, count(DISTINCT lang) > 1 AS error FROM documents d GROUP BY d.source")
-def snk9_metadata_fill(spark: SparkSession, folder: str) -> DataFrame:
-    d = table(spark, folder, "documents").groupBy(F.col("source").alias("kind"))
-    return d.agg(F.count("*").alias("n"), F.countDistinct("lang").alias("n_detectors"), (F.countDistinct("lang") > 1).alias("error"))
-
-
-@query("SELECT r.role, count(*) AS n, count(*) FILTER (p.p_partkey IS NULL) AS n_missing FROM (SELECT l_partkey + 100 * (l_linenumber // 6) AS k, l_returnflag AS role FROM lineitem) r LEFT JOIN part p ON p.p_partkey = r.k GROUP BY r.role")
-def snk11_pinned_manifest(spark: SparkSession, folder: str) -> DataFrame:
-    """Named artefacts with their role; those without a file count as missing."""
-    r = table(spark, folder, "lineitem").select((F.col("l_partkey") + 100 * F.floor(F.col("l_linenumber") / 6)).alias("k"), F.col("l_returnflag").alias("role"))
-    j = r.join(table(spark, folder, "part").select("p_partkey"), F.col("p_partkey") == F.col("k"), "left")
-    return j.groupBy("role").agg(F.count("*").alias("n"), F.count(F.when(F.col("p_partkey").isNull(), 1)).alias("n_missing"))

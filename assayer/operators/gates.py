@@ -131,23 +131,6 @@ def gt12_dose_curve_gate(spark: SparkSession, folder: str) -> DataFrame:
     return p.groupBy("method").agg(F.count("*").alias("n_doses"), (F.count("*") >= 3).alias("covered"), F.coalesce(F.bool_and(F.col("y") > F.col("y0")), F.lit(False)).alias("rising"))
 
 
-@query("WITH r AS (SELECT DISTINCT l_suppkey AS registry, l_linenumber AS rung FROM lineitem WHERE l_quantity > 49) SELECT s_suppkey AS registry, w.rung FROM supplier CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5, 6]) AS rung) w WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.registry = s_suppkey AND r.rung = w.rung)")
-def gt13_registry_rules(spark: SparkSession, folder: str) -> DataFrame:
-    """Rungs 1 to 6 that a registry lacks."""
-    from assayer.operators.matching import missing_parts
-
-    held = table(spark, folder, "lineitem").where("l_quantity > 49").select(F.col("l_suppkey").alias("registry"), F.col("l_linenumber").alias("part"))
-    return missing_parts(table(spark, folder, "supplier").select(F.col("s_suppkey").alias("registry")), held, "registry", [1, 2, 3, 4, 5, 6]).withColumnRenamed("part", "rung")
-
-
-@query("SELECT user_id, event_type, count(*) AS n, count(*) > 1 AS duplicate, bool_and(isfinite(value)) AS is_finite, event_type IN ('click', 'view', 'purchase') AS known FROM events GROUP BY ALL")
-def gt14_artefact_rules(spark: SparkSession, folder: str) -> DataFrame:
-    from assayer.operators.board import finite
-
-    n = F.count("*")
-    return table(spark, folder, "events").groupBy("user_id", "event_type").agg(n.alias("n"), (n > 1).alias("duplicate"), F.bool_and(finite(F.col("value"))).alias("is_finite"), F.first("event_type").isin("click", "view", "purchase").alias("known"))
-
-
 AUDIT = {"order": "low <= high", "inside": "mean BETWEEN low AND high", "verdict": "verdict = said", "size": "n >= 100 OR verdict <> 'PASS'"}
 _CREDENTIALS = f"WITH {SLICES} SELECT vendor, n, mean, low, high, CASE WHEN low > -0.6 AND high < 0.6 THEN 'PASS' WHEN low > 0.6 OR high < -0.6 THEN 'FAIL' ELSE 'INDETERMINATE' END AS verdict, CASE WHEN n % 3 = 0 THEN 'PASS' ELSE 'INDETERMINATE' END AS said FROM (SELECT vendor, count(*) AS n, avg(score_a - score_b) AS mean, avg(score_a - score_b) - CASE WHEN count(*) % 5 = 0 THEN -1 ELSE 1 END * 1.96 * stddev_samp(score_a - score_b) / sqrt(count(*)) AS low, avg(score_a - score_b) + CASE WHEN count(*) % 5 = 0 THEN -1 ELSE 1 END * 1.96 * stddev_samp(score_a - score_b) / sqrt(count(*)) AS high FROM s GROUP BY vendor)"
 
@@ -164,34 +147,6 @@ def gt15_credential_audit(spark: SparkSession, folder: str) -> DataFrame:
     return violations(g.withColumn("verdict", equivalence_verdict(F.col("low"), F.col("high"), 0.6)), "vendor", AUDIT)
 
 
-@query("SELECT p_brand AS bundle, list_sort(list_filter(list(DISTINCT p_type), lambda x: NOT list_contains(['ECONOMY', 'STANDARD'], x))) AS unknown, list_contains(list(DISTINCT p_type), 'ECONOMY') AS has_required FROM part GROUP BY p_brand")
-def gt16_bundle_structure(spark: SparkSession, folder: str) -> DataFrame:
-    """Fields outside the whitelist, and whether the required one is there."""
-    kinds = F.collect_set("p_type")
-    return table(spark, folder, "part").groupBy(F.col("p_brand").alias("bundle")).agg(F.array_sort(F.array_except(kinds, F.lit(["ECONOMY", "STANDARD"]))).alias("unknown"), F.array_contains(kinds, "ECONOMY").alias("has_required"))
-
-
-@query("SELECT o_custkey AS board, CASE WHEN count(*) FILTER (o_orderstatus = 'F') = 0 THEN 'NO_CLAIM' WHEN count(*) FILTER (o_orderstatus = 'P') = 0 THEN 'MISSING_LAYER' WHEN max(o_totalprice) < 200000 THEN 'INCOMPLETE' WHEN min(o_totalprice) < 5000 THEN 'REJECTED' ELSE 'PUBLISHED' END AS state FROM orders GROUP BY o_custkey")
-def gt19_publish_state(spark: SparkSession, folder: str) -> DataFrame:
-    """The first state that applies, in fixed precedence."""
-    n = lambda s: F.count(F.when(F.col("o_orderstatus") == s, 1))
-    state = F.when(n("F") == 0, "NO_CLAIM").when(n("P") == 0, "MISSING_LAYER").when(F.max("o_totalprice") < 200000, "INCOMPLETE").when(F.min("o_totalprice") < 5000, "REJECTED").otherwise("PUBLISHED")
-    return table(spark, folder, "orders").groupBy(F.col("o_custkey").alias("board")).agg(state.alias("state"))
-
-
-@query("SELECT conv_id, turn, CASE WHEN contains(text, 'heldout') THEN 'name' ELSE 'sequence' END AS why FROM conversations WHERE contains(text, 'heldout') OR contains(text, 'entio')")
-def gt20_forbidden_reference(spark: SparkSession, folder: str) -> DataFrame:
-    t = F.col("text")
-    return table(spark, folder, "conversations").where(t.contains("heldout") | t.contains("entio")).select("conv_id", "turn", F.when(t.contains("heldout"), "name").otherwise("sequence").alias("why"))
-
-
-@query("SELECT l_returnflag AS provenance, CASE l_returnflag WHEN 'A' THEN 'accepted' WHEN 'N' THEN 'refused: training' ELSE 'refused: unknown' END AS state, count(*) AS n FROM lineitem GROUP BY ALL")
-def gt21_provenance_declared(spark: SparkSession, folder: str) -> DataFrame:
-    f = F.col("l_returnflag")
-    state = F.when(f == "A", "accepted").when(f == "N", "refused: training").otherwise("refused: unknown")
-    return table(spark, folder, "lineitem").groupBy(f.alias("provenance"), state.alias("state")).agg(F.count("*").alias("n"))
-
-
 @query(f"WITH v AS (SELECT bundle, CASE WHEN bool_or(state = 'FAIL') THEN 'REJECT' WHEN bool_or(state = 'UNVERIFIED') THEN 'UNVERIFIED' ELSE 'ACCEPT' END AS decision, list_sort(list(DISTINCT state)) AS reasons FROM ({_STAGES}) GROUP BY bundle) SELECT decision, reasons, count(*) AS n FROM v GROUP BY ALL")
 def gt22_package_decision(spark: SparkSession, folder: str) -> DataFrame:
     has = lambda s: F.bool_or(F.col("state") == s)

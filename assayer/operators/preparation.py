@@ -129,14 +129,6 @@ def prj6_split_bucket(spark: SparkSession, folder: str) -> DataFrame:
     return b.withColumn("split", split_name(F.col("bucket")))
 
 
-@query("SELECT source, count(*) AS n FROM (SELECT CASE WHEN starts_with(p_name, 'small') THEN 'small' WHEN starts_with(p_name, 'red') THEN 'red' ELSE 'other' END AS source FROM part) GROUP BY source")
-def prj7_source_normalize(spark: SparkSession, folder: str) -> DataFrame:
-    """Names bucketed by their beginning."""
-    name = F.col("p_name")
-    source = F.when(name.startswith("small"), "small").when(name.startswith("red"), "red").otherwise("other")
-    return table(spark, folder, "part").groupBy(source.alias("source")).agg(F.count("*").alias("n"))
-
-
 @query("SELECT c_custkey, CASE WHEN c_custkey % 120 <= 89 AND c_custkey % 7 <> 0 THEN (c_custkey % 120)::INT END AS age FROM customer")
 def prj8_demographics(spark: SparkSession, folder: str) -> DataFrame:
     c = table(spark, folder, "customer")
@@ -144,36 +136,6 @@ def prj8_demographics(spark: SparkSession, folder: str) -> DataFrame:
     return c.select("c_custkey", age(text).alias("age"))
 
 
-@query("SELECT p_type AS kind, CASE WHEN contains(upper(p_type), 'ECONOMY') THEN 'chest' WHEN contains(upper(p_type), 'STANDARD') THEN 'abdomen' ELSE 'unknown' END AS anatomy, count(*) AS n FROM part GROUP BY ALL")
-def prj9_anatomy_of(spark: SparkSession, folder: str) -> DataFrame:
-    up = F.upper("p_type")
-    a = F.when(up.contains("ECONOMY"), "chest").when(up.contains("STANDARD"), "abdomen").otherwise("unknown")
-    return table(spark, folder, "part").groupBy(F.col("p_type").alias("kind"), a.alias("anatomy")).agg(F.count("*").alias("n"))
-
-
-@query("SELECT l_orderkey AS sop, count(*) FILTER (l_returnflag = 'R') AS n_private, count(*) FILTER (l_returnflag <> 'R' AND l_linenumber NOT IN (1, 2, 3)) AS n_unlisted, count(*) FILTER (l_returnflag <> 'R' AND l_linenumber = 1) AS n_dates, count(*) FILTER (l_returnflag <> 'R' AND l_linenumber IN (1, 2, 3)) AS n_kept FROM lineitem GROUP BY l_orderkey")
-def prj10_header_whitelist(spark: SparkSession, folder: str) -> DataFrame:
-    """Header elements by instance: private and unlisted ones are dropped and counted, dates generalised and counted."""
-    private, listed = F.col("l_returnflag") == "R", F.col("l_linenumber").isin(1, 2, 3)
-    n = lambda c: F.count(F.when(c, 1))
-    return table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("sop")).agg(n(private).alias("n_private"), n(~private & ~listed).alias("n_unlisted"), n(~private & (F.col("l_linenumber") == 1)).alias("n_dates"), n(~private & listed).alias("n_kept"))
-
-
-@query("SELECT page_id, CASE WHEN regexp_matches(url, 'utm_') THEN 'tracking' WHEN regexp_matches(url, '^http:') THEN 'insecure' END AS reason FROM pages WHERE regexp_matches(url, 'utm_|^http:')")
-def prj11_restricted_path(spark: SparkSession, folder: str) -> DataFrame:
-    """Paths that a rule refuses, with the first rule's reason."""
-    u = F.col("url")
-    reason = F.when(u.rlike("utm_"), "tracking").when(u.rlike("^http:"), "insecure")
-    return table(spark, folder, "pages").select("page_id", reason.alias("reason")).where("reason is not null")
-
-
-@query("SELECT page_id, url FROM pages WHERE NOT list_contains(string_split(url, '/'), 'de') AND NOT regexp_matches(url, '[.](css|js)$')")
-def prj12_skip_cruft(spark: SparkSession, folder: str) -> DataFrame:
-    """Paths without an excluded directory or ending."""
-    cruft = F.exists(F.split("url", "/"), lambda x: x.isin("de")) | F.col("url").rlike("[.](css|js)$")
-    return table(spark, folder, "pages").where(~cruft).select("page_id", "url")
-
-
 @query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity IS NULL OR l_quantity = 0 OR l_quantity <= 1.5")
 def prj13_thin_series_filter(spark: SparkSession, folder: str) -> DataFrame:
     """Thin series, and those of unknown thickness; the filter reaches the scan."""
@@ -195,14 +157,6 @@ def prj15_dose_key(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "lineitem").groupBy(F.col("l_discount").alias("ratio"), key.alias("dose_key")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT sha256('{' || '\"k\":' || (props::JSON->>'k') || ',\"type\":\"' || event_type || '\"}') AS sha, count(*) AS n FROM events WHERE props IS NOT NULL GROUP BY sha")
-def prj18_canonical_json_sha(spark: SparkSession, folder: str) -> DataFrame:
-    """Digest of an object in compact form with sorted keys, whatever order its keys came in."""
-    k = F.get_json_object("props", "$.k").cast("long")
-    sorted_ = F.to_json(F.struct(k.alias("k"), F.col("event_type").alias("type")))
-    return table(spark, folder, "events").where("props is not null").groupBy(F.sha2(sorted_, 256).alias("sha")).agg(F.count("*").alias("n"))
-
-
 @query("SELECT 'sha256:' || sha256(text) AS framework_hash, item_id FROM benchmark")
 def prj21_framework_hash(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "benchmark").select(F.concat(F.lit("sha256:"), F.sha2("text", 256)).alias("framework_hash"), "item_id")
@@ -245,13 +199,6 @@ def prj32_safe_number(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").select("event_id", safe_number(F.get_json_object("props", "$.k")).alias("k"))
 
 
-@query("SELECT conv_id, turn, CASE WHEN regexp_matches(text, '[0-9]{6,}|@') THEN role ELSE text END AS description FROM conversations")
-def prj33_free_text_scrub(spark: SparkSession, folder: str) -> DataFrame:
-    """Free text that matches the deny pattern shrinks to its role."""
-    d = F.when(F.col("text").rlike("[0-9]{6,}|@"), F.col("role")).otherwise(F.col("text"))
-    return table(spark, folder, "conversations").select("conv_id", "turn", d.alias("description"))
-
-
 @query(f"WITH b AS (SELECT o_custkey AS k, {_SPLIT.format(b='(o_orderkey % 100)')} AS split FROM orders) SELECT k, list_sort(list(DISTINCT split)) AS splits FROM b GROUP BY k HAVING count(DISTINCT split) > 1")
 def ag26_leak_check(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "orders").select(F.col("o_custkey").alias("k"), split_name(F.col("o_orderkey") % 100).alias("split"))

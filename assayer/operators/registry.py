@@ -23,5 +23,5 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> None:
-    for name in ("board", "summaries", "agreement", "curves", "preparation", "matching", "grids", "resampling", "gates", "events", "files", "records"):
+    for name in ("board", "summaries", "agreement", "curves", "preparation", "matching", "grids", "resampling", "gates", "events", "files", "records", "rules"):
         importlib.import_module(f"assayer.operators.{name}")
