@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,25 +27,48 @@ def nearest(points: DataFrame, grid: DataFrame, by: list[str], at: str, position
     return out.withColumn("nearest", pick).drop("_p", "_l", "_h")
 
 
-def pair_by_position(full: DataFrame, low: DataFrame, by: str, position: str, key: str, tolerance: float) -> DataFrame:
-    """Greedy one-to-one pairs inside a series: in position order, each full slice takes the nearest unused low one in reach.
+def runs(rows: DataFrame, by: str, position: str, tolerance: float) -> DataFrame:
+    """Adds ``run``: rows of a series within ``tolerance`` of each other share one.
+
+    Positions fall into cells a little wider than the tolerance, and a run is a row of occupied cells; the window is over distinct
+    cells, not over rows.
+    """
+    r = rows.withColumn("_cell", F.floor(F.col(position) / (max(tolerance, 1e-9) * 1.001)))
+    w = Window.partitionBy(by).orderBy("_cell")
+    cells = r.select(by, "_cell").distinct().withColumn("_new", (F.col("_cell") - F.lag("_cell").over(w)) == 1)
+    cells = cells.withColumn("run", F.max(F.when(~F.coalesce("_new", F.lit(False)), F.col("_cell"))).over(w)).drop("_new")
+    return r.join(cells, [by, "_cell"]).drop("_cell")
 
-    Rows of one series go to one call; a series is bounded by what a scanner records.
+
+def pair_by_position(full: DataFrame, low: DataFrame, by: str, position: str, key: str, tolerance: float) -> DataFrame:
+    """Greedy one-to-one pairs inside a series: in position order, each full slice takes the nearest unused low one in reach, the
+    lower of equals. A call gets a run of a series, as no pair reaches beyond it; rows without a position are unpaired.
     """
 
-    def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a, b = a.sort_values([position, key]), b.sort_values([position, key])
-        free, out = list(zip(b[position], b[key], strict=True)), []
-        for p, k in zip(a[position], a[key], strict=True):
-            near = min(((abs(q - p), i) for i, (q, _) in enumerate(free)), default=None)
-            if near is not None and near[0] <= tolerance:
-                q, other = free.pop(near[1])
-                out.append((int(a[by].iloc[0]), int(k), int(other), float(p), float(q)))
+    def pair(run: pd.DataFrame) -> pd.DataFrame:
+        run = run.sort_values([position, key])
+        a, b = run[run["is_full"]], run[~run["is_full"]]
+        at, keys, out = b[position].tolist(), b[key].tolist(), []
+        for p, k in zip(a[position].tolist(), a[key].tolist(), strict=True):
+            right = bisect_left(at, p)
+            near = [(abs(at[i] - p), i) for i in ([bisect_left(at, at[right - 1])] if right else []) + ([right] if right < len(at) else [])]
+            if near and min(near)[0] <= tolerance:
+                i = min(near)[1]
+                out.append((int(a[by].iloc[0]), int(k), int(keys.pop(i)), float(p), float(at.pop(i))))
         return pd.DataFrame(out, columns=[by, "full_key", "low_key", "full_at", "low_at"])
 
     schema = f"{by} long, full_key long, low_key long, full_at double, low_at double"
-    cols = [by, key, position]
-    return full.select(*cols).groupBy(by).cogroup(low.select(*cols).groupBy(by)).applyInPandas(pair, schema)
+    side = lambda x, n: x.where(F.col(position).isNotNull()).select(by, key, position, F.lit(n).alias("is_full"))
+    return runs(side(full, True).unionByName(side(low, False)), by, position, tolerance).groupBy(by, "run").applyInPandas(pair, schema)
+
+
+def pairing_summary(full: DataFrame, low: DataFrame, pairs: DataFrame, by: str, tolerance: float) -> DataFrame:
+    """Per series: slices of both sides, pairs, unpaired ones, correlation of paired positions, and pairs beyond the tolerance."""
+    n = lambda x, name: x.groupBy(by).agg(F.count("*").alias(name))
+    far = F.abs(F.col("full_at") - F.col("low_at")) > tolerance
+    p = pairs.groupBy(by).agg(F.count("*").alias("n_paired"), F.when(F.count("*") > 1, F.corr("full_at", "low_at")).alias("r"), F.count(F.when(far, 1)).alias("n_violations"))
+    out = n(full, "n_full").join(n(low, "n_low"), by, "full_outer").join(p, by, "left").fillna(0, ["n_full", "n_low", "n_paired", "n_violations"])
+    return out.select(by, "n_full", "n_low", "n_paired", (F.col("n_full") - F.col("n_paired")).alias("n_unpaired_full"), (F.col("n_low") - F.col("n_paired")).alias("n_unpaired_low"), "r", "n_violations")
 
 
 #: Side of the grid cells by which boxes meet.
@@ -109,10 +134,20 @@ def jn2_nearest_slice(spark: SparkSession, folder: str) -> DataFrame:
     return nearest(z, g, ["series"], "z", "p")
 
 
+def _sides(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    rows = table(spark, folder, "lineitem").select(F.col("l_suppkey").alias("series"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("key"), (F.col("l_quantity") + F.col("l_tax") * 5).alias("at"), "l_returnflag")
+    return rows.where("l_returnflag = 'A'"), rows.where("l_returnflag = 'R'")
+
+
 @query()
 def jn1_geometry_pair(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "lineitem").select(F.col("l_suppkey").alias("series"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("key"), (F.col("l_quantity") + F.col("l_tax") * 5).alias("at"), "l_returnflag")
-    return pair_by_position(rows.where("l_returnflag = 'A'"), rows.where("l_returnflag = 'R'"), "series", "at", "key", 0.1)
+    return pair_by_position(*_sides(spark, folder), "series", "at", "key", 0.1)
+
+
+@query()
+def jn1_pairing_summary(spark: SparkSession, folder: str) -> DataFrame:
+    full, low = _sides(spark, folder)
+    return pairing_summary(full, low, pair_by_position(full, low, "series", "at", "key", 0.1), "series", 0.1)
 
 
 def _boxes(spark: SparkSession, folder: str, reader: str) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from assayer.operators import agreement, board, curves, gates, grids, matching, preparation, registry, resampling
+from assayer.operators import agreement, board, curves, gates, grids, matching, preparation, ranks, registry, resampling, rules
 from assayer.sources import readers, writers
 from assayer.streaming import flows
 
@@ -271,3 +271,59 @@ def test_image_stencils_do_not_shuffle(spark, sf):
     for name in ("im3_gaussian_highpass", "im4_blur_control", "im7_micro_peak", "im8_tissue_roi", "im9_sobel_gradient", "im10_roi_cnr", "im11_channel_response", "im13_npwe_score", "im15_grid_resample", "im17_uq_association"):
         plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan, name
+
+
+def test_pairs_of_runs_are_those_of_whole_series(spark):
+    draw = random.Random(5)
+    side = lambda n: [(draw.randrange(3), i, draw.choice([draw.randrange(40) / 4, None])) for i in range(n)]
+    full, low = side(150), side(170)
+    want = []
+    for s in range(3):
+        free = sorted((p, k) for g, k, p in low if g == s and p is not None)
+        for p, k in sorted((p, k) for g, k, p in full if g == s and p is not None):
+            near = min(((abs(q - p), i) for i, (q, _) in enumerate(free)), default=None)
+            if near and near[0] <= 0.5:
+                q, other = free.pop(near[1])
+                want.append((s, k, other, p, q))
+    a, b = (spark.createDataFrame(x, "series long, key long, at double") for x in (full, low))
+    got = matching.pair_by_position(a, b, "series", "at", "key", 0.5)
+    assert rows(got) == sorted(want, key=repr)
+    summary = {r.series: r for r in matching.pairing_summary(a, b, got, "series", 0.5).collect()}
+    for s in range(3):
+        n = sum(w[0] == s for w in want)
+        assert summary[s].n_paired == n and summary[s].n_unpaired_full == sum(r[0] == s for r in full) - n and summary[s].n_violations == 0
+
+
+def test_ranks_by_ranges(spark):
+    draw = random.Random(6)
+    given = [(draw.choice(["a", "b", None]), draw.choice([None, float("nan"), *range(30)]), i) for i in range(500)]
+    df = spark.createDataFrame([(g, None if v is None else float(v), i) for g, v, i in given], "g string, v double, i long").repartition(7)
+    for wide in (True, False):
+        got = {r.i: r.r for r in ranks.mid_ranks(df, ["g"], "v", "r", wide).collect()}
+        key = lambda v: math.inf if math.isnan(v) else v
+        for g, v, i in given:
+            if v is None:
+                assert i not in got
+                continue
+            mine = [key(w) for h, w, _ in given if h == g and w is not None]
+            assert got[i] == sum(w < key(v) for w in mine) + (mine.count(key(v)) + 1) / 2
+    placed = {r.i: r.pos for r in ranks.positions(df, ["g"], ["i"], ranks.ranges(df, "i"), "pos").collect()}
+    assert all(placed[i] == sum(h == g and j < i for h, _, j in given) for g, _, i in given)
+    assert ranks.mid_ranks(df.where("false"), ["g"], "v", "r", True).count() == 0
+
+
+def test_rules_take_their_words(spark):
+    df = spark.createDataFrame([("a/L012_x.NPZ", "Full dose image"), ("x.dcm", "low PROJECTION"), ("b/.git/x", None), ("ok/a.json", "full")], "p string, d string")
+    got = df.select(rules.refusal(F.col("p")).alias("w"), rules.cruft(F.col("p")).alias("c"), rules.series_role(F.col("d")).alias("r"), rules.by_prefix(F.col("d"), ("Full",)).alias("b")).collect()
+    assert [r.w for r in got] == ["patient pixel derivative", "DICOM", None, None]
+    assert [r.c for r in got] == [False, False, True, False]
+    assert [r.r and tuple(r.r) for r in got] == [("fd", "image"), ("ld", "projection"), None, None]
+    assert [r.b for r in got] == ["Full", "low PROJECTION", "", "full"]
+    with pytest.raises(ValueError, match="2 restricted files"):
+        rules.refuse(df, "p")
+    assert rules.refuse(df.where("p like 'ok%'"), "p").count() == 1
+    v = spark.createDataFrame([("rejected", False, True, True, True), ("published", False, True, False, True), ("published", False, True, True, False), (None, False, False, None, None), ("x", None, None, None, False)], "s string, f boolean, r boolean, e boolean, t boolean")
+    states = [r[0] for r in v.select(rules.publication_state(*(F.col(c) for c in "sfret"))).collect()]
+    assert states == ["REJECTED", "INCOMPLETE", "PUBLISHED", "NO_CLAIM", "MISSING_LAYER"]
+    told = spark.createDataFrame([(None,), ("HELDOUT-SPLIT",), ("training-split",), ("other",)], "p string")
+    assert [r[0] for r in told.select(rules.provenance_state(F.col("p"))).collect()] == ["undeclared", "accepted", "training", "unknown"]
