@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -42,24 +43,40 @@ def runs(rows: DataFrame, by: str, position: str, tolerance: float) -> DataFrame
 
 def pair_by_position(full: DataFrame, low: DataFrame, by: str, position: str, key: str, tolerance: float) -> DataFrame:
     """Greedy one-to-one pairs inside a series: in position order, each full slice takes the nearest unused low one in reach, the
-    lower of equals. A call gets a run of a series, as no pair reaches beyond it; rows without a position are unpaired.
+    lower of equals. Rows stream through a task run by run, and a task holds one run at a time, as no pair reaches beyond it;
+    rows without a position are unpaired.
     """
 
-    def pair(run: pd.DataFrame) -> pd.DataFrame:
-        run = run.sort_values([position, key])
-        a, b = run[run["is_full"]], run[~run["is_full"]]
-        at, keys, out = b[position].tolist(), b[key].tolist(), []
-        for p, k in zip(a[position].tolist(), a[key].tolist(), strict=True):
+    def close(run: list[tuple]) -> list[tuple]:
+        low_side = [r for r in run if not r[4]]
+        at, keys, out = [r[2] for r in low_side], [r[3] for r in low_side], []
+        for series, _, p, k, is_full in run:
+            if not is_full or not at:
+                continue
             right = bisect_left(at, p)
             near = [(abs(at[i] - p), i) for i in ([bisect_left(at, at[right - 1])] if right else []) + ([right] if right < len(at) else [])]
-            if near and min(near)[0] <= tolerance:
+            if min(near)[0] <= tolerance:
                 i = min(near)[1]
-                out.append((int(a[by].iloc[0]), int(k), int(keys.pop(i)), float(p), float(at.pop(i))))
-        return pd.DataFrame(out, columns=[by, "full_key", "low_key", "full_at", "low_at"])
-
-    schema = f"{by} long, full_key long, low_key long, full_at double, low_at double"
-    side = lambda x, n: x.where(F.col(position).isNotNull()).select(by, key, position, F.lit(n).alias("is_full"))
-    return runs(side(full, True).unionByName(side(low, False)), by, position, tolerance).groupBy(by, "run").applyInPandas(pair, schema)
+                out.append((series, k, keys.pop(i), p, at.pop(i)))
+        return out
+
+    def pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        run: list[tuple] = []
+        for batch in batches:
+            out = []
+            for row in zip(*(batch[c].tolist() for c in (by, "run", position, key, "is_full")), strict=True):
+                if run and run[-1][:2] != row[:2]:
+                    out += close(run)
+                    run = []
+                run.append(row)
+            yield pd.DataFrame(out, columns=[by, "full_key", "low_key", "full_at", "low_at"])
+        yield pd.DataFrame(close(run), columns=[by, "full_key", "low_key", "full_at", "low_at"])
+
+    side = lambda x, n: x.where(F.col(position).isNotNull()).select(by, key, F.col(position).cast("double").alias(position), F.lit(n).alias("is_full"))
+    both = runs(side(full, True).unionByName(side(low, False)), by, position, tolerance)
+    kinds = dict(full.dtypes)
+    schema = f"{by} {kinds[by]}, full_key {kinds[key]}, low_key {kinds[key]}, full_at double, low_at double"
+    return both.repartition(by, "run").sortWithinPartitions(by, "run", position, key).mapInPandas(pair, schema)
 
 
 def pairing_summary(full: DataFrame, low: DataFrame, pairs: DataFrame, by: str, tolerance: float) -> DataFrame:
