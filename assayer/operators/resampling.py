@@ -264,7 +264,14 @@ def bs14_equivalence_credential(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(out, ["mean", "low", "high"])
 
 
-@query()
+def _area_sql(score: str) -> str:
+    return f"n_{score} AS (SELECT lang, rep, {score} AS x, sum(m * label) AS p, sum(m * (1 - label)) AS q FROM w WHERE m > 0 GROUP BY ALL), v_{score} AS (SELECT lang, rep, p, q, p * (coalesce(sum(q) OVER (PARTITION BY lang, rep ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + q / 2) AS won FROM n_{score}), auc_{score} AS (SELECT lang, rep, sum(won)::DOUBLE / nullif(sum(p) * sum(q), 0)::DOUBLE AS auc FROM v_{score} GROUP BY ALL)"
+
+
+_AREAS = f"WITH d AS (SELECT lang, quality AS label, n_chars AS a, (doc_id * 7919) % 1009 AS b FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL), w AS (SELECT lang, label, a, d.b, rep, {M_SQL.format(u='(a * 1009 + d.b)', b='rep')} AS m FROM d, (SELECT unnest(range({REPLICATES})) AS rep) r), {_area_sql('a')}, {_area_sql('b')} SELECT lang, round(quantile_cont(x.auc - y.auc, 0.025), 6) AS low, round(quantile_cont(x.auc - y.auc, 0.975), 6) AS high FROM auc_a x JOIN auc_b y USING (lang, rep) WHERE x.auc IS NOT NULL AND y.auc IS NOT NULL GROUP BY lang"
+
+
+@query(_AREAS)
 def bs4_bootstrap_auc_diff(spark: SparkSession, folder: str) -> DataFrame:
     """Paired difference of two areas over class-wise replicates: weighted counts per score, no repeated rows."""
     from assayer.operators.curves import _scores
