@@ -49,8 +49,13 @@ def _numbers(first: int, end: int) -> Column:
 
 
 def replicate_means(units: DataFrame, by: list[str], unit: str, total: str, count: str, replicates: int = REPLICATES) -> DataFrame:
-    """(by, b, mean): weighted means of per-unit partial sums; the same weights for every group of a unit."""
-    b = units.withColumn("b", F.explode(_numbers(0, replicates)))
+    """(by, b, mean): weighted means of per-unit partial sums; the same weights for every group of a unit.
+
+    Units are few bytes but ``replicates`` rows each, so they are dealt to all cores before that.
+    """
+    spark = units.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    b = units.repartition(tasks, unit).withColumn("b", F.explode(_numbers(0, replicates)))
     b = b.withColumn("m", weight(F.col("b"), F.col(unit))).where("m > 0")
     out = b.groupBy(*by, "b").agg(F.sum(F.col("m") * F.col(total)).alias("s"), F.sum(F.col("m") * F.col(count)).alias("n"))
     return out.select(*by, "b", (F.col("s") / F.col("n")).alias("mean"))
