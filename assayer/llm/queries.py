@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import decontaminate, html, licenses, minhash, packing, quality, rans, suffix_dedup, toxicity, warc
+from assayer.llm import conversations, decontaminate, html, licenses, minhash, packing, quality, rans, suffix_dedup, toxicity, warc
 from assayer.llm.sql import SQL as SQL
 from assayer.llm.tokens import public_path
 from assayer.plans.store import Scratch
@@ -61,6 +61,10 @@ def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return html.main_text(table(spark, folder, "pages"))
 
 
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.report(conversations.repair(conversations.damage(table(spark, folder, "conversations"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -74,5 +78,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_token_rans,
         op9_license_scan,
         op10_html_extraction,
+        op11_conversation_repair,
     )
 }

@@ -64,4 +64,56 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)"""
 
-SQL = {"op1_warc": OP1, "op2_quality_rules": OP2, "op3_minhash_near_dedup": OP3, "op6_benchmark_decontamination": OP6}
+# --- op11: a list of the four states' best (cost in nine digits, then the audit) goes from turn to turn
+
+
+def _add(state: str, cost: str, letters: str) -> str:
+    return f"lpad((left({state}, 9)::BIGINT + {cost})::VARCHAR, 9, '0') || substr({state}, 10) || '{letters}'"
+
+
+def _step(a: str, turn: str) -> str:
+    """The states after a turn; insertions stand before it, one at most, as two lead to where none does."""
+    at = [f"{a}[{k}]" for k in range(1, 5)]
+    ins = lambda k: f"({_add(at[k], '3', 'I')})"
+    before = [[at[0]], [at[1]], [at[2], ins(0), ins(1), ins(3)], [at[3], ins(2)]]
+    low, extra = f"lower({turn})", f"(CASE WHEN {turn} = 'd' OR {turn} = lower({turn}) THEN 0 ELSE 3 END)"
+
+    def to(role: str, froms: list[int], reroled: bool) -> list[str]:
+        keep = [f"CASE WHEN {low} = '{role}' THEN {_add(s, extra, 'K')} END" for k in froms for s in before[k]]
+        return keep + [f"CASE WHEN {low} NOT IN ('d', '{role}') THEN {_add(s, f'3 + {extra}', 'R')} END" for k in froms for s in before[k] if reroled]
+
+    moves = [[], to("s", [0], False), to("u", [0, 1, 3], True), to("a", [2], True)]
+    return "[" + ", ".join(f"list_min([{', '.join([_add(s, '4', 'D') for s in before[k]] + moves[k])}])" for k in range(4)) + "]"
+
+
+_BYTE = "list_reduce(list_concat([xor(a, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)"
+_CRC = f"xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length(k) + 1), lambda i: ord(k[i])::BIGINT)), lambda a, b: {_BYTE}), 4294967295::BIGINT)"
+_TURN = "turn NULLS FIRST, role, text"
+OP11 = f"""WITH k AS (SELECT conv_id, turn::BIGINT AS turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+h AS (SELECT *, {_CRC} % 20 AS h FROM k),
+d AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+  CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN h = 3 THEN 2 ELSE 1 END)) AS c FROM h WHERE h <> 0),
+o AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY {_TURN}, c) AS rn, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY {_TURN}, c) AS was,
+  CASE WHEN NOT regexp_matches(text, '{_SPACE}') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, c) > 1 THEN 'd'
+  WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') THEN 't' END AS fault FROM d),
+l AS (SELECT *, CASE WHEN fault IN ('b', 'd') THEN 'd' ELSE CASE WHEN fault = 't' THEN upper(i) ELSE i END END AS letter
+  FROM (SELECT *, CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE 'x' END AS i FROM o)),
+g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+  count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (was IS NOT NULL AND was || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal,
+  list(letter ORDER BY rn) AS letters, list(role ORDER BY rn) AS roles, list(text ORDER BY rn) AS texts FROM l GROUP BY conv_id),
+s AS (SELECT *, list_reduce(list_concat([['000000000', NULL, NULL, NULL]], list_transform(letters, lambda x: [x])), lambda a, b: {_step('a', 'b[1]')}) AS z FROM g),
+e AS (SELECT *, list_min([z[1], z[4], {_add('z[3]', '3', 'I')}, {_add('z[2]', '6', 'II')}]) AS best FROM s),
+u AS (SELECT *, string_split(substr(best, 10), '') AS edits, left(best, 9)::BIGINT AS cost FROM e),
+p AS (SELECT *, list_filter(list_transform(range(1, len(edits) + 1), lambda i: {{'e': edits[i], 'row': len(list_filter(edits[:i], lambda x: x <> 'I')), 'place': len(list_filter(edits[:i], lambda x: x <> 'D'))}}), lambda x: x.e NOT IN ('D', '')) AS kept FROM u),
+r AS (SELECT *, CASE WHEN len(kept) > 0 AND kept[1].e = 'K' AND left(roles[kept[1].row], 1) = 's' THEN 1 ELSE 0 END AS system FROM p),
+f AS (SELECT conv_id, gaps, blank, duplicate, truncated, illegal, cost, substr(best, 10) AS audit, sha256(coalesce(array_to_string(list_transform(kept, lambda x:
+  (CASE WHEN x.e = 'K' THEN roles[x.row] WHEN (x.place - system) % 2 = 1 THEN 'user' ELSE 'assistant' END) || ':' || (CASE WHEN x.e = 'I' THEN '' ELSE texts[x.row] END)), chr(10)), '')) AS sha FROM r)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN f ON c.conv_id IS NOT DISTINCT FROM f.conv_id"""
+
+SQL = {
+    "op1_warc": OP1, "op2_quality_rules": OP2, "op3_minhash_near_dedup": OP3, "op6_benchmark_decontamination": OP6,
+    "op11_conversation_repair": OP11,
+}

@@ -7,7 +7,7 @@ from assayer.llm import queries
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_same_rows(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     con.execute(queries.SQL[name])
     columns = [d[0] for d in con.description]
