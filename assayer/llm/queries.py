@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import conversations, decontaminate, html, licenses, minhash, packing, quality, rans, suffix_dedup, toxicity, warc
+from assayer.llm import collocations, conversations, decontaminate, html, licenses, minhash, packing, quality, rans, suffix_dedup, toxicity, warc
 from assayer.llm.sql import SQL as SQL
 from assayer.llm.tokens import public_path
 from assayer.plans.store import Scratch
@@ -65,6 +65,10 @@ def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.report(conversations.repair(conversations.damage(table(spark, folder, "conversations"))))
 
 
+def op12_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -79,5 +83,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_license_scan,
         op10_html_extraction,
         op11_conversation_repair,
+        op12_phrase_collocations,
     )
 }

@@ -113,7 +113,24 @@ SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT
   coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN f ON c.conv_id IS NOT DISTINCT FROM f.conv_id"""
 
+OP12 = f"""WITH d AS (SELECT coalesce(lang, 'und') AS lang, {_LOW.format(t="coalesce(text, '')")} AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+o AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+x AS (SELECT lang, w, i, k FROM o, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE i + k - 1 <= len(w)),
+g AS (SELECT lang, w[i:i + k - 1] AS ws, k, count(*) AS f FROM x GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE k = 1 GROUP BY lang),
+c AS (SELECT * FROM g WHERE k > 1 AND f >= 30),
+q AS (SELECT lang, ws, f AS a, unnest(range(1, k)) AS cut FROM c),
+s AS (SELECT q.*, l.f AS l, r.f AS r, (2000000 * a::HUGEINT) // (l.f + r.f) AS score FROM q JOIN g l ON l.lang = q.lang AND l.ws = q.ws[1:cut] JOIN g r ON r.lang = q.lang AND r.ws = q.ws[cut + 1:]),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, ws ORDER BY score, cut) = 1),
+m AS (SELECT lang, ws[i:i + j - 1] AS ws, max(f) AS f FROM (SELECT lang, ws, f, k, j, unnest(range(1, k - j + 2)) AS i FROM c, (SELECT unnest([2, 3]) AS j) WHERE j < k) GROUP BY ALL),
+t AS (SELECT b.lang, array_to_string(b.ws, ' ') AS phrase, a, l, r, score FROM b LEFT JOIN m ON m.lang = b.lang AND m.ws = b.ws WHERE m.f IS NULL OR 100 * m.f < 80 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM t JOIN n USING (lang) QUALIFY rank <= 2000"""
+
 SQL = {
     "op1_warc": OP1, "op2_quality_rules": OP2, "op3_minhash_near_dedup": OP3, "op6_benchmark_decontamination": OP6,
     "op11_conversation_repair": OP11,
+    "op12_phrase_collocations": OP12,
 }
