@@ -4,10 +4,11 @@ Each word leads one window of up to four words, padded at the end of its piece;
 successively shorter beginnings, and as every occurrence of a phrase leads exactly one window, the sums are the counts of all phrases
 of four, three, two and one words, and of all words of a language.
 
-Before that, one pass counts words and pairs of neighbours by a 64-bit hash, spread over buckets of the hash, and marks those that occur often
-enough in a bitmap of fixed size. A window ends before a pair that is not marked, and words that are not marked lead an empty window:
-a phrase can't be frequent where its words or pairs are not. Hashes or bits that coincide only leave a window longer than it need
-be, so counts are exact at every size; once the bitmap is crowded it merely saves less.
+Before that, one pass counts words and pairs of neighbours by a hash, spread over buckets of the hash, and marks those that occur often
+enough in a bitmap of fixed size; a second one does so with triples of marked pairs. A window ends before a pair or triple that is not
+marked, and words that are not marked lead an empty window: a phrase can't be frequent where what it holds is not. Hashes or
+bits that coincide only leave a window longer than it need be, so counts are exact at every size; once the bitmap is crowded it merely
+saves less.
 
 Rows: a null language is ``und``, a null or empty text has no words. Texts of any length, repeated rows and ids in any number are all counted;
 columns other than ``text`` and ``lang`` are left alone. Phrases with equal score and count rank by their bytes, so ranks have no ties. An
@@ -108,22 +109,52 @@ def _summed(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndar
 _COUNTED = "bucket int, hashes binary, counts binary"
 
 
-def _count_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words and pairs of neighbours by hash, counted in the task, a row a bucket."""
-    for lang, ids, names in _streams(batches):
-        of = _hashes(lang, ids, names)
-        for part, n in _leads(ids):
-            lead, after = part[:n].astype(np.int64), part[1 : n + 1]
-            single = np.bincount(lead, minlength=len(names))
-            single[0] = 0
-            both = (lead > 0) & (after > 0)
-            pairs, many = np.unique(lead[both] * len(names) + after[both], return_counts=True)
-            there = np.flatnonzero(single)
-            hashes, counts = _summed([of[there], _paired(of[pairs // len(names)], of[pairs % len(names)])], [single[there], many])
-            bounds = np.searchsorted(hashes, np.arange(1 << BUCKETS, dtype=np.uint64) << np.uint64(64 - BUCKETS)).tolist() + [len(hashes)]
-            filled = [b for b in range(1 << BUCKETS) if bounds[b] < bounds[b + 1]]
-            cut = lambda x: [x[bounds[b] : bounds[b + 1]].tobytes() for b in filled]
-            yield pa.RecordBatch.from_arrays([pa.array(filled, pa.int32()), pa.array(cut(hashes), pa.binary()), pa.array(cut(counts), pa.binary())], names=["bucket", "hashes", "counts"])
+def _often(marked, hashes: np.ndarray) -> np.ndarray:
+    """``marked``: the broadcast bitmap."""
+    at = (hashes >> np.uint64(64 - BITS)).astype(np.int64)
+    return (marked.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+
+
+def _runs(marked, of: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word but the last: whether it and the next are neighbours, a marked pair if there is a bitmap, and the pair's hash."""
+    pair = (part[:-1] > 0) & (part[1:] > 0)
+    hashes = np.zeros(len(pair), np.uint64)
+    hashes[pair] = _paired(of[part[:-1][pair]], of[part[1:][pair]])
+    if marked is not None:
+        pair[pair] = _often(marked, hashes[pair])
+    return pair, pair[:-1] & pair[1:], hashes
+
+
+def _triples(of: np.ndarray, part: np.ndarray, both: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Hashes of three words in a row, where ``both`` of their pairs hold."""
+    return _paired(pairs[:-1][both], ~of[part[2:][both]])
+
+
+def _counter(marked):
+    """Without a bitmap words and pairs of neighbours are counted by hash, with it the triples made of marked pairs; a row a bucket."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, ids, names in _streams(batches):
+            of = _hashes(lang, ids, names)
+            for part, n in _leads(ids):
+                reached = part[: n + (1 if marked is None else 2)]
+                pair, both, pairs = _runs(marked, of, reached)
+                if marked is None:
+                    single = np.bincount(part[:n], minlength=len(names))
+                    single[0] = 0
+                    there = np.flatnonzero(single)
+                    found, many = np.unique(pairs[pair], return_counts=True)
+                    hashes, counts = _summed([of[there], found], [single[there], many])
+                else:
+                    hashes, counts = np.unique(_triples(of, reached, both, pairs), return_counts=True)
+                # a bucket's hashes differ by the 32 bits behind its own; ones that don't only mark too much
+                rest = (hashes >> np.uint64(32 - BUCKETS)).astype(np.uint32)
+                bounds = np.searchsorted(hashes, np.arange(1 << BUCKETS, dtype=np.uint64) << np.uint64(64 - BUCKETS)).tolist() + [len(hashes)]
+                filled = [b for b in range(1 << BUCKETS) if bounds[b] < bounds[b + 1]]
+                cut = lambda x: pa.array([x[bounds[b] : bounds[b + 1]].tobytes() for b in filled], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(filled, pa.int32()), cut(rest), cut(counts.astype(np.int64))], names=["bucket", "hashes", "counts"])
+
+    return count
 
 
 def _bits_of(least: int):
@@ -135,9 +166,8 @@ def _bits_of(least: int):
             if now < 0:
                 return []
             found, many = _summed(hashes, counts)
-            at = (found[many >= least] >> np.uint64(64 - BITS)) - np.uint64(now << (BITS - BUCKETS))
             bits = np.zeros(1 << (BITS - BUCKETS), np.uint8)
-            bits[at.astype(np.int64)] = 1
+            bits[found[many >= least] >> np.uint32(32 - (BITS - BUCKETS))] = 1
             return [(now, zlib.compress(np.packbits(bits).tobytes(), 1))]
 
         def emit(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
@@ -150,7 +180,7 @@ def _bits_of(least: int):
                 if bucket != now:
                     rows += close()
                     now, hashes, counts, held = bucket, [], [], 0
-                hashes.append(np.frombuffer(h, np.uint64))
+                hashes.append(np.frombuffer(h, np.uint32))
                 counts.append(np.frombuffer(c, np.int64))
                 held += len(hashes[-1])
                 if held > HELD_HASHES:
@@ -162,13 +192,14 @@ def _bits_of(least: int):
     return mark
 
 
-def frequent_bits(texts: DataFrame, least: int) -> np.ndarray:
-    """A bitmap of ``2 ** BITS`` bits, in bytes, with those set whose word or pair occurs ``least`` times; it comes to the driver."""
-    counted = texts.mapInArrow(_count_hashes, _COUNTED).repartition("bucket").sortWithinPartitions("bucket")
-    bits = np.zeros(1 << (BITS - 3), np.uint8)
+def frequent_bits(texts: DataFrame, least: int, marked=None) -> np.ndarray:
+    """A bitmap of ``2 ** BITS`` bits, in bytes, with those set whose words or pairs occur ``least`` times, beside those of ``marked``
+    the triples of marked pairs. It comes to the driver, whose size it has at any number of words."""
+    counted = texts.mapInArrow(_counter(marked), _COUNTED).repartition("bucket").sortWithinPartitions("bucket")
+    bits = np.zeros(1 << (BITS - 3), np.uint8) if marked is None else marked.value.copy()
     size = len(bits) >> BUCKETS
     for bucket, found in counted.mapInArrow(_bits_of(least), "bucket int, bits binary").toLocalIterator():
-        bits[bucket * size : (bucket + 1) * size] = np.frombuffer(zlib.decompress(found), np.uint8)
+        bits[bucket * size : (bucket + 1) * size] |= np.frombuffer(zlib.decompress(found), np.uint8)
     return bits
 
 
@@ -176,12 +207,6 @@ _WINDOWS = "lang string, " + "".join(f"w{k} string, " for k in range(1, LONGEST
 
 
 def _windows_of(marked):
-    """``marked``: the broadcast bitmap."""
-
-    def often(hashes: np.ndarray) -> np.ndarray:
-        at = (hashes >> np.uint64(64 - BITS)).astype(np.int64)
-        return (marked.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
-
     def unique(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
         """Distinct rows of columns of small numbers, and how many there are of each."""
         place, firsts = np.zeros(len(columns[0]), np.int64), None
@@ -193,19 +218,17 @@ def _windows_of(marked):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, ids, names in _streams(batches):
             of = _hashes(lang, ids, names)
-            word_often = often(of)
+            word_often = _often(marked, of)
             word_often[0] = False
             kept = np.flatnonzero(word_often)
             short = np.zeros(len(names), np.int64)
             short[kept] = np.arange(1, len(kept) + 1)
             spelled = pa.array([names[i].decode() for i in kept.tolist()], pa.string())
             for part, n in _leads(ids):
-                # whether each word and the next are a frequent pair, and the window is not over before
-                pair = (part[:-1] > 0) & (part[1:] > 0)
-                pair[pair] = often(_paired(of[part[:-1][pair]], of[part[1:][pair]]))
-                reach, leads = [part[:n] > 0], short[part]
-                for k in range(1, LONGEST):
-                    reach.append(reach[-1] & pair[k - 1 : k - 1 + n])
+                pair, both, pairs = _runs(marked, of, part)
+                both[both] = _often(marked, _triples(of, part, both, pairs))
+                leads = short[part]
+                reach = [part[:n] > 0, pair[:n], both[:n], both[:n] & both[1 : n + 1]]
                 longer = reach[1]
                 single = np.bincount(leads[:n][reach[0] & ~longer], minlength=len(kept) + 1)
                 there = np.flatnonzero(single)
@@ -222,7 +245,8 @@ def phrases(documents: DataFrame, least: int = 30) -> DataFrame:
     """(lang, words, phrase, f): phrases of one to four words that occur ``least`` times in a language; with no words, all its words."""
     spark = documents.sparkSession
     texts = documents.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    marked = spark.sparkContext.broadcast(frequent_bits(texts, least))
+    pairs = spark.sparkContext.broadcast(frequent_bits(texts, least))
+    marked = spark.sparkContext.broadcast(frequent_bits(texts, least, pairs))
     names = [f"w{k}" for k in range(1, LONGEST + 1)]
     sums = texts.mapInArrow(_windows_of(marked), _WINDOWS).rollup("lang", *names).agg(F.sum("c").alias("f"), F.grouping_id().alias("rolled"))
     # of a row with the last n columns rolled up, the column before them must hold a word; padding there repeats a shorter phrase
