@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import collocations, conversations, decontaminate, html, licenses, minhash, packing, quality, rans, suffix_dedup, toxicity, warc
+from assayer.llm import collocations, conversations, decontaminate, html, licenses, minhash, packing, quality, rans, sharding, suffix_dedup, toxicity, warc
 from assayer.llm.sql import SQL as SQL
 from assayer.llm.tokens import public_path
 from assayer.plans.store import Scratch
@@ -69,6 +69,11 @@ def op12_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.collocations(table(spark, folder, "documents"))
 
 
+def op13_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    found = sharding.shards(table(spark, folder, "documents"), ["source", "lang", "n_chars"], n_shards=40)
+    return found.withColumns({"law": F.lit("bytes"), "slot": F.col("slot").cast("long"), "grown_shard": F.lit(None).cast("int")})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -84,5 +89,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_html_extraction,
         op11_conversation_repair,
         op12_phrase_collocations,
+        op13_sharding,
     )
 }
