@@ -1,8 +1,9 @@
 """Phrase collocation mining by marginalisation from the longest windows.
 
-Each word leads one window of up to four words, padded at the end of its piece; only these windows are counted. ROLLUP sums them by
-successively shorter beginnings, and as every occurrence of a phrase leads exactly one window, the sums are the counts of all phrases
-of four, three, two and one words, and of all words of a language.
+Each word leads one window of up to four words, padded at the end of its piece; only these windows are counted, in the task and then, packed,
+by parts of their hash, so that ROLLUP takes each distinct window once. It sums them by successively shorter beginnings, and as every
+occurrence of a phrase leads exactly one window, the sums are the counts of all phrases of four, three, two and one words, and of all words
+of a language.
 
 Before that, one pass counts words and pairs of neighbours by a hash, spread over buckets of the hash, and marks those that occur often
 enough in a bitmap of fixed size; a second one does so with triples of marked pairs. A window ends before a pair or triple that is not
@@ -203,10 +204,15 @@ def frequent_bits(texts: DataFrame, least: int, marked=None) -> np.ndarray:
     return bits
 
 
+#: Parts that windows are dealt to by hash, one of which is held by a task at a time; raise it with the number of distinct windows.
+PARTS = 1024
+_DEALT = "part int, lang string, lines binary, counts binary"
 _WINDOWS = "lang string, " + "".join(f"w{k} string, " for k in range(1, LONGEST + 1)) + "c long"
 
 
 def _windows_of(marked):
+    """Windows counted in the task, sorted and packed: a row a part, with a line a window and its words between spaces."""
+
     def unique(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
         """Distinct rows of columns of small numbers, and how many there are of each."""
         place, firsts = np.zeros(len(columns[0]), np.int64), None
@@ -223,7 +229,8 @@ def _windows_of(marked):
             kept = np.flatnonzero(word_often)
             short = np.zeros(len(names), np.int64)
             short[kept] = np.arange(1, len(kept) + 1)
-            spelled = pa.array([names[i].decode() for i in kept.tolist()], pa.string())
+            hashed = np.concatenate([np.zeros(1, np.uint64), of[kept]])
+            spelled = ["", *(names[i].decode() for i in kept.tolist())]
             for part, n in _leads(ids):
                 pair, both, pairs = _runs(marked, of, part)
                 both[both] = _often(marked, _triples(of, part, both, pairs))
@@ -234,13 +241,45 @@ def _windows_of(marked):
                 there = np.flatnonzero(single)
                 windows, many = unique(*(np.where(reach[k][longer], leads[k : k + n][longer], 0) for k in range(LONGEST)))
                 columns = [np.concatenate([there, windows[0]]), *(np.concatenate([np.zeros(len(there), np.int64), w]) for w in windows[1:])]
-                spell = lambda c: spelled.take(pa.array(c - 1, mask=c == 0))
-                c = np.concatenate([single[there], many])
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), *map(spell, columns), pa.array(c, pa.int64())], names=["lang", *(f"w{k}" for k in range(1, LONGEST + 1)), "c"])
+                c, part_of = np.concatenate([single[there], many]), np.zeros(len(columns[0]), np.uint64)
+                for w in columns:
+                    part_of = _paired(part_of, hashed[w])
+                part_of = (part_of % np.uint64(PARTS)).astype(np.int64)
+                order = np.lexsort((*columns[::-1], part_of))
+                words = zip(*(w[order].tolist() for w in columns), strict=True)
+                lines = [" ".join([spelled[i] for i in window if i]) for window in words]
+                bounds = np.searchsorted(part_of[order], np.arange(PARTS + 1)).tolist()
+                filled, c = [p for p in range(PARTS) if bounds[p] < bounds[p + 1]], c[order].astype(np.int64)
+                text = [zlib.compress("\n".join(lines[bounds[p] : bounds[p + 1]]).encode(), 1) for p in filled]
+                counts = [zlib.compress(c[bounds[p] : bounds[p + 1]].tobytes(), 1) for p in filled]
+                yield pa.RecordBatch.from_arrays([pa.array(filled, pa.int32()), pa.array([lang] * len(filled), pa.string()), pa.array(text, pa.binary()), pa.array(counts, pa.binary())], names=["part", "lang", "lines", "counts"])
 
     return count
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every distinct window once, with its count over all tasks; rows come by part and language."""
+    now, held = None, {}
+
+    def close() -> Iterator[pa.RecordBatch]:
+        found = list(held.items())
+        for at in range(0, len(found), 50_000):
+            lines, counts = zip(*found[at : at + 50_000], strict=True)
+            words = [(line.split(" ") if line else []) + [None] * LONGEST for line in lines]
+            columns = [pa.array([w[k] for w in words], pa.string()) for k in range(LONGEST)]
+            yield pa.RecordBatch.from_arrays([pa.array([now[1]] * len(lines), pa.string()), *columns, pa.array(counts, pa.int64())], names=["lang", *(f"w{k}" for k in range(1, LONGEST + 1)), "c"])
+
+    for batch in batches:
+        for i in range(len(batch)):
+            part, lang, text, counts = (column[i].as_py() for column in batch.columns)
+            if (part, lang) != now:
+                yield from close()
+                now, held = (part, lang), {}
+            for line, c in zip(zlib.decompress(text).decode().split("\n"), np.frombuffer(zlib.decompress(counts), np.int64).tolist(), strict=True):
+                held[line] = held.get(line, 0) + c
+    yield from close()
+
+
 def phrases(documents: DataFrame, least: int = 30) -> DataFrame:
     """(lang, words, phrase, f): phrases of one to four words that occur ``least`` times in a language; with no words, all its words."""
     spark = documents.sparkSession
@@ -248,7 +287,8 @@ def phrases(documents: DataFrame, least: int = 30) -> DataFrame:
     pairs = spark.sparkContext.broadcast(frequent_bits(texts, least))
     marked = spark.sparkContext.broadcast(frequent_bits(texts, least, pairs))
     names = [f"w{k}" for k in range(1, LONGEST + 1)]
-    sums = texts.mapInArrow(_windows_of(marked), _WINDOWS).rollup("lang", *names).agg(F.sum("c").alias("f"), F.grouping_id().alias("rolled"))
+    dealt = texts.mapInArrow(_windows_of(marked), _DEALT).repartition("part").sortWithinPartitions("part", "lang")
+    sums = dealt.mapInArrow(_merged, _WINDOWS).rollup("lang", *names).agg(F.sum("c").alias("f"), F.grouping_id().alias("rolled"))
     # of a row with the last n columns rolled up, the column before them must hold a word; padding there repeats a shorter phrase
     last = F.coalesce(*(F.when(F.col("rolled") == (1 << (LONGEST - k)) - 1, F.col(f"w{k}").isNotNull()) for k in range(1, LONGEST + 1)))
     whole = F.col("rolled") == (1 << LONGEST) - 1
