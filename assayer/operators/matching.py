@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from assayer.operators.greedy import dominant_pairs
 from assayer.operators.preparation import iou
 from assayer.operators.registry import query
 from assayer.sources.tables import table
@@ -113,18 +114,7 @@ def overlapping(a: DataFrame, b: DataFrame, by: list[str], box: list[str], more:
 
 def match_boxes(a: DataFrame, b: DataFrame, by: list[str], box: list[str], least: float) -> DataFrame:
     """Greedy one-to-one pairs of boxes of two readers on one slice, best overlap above ``least`` first, ties by id."""
-    candidates = overlapping(a, b, by, box).where(F.col("overlap") > least)
-
-    def greedy(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, used_a, used_b, keep = rows.sort_values(["overlap", "a", "b"], ascending=[False, True, True]), set(), set(), []
-        for i, (p, q) in enumerate(zip(rows["a"].tolist(), rows["b"].tolist(), strict=True)):
-            if p not in used_a and q not in used_b:
-                used_a.add(p)
-                used_b.add(q)
-                keep.append(i)
-        return rows.iloc[keep]
-
-    return candidates.groupBy(*by).applyInPandas(greedy, candidates.schema)
+    return dominant_pairs(overlapping(a, b, by, box).where(F.col("overlap") > least), by)
 
 
 def reconcile(recorded: DataFrame, found: DataFrame, key: str, value: str) -> DataFrame:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.operators.curves import _CURVE, _LEVEL, _curve, knee
+from assayer.operators.greedy import followers
 from assayer.operators.matching import _BOX, _BOXES, _boxes, nearest, overlapping
 from assayer.operators.preparation import equivalence_verdict
 from assayer.operators.registry import query
@@ -110,32 +109,19 @@ def consolidate_readers(marks: DataFrame, by: list[str], least: float = 0.3, fra
     """Marks (by, reader, id, x0, y0, x1, y1, diameter, texture) of one slice fused to one where more than ``fraction`` of its case's readers agree.
 
     In order of reader and id, an unused mark leads and takes every unused one that overlaps it by ``least``; boxes and diameters are
-    medians. The pass depends on that order, so the marks of one slice, a few for each reader, go to one call. The first of ``by``
-    is the case, whose readers are counted.
+    medians. Leaders are found in rounds over the overlaps, so a slice's marks are the work of many tasks. The first of ``by`` is the case,
+    whose readers are counted.
     """
+    # the row's number tells marks apart that repeat reader and id
+    numbered = marks.withColumn("id", F.struct("reader", "id", F.monotonically_increasing_id().alias("row")))
+    m = Scratch(marks.sparkSession, "marks").keep(numbered, "numbered")
+    met = overlapping(m, m, by, _BOX).where((F.col("overlap") >= least) & (F.col("a") < F.col("b")))
+    taken = followers(met.select(*by, F.col("a").alias("lo"), F.col("b").alias("hi")), by)
+    led = m.join(taken.withColumnRenamed("member", "id"), [*by, "id"], "left").withColumn("leader", F.coalesce("leader", "id"))
+    middle = [F.median(F.col(c).cast("double")).alias(c) for c in (*_BOX, "diameter")]
+    fused = led.groupBy(*by, "leader").agg(*middle, F.median("texture").cast("long").alias("texture"), F.countDistinct("reader").alias("n_contributing"))
     readers = marks.groupBy(by[0]).agg(F.countDistinct("reader").alias("n_readers"))
-    kinds = {f.name: f.dataType.simpleString() for f in marks.schema.fields}
-    schema = ", ".join(f"{c} {kinds[c]}" for c in by) + ", x0 double, y0 double, x1 double, y1 double, diameter double, texture long, n_contributing long"
-
-    def fuse(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["reader", "id"])
-        box, free, out = rows[_BOX].to_numpy(float), np.ones(len(rows), bool), []
-        area = (box[:, 2] - box[:, 0]) * (box[:, 3] - box[:, 1])
-        for i in range(len(rows)):
-            if not free[i]:
-                continue
-            low, high = np.maximum(box[:, :2], box[i, :2]), np.minimum(box[:, 2:], box[i, 2:])
-            both = np.prod(np.clip(high - low, 0, None), axis=1)
-            union = area + area[i] - both
-            own = free & (np.divide(both, union, out=np.zeros_like(both), where=union > 0) >= least)
-            own[i] = True
-            free &= ~own
-            some = rows[own]
-            if (n := some["reader"].nunique()) > fraction * max(1, rows["n_readers"].iloc[0]):
-                out.append((*(rows[c].iloc[0] for c in by), *np.median(box[own], axis=0), some["diameter"].median(), int(some["texture"].median()), n))
-        return pd.DataFrame(out, columns=[*by, *_BOX, "diameter", "texture", "n_contributing"])
-
-    return marks.join(readers, by[0]).groupBy(*by).applyInPandas(fuse, schema)
+    return fused.join(readers, by[0]).where(F.col("n_contributing") > fraction * F.col("n_readers")).select(*by, *_BOX, "diameter", "texture", "n_contributing")
 
 
 def discordant(a: DataFrame, b: DataFrame, by: str, least: float = 0.3, ratio: float = 1.5) -> DataFrame:
