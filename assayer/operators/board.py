@@ -201,15 +201,6 @@ def ag8_seed_set_aggregate(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("dose", "metric", *(F.round(c, 6).alias(c) for c in ("mean", "least", "most", "interval")), "n")
 
 
-@query(f"WITH {SLICES}, p AS (SELECT method, series % 5 AS seed, dose, avg(cnr) AS a FROM s GROUP BY ALL), w AS (SELECT * FROM p WHERE dose = 0.25), r AS (SELECT seed, method, rank() OVER (PARTITION BY seed ORDER BY a DESC) AS k, count(*) OVER (PARTITION BY seed) AS n FROM w) SELECT method, round(avg((k = n)::INT), 6) AS share_last, sum(k)::BIGINT AS rank_sum FROM r GROUP BY method")
-def bs12_rank_over_replicates(spark: SparkSession, folder: str) -> DataFrame:
-    """Share of replicates in which a method ranks last, and its rank sum."""
-    per = slices(spark, folder).where("dose = 0.25").groupBy("method", (F.col("series") % 5).alias("seed")).agg(F.avg("cnr").alias("a"))
-    w = Window.partitionBy("seed")
-    r = per.select("method", F.rank().over(w.orderBy(F.desc("a"))).alias("k"), F.count("*").over(w).alias("n"))
-    return r.groupBy("method").agg(F.round(F.avg((F.col("k") == F.col("n")).cast("int")), 6).alias("share_last"), F.sum("k").alias("rank_sum"))
-
-
 @query(f"{ENTRIES} SELECT method, vendor, round(cnr, 6) AS cnr FROM e WHERE vendor = 'NATION_3' ORDER BY cnr DESC NULLS LAST, method LIMIT 10")
 def sl1_prefix_cap(spark: SparkSession, folder: str) -> DataFrame:
     """The first ten entries of one view in a fixed order: the cap is the feature."""

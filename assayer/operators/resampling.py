@@ -1,16 +1,22 @@
 """Resampling and hypothesis tests.
 
 Replicates use Poisson weights: unit u counts m(b, u) times in replicate b, drawn by integer arithmetic from (b, u). No draw
-table is joined, units stay where they are, partial sums combine before the shuffle, and a lost task repeats its draws.
+table is joined, a task adds its units up in arrays of one number a replicate, and a lost task repeats its draws.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from statistics import NormalDist
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from assayer.operators.board import finite
 from assayer.operators.curves import mid_rank
@@ -21,8 +27,10 @@ from assayer.operators.summaries import rounded
 from assayer.plans.measures import CONTROL, SLICES, slices
 from assayer.sources.tables import table
 
-#: Draws of the registered intervals; 25 lie beyond each bound of a 95 % interval. Callers choose their own.
-REPLICATES = 1000
+#: Draws of the registered intervals. Callers choose their own.
+REPLICATES = 10_000
+#: Draws of the registered differences of areas, whose ranking makes a row a draw and score.
+AREA_REPLICATES = 1000
 #: Shufflings of the registered permutation test.
 SHUFFLINGS = 199
 #: Distribution function of the Poisson law with mean 1 at 0, 1, 2 and so on.
@@ -48,17 +56,77 @@ def _numbers(first: int, end: int) -> Column:
     return F.sequence(F.lit(first).cast("long"), F.lit(end - 1).cast("long"))
 
 
-def replicate_means(units: DataFrame, by: list[str], unit: str, total: str, count: str, replicates: int = REPLICATES) -> DataFrame:
-    """(by, b, mean): weighted means of per-unit partial sums; the same weights for every group of a unit.
+#: The same law for whole numbers below 2**31 - 1: how many of these a number reaches is its weight.
+_STEPS = [next(r for r in range(int(p * 2_147_483_647) - 2, 2_147_483_647) if r / 2_147_483_647.0 >= p) for p in POISSON]
+#: Numbers of a matrix of weights that is worked on at once, and those that sums of all groups may hold in a task.
+_CELLS, _HELD = 1 << 18, 1 << 23
+
+
+def _weights(units: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """What ``weight`` gives, for all units (rows) and replicates (columns); remainders of 2**31 - 1 by shifts."""
+    prime, mod = (1 << 31) - 1, 1_000_003
+
+    def folded(x: np.ndarray) -> np.ndarray:
+        x = (x & prime) + (x >> 31)
+        return x - prime * (x >= prime)
+
+    x = (units % mod * 7919 % mod)[:, None] + (b * 104_729 + 12_345) % mod
+    x -= mod * (x >= mod)
+    x = folded(x * 48_271 + (b * 16_807)[None, :] + (units % 65_537)[:, None])
+    x = folded(x * 48_271).astype(np.int32)
+    out = np.zeros(x.shape, np.int8)
+    for step in _STEPS:
+        out += x >= step
+    return out.astype(np.float64)
+
 
-    Units are few bytes but ``replicates`` rows each, so they are dealt to all cores before that.
+def replicate_sums(units: DataFrame, by: list[str], unit: str, sums: list[str], replicates: int) -> DataFrame:
+    """(by, b, sums): in every replicate the weighted sums over units; the same weights for every group of a unit.
+
+    A task keeps an array of ``replicates`` sums a group and adds to it what a matrix of weights makes of some units, so a unit is never
+    copied; only these arrays are shuffled. A task whose groups need more than ``_HELD`` numbers lets them go and begins anew. Units that
+    are null are left out; a null value adds nothing.
     """
     spark = units.sparkSession
+    kinds = {f.name: f.dataType for f in units.schema.fields}
+    schema = StructType([*(StructField(c, kinds[c]) for c in by), StructField("b", LongType()), *(StructField(c, DoubleType()) for c in sums)])
+    arrow, numbers = to_arrow_schema(schema), np.arange(replicates, dtype=np.int64)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for group, values in held.items():
+                keys = [pa.array([k] * replicates, f.type) for k, f in zip(group, arrow, strict=False)]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(numbers), *(pa.array(v) for v in values)], schema=arrow)
+
+        for batch in batches:
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(len(by))), strict=True)) if by else [()] * len(batch)
+            at = batch.column(len(by)).to_numpy(zero_copy_only=False)
+            values = np.column_stack([pc.fill_null(c.cast(pa.float64()), 0.0).to_numpy(zero_copy_only=False) for c in batch.columns[len(by) + 1 :]])
+            places: dict[tuple, list[int]] = {}
+            for i, k in enumerate(keys):
+                places.setdefault(k, []).append(i)
+            step = max(1, _CELLS // replicates)
+            for group, rows in places.items():
+                total = held.setdefault(group, np.zeros((len(sums), replicates)))
+                for i in range(0, len(rows), step):
+                    some = rows[i : i + step]
+                    total += values[some].T @ _weights(at[some], numbers)
+            if len(held) * len(sums) * replicates > _HELD:
+                yield from out()
+                held.clear()
+        yield from out()
+
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    b = units.repartition(tasks, unit).withColumn("b", F.explode(_numbers(0, replicates)))
-    b = b.withColumn("m", weight(F.col("b"), F.col(unit))).where("m > 0")
-    out = b.groupBy(*by, "b").agg(F.sum(F.col("m") * F.col(total)).alias("s"), F.sum(F.col("m") * F.col(count)).alias("n"))
-    return out.select(*by, "b", (F.col("s") / F.col("n")).alias("mean"))
+    u = units.where(F.col(unit).isNotNull()).select(*by, F.col(unit).cast("long").alias("_unit"), *sums)
+    return u.repartition(tasks, "_unit").mapInArrow(add, schema).groupBy(*by, "b").agg(*(F.sum(c).alias(c) for c in sums))
+
+
+def replicate_means(units: DataFrame, by: list[str], unit: str, total: str, count: str, replicates: int = REPLICATES) -> DataFrame:
+    """(by, b, mean): weighted means of per-unit partial sums; replicates that draw nothing of a group are left out."""
+    out = replicate_sums(units, by, unit, [total, count], replicates).where(F.col(count) > 0)
+    return out.select(*by, "b", (F.col(total) / F.col(count)).alias("mean"))
 
 
 def percentile_ci(means: DataFrame, by: list[str], alpha: float = 0.05) -> DataFrame:
@@ -82,15 +150,15 @@ def bca_ci(units: DataFrame, means: DataFrame, by: list[str], total: str, alpha:
     def levels(boots: pd.Series, theta: pd.Series, a: pd.Series) -> pd.DataFrame:
         nd, out = NormalDist(), []
         for x, t, acc_ in zip(boots, theta, a, strict=True):
-            below = sum(v < t for v in x) / len(x)
+            x = np.asarray(x, float)
+            below = float((x < t).mean())
             z = [nd.inv_cdf(alpha / 2), nd.inv_cdf(1 - alpha / 2)]
             if 0 < below < 1:
                 z0 = nd.inv_cdf(below)
                 at = [min(max(nd.cdf(z0 + (z0 + v) / (1 - acc_ * (z0 + v))), 1e-4), 1 - 1e-4) for v in z]
             else:
                 at = [alpha / 2, 1 - alpha / 2]
-            s = pd.Series(x)
-            out.append([s.quantile(p) for p in at])
+            out.append(np.quantile(x, at).tolist())
         return pd.DataFrame(out, columns=["low", "high"])
 
     return acc.join(boots, by).select(*by, "theta", levels("boots", "theta", "a").alias("ci")).select(*by, "theta", "ci.low", "ci.high")
@@ -273,7 +341,7 @@ def _area_sql(score: str) -> str:
     return f"n_{score} AS (SELECT lang, rep, {score} AS x, sum(m * label) AS p, sum(m * (1 - label)) AS q FROM w WHERE m > 0 GROUP BY ALL), v_{score} AS (SELECT lang, rep, p, q, p * (coalesce(sum(q) OVER (PARTITION BY lang, rep ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + q / 2) AS won FROM n_{score}), auc_{score} AS (SELECT lang, rep, sum(won)::DOUBLE / nullif(sum(p) * sum(q), 0)::DOUBLE AS auc FROM v_{score} GROUP BY ALL)"
 
 
-_AREAS = f"WITH d AS (SELECT lang, quality AS label, n_chars AS a, (doc_id * 7919) % 1009 AS b FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL), w AS (SELECT lang, label, a, d.b, rep, {M_SQL.format(u='(a * 1009 + d.b)', b='rep')} AS m FROM d, (SELECT unnest(range({REPLICATES})) AS rep) r), {_area_sql('a')}, {_area_sql('b')} SELECT lang, round(quantile_cont(x.auc - y.auc, 0.025), 6) AS low, round(quantile_cont(x.auc - y.auc, 0.975), 6) AS high FROM auc_a x JOIN auc_b y USING (lang, rep) WHERE x.auc IS NOT NULL AND y.auc IS NOT NULL GROUP BY lang"
+_AREAS = f"WITH d AS (SELECT lang, quality AS label, n_chars AS a, (doc_id * 7919) % 1009 AS b FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL), w AS (SELECT lang, label, a, d.b, rep, {M_SQL.format(u='(a * 1009 + d.b)', b='rep')} AS m FROM d, (SELECT unnest(range({AREA_REPLICATES})) AS rep) r), {_area_sql('a')}, {_area_sql('b')} SELECT lang, round(quantile_cont(x.auc - y.auc, 0.025), 6) AS low, round(quantile_cont(x.auc - y.auc, 0.975), 6) AS high FROM auc_a x JOIN auc_b y USING (lang, rep) WHERE x.auc IS NOT NULL AND y.auc IS NOT NULL GROUP BY lang"
 
 
 @query(_AREAS)
@@ -282,7 +350,7 @@ def bs4_bootstrap_auc_diff(spark: SparkSession, folder: str) -> DataFrame:
     from assayer.operators.curves import _scores
 
     s = _scores(spark, folder).withColumn("unit", F.col("a") * 1009 + F.col("b"))
-    s = s.withColumn("rep", F.explode(_numbers(0, REPLICATES))).withColumn("m", weight(F.col("rep"), F.col("unit"))).where("m > 0")
+    s = s.withColumn("rep", F.explode(_numbers(0, AREA_REPLICATES))).withColumn("m", weight(F.col("rep"), F.col("unit"))).where("m > 0")
 
     def weighted(score: str) -> DataFrame:
         rows = s.groupBy("lang", "rep", score).agg(F.sum(F.col("m") * F.col("label")).alias("p"), F.sum(F.col("m") * (1 - F.col("label"))).alias("q"))
@@ -292,3 +360,64 @@ def bs4_bootstrap_auc_diff(spark: SparkSession, folder: str) -> DataFrame:
 
     both = weighted("a").join(weighted("b"), ["lang", "rep"]).select("lang", (F.col("auc_a") - F.col("auc_b")).alias("mean"))
     return rounded(percentile_ci(both.where("mean is not null"), ["lang"]), ["low", "high"])
+
+
+#: Draws of the registered ranks.
+RANK_REPLICATES = 1000
+#: Numbers of observers that the slices are dealt to, each a multiple of the one before.
+OBSERVERS = (1, 2, 4, 8, 16, 32)
+
+
+def bootstrap_ranks(units: DataFrame, by: list[str], method: str, unit: str, value: str, replicates: int) -> DataFrame:
+    """(by, method, share_last, rank_sum): all methods ranked in every replicate, best mean first, on the same draws.
+
+    A unit counts as often for one method as for another. A replicate ranks the methods that it draws something of.
+    """
+    u = units.select(*by, method, unit, F.col(value).cast("double").alias("t"), F.lit(1.0).alias("c"))
+    m = replicate_means(u, [*by, method], unit, "t", "c", replicates)
+    w = Window.partitionBy(*by, "b")
+    r = m.select(*by, method, F.rank().over(w.orderBy(F.desc("mean"))).alias("k"), F.count("*").over(w).alias("n"))
+    return r.groupBy(*by, method).agg(F.avg((F.col("k") == F.col("n")).cast("int")).alias("share_last"), F.sum("k").cast("long").alias("rank_sum"))
+
+
+def observers_needed(units: DataFrame, by: list[str], method: str, unit: str, value: str, control: str, observers: tuple[int, ...] = OBSERVERS, least: float = 0.95) -> DataFrame:
+    """(by, k, share, needed): units dealt to k observers, the share of them that see the control last, and the smallest k with ``least`` of them.
+
+    Sums are formed once for the largest number of observers; a smaller one's are sums of these.
+    """
+    most = max(observers)
+    seat = (F.col(unit) % 1_000_003 * 7919 + 12_345) % 1_000_003 % most
+    cells = units.groupBy(*by, method, seat.alias("seat")).agg(F.sum(value).alias("t"), F.count(value).alias("c"))
+    dealt = cells.withColumn("k", F.explode(F.array(*map(F.lit, observers)))).groupBy(*by, "k", method, (F.col("seat") % F.col("k")).alias("observer")).agg((F.sum("t") / F.sum("c")).alias("mean"))
+    w = Window.partitionBy(*by, "k", "observer").orderBy("mean")
+    last = dealt.where("mean is not null").withColumn("place", F.rank().over(w)).groupBy(*by, "k", "observer").agg(F.bool_or((F.col(method) == control) & (F.col("place") == 1)).alias("last"))
+    shares = last.groupBy(*by, "k").agg(F.avg(F.col("last").cast("int")).alias("share"))
+    # six rows a stratum
+    enough = F.min(F.when(F.col("share") >= least, F.col("k"))).over(Window.partitionBy(*(by or [F.lit(0)])))
+    return shares.select(*by, "k", "share", enough.alias("needed"))
+
+
+def _readings(spark: SparkSession, folder: str) -> DataFrame:
+    return slices(spark, folder).select("dose", "method", (F.col("series") * 8 + F.col("slice")).alias("unit"), "cnr")
+
+
+@query(
+    f"WITH {SLICES}, b AS (SELECT dose, method, r.b, {M_SQL.format(u=_UNIT, b='r.b')} AS m, cnr FROM s, (SELECT unnest(range({RANK_REPLICATES})) AS b) r), "
+    "m AS (SELECT dose, method, b, sum(m * cnr) / sum(m) AS mean FROM b WHERE m > 0 GROUP BY ALL), "
+    "k AS (SELECT *, rank() OVER (PARTITION BY dose, b ORDER BY mean DESC) AS k, count(*) OVER (PARTITION BY dose, b) AS n FROM m) "
+    "SELECT dose, method, round(avg((k = n)::INT), 6) AS share_last, sum(k)::BIGINT AS rank_sum FROM k GROUP BY ALL"
+)
+def bs12_rank_over_replicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Per dose, the share of slice replicates in which a method ranks last, and its rank sum."""
+    return rounded(bootstrap_ranks(_readings(spark, folder), ["dose"], "method", "unit", "cnr", RANK_REPLICATES), ["share_last"])
+
+
+@query(
+    f"WITH {SLICES}, c AS (SELECT dose, method, ({_UNIT} % 1000003 * 7919 + 12345) % 1000003 % {max(OBSERVERS)} AS seat, cnr FROM s), "
+    f"d AS (SELECT dose, k, method, seat % k AS o, avg(cnr) AS mean FROM c, (SELECT unnest({list(OBSERVERS)}) AS k) GROUP BY ALL), "
+    f"r AS (SELECT *, rank() OVER (PARTITION BY dose, k, o ORDER BY mean) AS place FROM d), l AS (SELECT dose, k, o, bool_or(method = '{CONTROL}' AND place = 1) AS last FROM r GROUP BY ALL), "
+    "s2 AS (SELECT dose, k, avg(last::INT) AS share FROM l GROUP BY ALL) SELECT dose, k, round(share, 6) AS share, min(k) FILTER (share >= 0.95) OVER (PARTITION BY dose) AS needed FROM s2"
+)
+def bs12_observers_needed(spark: SparkSession, folder: str) -> DataFrame:
+    """How many observers it takes until the control is last for nearly all of them."""
+    return rounded(observers_needed(_readings(spark, folder), ["dose"], "method", "unit", "cnr", CONTROL), ["share"])
