@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from assayer.operators.ranks import positions, ranges, same
 from assayer.operators.registry import query
 from assayer.operators.summaries import rounded
 from assayer.sources.tables import table
@@ -50,6 +51,36 @@ def drift(cases: DataFrame, reader: str, order: list[str], agrees: str, window:
     return w.withColumn("last_pass", F.last(F.when(~F.col("paused"), F.col("block")), ignorenulls=True).over(before))
 
 
+def micros(rows: DataFrame, time: str) -> Column:
+    """Microseconds of a time, or a number as it is; a time without a zone counts from 1970 in the session's zone."""
+    kind = dict(rows.dtypes)[time]
+    if kind == "timestamp_ntz":
+        return F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'"), F.col(time))
+    return F.unix_micros(time) if kind == "timestamp" else F.col(time)
+
+
+#: Windows of one reader that are looked over at once.
+_CHUNK = 4096
+
+
+def kappa_drift(cases: DataFrame, reader: str, order: list[str], a: str, b: str, window: int = 50, least: float = 0.6) -> DataFrame:
+    """(reader, window, n, kappa, paused, last_pass): kappa against the calibration in every window of a reader's cases, in order, whether it
+    pauses the reader, and the last window before that did not.
+
+    Cases are numbered range by range of the first of ``order``, so a reader with most of the cases is not one task's; cases without an
+    answer or a calibration take no place.
+    """
+    c = cases.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(reader, *order, F.col(a).alias("_a"), F.col(b).alias("_b"), micros(cases, order[0]).alias("_at"))
+    numbered = positions(c, [reader], order, ranges(c, "_at"), "_place")
+    w = cohen_kappa(numbered.withColumn("window", F.floor(F.col("_place") / window)), [reader, "window"], "_a", "_b")
+    w = w.withColumns({"paused": F.col("kappa") < least, "_chunk": F.floor(F.col("window") / _CHUNK)})
+    passed = F.max(F.when(~F.col("paused"), F.col("window")))
+    until = lambda by, at: Window.partitionBy(*by).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    chunks = w.groupBy(reader, "_chunk").agg(passed.alias("_p")).withColumn("_before", F.max("_p").over(until([reader], "_chunk"))).drop("_p")
+    w = w.withColumn("_own", passed.over(until([reader, "_chunk"], "window")))
+    return same(w, chunks, [reader, "_chunk"]).select(reader, "window", "n", "kappa", "paused", F.coalesce("_own", "_before").alias("last_pass"))
+
+
 _RATED = "e AS (SELECT event_type AS reader, user_id % 4 AS a, CASE WHEN value > 20 THEN (user_id + 1) % 4 ELSE user_id % 4 END AS b FROM events WHERE value IS NOT NULL)"
 
 
@@ -92,3 +123,28 @@ def ag19_icc_2k(spark: SparkSession, folder: str) -> DataFrame:
 def win12_drift_window(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "events").select(F.col("event_type").alias("reader"), (F.col("value") <= 20).cast("int").alias("ok"), "ts", "event_id")
     return rounded(drift(e, "reader", ["ts", "event_id"], "ok"), ["share"])
+
+
+_TIMED = "e AS (SELECT event_type AS reader, user_id % 4 AS a, CASE WHEN value > 20 THEN (user_id + 1) % 4 ELSE user_id % 4 END AS b, ts, event_id FROM events WHERE value IS NOT NULL AND ts IS NOT NULL AND user_id IS NOT NULL{more})"
+#: Windows of fifty in order of time, and the kappa of each.
+KAPPA_WINDOWS = (
+    f"{_TIMED}, w AS (SELECT reader, a, b, (row_number() OVER (PARTITION BY reader ORDER BY ts, event_id) - 1) // 50 AS win FROM e), c AS (SELECT reader, win, a, b, count(*) AS n FROM w GROUP BY ALL), "
+    "t AS (SELECT reader, win, sum(n) AS n, sum((a <> b)::INT * n) AS seen FROM c GROUP BY ALL), x AS (SELECT reader, win, a, sum(n) AS x FROM c GROUP BY ALL), y AS (SELECT reader, win, b, sum(n) AS y FROM c GROUP BY ALL), "
+    "h AS (SELECT reader, win, sum((a <> b)::INT * x * y) AS chance FROM x JOIN y USING (reader, win) GROUP BY ALL), "
+    "k AS (SELECT reader, win, n, coalesce(1 - seen * n / nullif(chance, 0)::DOUBLE, 1) AS kappa FROM t JOIN h USING (reader, win))"
+)
+
+
+def timed_ratings(events: DataFrame) -> DataFrame:
+    e = events.where("value is not null and ts is not null and user_id is not null")
+    other = F.when(F.col("value") > 20, (F.col("user_id") + 1) % 4).otherwise(F.col("user_id") % 4)
+    return e.select(F.col("event_type").alias("reader"), "ts", "event_id", (F.col("user_id") % 4).alias("a"), other.alias("b"))
+
+
+@query(
+    f"WITH {KAPPA_WINDOWS.format(more='')} SELECT reader, win AS window, n::BIGINT AS n, round(kappa, 6) AS kappa, kappa < 0.6 AS paused, "
+    "max(CASE WHEN kappa >= 0.6 THEN win END) OVER (PARTITION BY reader ORDER BY win ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_pass FROM k"
+)
+def win12_kappa_drift(spark: SparkSession, folder: str) -> DataFrame:
+    """Readers held against their calibration in windows of fifty cases, in order of time."""
+    return rounded(kappa_drift(timed_ratings(table(spark, folder, "events")), "reader", ["ts", "event_id"], "a", "b"), ["kappa"])

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.operators.gates import METADATA
+from assayer.operators.agreement import KAPPA_WINDOWS, timed_ratings
 from assayer.operators.registry import query
+from assayer.operators.summaries import rounded
 from assayer.plans.store import Scratch
 from assayer.sources import readers, writers
 from assayer.sources.tables import table
@@ -115,3 +117,13 @@ def st3_reader_drift_stream(spark: SparkSession, folder: str) -> DataFrame:
     flows.drift_stream(cases, "reader", "ok").writeStream.format("parquet").outputMode("append").option("path", s.path("out")).option("checkpointLocation", s.path("state")).trigger(availableNow=True).start().awaitTermination()
     out = spark.read.schema("reader string, window long, share double, paused boolean").parquet(s.path("out"))
     return out.groupBy("reader").agg(F.count("*").alias("n_windows"))
+
+
+@query(f"WITH {KAPPA_WINDOWS.format(more=' AND epoch_ms(ts) <= (SELECT epoch_ms(max(ts)) - 3600000 FROM events WHERE value IS NOT NULL AND ts IS NOT NULL AND user_id IS NOT NULL)')} SELECT reader, win AS window, n::BIGINT AS n, round(kappa, 6) AS kappa, kappa < 0.6 AS paused FROM k WHERE n = 50")
+def st3_kappa_drift_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The windows of readers' cases that the watermark has passed, the same in any order of arrival; those of the last hour still wait."""
+    s = Scratch(spark, "stream")
+    cases = timed_ratings(_stream(spark, folder, "events"))
+    found = flows.kappa_drift_stream(cases, "reader", "ts", "event_id", "a", "b", "1 hour")
+    found.writeStream.format("parquet").outputMode("append").option("path", s.path("out")).option("checkpointLocation", s.path("state")).trigger(availableNow=True).start().awaitTermination()
+    return rounded(spark.read.schema("reader string, window long, n long, kappa double, paused boolean").parquet(s.path("out")), ["kappa"])
