@@ -290,5 +290,5 @@ def _texts(documents: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
 
 def first_of_each(documents: DataFrame, n_words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The documents, all their columns, that stay: one (the least doc_id) of every group of near duplicates."""
-    gone = near_duplicates(documents, n_words, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return documents.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = near_duplicates(documents, n_words, percent).where("not kept").select("doc_id").distinct()
+    return documents.join(gone, "doc_id", "left_anti").select(*(f"`{c}`" for c in documents.columns))

@@ -1,5 +1,7 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from tests.llm import test_decontaminate, test_minhash
+from tests.llm import cases, test_decontaminate, test_minhash
 from tests.llm.test_tokens import check_packing
 
 
@@ -48,3 +50,16 @@ def test_columns_and_n_chars_follow_the_text(spark, sf):
         out = stage(spark, docs, sf)
         assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
         assert out.where("n_chars <> length(text)").isEmpty()
+
+
+def test_odd_rows_go_through_every_stage(spark, sf):
+    """Nulls in any column, repeated rows, empty and long texts, no row at all, and columns that clash with names inside the stages."""
+    odd = cases.documents(spark, cases.ODD * 2).withColumn("_gone", F.lit(1)).withColumn("doc id.2", F.lit("x")).withColumn("id", F.lit(0))
+    for docs in (odd, odd.where("false")):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, sf)
+            assert out.columns == docs.columns, name
+            kept = [r.doc_id for r in out.select("doc_id").collect()]
+            assert set(kept) <= {r.doc_id for r in docs.select("doc_id").collect()}, name
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
+        assert len(packed) >= docs.count()
