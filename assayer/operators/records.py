@@ -10,7 +10,7 @@ from assayer.operators.greedy import followers
 from assayer.operators.matching import _BOX, _BOXES, _boxes, nearest, overlapping
 from assayer.operators.preparation import equivalence_verdict
 from assayer.operators.registry import query
-from assayer.operators.resampling import M_SQL, REPLICATES, percentile_ci, replicate_means
+from assayer.operators.resampling import CHECKED, M_SQL, REPLICATES, percentile_ci, replicate_means
 from assayer.operators.summaries import rounded
 from assayer.plans.measures import SLICES, slices
 from assayer.plans.store import Scratch
@@ -152,10 +152,10 @@ def folder_splits(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("basePath", path).parquet(path).select("patient", "split").distinct()
 
 
-def credentials(rows: DataFrame, by: list[str], unit: str, reduced: str, full: str, margin: float) -> DataFrame:
+def credentials(rows: DataFrame, by: list[str], unit: str, reduced: str, full: str, margin: float, replicates: int = REPLICATES) -> DataFrame:
     """One credential a stratum: means, interval of the mean difference, verdict. Units are resampled whole."""
     units = rows.groupBy(*by, unit).agg(F.sum(F.col(reduced) - F.col(full)).alias("t"), F.count("*").alias("c"))
-    ci = percentile_ci(replicate_means(units, by, unit, "t", "c"), by)
+    ci = percentile_ci(replicate_means(units, by, unit, "t", "c", replicates), by)
     means = rows.groupBy(*by).agg(F.avg(reduced).alias("reduced_mean"), F.avg(full).alias("full_mean"), F.avg(F.col(reduced) - F.col(full)).alias("diff_mean"), F.count("*").alias("n_slices"))
     return means.join(ci, by).withColumn("verdict", equivalence_verdict(F.col("low"), F.col("high"), margin))
 
@@ -258,21 +258,21 @@ def snk3_annotation_sink(spark: SparkSession, folder: str) -> DataFrame:
     return back.groupBy(F.col("reader_folder").alias("reader")).agg(F.count("*").alias("n"), F.countDistinct("patient").alias("n_patients"))
 
 
-_STRATA = f"WITH {SLICES}, u AS (SELECT vendor, dose, series, sum(score_a - score_b) AS t, count(*) AS c FROM s GROUP BY ALL), b AS (SELECT vendor, dose, r.b, {M_SQL.format(u='series', b='r.b')} AS m, t, c FROM u, (SELECT unnest(range({REPLICATES})) AS b) r), m AS (SELECT vendor, dose, b, sum(m * t) / sum(m * c) AS mean FROM b WHERE m > 0 GROUP BY ALL), ci AS (SELECT vendor, dose, quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high FROM m GROUP BY ALL), d AS (SELECT vendor, dose, avg(score_a) AS reduced, avg(score_b) AS full_, avg(score_a - score_b) AS diff, count(*) AS n FROM s GROUP BY ALL)"
+_STRATA = f"WITH {SLICES}, u AS (SELECT vendor, dose, series, sum(score_a - score_b) AS t, count(*) AS c FROM s GROUP BY ALL), b AS (SELECT vendor, dose, r.b, {M_SQL.format(u='series', b='r.b')} AS m, t, c FROM u, (SELECT unnest(range({CHECKED})) AS b) r), m AS (SELECT vendor, dose, b, sum(m * t) / sum(m * c) AS mean FROM b WHERE m > 0 GROUP BY ALL), ci AS (SELECT vendor, dose, quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high FROM m GROUP BY ALL), d AS (SELECT vendor, dose, avg(score_a) AS reduced, avg(score_b) AS full_, avg(score_a - score_b) AS diff, count(*) AS n FROM s GROUP BY ALL)"
 _VERDICT = "CASE WHEN low > -0.6 AND high < 0.6 THEN 'PASS' WHEN low > 0.6 OR high < -0.6 THEN 'FAIL' ELSE 'INDETERMINATE' END AS verdict"
 
 
 @query(f"{_STRATA} SELECT vendor, dose, round(reduced, 6) AS reduced_mean, round(full_, 6) AS full_mean, round(diff, 6) AS diff_mean, n AS n_slices, round(low, 6) AS low, round(high, 6) AS high, {_VERDICT} FROM ci JOIN d USING (vendor, dose)")
 def bs15_task_credential(spark: SparkSession, folder: str) -> DataFrame:
     """Equivalence on detectability: the interval of the paired difference within the margin, with the summary means."""
-    out = credentials(slices(spark, folder), ["vendor", "dose"], "series", "score_a", "score_b", 0.6)
+    out = credentials(slices(spark, folder), ["vendor", "dose"], "series", "score_a", "score_b", 0.6, CHECKED)
     return rounded(out, ["reduced_mean", "full_mean", "diff_mean", "low", "high"])
 
 
 @query(f"{_STRATA} SELECT 'detection' AS task, dose, vendor, n AS n_slices, {_VERDICT} FROM ci JOIN d USING (vendor, dose)")
 def snk10_credential_store(spark: SparkSession, folder: str) -> DataFrame:
     """Credentials stored by task and dose; the index over all strata is the stored table read back."""
-    found = credentials(slices(spark, folder), ["vendor", "dose"], "series", "score_a", "score_b", 0.6).withColumn("task", F.lit("detection"))
+    found = credentials(slices(spark, folder), ["vendor", "dose"], "series", "score_a", "score_b", 0.6, CHECKED).withColumn("task", F.lit("detection"))
     path = Scratch(spark, "credentials").path("store")
     found.write.partitionBy("task", "dose").parquet(path)
     return spark.read.schema(found.schema).parquet(path).select("task", "dose", "vendor", "n_slices", "verdict")

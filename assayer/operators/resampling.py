@@ -27,8 +27,8 @@ from assayer.operators.summaries import rounded
 from assayer.plans.measures import CONTROL, SLICES, slices
 from assayer.sources.tables import table
 
-#: Draws of the registered intervals. Callers choose their own.
-REPLICATES = 10_000
+#: Draws of an interval, and of those registered intervals that another engine follows on the same tables; callers choose their own.
+REPLICATES, CHECKED = 10_000, 2000
 #: Draws of the registered differences of areas, whose ranking makes a row a draw and score.
 AREA_REPLICATES = 1000
 #: Shufflings of the registered permutation test.
@@ -169,8 +169,10 @@ def sign_test(rows: DataFrame, by: list[str], a: Column, b: Column) -> DataFrame
     n, k = F.count(F.when(a != b, 1)), F.count(F.when(a < b, 1))
     g = rows.groupBy(*by).agg(n.cast("int").alias("n"), k.cast("int").alias("k"))
     low = F.least(F.col("k"), F.col("n") - F.col("k"))
-    choose = lambda j: F.when(j > 0, F.aggregate(F.sequence(F.lit(1), j), F.lit(0.0), lambda s, i: s + F.log((F.col("n") - i + 1) / i))).otherwise(0.0)
-    tail = F.aggregate(F.sequence(F.lit(0), low), F.lit(0.0), lambda s, j: s + F.exp(choose(j) - F.col("n") * F.log(F.lit(2.0))))
+    # the logarithm of a binomial coefficient goes on from the one before
+    start = F.struct(F.lit(0.0).alias("log"), F.lit(0.0).alias("sum"))
+    ahead = lambda x, j: F.struct((x["log"] + F.log((F.col("n") - j) / (j + 1))).alias("log"), (x["sum"] + F.exp(x["log"] - F.col("n") * F.log(F.lit(2.0)))).alias("sum"))
+    tail = F.aggregate(F.sequence(F.lit(0), low), start, ahead, lambda x: x["sum"])
     return g.select(*by, F.col("n").cast("long").alias("n"), F.col("k").cast("long").alias("k"), F.least(2 * tail, F.lit(1.0)).alias("p"))
 
 
@@ -200,7 +202,7 @@ def permutation_kruskal(rows: DataFrame, unit: str, group: str, value: str, repl
     return both.select("h", ge.alias("ge"), ((ge + 1) / (F.size("all") + 1)).alias("p"))
 
 
-_DELTAS = f"WITH {SLICES}, u AS (SELECT vendor, series, sum(score_a - score_b) AS t, count(*) AS c FROM s GROUP BY ALL), b AS (SELECT vendor, r.b, {M_SQL.format(u='series', b='r.b')} AS m, t, c FROM u, (SELECT unnest(range({REPLICATES})) AS b) r), m AS (SELECT vendor, b, sum(m * t) / sum(m * c) AS mean FROM b WHERE m > 0 GROUP BY ALL), ci AS (SELECT vendor, quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high FROM m GROUP BY vendor)"
+_DELTAS = f"WITH {SLICES}, u AS (SELECT vendor, series, sum(score_a - score_b) AS t, count(*) AS c FROM s GROUP BY ALL), b AS (SELECT vendor, r.b, {M_SQL.format(u='series', b='r.b')} AS m, t, c FROM u, (SELECT unnest(range({CHECKED})) AS b) r), m AS (SELECT vendor, b, sum(m * t) / sum(m * c) AS mean FROM b WHERE m > 0 GROUP BY ALL), ci AS (SELECT vendor, quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high FROM m GROUP BY vendor)"
 
 
 def _deltas(spark: SparkSession, folder: str) -> DataFrame:
@@ -209,7 +211,7 @@ def _deltas(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"{_DELTAS} SELECT vendor, round(low, 6) AS low, round(high, 6) AS high FROM ci")
 def bs1_percentile_ci(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(percentile_ci(replicate_means(_deltas(spark, folder), ["vendor"], "series", "t", "c"), ["vendor"]), ["low", "high"])
+    return rounded(percentile_ci(replicate_means(_deltas(spark, folder), ["vendor"], "series", "t", "c", CHECKED), ["vendor"]), ["low", "high"])
 
 
 @query()
@@ -218,30 +220,30 @@ def bs2_bca_ci(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(bca_ci(units.withColumn("x", F.col("t") / F.col("c")), replicate_means(units, ["vendor"], "series", "t", "c"), ["vendor"], "x"), ["theta", "low", "high"])
 
 
-_PATIENTS = f"WITH {SLICES}, u AS (SELECT dose, {{by}}patient, sum(cnr) AS t, count(*) AS c FROM s GROUP BY ALL), b AS (SELECT dose, {{by}}r.b, {M_SQL.format(u='patient', b='r.b')} AS m, t, c FROM u, (SELECT unnest(range({REPLICATES})) AS b) r), m AS (SELECT dose, {{by}}b, sum(m * t) / sum(m * c) AS mean FROM b WHERE m > 0 GROUP BY ALL)"
+_PATIENTS = f"WITH {SLICES}, u AS (SELECT dose, {{by}}patient, sum(cnr) AS t, count(*) AS c FROM s GROUP BY ALL), b AS (SELECT dose, {{by}}r.b, {M_SQL.format(u='patient', b='r.b')} AS m, t, c FROM u, (SELECT unnest(range({CHECKED})) AS b) r), m AS (SELECT dose, {{by}}b, sum(m * t) / sum(m * c) AS mean FROM b WHERE m > 0 GROUP BY ALL)"
 
 
 @query(f"{_PATIENTS.format(by='')} SELECT dose, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM m GROUP BY dose")
 def bs5_patient_block_bootstrap(spark: SparkSession, folder: str) -> DataFrame:
     """Whole patients, all their slices, one draw for every dose."""
     u = slices(spark, folder).groupBy("dose", "patient").agg(F.sum("cnr").alias("t"), F.count("*").alias("c"))
-    return rounded(percentile_ci(replicate_means(u, ["dose"], "patient", "t", "c"), ["dose"]), ["low", "high"])
+    return rounded(percentile_ci(replicate_means(u, ["dose"], "patient", "t", "c", CHECKED), ["dose"]), ["low", "high"])
 
 
 _UNIT = "(series * 8 + slice)"
 
 
-@query(f"WITH {SLICES}, b AS (SELECT dose, r.b, {M_SQL.format(u=_UNIT, b='r.b')} AS m, cnr FROM s, (SELECT unnest(range({REPLICATES})) AS b) r), m AS (SELECT dose, b, sum(m * cnr) / sum(m) AS mean FROM b WHERE m > 0 GROUP BY ALL) SELECT dose, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM m GROUP BY dose")
+@query(f"WITH {SLICES}, b AS (SELECT dose, r.b, {M_SQL.format(u=_UNIT, b='r.b')} AS m, cnr FROM s, (SELECT unnest(range({CHECKED})) AS b) r), m AS (SELECT dose, b, sum(m * cnr) / sum(m) AS mean FROM b WHERE m > 0 GROUP BY ALL) SELECT dose, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM m GROUP BY dose")
 def bs6_slice_bootstrap(spark: SparkSession, folder: str) -> DataFrame:
     u = slices(spark, folder).select("dose", (F.col("series") * 8 + F.col("slice")).alias("unit"), F.col("cnr").alias("t"), F.lit(1).alias("c"))
-    return rounded(percentile_ci(replicate_means(u, ["dose"], "unit", "t", "c"), ["dose"]), ["low", "high"])
+    return rounded(percentile_ci(replicate_means(u, ["dose"], "unit", "t", "c", CHECKED), ["dose"]), ["low", "high"])
 
 
 @query(f"{_PATIENTS.format(by='method, ')}, r AS (SELECT o.method, o.dose, o.b, k.mean / o.mean AS ratio FROM m o JOIN m k ON o.dose = k.dose AND o.b = k.b AND k.method = '{CONTROL}' WHERE o.method <> '{CONTROL}' AND o.mean <> 0) SELECT method, dose, round(quantile_cont(ratio, 0.025), 6) AS low, round(quantile_cont(ratio, 0.975), 6) AS high FROM r GROUP BY ALL")
 def bs7_paired_separation(spark: SparkSession, folder: str) -> DataFrame:
     """Interval of control over method on shared draws; zero and non-finite denominators are left out."""
     u = slices(spark, folder).groupBy("method", "dose", "patient").agg(F.sum("cnr").alias("t"), F.count("*").alias("c"))
-    m = replicate_means(u, ["method", "dose"], "patient", "t", "c")
+    m = replicate_means(u, ["method", "dose"], "patient", "t", "c", CHECKED)
     k = m.where(F.col("method") == CONTROL).select("dose", "b", F.col("mean").alias("k"))
     r = m.where((F.col("method") != CONTROL) & finite(F.col("mean")) & (F.col("mean") != 0)).join(k, ["dose", "b"])
     return rounded(percentile_ci(r.select("method", "dose", (F.col("k") / F.col("mean")).alias("mean")), ["method", "dose"]), ["low", "high"])
@@ -330,7 +332,7 @@ def bs13_sign_test(spark: SparkSession, folder: str) -> DataFrame:
 def bs14_equivalence_credential(spark: SparkSession, folder: str) -> DataFrame:
     """Per stratum: interval, verdict, needed cases and the small-sample warning."""
     d = F.col("score_a") - F.col("score_b")
-    ci = percentile_ci(replicate_means(_deltas(spark, folder), ["vendor"], "series", "t", "c"), ["vendor"])
+    ci = percentile_ci(replicate_means(_deltas(spark, folder), ["vendor"], "series", "t", "c", CHECKED), ["vendor"])
     g = slices(spark, folder).groupBy("vendor").agg(F.avg(d).alias("mean"), F.var_samp(d).alias("s2"), F.count("*").alias("n"))
     need = F.ceil((1.959963984540054 / 0.6) ** 2 * F.col("s2"))
     out = g.join(ci, "vendor").select("vendor", "n", "mean", "low", "high", equivalence_verdict(F.col("low"), F.col("high"), 0.6).alias("verdict"), need.alias("required"), (F.col("n") >= need).alias("enough"), (F.col("n") < 30).alias("small"))
