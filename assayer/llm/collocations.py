@@ -199,7 +199,7 @@ def frequent_bits(texts: DataFrame, least: int, marked=None) -> np.ndarray:
     counted = texts.mapInArrow(_counter(marked), _COUNTED).repartition("bucket").sortWithinPartitions("bucket")
     bits = np.zeros(1 << (BITS - 3), np.uint8) if marked is None else marked.value.copy()
     size = len(bits) >> BUCKETS
-    for bucket, found in counted.mapInArrow(_bits_of(least), "bucket int, bits binary").toLocalIterator():
+    for bucket, found in counted.mapInArrow(_bits_of(least), "bucket int, bits binary").collect():
         bits[bucket * size : (bucket + 1) * size] |= np.frombuffer(zlib.decompress(found), np.uint8)
     return bits
 
