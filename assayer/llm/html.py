@@ -3,7 +3,10 @@
 Words score positive and tags negative, with weights learned from labelled pages; one linear scan (best sum of a
 contiguous stretch) finds the content region, and inside it the elements that are never content are left out. An element
 that only its class, id, role or kind (a form, say) tells apart is content after all if no article stands outside of such elements and
-its own words outweigh the best region of the rest by far: then it wraps the page. Pages
+its own words outweigh the best region of the rest by far: then it wraps the page. Where the best region meets a marked article,
+words outside of articles count like those of elements told apart, and the region that is then best grows to the article's bounds, but
+not over runs of links: a menu at an article's edge stays out, with or without a name. Inside an article a name tells an element apart only if
+all its parts are such names or words of layout: ``cookie-banner`` does, ``social-history`` doesn't. Pages
 whose markup names its article label themselves, so the weights are log-ratios of how often a kind of token stands
 inside and outside of articles, over at most SAMPLE pages; with too few of them the default weights hold.
 
@@ -44,14 +47,22 @@ _UNWANTED = frozenset(
 )
 _COMMENTS = frozenset("comment comments commentlist reply replies disqus".split())
 _UNWANTED_OUTSIDE = frozenset("header masthead topbar toolbar search".split())
+#: Words of layout that say nothing of what an element holds.
+_LAYOUT = frozenset(
+    "article area bar block body bottom box btn button buttons card col column container content desktop div entry footer group holder icon icons "
+    "inline inner item items js large left link links list main mobile module outer page panel post posts right row section site slot small sticky "
+    "story text thread top unit widget wrap wrapper".split()
+)
 _NAME = re.compile(r"<(/?)([a-z][a-z0-9:-]*)", re.I)
 _CLOSE = {x: re.compile(rf"</{x}\s*>", re.I) for x in (*_RAW, "svg")}
 _STOP = re.compile(r">|=\s*([\"'])")
-_NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_NAMED = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
 
 WORD, LINKED, APART = 0, 1, 2  # kinds of words: plain, in a link, in an element that is never content
 DEFAULT_TAG = -0.4
+#: So many links in neighbouring blocks of which more than half of the words are linked make a menu.
+MENU_LINKS = 3
 #: An element told apart wraps the page if its own words score more than so many times the best region of the rest, and so much besides.
 APART_TIMES, APART_COST = 4, 20
 #: The same for elements named as readers' comments, which may well be longer than the story.
@@ -154,11 +165,14 @@ def _apart(name: str, attributes: str, in_article: bool) -> int:
         return 0
     times = 0
     for m in _NAMED.finditer(attributes):
-        said = set(_SPLIT.split((m[1] or m[2] or m[3] or "").lower()))
-        if said & _COMMENTS:
-            return COMMENT_TIMES
-        if said & _UNWANTED or (not in_article and said & _UNWANTED_OUTSIDE):
-            times = APART_TIMES
+        for name in (m[1] or m[2] or m[3] or "").lower().split():
+            said = set(_SPLIT.split(name)) - {""}
+            if in_article and not said <= _UNWANTED | _COMMENTS | _LAYOUT:
+                continue
+            if said & _COMMENTS:
+                return COMMENT_TIMES
+            if said & _UNWANTED or (not in_article and said & _UNWANTED_OUTSIDE):
+                times = APART_TIMES
     return times
 
 
@@ -223,17 +237,55 @@ def best_region(scores: np.ndarray) -> tuple[int, int]:
     return start, end + 1
 
 
+def content(kept: list, weights: dict[str, float]) -> tuple[int, int, bool]:
+    """[start, end) of the content and whether marked articles hold it: they do unless the region's words outside outweigh theirs by far."""
+    scores = _scores(kept, weights)
+    start, end = best_region(scores)
+    text = np.array([kind == "text" and not apart for kind, _, apart, _ in kept], bool)
+    article = np.array([inside and not apart for _, _, apart, inside in kept], bool)
+    own, other = scores[start:end][(text & article)[start:end]].sum(), scores[start:end][(text & ~article)[start:end]].sum()
+    if not own or other > APART_TIMES * own:
+        return start, end, False
+    start, end = best_region(np.where(text & ~article, -scores, scores))
+    return _reach(kept, start, -1), _reach(kept, end - 1, 1) + 1, True
+
+
+def _reach(kept: list, edge: int, step: int) -> int:
+    """The last token from ``edge`` on that still belongs to its article: its bound, or the place where a menu begins."""
+    at = reached = edge
+    words = linked = links = run = 0
+    while 0 <= at + step < len(kept) and kept[at + step][3]:
+        at += step
+        kind, value, apart, _ = kept[at]
+        if kind == "text" and not apart:
+            n = len(value.split())
+            words += n
+            linked += n if _in_link(kept, at) else 0
+        elif kind == "open" and value == "a" and not apart:
+            links += 1
+        elif kind != "text" and value in _BLOCKS and words:
+            run = run + links if 2 * linked > words else 0
+            if run >= MENU_LINKS:
+                return reached
+            if not run:
+                reached = at
+            words = linked = links = 0
+    return at
+
+
+def _in_link(kept: list, at: int) -> bool:
+    """Whether the nearest tags before a text, up to the bound of its block, leave a link open."""
+    for kind, value, _, _ in reversed(kept[max(0, at - 8) : at]):
+        if kind != "text" and (value == "a" or value in _BLOCKS):
+            return kind == "open" and value == "a"
+    return False
+
+
 def extract(page: str | None, weights: dict[str, float]) -> str:
     if not page:
         return ""
     kept = tokens(page, weights)
-    scores = _scores(kept, weights)
-    start, end = best_region(scores)
-    if any(inside and not apart for _, _, apart, inside in kept[start:end]):  # the region grows to the bounds of its article
-        while start and kept[start - 1][3]:
-            start -= 1
-        while end < len(kept) and kept[end][3]:
-            end += 1
+    start, end, marked = content(kept, weights)
     blocks, now = [], []
 
     def close() -> None:
@@ -241,9 +293,9 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
             blocks.append(text)
         now.clear()
 
-    for kind, value, apart, _ in kept[start:end]:
+    for kind, value, apart, inside in kept[start:end]:
         if kind == "text":
-            if not apart:
+            if not apart and (inside or not marked):
                 now.append(value)
         elif value in _BLOCKS:
             close()
