@@ -3,9 +3,9 @@
 Words score positive and tags negative, with weights learned from labelled pages; one linear scan (best sum of a
 contiguous stretch) finds the content region, and inside it the elements that are never content are left out. An element
 that only its class, id, role or kind (a form, say) tells apart is content after all if no article stands outside of such elements and
-its own words outweigh the best region of the rest by far: then it wraps the page. Where the best region meets a marked article,
-words outside of articles count like those of elements told apart, and the region that is then best grows to the article's bounds, but
-not over runs of links: a menu at an article's edge stays out, with or without a name. Inside an article a name tells an element apart only if
+its own words outweigh the best region of the rest by far: then it wraps the page. Where a page marks articles, and the best region
+has not APART_COST words more outside of them than they hold, words outside count like those of elements told apart, and the region that is then
+best grows to its article's bounds, but not over runs of links: a menu at an article's edge stays out, with or without a name. Inside an article a name tells an element apart only if
 all its parts are such names or words of layout: ``cookie-banner`` does, ``social-history`` doesn't. Pages
 whose markup names its article label themselves, so the weights are log-ratios of how often a kind of token stands
 inside and outside of articles, over at most SAMPLE pages; with too few of them the default weights hold.
@@ -238,15 +238,18 @@ def best_region(scores: np.ndarray) -> tuple[int, int]:
 
 
 def content(kept: list, weights: dict[str, float]) -> tuple[int, int, bool]:
-    """[start, end) of the content and whether marked articles hold it: they do unless the region's words outside outweigh theirs by far."""
+    """[start, end) of the content and whether marked articles hold it: they do unless more words of the best region stand outside."""
     scores = _scores(kept, weights)
     start, end = best_region(scores)
     text = np.array([kind == "text" and not apart for kind, _, apart, _ in kept], bool)
     article = np.array([inside and not apart for _, _, apart, inside in kept], bool)
-    own, other = scores[start:end][(text & article)[start:end]].sum(), scores[start:end][(text & ~article)[start:end]].sum()
-    if not own or other > APART_TIMES * own:
+    own, other = scores[text & article].sum(), scores[start:end][(text & ~article)[start:end]].sum()
+    if not own or other > own + APART_COST:
         return start, end, False
-    start, end = best_region(np.where(text & ~article, -scores, scores))
+    inner = best_region(np.where(text & ~article, -scores, scores))
+    if not (text & article)[slice(*inner)].any():
+        return start, end, False
+    start, end = inner
     return _reach(kept, start, -1), _reach(kept, end - 1, 1) + 1, True
 
 
