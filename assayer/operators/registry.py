@@ -23,5 +23,5 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> None:
-    for name in ("board", "summaries", "agreement", "curves", "preparation", "matching", "grids", "resampling", "gates", "trees", "stages", "planes", "files", "records", "rules", "intake"):
+    for name in ("board", "summaries", "agreement", "curves", "preparation", "matching", "grids", "resampling", "gates", "trees", "stages", "planes", "corpus", "files", "records", "rules", "intake"):
         importlib.import_module(f"assayer.operators.{name}")
