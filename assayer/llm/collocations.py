@@ -116,9 +116,19 @@ def _often(marked, hashes: np.ndarray) -> np.ndarray:
     return (marked.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
 
 
-def _runs(marked, of: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each word but the last: whether it and the next are neighbours, a marked pair if there is a bitmap, and the pair's hash."""
-    pair = (part[:-1] > 0) & (part[1:] > 0)
+def _words_of(marked, of: np.ndarray) -> np.ndarray:
+    """Which numbers are words to look at: with a bitmap the marked ones, without all but the break."""
+    words = np.ones(len(of), bool) if marked is None else _often(marked, of)
+    words[0] = False
+    return words
+
+
+def _runs(marked, of: np.ndarray, words: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word but the last: whether it and the next are neighbours of ``words``, a marked pair if there is a bitmap, and the pair's hash.
+
+    A pair's bit may be set by another's, so the words are asked for as well: only marked words have a place in a window.
+    """
+    pair = words[part[:-1]] & words[part[1:]]
     hashes = np.zeros(len(pair), np.uint64)
     hashes[pair] = _paired(of[part[:-1][pair]], of[part[1:][pair]])
     if marked is not None:
@@ -137,9 +147,10 @@ def _counter(marked):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, ids, names in _streams(batches):
             of = _hashes(lang, ids, names)
+            words = _words_of(marked, of)
             for part, n in _leads(ids):
                 reached = part[: n + (1 if marked is None else 2)]
-                pair, both, pairs = _runs(marked, of, reached)
+                pair, both, pairs = _runs(marked, of, words, reached)
                 if marked is None:
                     single = np.bincount(part[:n], minlength=len(names))
                     single[0] = 0
@@ -224,15 +235,14 @@ def _windows_of(marked):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, ids, names in _streams(batches):
             of = _hashes(lang, ids, names)
-            word_often = _often(marked, of)
-            word_often[0] = False
-            kept = np.flatnonzero(word_often)
+            often = _words_of(marked, of)
+            kept = np.flatnonzero(often)
             short = np.zeros(len(names), np.int64)
             short[kept] = np.arange(1, len(kept) + 1)
             hashed = np.concatenate([np.zeros(1, np.uint64), of[kept]])
             spelled = ["", *(names[i].decode() for i in kept.tolist())]
             for part, n in _leads(ids):
-                pair, both, pairs = _runs(marked, of, part)
+                pair, both, pairs = _runs(marked, of, often, part)
                 both[both] = _often(marked, _triples(of, part, both, pairs))
                 leads = short[part]
                 reach = [part[:n] > 0, pair[:n], both[:n], both[:n] & both[1 : n + 1]]

@@ -71,6 +71,20 @@ def test_parts_of_a_long_text_count_each_window_once(monkeypatch):
     assert {k: v for k, v in got.items() if v} == dict(want)
 
 
+def test_a_pair_marked_by_coincidence_counts_no_other_phrase():
+    bits = np.full(1 << (C.BITS - 3), 255, np.uint8)
+    names = [b".", b"rare", b"b", b"c"]
+    at = int(C._hashes("en", np.arange(4), names)[1] >> np.uint64(64 - C.BITS))
+    bits[at >> 3] &= 255 - (128 >> (at & 7))  # every bit is set but that of "rare"
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"]), pa.array(["rare b. c rare b. rare"])], names=["lang", "text"])
+    dealt = sorted((r for b in C._windows_of(SimpleNamespace(value=bits))([batch]) for r in zip(*(x.to_pylist() for x in b.columns), strict=True)), key=lambda r: r[:2])
+    got = Counter()
+    for b in C._merged([pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*dealt, strict=True)], names=["part", "lang", "lines", "counts"])]):
+        for _, *w, c in zip(*(x.to_pylist() for x in b.columns), strict=True):
+            got[tuple(w)] += c
+    assert got == {(None,) * 4: 3, ("b", None, None, None): 2, ("c", None, None, None): 1}
+
+
 def test_score_is_exact_beyond_64_bits(spark):
     rows = [(10**15 + 7, 3 * 10**15 + 1, 10**15 + 9), (9 * 10**18, 9 * 10**18, 9 * 10**18), (30, 31, 37)]
     got = spark.createDataFrame(rows, "a long, l long, r long").select(F.expr(C.SCORE)).collect()
