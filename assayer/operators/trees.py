@@ -132,10 +132,11 @@ def _orders(spark: SparkSession, folder: str) -> DataFrame:
     """order, doc: an order with its lines as a nested document, three levels deep."""
     line = table(spark, folder, "lineitem").select(
         "l_orderkey",
-        F.struct(F.col("l_linenumber").cast("long").alias("n"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"), (F.col("l_linestatus") == "O").alias("open"), F.array(F.concat(F.lit("S"), "l_suppkey"), F.lit(" ")).alias("patient_ids")).alias("line"),
+        F.struct(F.col("l_linenumber").cast("long").alias("n"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"), (F.col("l_linestatus") == "O").alias("open"), "l_suppkey").alias("line"),
     )
-    # a few lines an order
-    lines = line.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    # a few lines an order; suppliers stand in order of their numbers, not of their digits
+    written = lambda x: F.struct(x["n"].alias("n"), x["cents"].alias("cents"), x["open"].alias("open"), F.array(F.concat(F.lit("S"), x["l_suppkey"]), F.lit(" ")).alias("patient_ids"))
+    lines = line.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list("line")), written).alias("lines"))
     o = table(spark, folder, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
     patient = F.struct(F.concat(F.lit("C"), "o_custkey").alias("patient_id"), F.col("o_orderstatus").alias("status"))
     return o.select(F.col("o_orderkey").alias("order"), patient.alias("patient"), "lines")

@@ -94,3 +94,17 @@ def test_odd_documents(spark):
     assert trees.walk(df.where("false"), "id", "doc").count() == 0
     assert trees.differences(df.where("false"), "id", "doc", "doc").count() == 0
     assert [tuple(r) for r in trees.differences(df, "id", "doc", "doc").collect()] == [(3, "$.a", "non-finite")]
+
+
+def test_equal_lines_stand_by_supplier_number(spark, sf, tmp_path):
+    line, order = spark.read.parquet(f"{sf}/lineitem.parquet"), spark.read.parquet(f"{sf}/orders.parquet")
+    one = line.limit(1).withColumn("l_orderkey", F.lit(7).cast("long"))
+    one.withColumn("l_suppkey", F.explode(F.array(*(F.lit(k).cast("long") for k in (10, 9, 100))))).select(line.columns).write.parquet(f"{tmp_path}/lineitem.parquet")
+    order.where("o_orderkey = 7").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.path: r.value for r in trees.jsn1_nested_leaves(spark, str(tmp_path)).collect()}
+    assert [got[f"$.lines[{i}].patient_ids[0]"] for i in range(3)] == ["S9", "S10", "S100"]
+    doc = spark.read.parquet(f"{tmp_path}/orders.parquet").first()
+    first = line.limit(1).first()
+    lines = [{"cents": round(first.l_extendedprice * 100), "n": first.l_linenumber, "open": first.l_linestatus == "O", "patient_ids": [f"S{k}", " "]} for k in (9, 10, 100)]
+    whole = json.dumps({"lines": lines, "order": 7, "patient": {"patient_id": f"C{doc.o_custkey}", "status": doc.o_orderstatus}}, separators=(",", ":"))
+    assert [r.sha for r in trees.prj18_nested_sha(spark, str(tmp_path)).collect()] == [hashlib.sha256(whole.encode()).hexdigest()]
