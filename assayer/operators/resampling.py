@@ -25,6 +25,7 @@ from assayer.operators.ranks import RANGES, mid_ranks, positions, ranges
 from assayer.operators.registry import query
 from assayer.operators.summaries import rounded
 from assayer.plans.measures import CONTROL, SLICES, slices
+from assayer.plans.store import Scratch
 from assayer.sources.tables import table
 
 #: Draws of an interval, and of those registered intervals that another engine follows on the same tables; callers choose their own.
@@ -60,32 +61,54 @@ def _numbers(first: int, end: int) -> Column:
 _STEPS = [next(r for r in range(int(p * 2_147_483_647) - 2, 2_147_483_647) if r / 2_147_483_647.0 >= p) for p in POISSON]
 #: Numbers of a matrix of weights that is worked on at once, and those that sums of all groups may hold in a task.
 _CELLS, _HELD = 1 << 18, 1 << 23
+_PRIME, _MOD = (1 << 31) - 1, 1_000_003
 
 
-def _weights(units: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """What ``weight`` gives, for all units (rows) and replicates (columns); remainders of 2**31 - 1 by shifts."""
-    prime, mod = (1 << 31) - 1, 1_000_003
+class _Weigher:
+    """What ``weight`` gives, for some units (rows) and the replicates from 0 on (columns).
+
+    The next replicate moves a unit's first remainder by a fixed step, so with the remainders in order of such steps a unit's row is a
+    stretch of one table, moved by a number of the unit's own. The matrix given stands until the next call.
+    """
 
-    def folded(x: np.ndarray) -> np.ndarray:
-        x = (x & prime) + (x >> 31)
-        return x - prime * (x >= prime)
+    def __init__(self, replicates: int, most: int):
+        step, at = 104_729, np.arange(_MOD + replicates, dtype=np.int64)
+        self.back = pow(step, -1, _MOD)
+        table = at % _MOD * step % _MOD * 48_271 % _PRIME * 48_271 % _PRIME + self._drift(at)
+        self.rows = np.lib.stride_tricks.sliding_window_view((table % _PRIME).astype(np.uint32), replicates)
+        self.x, self.y = (np.empty((most, replicates), np.uint32) for _ in range(2))
+        self.reached, self.n, self.out = np.empty((most, replicates), bool), np.empty((most, replicates), np.int8), np.empty((most, replicates))
+
+    @staticmethod
+    def _drift(at: np.ndarray) -> np.ndarray:
+        return at * 16_807 % _PRIME * 48_271 % _PRIME
+
+    def __call__(self, units: np.ndarray) -> np.ndarray:
+        x, y, reached, n, out = (a[: len(units)] for a in (self.x, self.y, self.reached, self.n, self.out))
+        at = (units % _MOD * 7919 + 12_345) % _MOD * self.back % _MOD
+        own = ((units % 65_537 * 48_271 - self._drift(at)) % _PRIME).astype(np.uint32)
+        for i, (k, c) in enumerate(zip(at.tolist(), own, strict=True)):
+            np.add(self.rows[k], c, out=x[i])
+        # the remainder of a sum of two remainders: below zero a whole number without sign is huge
+        np.minimum(x, np.subtract(x, np.uint32(_PRIME), out=y), out=x)
+        np.greater_equal(x, np.uint32(_STEPS[0]), out=n.view(bool))
+        for step in _STEPS[1:]:
+            np.add(n, np.greater_equal(x, np.uint32(step), out=reached).view(np.int8), out=n)
+        out[:] = n
+        return out
 
-    x = (units % mod * 7919 % mod)[:, None] + (b * 104_729 + 12_345) % mod
-    x -= mod * (x >= mod)
-    x = folded(x * 48_271 + (b * 16_807)[None, :] + (units % 65_537)[:, None])
-    x = folded(x * 48_271).astype(np.int32)
-    out = np.zeros(x.shape, np.int8)
-    for step in _STEPS:
-        out += x >= step
-    return out.astype(np.float64)
+
+def _weights(units: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """All of a weigher's matrix at once, for the replicates ``b`` that count on from 0."""
+    return _Weigher(len(b), len(units))(units)
 
 
 def replicate_sums(units: DataFrame, by: list[str], unit: str, sums: list[str], replicates: int) -> DataFrame:
     """(by, b, sums): in every replicate the weighted sums over units; the same weights for every group of a unit.
 
     A task keeps an array of ``replicates`` sums a group and adds to it what a matrix of weights makes of some units, so a unit is never
-    copied; only these arrays are shuffled. A task whose groups need more than ``_HELD`` numbers lets them go and begins anew. Units that
-    are null are left out; a null value adds nothing.
+    copied, and rows of one unit stand together, so that it is weighed once for its groups. Only these arrays are shuffled. A task whose
+    groups need more than ``_HELD`` numbers lets them go and begins anew. Units that are null are left out; a null value adds nothing.
     """
     spark = units.sparkSession
     kinds = {f.name: f.dataType for f in units.schema.fields}
@@ -94,6 +117,8 @@ def replicate_sums(units: DataFrame, by: list[str], unit: str, sums: list[str],
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, np.ndarray] = {}
+        step = max(1, _CELLS // replicates)
+        weigh = None
 
         def out() -> Iterator[pa.RecordBatch]:
             for group, values in held.items():
@@ -101,26 +126,43 @@ def replicate_sums(units: DataFrame, by: list[str], unit: str, sums: list[str],
                 yield pa.RecordBatch.from_arrays([*keys, pa.array(numbers), *(pa.array(v) for v in values)], schema=arrow)
 
         for batch in batches:
+            if not len(batch):
+                continue
+            weigh = weigh or _Weigher(replicates, step)
             keys = list(zip(*(batch.column(i).to_pylist() for i in range(len(by))), strict=True)) if by else [()] * len(batch)
-            at = batch.column(len(by)).to_numpy(zero_copy_only=False)
+            places: dict[tuple, int] = {}
+            group = np.fromiter((places.setdefault(k, len(places)) for k in keys), np.int64, len(keys))
+            names = list(places)
+            at, unit_of = np.unique(batch.column(len(by)).to_numpy(zero_copy_only=False), return_inverse=True)
             values = np.column_stack([pc.fill_null(c.cast(pa.float64()), 0.0).to_numpy(zero_copy_only=False) for c in batch.columns[len(by) + 1 :]])
-            places: dict[tuple, list[int]] = {}
-            for i, k in enumerate(keys):
-                places.setdefault(k, []).append(i)
-            step = max(1, _CELLS // replicates)
-            for group, rows in places.items():
-                total = held.setdefault(group, np.zeros((len(sums), replicates)))
-                for i in range(0, len(rows), step):
-                    some = rows[i : i + step]
-                    total += values[some].T @ _weights(at[some], numbers)
-            if len(held) * len(sums) * replicates > _HELD:
-                yield from out()
-                held.clear()
+            order = np.argsort(unit_of, kind="stable")
+            ends = np.searchsorted(unit_of[order], np.arange(0, len(at) + step, step))
+            for i, (low, high) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+                m, rows = weigh(at[i * step : (i + 1) * step]), order[low:high]
+                there, g = np.unique(group[rows], return_inverse=True)
+                if len(there) * len(m) <= 16 * len(rows):
+                    cells = np.zeros((len(there), len(sums), len(m)))
+                    np.add.at(cells, (g, slice(None), unit_of[rows] - i * step), values[rows])
+                    found = (cells.reshape(-1, len(m)) @ m).reshape(len(there), len(sums), replicates)
+                else:
+                    # few units have many of the groups: each group by its own rows
+                    own = np.split(rows[np.argsort(g, kind="stable")], np.cumsum(np.bincount(g))[:-1])
+                    found = (values[r].T @ m[unit_of[r] - i * step] for r in own)
+                for k, more in zip(there.tolist(), found, strict=True):
+                    total = held.get(names[k])
+                    if total is None:
+                        held[names[k]] = np.array(more)
+                    else:
+                        total += more
+                if len(held) * len(sums) * replicates > _HELD:
+                    yield from out()
+                    held.clear()
         yield from out()
 
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     u = units.where(F.col(unit).isNotNull()).select(*by, F.col(unit).cast("long").alias("_unit"), *sums)
-    return u.repartition(tasks, "_unit").mapInArrow(add, schema).groupBy(*by, "b").agg(*(F.sum(c).alias(c) for c in sums))
+    u = u.repartition(tasks, "_unit").sortWithinPartitions("_unit")
+    return u.mapInArrow(add, schema).groupBy(*by, "b").agg(*(F.sum(c).alias(c) for c in sums))
 
 
 def replicate_means(units: DataFrame, by: list[str], unit: str, total: str, count: str, replicates: int = REPLICATES) -> DataFrame:
@@ -243,7 +285,8 @@ def bs6_slice_bootstrap(spark: SparkSession, folder: str) -> DataFrame:
 def bs7_paired_separation(spark: SparkSession, folder: str) -> DataFrame:
     """Interval of control over method on shared draws; zero and non-finite denominators are left out."""
     u = slices(spark, folder).groupBy("method", "dose", "patient").agg(F.sum("cnr").alias("t"), F.count("*").alias("c"))
-    m = replicate_means(u, ["method", "dose"], "patient", "t", "c", CHECKED)
+    # read twice below: a row a method, dose and draw
+    m = Scratch(spark, "separation").keep(replicate_means(u, ["method", "dose"], "patient", "t", "c", CHECKED), "means")
     k = m.where(F.col("method") == CONTROL).select("dose", "b", F.col("mean").alias("k"))
     r = m.where((F.col("method") != CONTROL) & finite(F.col("mean")) & (F.col("mean") != 0)).join(k, ["dose", "b"])
     return rounded(percentile_ci(r.select("method", "dose", (F.col("k") / F.col("mean")).alias("mean")), ["method", "dose"]), ["low", "high"])

@@ -28,6 +28,23 @@ def test_sums_against_plain_loops(spark):
     assert R.replicate_sums(df.where("false"), ["g"], "unit", ["t"], 5).count() == 0
 
 
+def test_a_weigher_serves_blocks_of_any_size():
+    units, weigh = np.array([0, 5, 1_000_002, 2**40 + 5, 9 * 10**15, 77, 78]), R._Weigher(300, 4)
+    whole = R._weights(units, np.arange(300))
+    assert (np.vstack([weigh(units[i : i + 4]).copy() for i in (0, 4)]) == whole).all()
+
+
+def test_units_with_many_groups_and_groups_of_one_unit(spark):
+    rng = np.random.default_rng(2)
+    rows = [(g, u, float(rng.normal())) for u in range(60) for g in range(12) for _ in range(1 + u % 2)] + [(100 + u, u, 1.0) for u in range(60, 400)]
+    df = spark.createDataFrame(rows, "g int, unit long, t double").coalesce(1)
+    got, m = {(r.g, r.b): r.t for r in R.replicate_sums(df, ["g"], "unit", ["t"], 20).collect()}, R._weights(np.arange(400), np.arange(20))
+    want = {}
+    for g, u, t in rows:
+        want[g] = want.get(g, 0) + t * m[u]
+    assert len(got) == 20 * len(want) and all(np.isclose(got[g, b], want[g][b]) for g in want for b in range(20))
+
+
 def test_sums_of_many_groups_leave_the_task(spark, monkeypatch):
     df = spark.range(3000).select(F.col("id").alias("g"), F.col("id").alias("unit"), F.lit(1.0).alias("t"))
     got = R.replicate_sums(df, ["g"], "unit", ["t"], 4000).agg(F.count("*"), F.avg("t")).first()
