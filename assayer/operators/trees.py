@@ -1,7 +1,7 @@
 """Nested documents: walks to their leaves, canonical digests, ids anywhere in them, and differences node by node.
 
-A document is read once, as a variant. A walk opens all containers of one level in one pass and writes what it finds, so a wide array
-is the work of many tasks and no document is a Python object; there are as many passes as levels.
+A document is read once, as a variant, and is never a Python object. A walk opens several levels in one pass and writes what leaves it;
+what is deeper still is opened from there, so there are as many passes as the deepest document has times that many levels.
 """
 
 from __future__ import annotations
@@ -13,6 +13,10 @@ from assayer.operators.registry import query
 from assayer.plans.store import Scratch
 from assayer.sources.tables import table
 
+#: Levels that a walk opens between two writes.
+_LEVELS = 5
+#: The same of pairs, which are opened as maps and arrays.
+_PAIR_LEVELS = 3
 #: Stands for the numbers that JSON has no words for: it is read as infinite.
 _INFINITE = r"(?<=^|[:\[,])(\s*)-?(?:NaN|Infinity)(?=\s*(?:$|[,\]}]))"
 
@@ -44,8 +48,21 @@ def scalar_kind(v: Column) -> Column:
     return F.when(v.isNull(), "invalid").when(F.is_variant_null(v), "null").when(name == "BOOLEAN", "boolean").when(name == "STRING", "string").otherwise("number")
 
 
-def walk(documents: DataFrame, key: str, json: str) -> DataFrame:
-    """(key, path, name, kind, value): the leaves of JSON documents.
+def _with(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are worked out once a row: a filter on them isn't pushed below, where it would work them out again."""
+    return rows.select("*", F.inline_outer(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
+def _opened(nodes: DataFrame) -> DataFrame:
+    """One level down: (key, path, name, v) of the children of each container, and of what has none as it is."""
+    inner = nodes.sparkSession.tvf.variant_explode_outer(F.col("v").outer()).toDF("pos", "field", "child")
+    n = nodes.lateralJoin(inner)
+    step = F.when(F.col("field").isNotNull(), F.concat("path", F.lit("."), "field")).when(F.col("pos").isNotNull(), F.concat("path", F.lit("["), "pos", F.lit("]"))).otherwise(F.col("path"))
+    return n.select("key", step.alias("path"), F.coalesce("field", "name").alias("name"), F.coalesce("child", "v").alias("v"))
+
+
+def walk(documents: DataFrame, key: str, json: str, wanted: Column | None = None) -> DataFrame:
+    """(key, path, name, kind, value): the leaves of JSON documents; with ``wanted``, only those for which it is true.
 
     Paths are ``$.a.b[0]``; ``name`` is the last field's. An empty object or array is a leaf, a document that can't be read one of
     the kind ``invalid``; a null document has none.
@@ -53,31 +70,46 @@ def walk(documents: DataFrame, key: str, json: str) -> DataFrame:
     scratch, found, depth = Scratch(documents.sparkSession, "walk"), [], 0
     level = documents.where(F.col(json).isNotNull()).select(F.col(key).alias("key"), F.lit("$").alias("path"), F.lit(None).cast("string").alias("name"), parsed(F.col(json)).alias("v"))
     while True:
-        o, a = _object(F.col("v")), _array(F.col("v"))
-        kind = F.when(o.isNotNull(), "object").when(a.isNotNull(), "array").otherwise(scalar_kind(F.col("v")))
-        size = F.coalesce(F.cardinality(o), F.cardinality(a), F.lit(0))
-        nodes = scratch.keep(level.select("key", "path", "name", "v", kind.alias("kind"), size.alias("n")), str(depth))
-        found.append(nodes.where("n = 0").select(F.col("key").alias(key), "path", "name", "kind", F.when(~F.col("kind").isin("object", "array"), _get(F.col("v"), "string")).alias("value")))
-        deep = nodes.where("n > 0")
-        if deep.isEmpty():
+        for _ in range(_LEVELS):
+            level = _opened(level)
+        shaped = _with(level, shape=F.schema_of_variant("v"))
+        shape = F.col("shape")
+        kind = (
+            F.when(F.col("v").isNull(), "invalid").when(shape.startswith("OBJECT<"), "object").when(shape.startswith("ARRAY<"), "array")
+            .when(shape == "VOID", "null").when(shape == "BOOLEAN", "boolean").when(shape == "STRING", "string").otherwise("number")
+        )
+        inner = F.col("kind").isin("object", "array")
+        nodes = shaped.select("key", "path", "name", "v", kind.alias("kind"))
+        # of what is opened further only the variant is kept, without the names that belong to other parts of its document
+        further = inner & ~F.to_json("_v").isin("{}", "[]")
+        nodes = _with(nodes.withColumnRenamed("v", "_v"), value=F.when(~inner, _get(F.col("_v"), "string")), v=F.when(further, _get(F.col("_v"), "variant"))).drop("_v")
+        nodes = scratch.keep(nodes if wanted is None else nodes.where(F.col("v").isNotNull() | wanted), str(depth))
+        leaves = nodes.where("v is null")
+        found.append(leaves.select(F.col("key").alias(key), "path", "name", "kind", "value"))
+        level, depth = nodes.where("v is not null").select("key", "path", "name", "v"), depth + 1
+        if level.isEmpty():
             break
-        fields = F.transform(F.map_entries(o), lambda e: F.struct(F.concat(F.lit("."), e["key"]).alias("step"), e["key"].alias("name"), e["value"].alias("v")))
-        items = F.transform(a, lambda x, i: F.struct(F.concat(F.lit("["), i, F.lit("]")).alias("step"), F.col("name").alias("name"), x.alias("v")))
-        below = deep.select("key", "path", F.explode(F.coalesce(fields, items)).alias("c"))
-        level, depth = below.select("key", F.concat("path", "c.step").alias("path"), "c.name", "c.v"), depth + 1
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
     return out
 
 
-def patient_ids(documents: DataFrame, key: str, json: str) -> DataFrame:
-    """(key, patient): the strings at any ``patient_id``, and in any list ``patient_ids``, that are not blank; distinct in each document."""
-    leaves = walk(documents, key, json).where("kind = 'string'").where(F.col("value").rlike(r"\S"))
+def _is_patient() -> Column:
     # what a list of ids holds beside strings is not looked into
     single = F.col("path").rlike(r"\.patient_id$") & ~F.col("path").rlike(r"\.patient_ids(\[\d+\])+[.\[]")
     listed = F.col("path").rlike(r"\.patient_ids\[\d+\]$")
-    return leaves.where(single | listed).select(key, F.col("value").alias("patient")).distinct()
+    return (F.col("kind") == "string") & F.col("value").rlike(r"\S") & (single | listed)
+
+
+def patients_of(leaves: DataFrame, key: str) -> DataFrame:
+    """``patient_ids`` of documents whose leaves are there already."""
+    return leaves.where(_is_patient()).select(key, F.col("value").alias("patient")).distinct()
+
+
+def patient_ids(documents: DataFrame, key: str, json: str) -> DataFrame:
+    """(key, patient): the strings at any ``patient_id``, and in any list ``patient_ids``, that are not blank; distinct in each document."""
+    return patients_of(walk(documents, key, json, _is_patient()), key)
 
 
 def canonical_sha(json: Column) -> Column:
@@ -90,44 +122,64 @@ def differences(pairs: DataFrame, key: str, published: str, live: str, tolerance
 
     Of a field that only one has, it is ``extra in published`` or ``extra in live``; of arrays of different length, ``length``, and
     they are not looked into; of booleans against booleans or numbers, ``boolean``; of numbers, ``non-finite`` if either is, equal or not,
-    and ``number`` beyond ``tolerance``; of all else, ``value``. Both sides go down level by level in one row, so nothing is joined.
+    and ``number`` beyond ``tolerance``; of all else, ``value``. Both sides go down level by level in one row, so nothing is joined; parts
+    that read alike and hold no number that is not finite are not gone into.
     """
     scratch, found, depth = Scratch(pairs.sparkSession, "differences"), [], 0
-    yes = F.lit(True)
-    level = pairs.select(F.col(key).alias("key"), F.lit("$").alias("path"), parsed(F.col(published)).alias("p"), parsed(F.col(live)).alias("l"), yes.alias("in_p"), yes.alias("in_l"))
+    level = pairs.select(F.col(key).alias("key"), F.lit("$").alias("path"), parsed(F.col(published)).alias("p"), parsed(F.col(live)).alias("l"), F.lit(True).alias("in_p"), F.lit(True).alias("in_l"), F.lit(None).cast("string").alias("kind"))
     while True:
-        p, v = F.col("p"), F.col("l")
-        po, lo, pa, la = _object(p), _object(v), _array(p), _array(v)
-        both = F.when(po.isNotNull() & lo.isNotNull(), "object").when(pa.isNotNull() & la.isNotNull(), F.when(F.cardinality(pa) == F.cardinality(la), "array").otherwise("length"))
-        kp, kl = scalar_kind(p), scalar_kind(v)
-        number = lambda k: k.isin("number", "boolean")
-        np_, nl = _get(p, "double"), _get(v, "double")
-        infinite = lambda x: F.isnan(x) | (F.abs(x) == float("inf"))
-        same = F.to_json(p).eqNullSafe(F.to_json(v))
-        plain = po.isNull() & lo.isNull() & pa.isNull() & la.isNull()
-        of_numbers = F.when(infinite(np_) | infinite(nl), "non-finite").when(F.abs(np_ - nl) > tolerance, "number")
-        kind = (
-            F.when(~F.col("in_p"), "extra in live").when(~F.col("in_l"), "extra in published").when(F.col("both") == "length", "length").when(F.col("both").isNotNull(), None)
-            .when(plain & number(kp) & number(kl), F.when((kp == "boolean") | (kl == "boolean"), F.when((kp != kl) | ~same, "boolean")).otherwise(of_numbers))
-            .when(~same, "value")
-        )
-        nodes = level.withColumn("both", F.when(F.col("in_p") & F.col("in_l"), both)).withColumn("kind", kind)
-        nodes = scratch.keep(nodes.where(F.col("kind").isNotNull() | F.col("both").isin("object", "array")), str(depth))
+        for _ in range(_PAIR_LEVELS):
+            level = _children(_judged(level, tolerance))
+        nodes = scratch.keep(_judged(level, tolerance).drop("jp", "jl"), str(depth))
         found.append(nodes.where("kind is not null").select(F.col("key").alias(key), "path", "kind"))
-        deep = nodes.where("kind is null")
-        if deep.isEmpty():
+        level, depth = nodes.where("kind is null"), depth + 1
+        if level.isEmpty():
             break
-        names = F.array_union(F.map_keys(po), F.map_keys(lo))
-        fields = F.transform(names, lambda k: F.struct(F.concat(F.lit("."), k).alias("step"), F.element_at(po, k).alias("p"), F.element_at(lo, k).alias("l"), F.map_contains_key(po, k).alias("in_p"), F.map_contains_key(lo, k).alias("in_l")))
-        items = F.transform(F.arrays_zip(pa.alias("p"), la.alias("l")), lambda x, i: F.struct(F.concat(F.lit("["), i, F.lit("]")).alias("step"), x["p"].alias("p"), x["l"].alias("l"), yes.alias("in_p"), yes.alias("in_l")))
-        below = deep.select("key", "path", F.explode(F.coalesce(fields, items)).alias("c"))
-        level, depth = below.select("key", F.concat("path", "c.step").alias("path"), "c.p", "c.l", "c.in_p", "c.in_l"), depth + 1
+        level = _children(level)
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
     return out
 
 
+def _judged(level: DataFrame, tolerance: float) -> DataFrame:
+    """Pairs with the kind of their difference; the kind is open where both are containers that are to be gone into. Pairs without
+    a difference are left out."""
+    level = _with(level, jp=F.to_json("p"), jl=F.to_json("l"))
+    # not finite numbers differ from themselves; a string that only looks like one is looked at more closely below
+    alike = F.col("kind").isNull() & F.col("in_p") & F.col("in_l") & F.col("jp").eqNullSafe(F.col("jl")) & ~F.coalesce(F.col("jp").rlike("Infinity|NaN"), F.lit(False))
+    level = level.where(~alike)
+    p, v = F.col("p"), F.col("l")
+    holds = lambda sign: F.col("jp").startswith(sign) & F.col("jl").startswith(sign)
+    plain = ~F.coalesce(F.col("jp").rlike(r"^[{\[]"), F.lit(False)) & ~F.coalesce(F.col("jl").rlike(r"^[{\[]"), F.lit(False))
+    kp, kl = scalar_kind(p), scalar_kind(v)
+    number = lambda k: k.isin("number", "boolean")
+    np_, nl = _get(p, "double"), _get(v, "double")
+    infinite = lambda x: F.isnan(x) | (F.abs(x) == float("inf"))
+    same = F.col("jp").eqNullSafe(F.col("jl"))
+    of_numbers = F.when(infinite(np_) | infinite(nl), "non-finite").when(F.abs(np_ - nl) > tolerance, "number")
+    kind = (
+        F.when(F.col("_kind").isNotNull(), F.col("_kind")).when(~F.col("in_p"), "extra in live").when(~F.col("in_l"), "extra in published").when(holds("{"), None)
+        .when(holds("["), F.when(F.cardinality(_array(p)) != F.cardinality(_array(v)), "length"))
+        .when(plain & number(kp) & number(kl), F.when((kp == "boolean") | (kl == "boolean"), F.when((kp != kl) | ~same, "boolean")).otherwise(of_numbers))
+        .when(~same, "value")
+    )
+    found = _with(level.withColumnRenamed("kind", "_kind"), kind=kind).drop("_kind").where(F.col("kind").isNotNull() | holds("{") | holds("["))
+    return found.withColumns({c: F.when(F.col("kind").isNull(), F.col(c)) for c in ("p", "l", "jp", "jl")})
+
+
+def _children(nodes: DataFrame) -> DataFrame:
+    """Pairs one level down; what has its kind stays as it is."""
+    p, v, yes = F.col("p"), F.col("l"), F.lit(True)
+    nodes = nodes.withColumns({"po": _object(p), "lo": _object(v), "pa": _array(p), "la": _array(v)})
+    po, lo = F.col("po"), F.col("lo")
+    fields = F.transform(F.array_union(F.map_keys(po), F.map_keys(lo)), lambda k: F.struct(F.concat(F.lit("."), k).alias("step"), F.element_at(po, k).alias("p"), F.element_at(lo, k).alias("l"), F.map_contains_key(po, k).alias("in_p"), F.map_contains_key(lo, k).alias("in_l")))
+    items = F.transform(F.arrays_zip(F.col("pa").alias("p"), F.col("la").alias("l")), lambda x, i: F.struct(F.concat(F.lit("["), i, F.lit("]")).alias("step"), x["p"].alias("p"), x["l"].alias("l"), yes.alias("in_p"), yes.alias("in_l")))
+    own = F.array(F.struct(F.lit("").alias("step"), p.alias("p"), v.alias("l"), F.col("in_p").alias("in_p"), F.col("in_l").alias("in_l")))
+    below = nodes.select("key", "path", "kind", F.explode_outer(F.when(F.col("kind").isNotNull(), own).otherwise(F.coalesce(fields, items))).alias("c"))
+    return below.select("key", F.concat("path", "c.step").alias("path"), "c.p", "c.l", "c.in_p", "c.in_l", "kind")
+
+
 def _orders(spark: SparkSession, folder: str) -> DataFrame:
     """order, doc: an order with its lines as a nested document, three levels deep."""
     line = table(spark, folder, "lineitem").select(

@@ -108,3 +108,22 @@ def test_equal_lines_stand_by_supplier_number(spark, sf, tmp_path):
     lines = [{"cents": round(first.l_extendedprice * 100), "n": first.l_linenumber, "open": first.l_linestatus == "O", "patient_ids": [f"S{k}", " "]} for k in (9, 10, 100)]
     whole = json.dumps({"lines": lines, "order": 7, "patient": {"patient_id": f"C{doc.o_custkey}", "status": doc.o_orderstatus}}, separators=(",", ":"))
     assert [r.sha for r in trees.prj18_nested_sha(spark, str(tmp_path)).collect()] == [hashlib.sha256(whole.encode()).hexdigest()]
+
+
+def test_several_levels_a_pass(spark, monkeypatch):
+    kept = []
+    keep = trees.Scratch.keep
+    monkeypatch.setattr(trees.Scratch, "keep", lambda self, df, name, *more: (kept.append(name), keep(self, df, name, *more))[1])
+    one = {"patient": {"patient_id": "P1"}, "lines": [{"n": 1, "patient_ids": ["S1"]}], "big": float("inf")}
+    other = {"patient": {"patient_id": "P2"}, "lines": [{"n": 2, "patient_ids": ["S1"]}], "big": float("inf")}
+    df = spark.createDataFrame([(1, json.dumps(one), json.dumps(other))], "id long, p string, l string")
+    assert {r.path for r in trees.walk(df, "id", "p").collect()} == {"$.patient.patient_id", "$.lines[0].n", "$.lines[0].patient_ids[0]", "$.big"}
+    assert {tuple(r) for r in trees.differences(df, "id", "p", "l").collect()} == {(1, "$.patient.patient_id", "value"), (1, "$.lines[0].n", "number"), (1, "$.big", "non-finite")}
+    assert len(kept) == 2
+    deep, path = 1, "$" + ".a[0]" * 12
+    for _ in range(12):
+        deep = {"a": [deep], "b": {}}
+    df = spark.createDataFrame([(1, json.dumps(deep), json.dumps(deep).replace("1", "2"))], "id long, p string, l string")
+    got = trees.walk(df, "id", "p").collect()
+    assert len(got) == 13 and [(r.name, r.value) for r in got if r.path == path] == [("a", "1")]
+    assert [tuple(r) for r in trees.differences(df, "id", "p", "l").collect()] == [(1, path, "number")]
