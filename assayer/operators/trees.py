@@ -62,7 +62,7 @@ def _opened(nodes: DataFrame) -> DataFrame:
 
 
 def walk(documents: DataFrame, key: str, json: str, wanted: Column | None = None) -> DataFrame:
-    """(key, path, name, kind, value): the leaves of JSON documents; with ``wanted``, only those for which it is true.
+    """(key, path, name, kind, value): the leaves of JSON documents; with ``wanted``, a condition on path and name, only those.
 
     Paths are ``$.a.b[0]``; ``name`` is the last field's. An empty object or array is a leaf, a document that can't be read one of
     the kind ``invalid``; a null document has none.
@@ -72,6 +72,8 @@ def walk(documents: DataFrame, key: str, json: str, wanted: Column | None = None
     while True:
         for _ in range(_LEVELS):
             level = _opened(level)
+        if wanted is not None:
+            level = level.where(wanted | F.col("v").isNull() | F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)<"))
         shaped = _with(level, shape=F.schema_of_variant("v"))
         shape = F.col("shape")
         kind = (
@@ -95,21 +97,13 @@ def walk(documents: DataFrame, key: str, json: str, wanted: Column | None = None
     return out
 
 
-def _is_patient() -> Column:
+def patient_ids(documents: DataFrame, key: str, json: str) -> DataFrame:
+    """(key, patient): the strings at any ``patient_id``, and in any list ``patient_ids``, that are not blank; distinct in each document."""
+    leaves = walk(documents, key, json, F.col("name").isin("patient_id", "patient_ids")).where("kind = 'string'").where(F.col("value").rlike(r"\S"))
     # what a list of ids holds beside strings is not looked into
     single = F.col("path").rlike(r"\.patient_id$") & ~F.col("path").rlike(r"\.patient_ids(\[\d+\])+[.\[]")
     listed = F.col("path").rlike(r"\.patient_ids\[\d+\]$")
-    return (F.col("kind") == "string") & F.col("value").rlike(r"\S") & (single | listed)
-
-
-def patients_of(leaves: DataFrame, key: str) -> DataFrame:
-    """``patient_ids`` of documents whose leaves are there already."""
-    return leaves.where(_is_patient()).select(key, F.col("value").alias("patient")).distinct()
-
-
-def patient_ids(documents: DataFrame, key: str, json: str) -> DataFrame:
-    """(key, patient): the strings at any ``patient_id``, and in any list ``patient_ids``, that are not blank; distinct in each document."""
-    return patients_of(walk(documents, key, json, _is_patient()), key)
+    return leaves.where(single | listed).select(key, F.col("value").alias("patient")).distinct()
 
 
 def canonical_sha(json: Column) -> Column:
