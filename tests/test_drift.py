@@ -37,3 +37,16 @@ def test_ripe_windows_come_out_in_order(spark, tmp_path):
     got = {r.window: r.kappa for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     want = {r.window: r.kappa for r in kappa_drift(df, "reader", ["ts", "id"], "x", "y", window=50).collect()}
     assert set(got) == set(range(10)) and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+
+
+def test_cases_without_a_key_and_many_windows_in_one_batch(spark, tmp_path):
+    rng = random.Random(10)
+    rows = [("a", 1_700_000_000 + t // 3 * 3600, None if t % 3 == 0 else t, rng.randint(-1, 2), rng.randint(-1, 2)) for t in range(30_000)]
+    df = spark.createDataFrame(rows, "reader string, s long, id long, x int, y int").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    found = flows.kappa_drift_stream(stream, "reader", "ts", "id", "x", "y", "1 hour", window=10)
+    found.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    got = {r.window: r.kappa for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    want = {r.window: r.kappa for r in kappa_drift(df, "reader", ["ts", "id"], "x", "y", window=10).collect()}
+    assert set(got) == set(range(2999)) and all(abs(got[k] - want[k]) < 1e-9 for k in got)
