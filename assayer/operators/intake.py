@@ -24,7 +24,7 @@ def _stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def src2_json_dir_scan(spark: SparkSession, folder: str) -> DataFrame:
     """A folder of files with one object each, and the file's name beside it."""
     s = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
-    s.write.option("maxRecordsPerFile", 1).json(path := Scratch(spark, "files").root)
+    writers.json_files(s, "id", path := Scratch(spark, "files").root)
     read = readers.json_objects(spark, path, "id long, name string, balance double")
     return read.select("id", "name", "balance", F.col("file").endswith(".json").alias("has_file"))
 

@@ -61,3 +61,10 @@ def write_board(board: DataFrame, violations: DataFrame, path: str) -> str:
         return "board"
     violations.write.mode("overwrite").parquet(f"{path}/failed")
     return "failed"
+
+
+def json_files(rows: DataFrame, key: str, path: str, in_folder: int = 256) -> None:
+    """One file a row, some ``in_folder`` in each folder below ``path``: many tasks write them, and a reader lists the folders side by side."""
+    n = -(-rows.count() // in_folder) or 1
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64(key), F.lit(n))).repartition(n, "part")
+    dealt.write.option("maxRecordsPerFile", 1).partitionBy("part").json(path)
