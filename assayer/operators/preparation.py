@@ -14,21 +14,22 @@ def digest(*parts: Column | str) -> Column:
 
 
 def hex_decimal(digits: Column) -> Column:
-    """A hexadecimal string of any length as a decimal string: base 1e9 limbs, folded digit by digit."""
-    limbs = [f"l{i}" for i in range(5)]
-    zero = F.struct(*(F.lit(0).cast("long").alias(x) for x in limbs))
-
-    def step(acc: Column, d: Column) -> Column:
-        carry, out = F.conv(d, 16, 10).cast("long"), []
-        for x in limbs:
-            v = acc[x] * 16 + carry
-            out.append((v % 1_000_000_000).alias(x))
-            carry = F.floor(v / 1_000_000_000)
-        return F.struct(*out)
-
-    done = F.aggregate(F.split(digits, ""), zero, step)
-    text = F.concat(*(F.lpad(done[x].cast("string"), 9, "0") for x in reversed(limbs)))
-    return F.coalesce(F.nullif(F.ltrim(text, F.lit("0")), F.lit("")), F.lit("0"))
+    """A hexadecimal string of any length as a decimal string: base 1e9 limbs, folded eight digits at a time; null of null."""
+    base = F.lit(1_000_000_000)
+    n = F.ceil(F.greatest(F.length(digits), F.lit(1)) / 8).cast("int")
+    words = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.conv(F.substring(F.lpad(digits, n * 8, "0"), i * 8 + 1, F.lit(8)), 16, 10).cast("long"))
+    none = F.array().cast("array<long>")
+
+    def carry(s: Column, limb: Column) -> Column:
+        v = limb * (1 << 32) + s["over"]
+        return F.struct(F.array_append(s["out"], v % base).alias("out"), F.call_function("div", v, base).alias("over"))
+
+    def step(limbs: Column, word: Column) -> Column:
+        # 32 bits more need two limbs more at most, so nothing is left over
+        return F.aggregate(F.concat(limbs, F.lit([0, 0]).cast("array<long>")), F.struct(none.alias("out"), word.alias("over")), carry)["out"]
+
+    text = F.array_join(F.transform(F.reverse(F.aggregate(words, none, step)), lambda x: F.lpad(x.cast("string"), 9, "0")), "")
+    return F.regexp_replace(text, "^0+(?=.)", "")
 
 
 def rehash_id(uid: Column, salt: str) -> Column:
