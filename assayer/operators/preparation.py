@@ -16,8 +16,6 @@ def digest(*parts: Column | str) -> Column:
 def hex_decimal(digits: Column) -> Column:
     """A hexadecimal string of any length as a decimal string: base 1e9 limbs, folded eight digits at a time; null of null."""
     base = F.lit(1_000_000_000)
-    n = F.ceil(F.greatest(F.length(digits), F.lit(1)) / 8).cast("int")
-    words = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.conv(F.substring(F.lpad(digits, n * 8, "0"), i * 8 + 1, F.lit(8)), 16, 10).cast("long"))
     none = F.array().cast("array<long>")
 
     def carry(s: Column, limb: Column) -> Column:
@@ -28,8 +26,14 @@ def hex_decimal(digits: Column) -> Column:
         # 32 bits more need two limbs more at most, so nothing is left over
         return F.aggregate(F.concat(limbs, F.lit([0, 0]).cast("array<long>")), F.struct(none.alias("out"), word.alias("over")), carry)["out"]
 
-    text = F.array_join(F.transform(F.reverse(F.aggregate(words, none, step)), lambda x: F.lpad(x.cast("string"), 9, "0")), "")
-    return F.regexp_replace(text, "^0+(?=.)", "")
+    def decimal(d: Column) -> Column:
+        n = F.ceil(F.greatest(F.length(d), F.lit(1)) / 8).cast("int")
+        words = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.conv(F.substring(F.lpad(d, n * 8, "0"), i * 8 + 1, F.lit(8)), 16, 10).cast("long"))
+        text = F.array_join(F.transform(F.reverse(F.aggregate(words, none, step)), lambda x: F.lpad(x.cast("string"), 9, "0")), "")
+        return F.when(d.isNotNull(), F.regexp_replace(text, "^0+(?=.)", ""))
+
+    # in a list of one, so that the digits are worked out once
+    return F.transform(F.array(digits), decimal)[0]
 
 
 def rehash_id(uid: Column, salt: str) -> Column:
