@@ -14,12 +14,21 @@ def dose(flag: str = "l_returnflag"):
     return F.when(F.col(flag) == "A", 0.10).when(F.col(flag) == "N", 0.25).otherwise(0.50)
 
 
+#: Slices that a task joins with their orders at most, on average.
+_A_TASK = 1_000_000
+
+
 def slices(spark: SparkSession, folder: str) -> DataFrame:
     """vendor, dose, method, patient, series, slice, psnr, cnr, score_a, score_b."""
     line, order = table(spark, folder, "lineitem"), table(spark, folder, "orders")
     supplier, nation, part = (table(spark, folder, n) for n in ("supplier", "nation", "part"))
     joined = line.join(supplier, line.l_suppkey == supplier.s_suppkey).join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-    joined = joined.join(part, line.l_partkey == part.p_partkey).join(order, line.l_orderkey == order.o_orderkey)
+    joined = joined.join(part, line.l_partkey == part.p_partkey)
+    # what a task sorts and groups by order must not grow with the table, and adaptive execution would merge small partitions
+    n = -(-line.count() // _A_TASK)
+    if n > spark.sparkContext.defaultParallelism:
+        joined, order = joined.repartition(n, "l_orderkey"), order.repartition(n, "o_orderkey")
+    joined = joined.join(order, F.col("l_orderkey") == F.col("o_orderkey"))
     return joined.select(
         F.col("n_name").alias("vendor"),
         dose().alias("dose"),
