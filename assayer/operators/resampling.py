@@ -21,7 +21,7 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from assayer.operators.board import finite
 from assayer.operators.curves import mid_rank
 from assayer.operators.preparation import equivalence_verdict
-from assayer.operators.ranks import RANGES, mid_ranks, positions, ranges
+from assayer.operators.ranks import mid_ranks, positions, ranges, same
 from assayer.operators.registry import query
 from assayer.operators.summaries import rounded
 from assayer.plans.measures import CONTROL, SLICES, slices
@@ -220,24 +220,129 @@ def sign_test(rows: DataFrame, by: list[str], a: Column, b: Column) -> DataFrame
 
 def kruskal(ranks: DataFrame, by: list[str], group: str, rank: str) -> DataFrame:
     """H from rank sums per group; ties are corrected by the variance of the ranks themselves."""
-    g = ranks.groupBy(*by, group).agg(F.sum(rank).alias("r"), F.count("*").alias("n"), F.sum(F.pow(rank, F.lit(2))).alias("r2"))
-    t = g.groupBy(*by).agg(F.sum(F.pow("r", F.lit(2)) / F.col("n")).alias("between"), F.sum("n").alias("n"), F.sum("r2").alias("r2"))
+    return _h(ranks.groupBy(*by, group).agg(F.sum(rank).alias("r"), F.count("*").alias("n"), F.sum(F.pow(rank, F.lit(2))).alias("r2")), by)
+
+
+def _h(sums: DataFrame, by: list[str]) -> DataFrame:
+    """H from one row a group: the sum of its ranks, its rows, the sum of its squared ranks."""
+    t = sums.groupBy(*by).agg(F.sum(F.pow("r", F.lit(2)) / F.col("n")).alias("between"), F.sum("n").alias("n"), F.sum("r2").alias("r2"))
     middle = F.col("n") * F.pow((F.col("n") + 1) / 2, F.lit(2))
     return t.select(*by, ((F.col("n") - 1) * (F.col("between") - middle) / (F.col("r2") - middle)).alias("h"))
 
 
+#: Units whose keys are worked out together, shufflings that are paired together, and keys that a task sorts on average.
+_BLOCK, _TOGETHER, _SORTED = 1 << 15, 16, 1 << 25
+#: Bits of a key inside its range; the keys' 31 bits make 128 ranges.
+_INSIDE = 24
+
+
+def _rest(x: np.ndarray, m: int) -> np.ndarray:
+    """The remainder with the sign of ``x``, as in SQL."""
+    return np.fmod(x, m) if x.size and x.min() < 0 else x - x // m * m
+
+
+def _keys(units: pa.Array, replicates: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(b, key, range) for b from 1: what ``uniform`` divides, and its range as a byte. A null unit stands before all others."""
+    null = units.is_null().to_numpy(zero_copy_only=False)
+    u = pc.fill_null(units, 0).to_numpy(zero_copy_only=False)
+    first, last = _rest(u, _MOD) * 7919 + 12_345, _rest(u, 65_537)
+    for b in range(1, replicates + 1):
+        x = _rest(_rest(first + b * 104_729, _MOD) * 48_271 + (last + b * 16_807), _PRIME)
+        key = _rest(x * 48_271, _PRIME).astype(np.int32)
+        key[null] = -_PRIME - 1
+        yield b, key, ((key >> _INSIDE) + 128).astype(np.uint8)
+
+
+def shuffled_sums(units: DataFrame, total: int, replicates: int) -> DataFrame:
+    """(b, code, s) for b from 1: sums of ``x`` over the units that get label ``code`` in shuffling b. Units are (unit, p, code, x).
+
+    A shuffling pairs the i-th unit by key with the i-th label by unit, whose place is ``p``. Keys are worked out in the task from unit
+    and b. A block of units sends, a shuffling and range of keys, one row with the keys and ``x`` as bytes, in order of ``p``. Keys are
+    uniform, so a range is even; how many keys lie ahead of it is counted before, and so the stretch of labels that it meets is known.
+    """
+    spark = units.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * replicates // _SORTED))
+    number = np.dtype(np.uint32 if total < 1 << 31 else np.int64)
+    pieces_of = StructType.fromDDL("b long, k int, block long, n long, keys binary, x binary")
+    sums_of = StructType.fromDDL("b long, code long, s double")
+    dealt, paired = to_arrow_schema(pieces_of), to_arrow_schema(sums_of)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((replicates + 1, 256), np.int64)
+        for batch in batches:
+            for b, _, k in _keys(batch.column(0), replicates):
+                held[b] += np.bincount(k, minlength=256)
+        b, k = np.nonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(b), pa.array((k - 128).astype(np.int32)), pa.array(held[b, k])], names=["b", "k", "n"])
+
+    def deal(block: pa.Table) -> pa.Table:
+        block = block.sort_by("p")
+        x, at, out = block["x"].to_numpy().astype(number), block["block"][0].as_py(), []
+        for b, key, k in _keys(block["unit"].combine_chunks(), replicates):
+            order, n = np.argsort(k, kind="stable"), np.bincount(k, minlength=256)
+            there = np.flatnonzero(n)
+            ends = np.concatenate(([0], np.cumsum(n[there]))).astype(np.int32)
+            bytes_of = lambda v: pa.Array.from_buffers(pa.binary(), len(there), [None, pa.py_buffer(ends * v.itemsize), pa.py_buffer(v[order])])  # noqa: B023, E731
+            b_, at_ = (pa.array(np.full(len(there), v, np.int64)) for v in (b, at))
+            out.append(pa.RecordBatch.from_arrays([b_, pa.array((there - 128).astype(np.int32)), at_, pa.array(n[there]), bytes_of(key), bytes_of(x)], schema=dealt))
+        return pa.Table.from_batches(out, schema=dealt)
+
+    def pair(pieces: pa.Table, labels: pa.Table) -> pa.Table:
+        if not len(pieces):
+            return paired.empty_table()
+        labels, pieces = labels.sort_by("at"), pieces.sort_by([("b", "ascending"), ("block", "ascending")])
+        first = labels["at"][0].as_py()
+        codes, label = np.unique(pc.list_flatten(labels["labels"]).to_numpy(), return_inverse=True)
+        b, base, n = (pieces[c].to_numpy() for c in ("b", "base", "n"))
+        keys, x = (np.frombuffer(b"".join(pieces[c].to_pylist()), t) for c, t in (("keys", np.int32), ("x", number)))
+        ends, starts, out = np.concatenate(([0], np.cumsum(n))), np.flatnonzero(np.diff(b, prepend=-1)), []
+        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(b)], strict=True):
+            low, high = ends[s], ends[e]
+            # equal keys stay in order of place, which is that of the units
+            order = (keys[low:high].astype(np.int64) << 32) | np.arange(high - low)
+            order.sort()
+            own = label[base[s] - first :][: high - low]
+            out.append(np.bincount(own, x[low:high][order & 0xFFFFFFFF], len(codes)))
+        columns = [np.repeat(b[starts], len(codes)), np.tile(codes, len(starts)), np.concatenate(out)]
+        return pa.Table.from_arrays([pa.array(c) for c in columns], schema=paired)
+
+    counts = units.select("unit").repartition(tasks, "unit").mapInArrow(count, "b long, k int, n long").groupBy("b", "k").agg(F.sum("n").alias("n"))
+    ahead = Window.partitionBy("b").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    # a row a shuffling and range
+    bases = Scratch(spark, "shufflings").keep(counts.select("b", "k", "n", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base")), "bases")
+    together = F.floor(F.col("b") / _TOGETHER).alias("c")
+    u = units.withColumn("block", F.floor(F.col("p") / _BLOCK)).repartition(tasks, "block")
+    pieces = u.select("block", "unit", "p", "x").groupBy("block").applyInArrow(deal, pieces_of)
+    pieces = pieces.join(F.broadcast(bases.select("b", "k", "base")), ["b", "k"]).select("k", together, "b", "block", "n", "base", "keys", "x")
+    blocks = u.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "code"))), lambda v: v["code"]).alias("labels"))
+    met = bases.groupBy("k", together).agg(F.min("base").alias("low"), F.max(F.col("base") + F.col("n")).alias("high"))
+    start = F.col("block") * _BLOCK
+    low, high = F.greatest("low", start), F.least("high", start + _BLOCK)
+    labels = blocks.join(F.broadcast(met), (F.col("low") < start + _BLOCK) & (F.col("high") > start))
+    labels = labels.select("k", "c", low.alias("at"), F.slice("labels", (low - start + 1).cast("int"), (high - low).cast("int")).alias("labels"))
+    pieces, labels = (d.repartition(tasks, "k", "c").groupBy("k", "c") for d in (pieces, labels))
+    return pieces.cogroup(labels).applyInArrow(pair, sums_of).groupBy("b", "code").agg(F.sum("s").alias("s"))
+
+
 def permutation_kruskal(rows: DataFrame, unit: str, group: str, value: str, replicates: int) -> DataFrame:
     """H of the labels as they are and the share of label shufflings with as large an H.
 
-    A shuffling pairs the i-th row by a random key with the i-th label by unit. Both places are counted range by range: a key
-    is uniform, so its ranges are even, and the labels' places are worked out once for all shufflings.
+    A shuffling pairs the i-th row by a random key with the i-th label by unit. A group's rows and all squared ranks are those of the
+    labels as they are, so a shuffling is known by its rank sums.
     """
-    r = mid_ranks(rows, [], value, "r", wide=True).select(unit, group, "r")
-    seen = kruskal(r, [], group, "r").select(F.lit(0).cast("long").alias("b"), "h")
-    b = r.select(unit, "r", F.explode(_numbers(1, replicates + 1)).alias("b")).withColumn("key", uniform(F.col("b"), F.col(unit)))
-    left = positions(b, ["b"], ["key", unit], F.floor(F.col("key") * RANGES), "i").select("b", "r", "i")
-    right = positions(r.select(unit, group), [], [unit], ranges(r, unit), "i").select(group, "i")
-    h = seen.union(kruskal(left.join(right, "i"), ["b"], group, "r").select("b", "h"))
+    scratch = Scratch(rows.sparkSession, "permutation")
+    # doubled, a mean rank is a whole number
+    r = mid_ranks(rows.select(F.col(unit).cast("long").alias("unit"), F.col(group).alias("g"), F.col(value).alias("v")), [], "v", "r", wide=True)
+    r = scratch.keep(r.select("unit", "g", (F.col("r") * 2).cast("long").alias("x")), "ranks")
+    half = F.col("x") / 2
+    groups = r.groupBy("g").agg(F.sum(half).alias("r"), F.count("*").alias("n"), F.sum(half * half).alias("r2"))
+    groups = scratch.keep(groups.withColumn("code", F.monotonically_increasing_id()), "groups")
+    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    coded = same(r, groups.select("g", "code"), ["g"]).select("unit", "code", "x")
+    units = scratch.keep(positions(coded, [], ["unit"], ranges(r, "unit"), "p"), "units")
+    shuffled = shuffled_sums(units, total, replicates).join(groups.select("code", "n", "r2"), "code")
+    seen = _h(groups.withColumn("b", F.lit(0).cast("long")), ["b"])
+    h = seen.union(_h(shuffled.withColumn("r", F.col("s") / 2), ["b"]))
     # One value a replicate, so the list is as long as there are replicates.
     both = h.agg(F.max(F.when(F.col("b") == 0, F.col("h"))).alias("h"), F.collect_list(F.when(F.col("b") > 0, F.col("h"))).alias("all"))
     ge = F.size(F.filter("all", lambda x: x >= F.col("h") - 1e-9)).cast("long")
