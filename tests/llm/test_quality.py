@@ -42,3 +42,25 @@ def test_line_rules(spark):
     assert [rows[i].kept for i in (1, 2, 3, 4, 5)] == [True, True, False, False, True]
     assert rows[1].cleaned == good
     assert "item1" not in rows[2].cleaned and "privacy" not in rows[5].cleaned
+
+
+def test_separators_that_a_line_end_follows_are_words(spark):
+    """A dollar sign of the JVM also stands ahead of x85 and u2028, which are no white space here: such words are no lone separators."""
+    for end in ("\x85", "\u2028", "\u2029"):
+        line = " ".join(f"word{i} |{end}" for i in range(30))
+        cleaned = quality.clean(documents(spark, [(1, line), (2, line.replace(end, ""))])).collect()
+        assert {r.doc_id: r.cleaned for r in cleaned} == {1: line, 2: ""}, repr(end)
+
+
+def test_windows_that_share_bits_are_told_by_their_words(spark, monkeypatch):
+    """With one or no bit of the hash left of a place, all windows are looked at again; the counts stay."""
+    texts = [*ODD, (20, "a b c a b c\n\na b c"), (21, "1 2 3 " * 30 + "x"), (22, " ".join(f"w{i % 97} v{i % 89}" for i in range(3000)))]
+    for bits in (31, 62, 63):
+        monkeypatch.setattr(quality, "_PLACE_BITS", bits)
+        rows = quality.base_counts(documents(spark, texts)).select("doc_id", "n_repeat_words").collect()
+        assert Counter(map(tuple, rows)) == Counter((d, base(t)[4]) for d, t in texts), bits
+
+
+def test_only_numbers_are_sorted_for_all_windows(spark):
+    plan = quality.verdicts(quality.clean(documents(spark, ODD)))._jdf.queryExecution().optimizedPlan().toString()
+    assert "sort_array(transform(windows" in plan and "(shiftleft(xxhash64(" in plan
